@@ -23,6 +23,11 @@ def midnight(day: Column | str) -> Column:
     return _c(day).cast("date").cast("timestamp_ntz")
 
 
+def instant_to_utc(ts: Column | str) -> Column:
+    """A zoned instant as a zone-less UTC timestamp, whatever the session zone."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(_c(ts)), F.expr(_EPOCH))
+
+
 def plus_hours(ts: Column | str, hours: Column | int) -> Column:
     hours = F.lit(hours) if isinstance(hours, int) else hours
     return _c(ts) + F.make_dt_interval(F.lit(0), hours.cast("int"), F.lit(0), F.lit(0))

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.timeaxis import hour_index
+from ..functions.timeaxis import hour_index, instant_to_utc
 from .ordered import asof_join, lag_of, lead_of
 
 KEY = ["source_id"]
@@ -73,9 +73,7 @@ def known_at(versions: DataFrame, lookups: DataFrame, payload: Sequence[str], ev
 def utc_instant(text: Column) -> Column:
     """ISO 8601 text with a zone to a UTC zone-less instant; a text without a zone is refused."""
     zoned = text.rlike(r"(Z|[+-][0-9]{2}:?[0-9]{2})$")
-    # cast keeps the instant; converting back through the session zone is undone by unix_micros
-    micros = F.unix_micros(text.cast("timestamp"))
-    instant = F.timestamp_add("MICROSECOND", micros, F.expr("timestamp_ntz'1970-01-01 00:00:00'"))
+    instant = instant_to_utc(text.cast("timestamp"))
     return F.when(zoned, instant).when(text.isNull(), None).otherwise(
         F.raise_error(F.concat(F.lit("instant without a time zone: "), text)).cast("timestamp_ntz")
     )
