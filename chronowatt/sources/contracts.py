@@ -18,8 +18,9 @@ CONTRACT = (
 _HEAD = 65_536
 
 
-def _text(content: Column, start: int, length: int) -> Column:
-    return F.decode(F.substring(content, start, length), "ISO-8859-1")
+def _as_text(content: Column) -> Column:
+    """Bytes as text; bytes that are no text (a cut character, a binary file) are replaced."""
+    return F.make_valid_utf8(content.cast("string"))
 
 
 def violations(files_table: DataFrame, contracts: DataFrame) -> DataFrame:
@@ -29,7 +30,7 @@ def violations(files_table: DataFrame, contracts: DataFrame) -> DataFrame:
     checked by :func:`gzip_header_problems`.
     """
     d = contracts.join(files_table, "file", "left")
-    head = F.decode(F.substring("content", 1, _HEAD), "UTF-8")
+    head = _as_text(F.substring("content", 1, _HEAD))
     fmt = F.col("format")
     header = F.regexp_replace(F.element_at(F.split(head, r"\r?\n", 2), 1), r"^\x{FEFF}", "")
     names = F.transform(
@@ -39,7 +40,7 @@ def violations(files_table: DataFrame, contracts: DataFrame) -> DataFrame:
     wanted = F.coalesce("columns", F.array().cast("array<string>"))
     absent = F.array_except(wanted, names)
     xml_root = F.regexp_extract(head, r"(?s)^\x{FEFF}?\s*(?:<\?.*?\?>\s*|<!--.*?-->\s*)*<(?:[\w.-]+:)?([\w.-]+)", 1)
-    content = F.decode(F.col("content"), "UTF-8")
+    content = _as_text(F.col("content"))
 
     def said(label: str, detail: Column | None = None) -> Column:
         return F.lit(label) if detail is None else F.concat(F.lit(label), F.lit(": "), detail)
@@ -66,8 +67,8 @@ def violations(files_table: DataFrame, contracts: DataFrame) -> DataFrame:
         .when(
             (fmt == "parquet")
             & (
-                (_text(F.col("content"), 1, 4) != PARQUET_MAGIC)
-                | (F.decode(F.expr("substring(content, -4)"), "ISO-8859-1") != PARQUET_MAGIC)
+                (_as_text(F.substring("content", 1, 4)) != PARQUET_MAGIC)
+                | (_as_text(F.substring("content", -4, 4)) != PARQUET_MAGIC)
             ),
             said("Parquet magic number missing"),
         )
