@@ -30,7 +30,7 @@ MD AS (SELECT series, d, max({r('mean')}) AS max_mean, max(CASE WHEN rk = 1 THEN
 
 def rolling(spark, sf, per_type=True):
     measures = hourly_local(spark, sf, per_type)
-    bounds = series.local_day_bounds(measures, ["series"], "d")
+    bounds = series.local_day_bounds(measures, ["series"], "d", "v")
     out = series.rolling_hours(measures, bounds, ["series"], "hi", "v")
     return out.withColumn("mean", stable("mean"))
 
@@ -67,7 +67,7 @@ def daily_max_8h_all(spark, sf):
 @query(f"""WITH {HL},\n{GRID} SELECT series, {day_sql("timezone('Europe/Paris', timezone('UTC', h))")} AS day,
 count(*) AS n_hours FROM GR GROUP BY 1, 2""")
 def hour_grid(spark, sf):
-    bounds = series.local_day_bounds(hourly_local(spark, sf), ["series"], "d")
+    bounds = series.local_day_bounds(hourly_local(spark, sf), ["series"], "d", "v")
     grid = series.hour_grid(bounds, ["series"])
     day = T.day_text(T.utc_to_local(T.from_hour_index("hour")))
     return grid.groupBy("series", day.alias("day")).agg(F.count("*").alias("n_hours"))

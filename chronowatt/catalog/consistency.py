@@ -33,8 +33,7 @@ def try_cast_null_audit(spark, sf):
         F.nullif(F.col("l_discount"), F.lit(0.0)).alias("discount"),
         F.col("l_extendedprice").alias("price"),
     )
-    audited = quality.null_counts(d, ["status_number", "line_number", "discount", "price"], ["flag"])
-    return audited.join(d.groupBy("flag").agg(F.count("*").alias("n")), "flag")
+    return quality.null_counts(d, ["status_number", "line_number", "discount", "price"], ["flag"])
 
 
 @query(f"""WITH {PD}, S AS (SELECT extract('month' FROM day) AS m, CAST(sum(tot) AS BIGINT) AS whole, CAST(3*sum(af+ao) AS BIGINT) AS part FROM PD GROUP BY 1)
@@ -90,12 +89,10 @@ def orphans_after_join(spark, sf):
     customers = table(spark, sf, "customer").select(F.col("c_custkey").alias("custkey"))
     buyers = table(spark, sf, "orders").select(F.col("o_custkey").alias("custkey"))
 
-    def side(name, df):
-        return df.agg(F.lit(name).alias("side"), F.count("*").alias("n"))
-
-    return side("customer_without_order", quality.orphans(customers, buyers, ["custkey"])).unionByName(
-        side("order_without_customer", quality.orphans(buyers, customers, ["custkey"]))
-    )
+    counts = quality.orphan_counts(customers, buyers, ["custkey"])
+    sides = (("customer_without_order", "n_left"), ("order_without_customer", "n_right"))
+    rows = F.array(*[F.struct(F.lit(name).alias("side"), F.col(c).alias("n")) for name, c in sides])
+    return counts.select(F.inline(rows))
 
 
 # Expected series of the audit: type, first and last day it must cover (a closed one stops earlier).

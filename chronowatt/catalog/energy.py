@@ -12,25 +12,31 @@ from ..operators import ordered, series
 from ..sources import xml_series
 
 
-@query("""SELECT l_orderkey AS series_id, 4*count(*) AS n_steps, 2*count(*) AS n_declared,
-round(sum(3*l_quantity + l_extendedprice) + 0.00001, 2) AS total FROM lineitem GROUP BY 1""")
+@query("""WITH P AS (SELECT l_suppkey AS s, extract('year' FROM l_shipdate) AS y, extract('month' FROM l_shipdate) AS m, CAST(sum(l_quantity) AS DOUBLE) AS q FROM lineitem GROUP BY 1, 2, 3),
+K AS (SELECT DISTINCT s, y FROM P), G AS (SELECT s, y, p AS m FROM K, range(1, 13) t(p)),
+C AS (SELECT G.s, G.y, G.m, last_value(q IGNORE NULLS) OVER (PARTITION BY G.s, G.y ORDER BY G.m) AS v, q IS NOT NULL AS declared FROM G LEFT JOIN P ON P.s = G.s AND P.y = G.y AND P.m = G.m)
+SELECT s AS series_id, y, count(*) AS n_steps, count(*) FILTER (WHERE declared) AS n_declared, round(sum(v) + 0.00001, 2) AS total FROM C WHERE v IS NOT NULL GROUP BY 1, 2""")
 def xml_series_points(spark, sf):
-    """Each line becomes a document of four hours that gives its first and last position; the two in
-    between repeat the first. Written, parsed and rebuilt row by row, then summed per order."""
+    """A document per supplier and year gives the months it has, as positions of a twelve-step period;
+    it is written as XML, parsed back, and the months it lacks repeat the one before."""
+    monthly = (
+        table(spark, sf, "lineitem")
+        .groupBy(
+            F.col("l_suppkey").alias("s"),
+            F.year("l_shipdate").cast("bigint").alias("y"),
+            F.month("l_shipdate").alias("m"),
+        )
+        .agg(F.sum("l_quantity").alias("q"))
+    )
+    # twelve columns at most per document, whatever the number of lines
+    documents = monthly.groupBy("s", "y").agg(*[F.max(F.when(F.col("m") == m, F.col("q"))).alias(f"q{m}") for m in range(1, 13)])
     text = xml_series.document_text(
-        F.col("l_orderkey"),
-        [(F.lit(1), F.col("l_quantity")), (F.lit(4), F.col("l_extendedprice"))],
-        "PT60M",
-        "2024-01-01T00:00Z",
-        "2024-01-01T04:00Z",
+        F.col("s"), [(F.lit(m), F.col(f"q{m}")) for m in range(1, 13)], "PT60M", "2024-01-01T00:00Z", "2024-01-01T12:00Z"
     )
-    documents = table(spark, sf, "lineitem").select(text.alias("xml"))
-    parsed = xml_series.parse_text(documents, "xml").select("mRID", F.explode("Period").alias("period"))
-    steps = xml_series.rebuild_points(parsed, "period")
-    return steps.groupBy(F.col("mRID").cast("bigint").alias("series_id")).agg(
-        F.count("*").alias("n_steps"),
-        F.count_if("declared").alias("n_declared"),
-        stable(F.sum("value"), 2).alias("total"),
+    parsed = xml_series.parse_text(documents.select("y", text.alias("xml")), "xml", ["y"])
+    steps = xml_series.rebuild_points(parsed.select("y", "mRID", F.explode("Period").alias("period")), "period", leading="skip")
+    return steps.groupBy(F.col("mRID").cast("bigint").alias("series_id"), "y").agg(
+        F.count("*").alias("n_steps"), F.count_if("declared").alias("n_declared"), stable(F.sum("value"), 2).alias("total")
     )
 
 

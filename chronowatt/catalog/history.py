@@ -29,14 +29,14 @@ def version_intervals(spark, sf):
 
 
 @query(f"""WITH {VS}, L AS (SELECT DISTINCT source_id, moment FROM VS, (VALUES (TIMESTAMP '2023-12-31 00:00:00'), (TIMESTAMP '2024-01-10 08:00:00'), (TIMESTAMP '2024-02-01 00:00:00')) t(moment)
-UNION SELECT source_id, max(first_observed_at) FROM IV GROUP BY 1)
+UNION SELECT source_id, max(observed_at) FROM VS GROUP BY 1)
 SELECT L.source_id, {ts_sql('L.moment')} AS moment, IV.seq, IV.sha256 FROM L LEFT JOIN IV ON IV.source_id = L.source_id AND IV.first_observed_at <= L.moment AND (IV.superseded_at IS NULL OR L.moment < IV.superseded_at)""")
 def version_known_at(spark, sf):
     held = intervals(spark, sf)
     at = [F.lit(t).cast("timestamp_ntz") for t in ("2023-12-31 00:00:00", "2024-01-10 08:00:00", "2024-02-01 00:00:00")]
-    sources = held.groupBy("source_id").agg(F.max("first_observed_at").alias("last"))
-    # the last start itself is looked up too: a lower bound belongs to its interval
-    lookups = sources.select("source_id", F.explode(F.array(*at, F.col("last"))).alias("at")).distinct()
+    # every source is looked up at three moments and at its own last observation
+    sources = snapshots(spark, sf).groupBy("source_id").agg(F.max("observed_at").alias("last"))
+    lookups = sources.select("source_id", F.explode(F.array_distinct(F.array(*at, F.col("last")))).alias("at"))
     found = versions.known_at(held, lookups, ["seq", "sha256"])
     return found.select("source_id", T.as_text("at").alias("moment"), "found.seq", "found.sha256")
 

@@ -106,10 +106,8 @@ def mix_two_regions(spark, sf):
 SELECT coalesce(A.y, B.y) AS y, CASE WHEN A.y IS NULL THEN 'right_only' ELSE 'left_only' END AS side
 FROM A FULL JOIN B ON A.y = B.y WHERE A.y IS NULL OR B.y IS NULL""")
 def period_alignment(spark, sf):
-    regions = _regions(spark, sf)
-    return quality.misaligned(
-        regions.filter("region = 'ASIA'"), regions.filter("region = 'EUROPE' and y < 2000"), "y"
-    )
+    region = F.col("region")
+    return quality.misaligned(_regions(spark, sf), "y", region == "ASIA", (region == "EUROPE") & (F.col("y") < 2000))
 
 
 @query(f"""WITH {PD}, S AS (SELECT extract('year' FROM day) AS y, 100.0*(greatest(af,0)+greatest(ao,0))/nullif(tot,0) AS s FROM PD)
@@ -129,11 +127,9 @@ def threshold_two_denominators(spark, sf):
     returned = percent(part, F.col("rf") + F.col("ro"))
     days = part_days(spark, sf).withColumn("y", F.year("day").cast("bigint"))
     d = days.select("y", percent(part, "tot").alias("g"), returned.alias("c"))
-    freq = shares.frequency_above(d, ["y"], {"of_total": F.col("g"), "of_returned": F.col("c")}, 35)
-    undefined = d.groupBy("y").agg(F.count_if(F.col("c").isNull()).alias("n_undefined"))
-    return freq.join(undefined, "y").select(
-        "y", stable("of_total").alias("of_total"), stable("of_returned").alias("of_returned"), "n_undefined"
-    )
+    undefined = F.count_if(F.col("c").isNull()).alias("n_undefined")
+    freq = shares.frequency_above(d, ["y"], {"of_total": F.col("g"), "of_returned": F.col("c")}, 35, undefined)
+    return freq.select("y", stable("of_total").alias("of_total"), stable("of_returned").alias("of_returned"), "n_undefined")
 
 
 @query("""WITH D AS (SELECT CAST(l_shipdate AS DATE) AS d, max(l_extendedprice) AS top FROM lineitem GROUP BY 1)
@@ -345,11 +341,10 @@ def slot_separates(spark, sf):
 @query(f"""WITH {HW} SELECT 'morning' AS slot, {r('100.0*sum(a)/sum(tot)')} AS share, count(*) AS n_hours FROM HC WHERE hr BETWEEN 6 AND 11
 UNION ALL SELECT 'evening', {r('100.0*sum(a)/sum(tot)')}, count(*) FROM HC WHERE hr BETWEEN 17 AND 22""")
 def union_slots(spark, sf):
-    hc = by_hour(spark, sf)
-
-    def slot(name, a, b):
-        return hc.filter(F.col("hr").between(a, b)).agg(
-            F.lit(name).alias("slot"), stable(percent(F.sum("a"), F.sum("tot"))).alias("share"), F.count("*").alias("n_hours")
-        )
-
-    return slot("morning", 6, 11).unionByName(slot("evening", 17, 22))
+    hr = F.col("hr")
+    slots = [("morning", hr.between(6, 11)), ("evening", hr.between(17, 22))]
+    # each hour is labelled with the slots it belongs to, which may overlap
+    labels = F.array_compact(F.array(*[F.when(inside, F.lit(name)) for name, inside in slots]))
+    return by_hour(spark, sf).select("a", "tot", F.explode(labels).alias("slot")).groupBy("slot").agg(
+        stable(percent(F.sum("a"), F.sum("tot"))).alias("share"), F.count("*").alias("n_hours")
+    )

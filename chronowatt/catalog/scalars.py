@@ -66,18 +66,11 @@ SELECT coalesce(CASE WHEN event_type = 'signup' THEN 'membership' ELSE category
 FROM events LEFT JOIN M ON code = event_type GROUP BY 1""")
 def code_map_guard(spark, sf):
     mapping = spark.createDataFrame(CATEGORIES, "code string, category string")
-    mapped, unmapped = quality.map_codes(
-        table(spark, sf, "events").select(F.col("event_type").alias("code")), mapping, "code", "category"
-    )
+    counted = table(spark, sf, "events").groupBy(F.col("event_type").alias("code")).agg(F.count("*").alias("n"))
+    mapped, _ = quality.map_codes(counted, mapping, "code", "category")
     # one code leaves its category by decision, as an override
-    category = F.when(F.col("code") == "signup", "membership").otherwise(F.col("category"))
-    known = mapped.filter(F.col("category").isNotNull()).groupBy(category.alias("category")).agg(
-        F.count("*").alias("n"), F.count_distinct("code").alias("n_codes")
-    )
-    left_out = mapped.join(F.broadcast(unmapped), "code", "left_semi").groupBy(F.lit("UNMAPPED").alias("category")).agg(
-        F.count("*").alias("n"), F.count_distinct("code").alias("n_codes")
-    )
-    return known.unionByName(left_out)
+    category = F.when(F.col("code") == "signup", "membership").otherwise(F.coalesce("category", F.lit("UNMAPPED")))
+    return mapped.groupBy(category.alias("category")).agg(F.sum("n").alias("n"), F.count("*").alias("n_codes"))
 
 
 NAMES = [("click", "Click", "visit"), ("view", "View", "visit"), ("purchase", "Purchase", "sale")]

@@ -78,10 +78,14 @@ def top20_mean_by_year(spark, sf):
 SELECT y, count(*) AS n_days, {M2('avg(v)')} AS mean, {M2('max(abs(v - 100000.0*n)) FILTER (WHERE rk <= 20 AND summer)')} AS top_summer_gap FROM S GROUP BY 1""")
 def top20_abs_by_year_season(spark, sf):
     days = order_days(spark, sf).withColumn("summer", F.col("m").between(6, 9))
-    top = season.top_k(days, ["y", "summer"], "v", 20, ["d"]).filter("summer")
-    gap = top.groupBy("y").agg(stable(F.max(F.abs(F.col("v") - 100000.0 * F.col("n"))), 2).alias("top_summer_gap"))
-    whole = days.groupBy("y").agg(F.count("*").alias("n_days"), stable(F.avg("v"), 2).alias("mean"))
-    return whole.join(gap, "y", "left")
+    # days of a year by now: ranking them all costs less than a second pass
+    rank = F.row_number().over(Window.partitionBy("y", "summer").orderBy(F.desc("v"), "d"))
+    top = F.col("summer") & (F.col("rank") <= 20)
+    return days.withColumn("rank", rank).groupBy("y").agg(
+        F.count("*").alias("n_days"),
+        stable(F.avg("v"), 2).alias("mean"),
+        stable(F.max(F.when(top, F.abs(F.col("v") - 100000.0 * F.col("n")))), 2).alias("top_summer_gap"),
+    )
 
 
 _WIN = OD + f""",
@@ -111,8 +115,7 @@ def winter_peak_month(spark, sf):
 @query(f"""WITH {_WIN}, S AS (SELECT y, max(v) AS p FROM OD WHERE m BETWEEN 6 AND 9 GROUP BY 1)
 SELECT S.y, S.p AS summer_peak, WT.maximum AS winter_peak, {M2('S.p - WT.maximum')} AS gap FROM S JOIN WT ON WT.winter = S.y - 1 WHERE complete""")
 def summer_minus_prev_winter(spark, sf):
-    summers = summer_days(spark, sf).groupBy("y").agg(F.max("v").alias("maximum"))
-    t = season.minus_previous_winter(summers, winter_days_table(spark, sf), "y", "maximum")
+    t = season.summer_less_previous_winter(order_days(spark, sf), "y", "m", "v", COMPLETE_DAYS)
     return t.withColumn("gap", stable("gap", 2))
 
 
@@ -202,12 +205,16 @@ def proof_two_month_change(spark, sf):
 @query(f"""WITH {O} SELECT y, {', '.join(f"CAST(coalesce(count(*) FILTER (WHERE m = {m}), 0) AS BIGINT) AS n{m:02d}" for m in range(1, 13))},
 count(DISTINCT m) FILTER (WHERE p >= 40000000) AS months_with_big FROM O GROUP BY 1""")
 def year_month_matrix(spark, sf):
-    o = orders(spark, sf)
-    # months are pre-counted per year, then laid out in columns
-    wide = o.groupBy("y").pivot("m", list(range(1, 13))).agg(F.count("p"))
-    wide = wide.select("y", *[F.coalesce(F.col(str(m)), F.lit(0)).cast("bigint").alias(f"n{m:02d}") for m in range(1, 13)])
-    big = o.groupBy("y").agg(F.count_distinct(F.when(F.col("p") >= 40000000, F.col("m"))).alias("months_with_big"))
-    return wide.join(big, "y")
+    cells = orders(spark, sf).groupBy("y", "m").agg(
+        F.count("*").alias("n"), F.count_if(F.col("p") >= 40000000).alias("n_big")
+    )
+    return cells.groupBy("y").agg(
+        *[
+            F.coalesce(F.sum(F.when(F.col("m") == m, F.col("n"))), F.lit(0)).cast("bigint").alias(f"n{m:02d}")
+            for m in range(1, 13)
+        ],
+        F.count_if(F.col("n_big") > 0).alias("months_with_big"),
+    )
 
 
 @query(f"WITH {O}, S AS (SELECT y, count(DISTINCT m) AS n_months FROM O GROUP BY 1) SELECT * FROM S WHERE n_months <> 12")

@@ -7,7 +7,7 @@ is cut into buckets of the ordering axis (a column derived from the row, such as
 2. one row per (key, bucket) - the bucket's last value, found by a partial aggregate - answers the
    others through a window over buckets, whose partitions hold one row per bucket.
 
-The answer is exactly the one of the plain window, whatever the bucket width.
+The answer is exactly the one of the plain window, whatever the bucket width. Keys must not be NULL.
 """
 
 from __future__ import annotations
@@ -63,14 +63,34 @@ def carry_next(df, keys, order, bucket, value, out, inclusive=True) -> DataFrame
     return _carry(df, keys, order, bucket, value, out, inclusive, forward=False)
 
 
+def _neighbour(df, keys, order, bucket, cols, out, forward: bool) -> DataFrame:
+    """Previous (or next) row of the key.
+
+    Only the first row of a bucket looks outside it, so the two cases are separated and put back
+    together: no join, and both read the same shuffled rows.
+    """
+    direction = (lambda c: F.col(c).asc()) if forward else (lambda c: F.col(c).desc())
+    bucketed = df.withColumn(_BUCKET, bucket)
+    within = Window.partitionBy(*keys, _BUCKET).orderBy(*[direction(c) for c in order])
+    whole = within.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    picked = F.struct(*cols)
+    marked = bucketed.select(
+        "*", F.lag(picked).over(within).alias(_NEAR), F.last(picked).over(whole).alias(_EDGE)
+    )
+    inner = marked.filter(F.col(_NEAR).isNotNull()).withColumn(out, F.col(_NEAR))
+    across = Window.partitionBy(*keys).orderBy(direction(_BUCKET))
+    edges = marked.filter(F.col(_NEAR).isNull()).withColumn(out, F.lag(_EDGE).over(across))
+    return inner.unionByName(edges).drop(_BUCKET, _NEAR, _EDGE)
+
+
 def lag_of(df, keys, order, bucket, cols: Sequence[str], out: str) -> DataFrame:
     """Struct of ``cols`` taken from the previous row of the key (NULL on its first row)."""
-    return carry_last(df, keys, order, bucket, F.struct(*cols), out, inclusive=False)
+    return _neighbour(df, keys, order, bucket, cols, out, forward=True)
 
 
 def lead_of(df, keys, order, bucket, cols: Sequence[str], out: str) -> DataFrame:
     """Struct of ``cols`` taken from the next row of the key (NULL on its last row)."""
-    return carry_next(df, keys, order, bucket, F.struct(*cols), out, inclusive=False)
+    return _neighbour(df, keys, order, bucket, cols, out, forward=False)
 
 
 def runs(

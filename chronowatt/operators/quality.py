@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 class GuardError(ValueError):
@@ -18,7 +18,7 @@ class GuardError(ValueError):
 
 def null_counts(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*keys).agg(
-        *[F.count_if(F.col(f"`{c}`").isNull()).alias(f"null_{c}") for c in columns]
+        F.count("*").alias("n"), *[F.count_if(F.col(f"`{c}`").isNull()).alias(f"null_{c}") for c in columns]
     )
 
 
@@ -57,13 +57,10 @@ def hollow_days(df: DataFrame, keys: Sequence[str], day: str, hour: str, floor:
     23 and not 24: the spring clock-change day has no more.
     """
     days = df.groupBy(*keys, day).agg(F.count_distinct(hour).alias("n_hours"))
-    edges = df.groupBy(*keys).agg(F.min(day).alias("__first"), F.max(day).alias("__last"))
-    return (
-        days.filter(F.col("n_hours") < floor)
-        .join(edges, list(keys))
-        .withColumn("at_edge", (F.col(day) == F.col("__first")) | (F.col(day) == F.col("__last")))
-        .drop("__first", "__last")
-    )
+    # one row per day by now, so a window per series is bounded by its calendar
+    of_series = Window.partitionBy(*keys)
+    at_edge = (F.col(day) == F.min(day).over(of_series)) | (F.col(day) == F.max(day).over(of_series))
+    return days.withColumn("at_edge", at_edge).filter(F.col("n_hours") < floor)
 
 
 def trim_edge_days(df: DataFrame, day: str) -> DataFrame:
@@ -98,17 +95,27 @@ def map_codes(df: DataFrame, mapping: DataFrame, code: str, category: str) -> tu
     return df.join(dim, code, "left"), df.select(code).distinct().join(dim, code, "left_anti")
 
 
-def misaligned(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Keys present on one side only of a comparison."""
-    a = left.select(key).distinct().withColumn("__a", F.lit(True))
-    b = right.select(key).distinct().withColumn("__b", F.lit(True))
-    return (
-        a.join(b, key, "full")
-        .filter(F.col("__a").isNull() | F.col("__b").isNull())
-        .select(key, F.when(F.col("__a").isNull(), "right_only").otherwise("left_only").alias("side"))
+def orphan_counts(left: DataFrame, right: DataFrame, key: Sequence[str]) -> DataFrame:
+    """One row: rows of each side without a counterpart (``n_left``, ``n_right``).
+
+    Both sides are counted per key before they meet, so a frequent key moves one row per task.
+    """
+    a = left.groupBy(*key).agg(F.count("*").alias("__a"))
+    b = right.groupBy(*key).agg(F.count("*").alias("__b"))
+    met = a.join(b, list(key), "full")
+    return met.agg(
+        F.coalesce(F.sum(F.when(F.col("__b").isNull(), F.col("__a"))), F.lit(0)).alias("n_left"),
+        F.coalesce(F.sum(F.when(F.col("__a").isNull(), F.col("__b"))), F.lit(0)).alias("n_right"),
     )
 
 
+def misaligned(df: DataFrame, key: str, left: Column, right: Column) -> DataFrame:
+    """Keys (years) present on one side only of a comparison, in one pass over the stacked sides."""
+    sides = df.groupBy(key).agg(F.count_if(left).alias("__a"), F.count_if(right).alias("__b"))
+    side = F.when(F.col("__b") == 0, "left_only").otherwise("right_only")
+    return sides.filter((F.col("__a") == 0) != (F.col("__b") == 0)).select(key, side.alias("side"))
+
+
 def both_present(df: DataFrame, keys: Sequence[str], first: Column, second: Column) -> DataFrame:
     """Groups in which both conditions are met at least once."""
     return df.groupBy(*keys).agg(

@@ -30,9 +30,10 @@ def exact_quantiles(
     rows = df.select(*keys, F.col(value).cast("double").alias("__x")).filter(F.col("__x").isNotNull())
     counted = rows.groupBy(*keys, "__x").agg(F.count("*").alias("__c"))
 
+    # cut by distinct values: what a bin holds after counting is bounded, however often values repeat
     cuts = [F.lit((i + 1) / bins) for i in range(bins - 1)]
-    shape = rows.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.percentile_approx("__x", F.array(*cuts), accuracy).alias("__cuts")
+    shape = counted.groupBy(*keys).agg(
+        F.sum("__c").alias("n"), F.percentile_approx("__x", F.array(*cuts), accuracy).alias("__cuts")
     )
     binned = counted.join(shape.drop("n"), list(keys)).select(
         *keys,

@@ -60,13 +60,28 @@ def winters(
     )
 
 
-def minus_previous_winter(summers: DataFrame, winter_table: DataFrame, year: str, peak: str) -> DataFrame:
-    """Summer peak less the peak of the winter before it, complete winters only."""
-    before = winter_table.filter("complete").select(
-        (F.col("winter") + 1).alias(year), F.col("maximum").alias("winter_peak")
-    )
-    return summers.select(year, F.col(peak).alias("summer_peak")).join(before, year).withColumn(
-        "gap", F.col("summer_peak") - F.col("winter_peak")
+def summer_less_previous_winter(
+    days: DataFrame, year: str, month: str, value: str, complete_from: int
+) -> DataFrame:
+    """Summer peak less the peak of the winter before it, complete winters only.
+
+    A winter is filed under the summer that follows it, which brings both peaks together in one
+    aggregation instead of a join.
+    """
+    m = F.col(month)
+    summer, winter = m.isin(*LOAD_SUMMER), m.isin(*WINTER)
+    target = F.when(winter & (m == 12), F.col(year) + 1).otherwise(F.col(year))
+    return (
+        days.filter(summer | winter)
+        .groupBy(target.alias(year))
+        .agg(
+            F.max(F.when(summer, F.col(value))).alias("summer_peak"),
+            F.max(F.when(winter, F.col(value))).alias("winter_peak"),
+            F.count_if(winter).alias("__n"),
+        )
+        .filter((F.col("__n") >= complete_from) & F.col("summer_peak").isNotNull())
+        .drop("__n")
+        .withColumn("gap", F.col("summer_peak") - F.col("winter_peak"))
     )
 
 

@@ -14,15 +14,23 @@ MIN_MEANS_OF_DAY = 18
 
 
 def local_day_bounds(
-    measures: DataFrame, keys: Sequence[str], local_day: str, zone: str = T.PARIS, attrs: Sequence[str] = ()
+    measures: DataFrame,
+    keys: Sequence[str],
+    local_day: str,
+    value: str,
+    zone: str = T.PARIS,
+    attrs: Sequence[str] = (),
 ) -> DataFrame:
-    """First and last UTC hour (as hour indexes) of the whole local days a series covers.
+    """First and last UTC hour (as hour indexes) of the whole local days with a value.
 
-    Days of 23 or 25 hours come out of the conversion by themselves.
+    Days of 23 or 25 hours come out of the conversion by themselves. The filter on the value also
+    makes this branch need the columns the measures' own branch needs, so that Spark reuses the
+    shuffle below both instead of reading the source twice.
     """
     last_hour = T.plus_hours(T.midnight(F.col("__last")), 23)
     return (
-        measures.groupBy(*keys)
+        measures.filter(F.col(value).isNotNull())
+        .groupBy(*keys)
         .agg(
             F.min(local_day).alias("__first"),
             F.max(local_day).alias("__last"),

@@ -25,10 +25,12 @@ def hours_above(df: DataFrame, keys: Sequence[str], share: Column, levels: Mappi
     )
 
 
-def frequency_above(df: DataFrame, keys: Sequence[str], named_shares: Mapping[str, Column], level: float) -> DataFrame:
+def frequency_above(
+    df: DataFrame, keys: Sequence[str], named_shares: Mapping[str, Column], level: float, *also: Column
+) -> DataFrame:
     """Percentage of rows strictly above the level; a NULL share counts as not above."""
     flags = {n: F.when(s > level, 1.0).otherwise(0.0) for n, s in named_shares.items()}
-    return df.groupBy(*keys).agg(*[(100.0 * F.avg(f)).alias(n) for n, f in flags.items()])
+    return df.groupBy(*keys).agg(*[(100.0 * F.avg(f)).alias(n) for n, f in flags.items()], *also)
 
 
 def share_above_with_denominators(part: Column, denominators: Mapping[str, Column]) -> dict[str, Column]:

@@ -318,7 +318,7 @@ def rolling_8h(measures: DataFrame) -> DataFrame:
     measures: code_site, station, implantation, influence, date_heure_utc, date_locale, valeur.
     """
     m = measures.withColumn("__h", T.hour_index("date_heure_utc"))
-    bounds = series.local_day_bounds(m, ["code_site"], "date_locale", V.ZONE, _SITE)
+    bounds = series.local_day_bounds(m, ["code_site"], "date_locale", "valeur", V.ZONE, _SITE)
     rolled = series.rolling_hours(m, bounds, ["code_site"], "__h", "valeur", attrs=_SITE)
     utc = T.from_hour_index("hour")
     local = T.utc_to_local(utc)
@@ -336,7 +336,7 @@ def rolling_8h(measures: DataFrame) -> DataFrame:
 def mda8(measures: DataFrame) -> DataFrame:
     """Daily maximum of the 8-hour mean per site, with the validity kept as a column."""
     m = measures.withColumn("__h", T.hour_index("date_heure_utc"))
-    bounds = series.local_day_bounds(m, ["code_site"], "date_locale", V.ZONE, _SITE)
+    bounds = series.local_day_bounds(m, ["code_site"], "date_locale", "valeur", V.ZONE, _SITE)
     rolled = series.rolling_hours(m, bounds, ["code_site"], "__h", "valeur", attrs=_SITE)
     return series.daily_max_of_rolling(rolled, ["code_site"], V.ZONE, attrs=_SITE).select(
         "code_site",

@@ -6,7 +6,7 @@ from the period's own sorted point array, so that reconstruction needs neither s
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -134,9 +134,15 @@ def flow_points(series: DataFrame, **labels: Column) -> DataFrame:
 
 
 def document_text(series_id: Column, points: list[tuple[Column, Column]], resolution: str, start: str, end: str) -> Column:
-    """A TimeSeries element written from columns, one Point per (position, quantity) pair."""
+    """A TimeSeries element written from columns, one Point per pair whose quantity is not NULL."""
     body = [
-        F.format_string("<Point><position>%s</position><quantity>%s</quantity></Point>", pos.cast("string"), qty.cast("string"))
+        F.coalesce(
+            F.concat(
+                F.lit("<Point><position>"), pos.cast("string"), F.lit("</position><quantity>"), qty.cast("string"),
+                F.lit("</quantity></Point>"),
+            ),
+            F.lit(""),
+        )
         for pos, qty in points
     ]
     return F.concat(
@@ -151,6 +157,7 @@ def document_text(series_id: Column, points: list[tuple[Column, Column]], resolu
     )
 
 
-def parse_text(df: DataFrame, text: str) -> DataFrame:
+def parse_text(df: DataFrame, text: str, kept: Sequence[str] = ()) -> DataFrame:
     """TimeSeries elements held in a text column; a malformed one is an error."""
-    return df.select(F.from_xml(F.col(text), TIME_SERIES, {"mode": "FAILFAST"}).alias("__ts")).select("__ts.*")
+    parsed = F.from_xml(F.col(text), TIME_SERIES, {"mode": "FAILFAST"})
+    return df.select(*kept, parsed.alias("__ts")).select(*kept, "__ts.*")

@@ -58,8 +58,8 @@ def test_top_k_mean_and_winters(spark):
     order = df.withColumn("o", F.col("y") * 10000 + F.col("m") * 100 + F.col("d"))
     got = {r.winter: (r.n, r.maximum, r.month_of_max, r.complete) for r in season.winters(order, "y", "m", "v", 3, "o").collect()}
     assert got == {2023: (4, 7.0, 12, True), 2024: (1, 9.0, 12, False)}
-    summers = spark.createDataFrame([(2024, 8.0), (2025, 20.0)], "y int, p double")
-    gaps = season.minus_previous_winter(summers, season.winters(order, "y", "m", "v", 3, "o"), "y", "p").collect()
+    year = spark.createDataFrame(days + [(2024, 7, 1, 8.0), (2025, 7, 1, 20.0)], "y int, m int, d int, v double")
+    gaps = season.summer_less_previous_winter(year, "y", "m", "v", 3).collect()
     assert [(r.y, r.gap) for r in gaps] == [(2024, 1.0)]  # an incomplete winter is not compared
 
 

@@ -62,11 +62,14 @@ def test_code_guard(spark):
 
 
 def test_misaligned_and_missing(spark):
+    both = spark.createDataFrame([("a", 1), ("a", 2), ("b", 2), ("b", 3)], "k string, y int")
+    got = {(r.y, r.side) for r in quality.misaligned(both, "y", F.col("k") == "a", F.col("k") == "b").collect()}
+    assert got == {(1, "left_only"), (3, "right_only")}
     a = spark.createDataFrame([(1,), (2,)], "y int")
-    b = spark.createDataFrame([(2,), (2,), (3,)], "y int")
-    assert {(r.y, r.side) for r in quality.misaligned(a, b, "y").collect()} == {(1, "left_only"), (3, "right_only")}
+    b = spark.createDataFrame([(2,), (2,), (3,), (3,)], "y int")
     assert [r.y for r in quality.missing_expected(a, b, ["y"]).collect()] == [1]
-    assert [r.y for r in quality.orphans(b, a, ["y"]).collect()] == [3]
+    assert [r.y for r in quality.orphans(b, a, ["y"]).collect()] == [3, 3]
+    assert tuple(quality.orphan_counts(a, b, ["y"]).first()) == (1, 2)
 
 
 def test_table_difference_sets_and_bags(spark):
