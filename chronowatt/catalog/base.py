@@ -21,9 +21,16 @@ def hourly(spark: SparkSession, sf: str, per_type: bool = True) -> DataFrame:
     return (
         table(spark, sf, "events")
         .select(series.alias("series"), T.hour_index("ts").alias("hi"), cents("value").alias("c"))
+        # stated here once: joins infer the same filter on some branches only, which would keep
+        # Spark from reusing one shuffle for all of them
+        .filter(F.col("series").isNotNull() & F.col("hi").isNotNull())
         .groupBy("series", "hi")
         .agg(F.sum("c").alias("c"), F.count("*").alias("n"))
-        .select("series", "hi", (F.col("c").cast("double") / (100 * F.col("n"))).alias("v"), "n")
+        # the hour is not NULL here; saying so spares the joins on what derives from it a NULL check,
+        # which Spark would push down to every raw row together with the zone conversion in it
+        .select(
+            "series", F.coalesce("hi", F.lit(0)).alias("hi"), (F.col("c").cast("double") / (100 * F.col("n"))).alias("v"), "n"
+        )
     )
 
 
@@ -39,7 +46,13 @@ def hourly_local(spark: SparkSession, sf: str, per_type: bool = True) -> DataFra
     """Adds h (UTC), loc (Paris), d (local day), hr (local hour)."""
     h = hourly(spark, sf, per_type).withColumn("h", T.from_hour_index("hi"))
     loc = h.withColumn("loc", T.utc_to_local("h"))
-    return loc.withColumn("d", F.col("loc").cast("date")).withColumn("hr", F.hour("loc").cast("bigint"))
+    return loc.withColumn("d", known_day("loc")).withColumn("hr", F.hour("loc").cast("bigint"))
+
+
+def known_day(ts: str):
+    """Date of a timestamp that is not NULL, in a form Spark knows not to be NULL either (a plain cast
+    to date never is): see the note on the hour in :func:`hourly`."""
+    return F.coalesce(F.col(ts).cast("date"), F.lit("1970-01-01").cast("date"))
 
 
 def _local_sql(src: str) -> str:
@@ -57,6 +70,7 @@ def quarter_hours(spark: SparkSession, sf: str, per_type: bool = False) -> DataF
     return (
         table(spark, sf, "events")
         .select(series.alias("series"), F.floor(T.minute_index("ts") / 15).cast("bigint").alias("b"), cents("value").alias("c"))
+        .filter(F.col("series").isNotNull() & F.col("b").isNotNull())
         .groupBy("series", "b")
         .agg(F.sum("c").alias("c"), F.count("*").alias("n"))
     )

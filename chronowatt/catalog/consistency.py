@@ -77,7 +77,7 @@ def guard_summary(spark, sf):
 @query(f"""WITH {HL}, D AS (SELECT DISTINCT d FROM HL), X AS (SELECT D.d, t.series FROM D, (VALUES {TYPES_SQL}, ('refund')) t(series))
 SELECT X.series, {day_sql('X.d')} AS day FROM X WHERE NOT EXISTS (SELECT 1 FROM HL WHERE HL.series = X.series AND HL.d = X.d)""")
 def missing_expected_pairs(spark, sf):
-    seen = hourly_local(spark, sf).select("series", "d").distinct()
+    seen = measured(spark, sf).select("series", "d").distinct()
     names = F.array(*[F.lit(t) for t in (*TYPES, "refund")])
     expected = seen.select("d").distinct().select("d", F.explode(names).alias("series"))
     return quality.missing_expected(expected, seen, ["series", "d"]).select("series", T.day_text("d").alias("day"))
@@ -108,11 +108,22 @@ UNION ALL SELECT 'late_start', series, CAST(x AS VARCHAR) FROM EX JOIN SN USING
 UNION ALL SELECT 'early_stop', series, CAST(y AS VARCHAR) FROM EX JOIN SN USING (series) WHERE y < b"""
 
 
-def _observed_days(spark, sf):
-    days = hourly_local(spark, sf).select("series", "d").distinct()
+def measured(spark, sf):
+    """Hours with a value. The filter makes every branch of an audit need the same columns of the
+    hourly series, so that they share one shuffle and one scan."""
+    return hourly_local(spark, sf).filter(F.col("v").isNotNull())
+
+
+def _audited_hours(spark, sf):
     step = F.dayofmonth("d").cast("bigint")
     gap = (F.col("series") == "signup") & step.isin(10, 11)
-    return days.filter((F.col("d") < F.lit("2024-01-31").cast("date")) & ~gap).select("series", step.alias("step"))
+    # "a day" of the audit must hold the whole month; the filter names v to stay above the aggregation
+    inside = F.when(F.col("v").isNotNull(), (F.col("d") < F.lit("2024-01-31").cast("date")) & ~gap)
+    return measured(spark, sf).filter(inside).select("series", "d", step.alias("step"))
+
+
+def _observed_days(spark, sf):
+    return _audited_hours(spark, sf).select("series", "step").distinct()
 
 
 def _continuity(spark, sf):
@@ -133,14 +144,10 @@ UNION ALL SELECT 'days_floor', step || '/' || series, CAST(n AS VARCHAR) FROM HD
 UNION ALL {_CONT}""")
 def coverage_audit(spark, sf):
     observed = _observed_days(spark, sf)
+    hours = _audited_hours(spark, sf)
     # the calendar of the audit: the days of the month under study
-    steps = table(spark, sf, "events").agg(F.min("ts").alias("t")).select(
-        F.explode(F.sequence(F.lit(1).cast("bigint"), F.dayofmonth(F.last_day(F.col("t").cast("date"))).cast("bigint"))).alias("step")
-    )
-    hours = hourly_local(spark, sf).select("series", "d", F.dayofmonth("d").cast("bigint").alias("step"))
-    hours = hours.filter(
-        (F.col("d") < F.lit("2024-01-31").cast("date")) & ~((F.col("series") == "signup") & F.col("step").isin(10, 11))
-    )
+    month_days = F.sequence(F.lit(1).cast("bigint"), F.dayofmonth(F.last_day("first")).cast("bigint"))
+    steps = hours.agg(F.min("d").alias("first")).select(F.explode(month_days).alias("step"))
     return coverage.union_all(
         [
             coverage.empty_years(observed, steps, "step"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from . import query
-from .base import B15, B15_TYPE, H, H0, HL, day_sql, hourly, hourly_local, quarter_hours, r, table, ts_sql
+from .base import B15, B15_TYPE, H, H0, HL, day_sql, hourly, hourly_local, known_day, quarter_hours, r, table, ts_sql
 from ..functions import timeaxis as T
 from ..functions.numeric import percent, stable
 from ..operators import ordered, series
@@ -57,8 +57,9 @@ C AS (SELECT series, day, position, last_value(v IGNORE NULLS) OVER (PARTITION B
 
 def carried(spark, sf, leading="skip"):
     h = hourly(spark, sf).withColumn("h", T.from_hour_index("hi"))
-    points = h.select("series", F.col("h").cast("date").alias("day"), (F.hour("h") + 1).alias("position"), "v")
-    periods = points.select("series", "day").distinct().withColumn("n_positions", F.lit(24))
+    points = h.select("series", known_day("h").alias("day"), (F.hour("h") + 1).alias("position"), "v")
+    # the filter makes both branches need the same columns, hence one shuffle below them
+    periods = points.filter(F.col("v").isNotNull()).select("series", "day").distinct().withColumn("n_positions", F.lit(24))
     if leading == "error":
         # only periods that give their first position are documents of this kind
         periods = periods.join(points.filter("position = 1").select("series", "day"), ["series", "day"], "left_semi")

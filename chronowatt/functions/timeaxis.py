@@ -125,16 +125,18 @@ def last_sunday(year: Column | str, month: int) -> Column:
 
 
 def as_text(ts: Column | str) -> Column:
-    return F.date_format(_c(ts), "yyyy-MM-dd HH:mm:ss")
+    """'yyyy-MM-dd HH:mm:ss'. A cast, because ``date_format`` would go through the session zone."""
+    return F.substring(_c(ts).cast("string"), 1, 19)
 
 
 def day_text(day: Column | str) -> Column:
-    return F.date_format(_c(day), "yyyy-MM-dd")
+    """'yyyy-MM-dd' of a date or of a zone-less timestamp."""
+    return _c(day).cast("date").cast("string")
 
 
 def iso_z(ts: Column | str) -> Column:
     """A UTC instant in the one ISO form every reader accepts."""
-    return F.date_format(_c(ts), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return F.concat(F.translate(as_text(ts), " ", "T"), F.lit("Z"))
 
 
 def winter_vintage(day_year: Column | str, month: Column | str) -> Column:
