@@ -284,6 +284,21 @@ def lag_correlation_optimum(spark, sf):
     )
 
 
+@query(f"""WITH {H}, A AS (SELECT h, v FROM H WHERE series = 'purchase'),
+B AS (SELECT h, v, CASE WHEN h < TIMESTAMP '2024-01-16' THEN 'before' ELSE 'after' END AS regime FROM H WHERE series = 'view'),
+L AS (SELECT regime, lag, count(*) AS n_pairs, CASE WHEN count(*) > 200 THEN corr(A.v, B.v) END AS correlation
+  FROM range(-3, 4) t(lag) JOIN A ON true JOIN B ON B.h = A.h + lag * INTERVAL 1 HOUR GROUP BY 1, 2)
+SELECT regime, lag, n_pairs, {r('correlation')} AS correlation FROM L""")
+def lag_correlation_by_regime(spark, sf):
+    h = hourly(spark, sf)
+    change = T.hour_index(F.lit("2024-01-16").cast("timestamp_ntz"))
+    regime = F.when(F.col("hi") < change, "before").otherwise("after")
+    a = h.filter("series = 'purchase'").select("hi", F.col("v").alias("va"))
+    b = h.filter("series = 'view'").select("hi", F.col("v").alias("vb"), regime.alias("regime"))
+    lags = profiles.lag_correlations(a, b, "hi", "va", "vb", groups=["regime"])
+    return lags.select("regime", "lag", "n_pairs", stable("correlation").alias("correlation"))
+
+
 @query(f"""WITH {HL},\n{MDA}, Y AS (SELECT d, max_mean FROM MD WHERE valid AND d > DATE '2024-01-15')
 SELECT count(DISTINCT CASE WHEN max_mean > {LEVEL} THEN d END) AS days_above, count(DISTINCT d) AS days_measured,
 {day_sql('max(d)')} AS last_day, (SELECT count(*) FROM range(DATE '2024-01-16', DATE '2024-02-01', INTERVAL 1 DAY)) AS days_in_calendar FROM Y""")

@@ -8,6 +8,18 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.geo import EARTH_RADIUS_KM, haversine_km
 
+BROADCAST_ROWS = 50_000
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast only after counting the rows (never more than ``limit`` + 1 of them).
+
+    A larger side is left to Spark, which joins by shuffle and splits hot partitions.
+    """
+    counted = df.select(F.lit(1).alias("one")).limit(limit + 1).count()
+    return F.broadcast(df) if counted <= limit else df
+
+
 def reconcile(a: DataFrame, b: DataFrame, key: Sequence[str], value: str, groups: Sequence[str] = ()) -> DataFrame:
     """Largest and mean absolute difference of two channels on the keys they share."""
     joined = a.select(*key, F.col(value).alias("__a")).join(b.select(*key, F.col(value).alias("__b")), list(key))

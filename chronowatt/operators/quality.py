@@ -11,6 +11,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .joins import broadcast_if_small
+
 
 class GuardError(ValueError):
     """A table broke one of its guards; nothing is published."""
@@ -87,11 +89,8 @@ def orphans(left: DataFrame, right: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def map_codes(df: DataFrame, mapping: DataFrame, code: str, category: str) -> tuple[DataFrame, DataFrame]:
-    """Rows with their category, and the codes the mapping does not know (must be empty).
-
-    ``mapping`` is a constant dimension of the code list (tens of rows), hence the broadcast.
-    """
-    dim = F.broadcast(mapping.select(code, category))
+    """Rows with their category, and the codes the mapping does not know (must be empty)."""
+    dim = broadcast_if_small(mapping.select(code, category))
     return df.join(dim, code, "left"), df.select(code).distinct().join(dim, code, "left_anti")
 
 

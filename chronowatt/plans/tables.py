@@ -14,6 +14,7 @@ from . import fixed_values as V
 from ..functions import timeaxis as T
 from ..functions.numeric import percent, total
 from ..operators import quality, series
+from ..operators.joins import broadcast_if_small
 from ..operators.quality import Guard, GuardError, check_empty, check_rows
 from ..sources import xml_series
 
@@ -271,8 +272,7 @@ def check_air_feed(table: DataFrame) -> None:
 def air_series(raw: DataFrame, stations: DataFrame, pollutants: DataFrame) -> DataFrame:
     """Hourly series of the known stations and pollutants. The start is in fixed UTC+1.
 
-    stations(code_site, station, implantation, influence) and pollutants(code_pol, polluant) are
-    lists of a network (tens of rows), broadcast.
+    stations(code_site, station, implantation, influence), pollutants(code_pol, polluant).
     """
     measures = raw.select(
         F.regexp_extract("Samplingpoint", "SPO-(FR[0-9]+)_", 1).alias("code_site"),
@@ -284,8 +284,8 @@ def air_series(raw: DataFrame, stations: DataFrame, pollutants: DataFrame) -> Da
     ).filter((F.col("validite") > 0) & F.col("valeur").isNotNull())
     named = stations.select("code_site", "station", "implantation", "influence")
     return (
-        measures.join(F.broadcast(named), "code_site")
-        .join(F.broadcast(pollutants), "code_pol")
+        measures.join(broadcast_if_small(named), "code_site")
+        .join(broadcast_if_small(pollutants), "code_pol")
         .select(
             "code_site",
             "station",
@@ -407,10 +407,10 @@ def daily_temperature(weather_table: DataFrame) -> DataFrame:
 
 
 def air_weather(daily_ozone: DataFrame, weather_table: DataFrame, pairing: DataFrame) -> DataFrame:
-    """Valid ozone days next to the temperatures of the paired post (a list of stations, broadcast)."""
+    """Valid ozone days next to the temperatures of the paired post."""
     return (
         daily_ozone.filter("valide")
-        .join(F.broadcast(pairing.select("code_site", "num_poste")), "code_site")
+        .join(broadcast_if_small(pairing.select("code_site", "num_poste")), "code_site")
         .join(daily_temperature(weather_table), ["num_poste", "date_locale"])
         .select(
             "code_site",

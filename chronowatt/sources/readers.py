@@ -77,7 +77,7 @@ def read_parquet_union(spark: SparkSession, path: str | Sequence[str]) -> DataFr
 
 
 def constant_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
-    """A dimension written in code (station list, code map): a few rows, so broadcast at its join."""
+    """A dimension written in code (station list, code map)."""
     return spark.createDataFrame(list(rows), schema)
 
 

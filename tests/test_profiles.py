@@ -131,3 +131,9 @@ def test_reconcile(spark):
     b = spark.createDataFrame([("s", 1, 1.5), ("s", 3, 9.0)], "k string, t int, v double")
     row = joins.reconcile(a, b, ["k", "t"], "v").first()
     assert (row.n, row.max_gap) == (1, 0.5)
+
+
+def test_broadcast_only_after_counting(spark):
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    assert hinted(joins.broadcast_if_small(spark.range(10), limit=10))
+    assert not hinted(joins.broadcast_if_small(spark.range(11), limit=10))
