@@ -9,6 +9,7 @@ from .base import VS, snapshots, table, ts_sql
 from ..functions import timeaxis as T
 from ..functions.numeric import cents
 from ..operators import quality, versions
+from ..session import cut_lineage
 
 ORDER = ["observed_at", "seq"]
 
@@ -32,7 +33,8 @@ def version_intervals(spark, sf):
 UNION SELECT source_id, max(observed_at) FROM VS GROUP BY 1)
 SELECT L.source_id, {ts_sql('L.moment')} AS moment, IV.seq, IV.sha256 FROM L LEFT JOIN IV ON IV.source_id = L.source_id AND IV.first_observed_at <= L.moment AND (IV.superseded_at IS NULL OR L.moment < IV.superseded_at)""")
 def version_known_at(spark, sf):
-    held = intervals(spark, sf)
+    # the registry is read by both halves of the look-up: stored once, as a registry is
+    held = cut_lineage(intervals(spark, sf))
     at = [F.lit(t).cast("timestamp_ntz") for t in ("2023-12-31 00:00:00", "2024-01-10 08:00:00", "2024-02-01 00:00:00")]
     # every source is looked up at three moments and at its own last observation
     sources = snapshots(spark, sf).groupBy("source_id").agg(F.max("observed_at").alias("last"))

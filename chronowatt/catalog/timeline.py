@@ -59,14 +59,13 @@ def ambiguous_local_hours(spark, sf):
 SELECT m, CAST(min(s)/3600 AS DOUBLE) AS min_offset, CAST(max(s)/3600 AS DOUBLE) AS max_offset, count(*) AS n,
 count(*) FILTER (WHERE s = 7200) AS n_summer_time FROM C GROUP BY 1""")
 def utc_offset_by_month(spark, sf):
-    d = labels(spark, sf).select(
-        F.month("label").cast("bigint").alias("m"), T.utc_offset_hours("label").alias("o"), T.is_summer_time("label").alias("s"), "n"
-    )
-    return d.groupBy("m").agg(
+    d = labels(spark, sf).select(F.month("label").cast("bigint").alias("m"), T.utc_offset_hours("label").alias("o"), "n")
+    by_offset = d.groupBy("m", "o").agg(F.sum("n").alias("n"))
+    return by_offset.groupBy("m").agg(
         F.min("o").alias("min_offset"),
         F.max("o").alias("max_offset"),
         F.sum("n").alias("n"),
-        F.coalesce(F.sum(F.when(F.col("s"), F.col("n"))), F.lit(0)).alias("n_summer_time"),
+        F.coalesce(F.sum(F.when(F.col("o") == 2, F.col("n"))), F.lit(0)).alias("n_summer_time"),
     )
 
 
@@ -135,7 +134,10 @@ def calendar_season_days(spark, sf):
 @query(f"""WITH {HL} SELECT series, {day_sql('d')} AS day, count(*) AS n FROM HL
 WHERE d > (SELECT min(d) FROM HL) AND d < (SELECT max(d) FROM HL) GROUP BY 1, 2""")
 def trim_edge_days(spark, sf):
-    kept = quality.trim_edge_days(hourly_local(spark, sf), "d")
+    # a day that depends on the value stays above the hourly aggregation: the zone conversion in it
+    # then runs once per hour and series, not once per raw row
+    hours = hourly_local(spark, sf).withColumn("d", F.when(F.col("v").isNotNull(), F.col("d")))
+    kept = quality.trim_edge_days(hours, "d")
     return kept.groupBy("series", T.day_text("d").alias("day")).agg(F.count("*").alias("n"))
 
 

@@ -106,7 +106,7 @@ def is_ambiguous(label: Column | str, zone: str = PARIS) -> Column:
 def utc_offset_hours(ts: Column | str, zone: str = PARIS) -> Column:
     """Legal offset, in hours, at a UTC instant."""
     ts = _c(ts)
-    return (minute_index(utc_to_local(ts, zone)) - minute_index(ts)) / 60
+    return F.timestamp_diff("MINUTE", ts, utc_to_local(ts, zone)) / 60
 
 
 def is_summer_time(ts: Column | str, zone: str = PARIS, summer_offset: int = 2) -> Column:

@@ -66,10 +66,9 @@ def hollow_days(df: DataFrame, keys: Sequence[str], day: str, hour: str, floor:
 
 
 def trim_edge_days(df: DataFrame, day: str) -> DataFrame:
-    """Without the first and last day of the whole series; the bounds are scalar subqueries."""
-    first = df.agg(F.min(day)).scalar()
-    last = df.agg(F.max(day)).scalar()
-    return df.filter((F.col(day) > first) & (F.col(day) < last))
+    """Without the first and last day of the whole series; the bounds are one scalar subquery."""
+    edges = df.agg(F.struct(F.min(day).alias("first"), F.max(day).alias("last"))).scalar()
+    return df.filter((F.col(day) > edges["first"]) & (F.col(day) < edges["last"]))
 
 
 def unknown_codes(df: DataFrame, code: str, known: Sequence) -> DataFrame:
