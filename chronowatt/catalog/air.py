@@ -105,12 +105,13 @@ def rank_of_class(spark, sf):
     rates = shares.exceedance(valid_days(spark, sf), ["series"], "max_mean", LEVEL)
     # one row per series by now, so a window over all of them is small
     own = F.max(F.when(F.col("series") == "purchase", F.col("rate"))).over(Window.partitionBy())
-    return rates.select("rate", own.alias("own")).agg(
+    ranked = rates.select("rate", own.alias("own")).agg(
         F.count("*").alias("n_series"),
         stable(F.max("own")).alias("rate"),
         (F.count_if(F.col("rate") > F.col("own")) + 1).alias("rank_from_top"),
         F.count_if(F.col("rate") < F.col("own")).alias("n_ahead_of"),
     )
+    return ranked.filter(F.col("rate").isNotNull())  # no rank for a class without a measured day
 
 
 @query("""SELECT o_orderstatus AS status, string_agg(DISTINCT CAST(y AS VARCHAR), ',' ORDER BY CAST(y AS VARCHAR)) AS years

@@ -101,7 +101,10 @@ def lag_correlations(
 
 
 def lag_optimum(correlations: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Lag of the best correlation, refined by a parabola through its two neighbours."""
+    """Lag of the best correlation, refined by a parabola through its two neighbours.
+
+    No row for a group in which no lag has a correlation.
+    """
     by_lag = Window.partitionBy(*keys).orderBy("lag")
     d = correlations.select(
         *keys,
@@ -114,7 +117,7 @@ def lag_optimum(correlations: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         F.max_by(
             F.struct("lag", "__c", "__p", "__n"), F.when(F.col("__c").isNotNull(), F.struct(F.col("__c"), -F.col("lag")))
         ).alias("__best")
-    )
+    ).filter(F.col("__best").isNotNull())
     left, mid, right = F.col("__best.__p.correlation"), F.col("__best.__c"), F.col("__best.__n.correlation")
     bend = left - 2 * mid + right
     lag = F.col("__best.lag")
