@@ -9,6 +9,7 @@ from .base import VS, snapshots, table, ts_sql
 from ..functions import timeaxis as T
 from ..functions.numeric import cents
 from ..operators import quality, versions
+from ..operators.ordered import bucket_seconds
 from ..session import cut_lineage
 
 ORDER = ["observed_at", "seq"]
@@ -59,7 +60,7 @@ def version_anomalies(spark, sf):
         T.plus_hours("observed_at", -24 * late).alias("observed_at"),
         F.date_add(F.col("observed_at").cast("date"), F.when(F.col("seq") % 89 == 0, 1).otherwise(0)).alias("collected"),
     )
-    found = versions.anomalies(shifted, ["seq"], collected="collected", every=500)
+    found = versions.anomalies(shifted, ["seq"], collected="collected")
     return found.groupBy("source_id", "kind", "blocking").agg(F.count("*").alias("n"))
 
 
@@ -86,8 +87,9 @@ SELECT source_id, sha256, {ts_sql('a')} AS first_observed_at, {ts_sql('z')} AS s
 def version_merge(spark, sf):
     cut, live_from = (F.lit(t).cast("timestamp_ntz") for t in ("2024-01-18", "2024-01-15"))
     seen = snapshots(spark, sf)
-    rebuilt = versions.intervals(seen.filter(F.col("observed_at") < cut), ORDER)
-    live = versions.intervals(seen.filter(F.col("observed_at") >= live_from), ORDER)
+    every = bucket_seconds(seen, versions.KEY, "observed_at")
+    rebuilt = versions.intervals(seen.filter(F.col("observed_at") < cut), ORDER, every=every)
+    live = versions.intervals(seen.filter(F.col("observed_at") >= live_from), ORDER, every=every)
     merged = versions.merge_history(live, rebuilt)
     return merged.select("source_id", "sha256", _text("first_observed_at"), _text("superseded_at"), "origin")
 

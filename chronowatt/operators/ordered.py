@@ -17,8 +17,26 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.timeaxis import hour_index
+
 _BUCKET, _VALUE, _NEAR, _EDGE = "__bucket", "__value", "__near", "__edge"
 
+# Rows of one key that one task may be asked to sort.
+BUCKET_ROWS = 1_000_000
+
+
+def bucket_seconds(df: DataFrame, keys: Sequence[str], time: str, target_rows: int = BUCKET_ROWS) -> int:
+    """Bucket width, in seconds, that keeps every (key, bucket) near ``target_rows`` at most.
+
+    Measured, not assumed: the busiest hour of the busiest key is found by a partial aggregate, and
+    one number comes back. Sparse data gets wide buckets, which makes the second step trivial.
+    """
+    per_hour = df.groupBy(*keys, hour_index(time).alias(_BUCKET)).agg(F.count("*").alias(_VALUE))
+    busiest = per_hour.agg(F.max(_VALUE)).first()[0] or 1
+    if busiest <= target_rows:
+        return 3600 * (target_rows // busiest)
+    return max(1, 3600 * target_rows // busiest)
+
 
 def _carry(
     df: DataFrame,

@@ -2,7 +2,8 @@
 
 Snapshots are rows (source_id, seq, observed_at, sha256, ...) in observation order. All look-backs
 go through :mod:`ordered`, so one source may own a large part of the history. ``every`` is the bucket
-width, in hours of ``observed_at`` (or in ``seq`` steps, for snapshots that are not in time order).
+width: in seconds when time leads the order, measured on the data if not given; otherwise in steps of
+the leading sequence number, which is unique and so bounds a bucket by itself.
 """
 
 from __future__ import annotations
@@ -11,8 +12,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.timeaxis import hour_index, instant_to_utc
-from .ordered import asof_join, lag_of, lead_of
+from ..functions.timeaxis import instant_to_utc, second_index
+from .ordered import BUCKET_ROWS, asof_join, bucket_seconds, lag_of, lead_of
 
 KEY = ["source_id"]
 # Revision policies under which an earlier state need not be archived.
@@ -20,14 +21,20 @@ NOT_ARCHIVED_POLICIES = ("immutable", "append_only")
 KNOWN_POLICIES = ("immutable", "append_only", "revisable", "unknown")
 
 
+def _width(df: DataFrame, order: Sequence[str], time: str, every: int | None) -> int:
+    if every is not None:
+        return every
+    return bucket_seconds(df, KEY, time) if order[0] == time else BUCKET_ROWS
+
+
 def _bucket(order: Sequence[str], time: str, every: int) -> Column:
     """Bucket that follows the ordering: by time when time leads it, else by sequence number."""
-    lead = hour_index(time) if order[0] == time else F.col(order[0])
+    lead = second_index(time) if order[0] == time else F.col(order[0])
     return F.floor(lead / every).cast("bigint")
 
 
 def changes(
-    snapshots: DataFrame, order: Sequence[str], time: str = "observed_at", sha: str = "sha256", every: int = 24
+    snapshots: DataFrame, order: Sequence[str], time: str = "observed_at", sha: str = "sha256", every: int | None = None
 ) -> DataFrame:
     """Rows whose hash differs from the source's last known one.
 
@@ -35,15 +42,17 @@ def changes(
     ignored, not taken for a change.
     """
     known = snapshots.filter(F.col(sha).isNotNull())
-    prev = lag_of(known, KEY, order, _bucket(order, time, every), [sha, time], "prev")
+    bucket = _bucket(order, time, _width(known, order, time, every))
+    prev = lag_of(known, KEY, order, bucket, [sha, time], "prev")
     changed = F.col("prev").isNull() | (F.col(f"prev.{sha}") != F.col(sha))
     return prev.filter(changed).drop("prev")
 
 
 def intervals(
-    snapshots: DataFrame, order: Sequence[str], time: str = "observed_at", sha: str = "sha256", every: int = 24
+    snapshots: DataFrame, order: Sequence[str], time: str = "observed_at", sha: str = "sha256", every: int | None = None
 ) -> DataFrame:
     """Half-open intervals ``[first_observed_at, superseded_at)``; the last one stays open."""
+    every = _width(snapshots, order, time, every)
     opened = changes(snapshots, order, time, sha, every)
     chained = lead_of(opened, KEY, order, _bucket(order, time, every), [time], "next")
     return chained.withColumn("first_observed_at", F.col(time)).withColumn(
@@ -51,19 +60,21 @@ def intervals(
     ).drop("next")
 
 
-def known_at(versions: DataFrame, lookups: DataFrame, payload: Sequence[str], every: int = 24) -> DataFrame:
+def known_at(versions: DataFrame, lookups: DataFrame, payload: Sequence[str], every: int | None = None) -> DataFrame:
     """Version held by each (source_id, at) lookup: a struct ``found``, NULL when nothing was held.
 
     Start included, end excluded. Presence of bytes is a column of the version, not a condition.
     """
     cols = list(dict.fromkeys([*payload, "first_observed_at", "superseded_at"]))
+    if every is None:
+        every = min(bucket_seconds(versions, KEY, "first_observed_at"), bucket_seconds(lookups, KEY, "at"))
     held = asof_join(
         lookups,
         versions,
         KEY,
         "at",
         "first_observed_at",
-        lambda t: F.floor(hour_index(t) / every).cast("bigint"),
+        lambda t: F.floor(second_index(t) / every).cast("bigint"),
         cols,
     )
     over = F.col("found.superseded_at") <= F.col("at")
@@ -85,9 +96,10 @@ def anomalies(
     time: str = "observed_at",
     sha: str = "sha256",
     collected: str | None = None,
-    every: int = 24,
+    every: int | None = None,
 ) -> DataFrame:
     """Inverted and zero-width intervals (blocking), collection dates after the observation (not)."""
+    every = _width(snapshots, order, time, every)
     opened = changes(snapshots, order, time, sha, every)
     chained = lag_of(opened, KEY, order, _bucket(order, time, every), [time], "before")
     kinds = [

@@ -82,3 +82,12 @@ def test_hot_key_is_spread(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     windows = [line for line in plan.splitlines() if "Window [" in line and "__near" in line]
     assert windows and all("__bucket" in line for line in windows)
+
+
+def test_bucket_width_follows_the_busiest_hour(spark):
+    rows = [("hot", f"2026-01-01 00:{m:02d}:00") for m in range(60)] * 10 + [("cold", "2026-01-01 05:00:00")]
+    df = spark.createDataFrame(rows, "k string, t string").withColumn("t", F.col("t").cast("timestamp_ntz"))
+    assert ordered.bucket_seconds(df, ["k"], "t", target_rows=600) == 3600
+    assert ordered.bucket_seconds(df, ["k"], "t", target_rows=1800) == 3 * 3600
+    assert ordered.bucket_seconds(df, ["k"], "t", target_rows=10) == 60
+    assert ordered.bucket_seconds(df.filter("false"), ["k"], "t", target_rows=10) == 36000
