@@ -106,7 +106,7 @@ def is_ambiguous(label: Column | str, zone: str = PARIS) -> Column:
 def utc_offset_hours(ts: Column | str, zone: str = PARIS) -> Column:
     """Legal offset, in hours, at a UTC instant."""
     ts = _c(ts)
-    return F.timestamp_diff("MINUTE", ts, utc_to_local(ts, zone)) / 60
+    return (minute_index(utc_to_local(ts, zone)) - minute_index(ts)) / 60
 
 
 def is_summer_time(ts: Column | str, zone: str = PARIS, summer_offset: int = 2) -> Column:
@@ -152,7 +152,12 @@ FRESH_HOURS, STALE_HOURS = 12, 24
 def as_of_age_hours(ts: Column | str, as_of: str) -> Column:
     """Age of an instant at a given moment (a parameter, so that a rerun says the same)."""
     moment = F.lit(as_of).cast("timestamp_ntz")
-    return F.timestamp_diff("MICROSECOND", _c(ts), moment) / 3_600_000_000
+    return (_seconds(moment) - _seconds(_c(ts))) / 3600
+
+
+def _seconds(ts: Column) -> Column:
+    """Seconds since 1970 with their fraction. ``timestamp_diff`` would go through the session zone."""
+    return minute_index(ts) * 60 + F.date_part(F.lit("SECOND"), ts).cast("double")
 
 
 def freshness(age_hours: Column) -> Column:

@@ -73,7 +73,7 @@ def rebuild_points(
         _instant(p.timeInterval.end).alias("__end"),
         period_steps(p, steps).alias("minutes"),
         F.array_sort(F.coalesce(p.Point, F.array().cast("array<struct<position:int,quantity:double>>"))).alias("__given"),
-    ).withColumn("__n", F.floor(F.timestamp_diff("MINUTE", F.col("__start"), F.col("__end")) / F.col("minutes")).cast("int"))
+    ).withColumn("__n", F.floor((T.minute_index("__end") - T.minute_index("__start")) / F.col("minutes")).cast("int"))
     given = F.filter("__given", lambda x: x.position <= F.col("__n"))
     if leading == "error":
         first_missing = F.size(given) == 0

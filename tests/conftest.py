@@ -25,7 +25,7 @@ def spark():
     session.stop()
 
 
-@pytest.fixture(params=["UTC", "Pacific/Kiritimati", "Pacific/Niue"])
+@pytest.fixture(params=["UTC", "Pacific/Kiritimati", "Pacific/Niue", "Europe/Paris"])
 def session_zone(spark, request):
     before = spark.conf.get("spark.sql.session.timeZone")
     spark.conf.set("spark.sql.session.timeZone", request.param)

@@ -83,3 +83,11 @@ def test_winter_vintage(spark):
 def test_freshness_bounds(spark):
     df = spark.createDataFrame([(12.0,), (12.1,), (24.0,), (24.1,)], "a double")
     assert [r[0] for r in df.select(T.freshness(F.col("a"))).collect()] == ["fresh", "warn", "warn", "stale"]
+
+
+def test_age_and_offset_across_a_clock_change(spark, session_zone):
+    df = labels(spark, "2024-03-31 01:30:00", "2024-01-01 00:00:00")
+    ages = [r[0] for r in df.select(T.as_of_age_hours("t", "2024-07-01 00:00:00")).collect()]
+    assert ages == pytest.approx([2206.5, 4368.0])
+    grid = spark.range(24).select(T.plus_hours(F.lit("2024-03-31").cast("timestamp_ntz"), F.col("id")).alias("t"))
+    assert [r[0] for r in grid.select(T.utc_offset_hours("t")).collect()] == [1.0] + [2.0] * 23
