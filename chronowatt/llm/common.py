@@ -6,7 +6,10 @@ and executors share; they survive the loss of any executor.
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Sequence
 
 import numpy as np
@@ -63,6 +66,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     their id. An id labelled twice counts with its higher label, an id with several texts with the least
     of them; rows without id, label or text are not learnt from. The chosen ids are a bounded list, which
     is why they may be broadcast."""
+    ship_code(docs.sparkSession)
     chosen = (
         labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
         .filter(learn)
@@ -80,8 +84,27 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     )
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Makes this package importable on the executors, whatever their search path: Spark hands out an archive of
+    it, once for each application."""
+    context = spark.sparkContext
+    if getattr(context, "_chronowatt_shipped", False):
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = os.path.join(tempfile.mkdtemp(), "chronowatt.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    context.addPyFile(archive)
+    context._chronowatt_shipped = True
+
+
 def share(spark: SparkSession, value):
-    """A model of bounded size for the executors."""
+    """A model of bounded size for the executors, and the code that uses it."""
+    ship_code(spark)
     return spark.sparkContext.broadcast(value)
 
 

@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import held_out, share, table
+from .common import held_out, share, ship_code, table
 
 SAMPLE_ROWS = 10_000
 WORDS = 60_000
@@ -43,6 +43,7 @@ def grams_of(word: str, size: int) -> list[str]:
 
 def train(docs: DataFrame, learn: Column, rows: int = SAMPLE_ROWS, words: int = WORDS, grams: int = GRAMS) -> dict:
     """Counts by language of words (size 0) and n-grams (size 1 to 5) in the sample, the most frequent kept."""
+    ship_code(docs.sparkSession)
     sample = (
         docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
         .filter(learn)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, quality, toxicity
+from . import bpe, fingerprints, language, licenses, line_runs, mixing, near_dups, outliers, quality, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,7 +18,14 @@ def load() -> tuple[dict[str, Query], dict[str, str]]:
         quality.op1_quality_nbsvm,
         language.op2_language_backoff,
         bpe.op3_byte_bpe,
+        outliers.op4_robust_outliers,
+        fingerprints.op5_fingerprints,
+        line_runs.op6_line_runs,
         toxicity.op7_toxicity_neighbours,
+        licenses.op8_license_scan,
+        mixing.op9_mix_raking,
+        near_dups.op10_near_dups_icws,
     ):
         queries[fn.__name__] = fn
+    oracles["op6_line_runs"] = line_runs.OP6_SQL
     return queries, oracles

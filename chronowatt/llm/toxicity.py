@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -246,22 +246,22 @@ def idf_of(docs: DataFrame, vocabulary: list[str]) -> np.ndarray:
     return np.log((1 + total) / (1 + df)) + 1
 
 
-def scores(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` of docs, score, and the evidence: neighbour_ids, cosines, neighbour_labels."""
-    shared = share(docs.sparkSession, model)
+def scorer(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
+    """Function of a text column: a struct of score and the evidence (neighbour_ids, cosines, neighbour_labels)."""
+    shared = share(spark, model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = b[list(keep)].copy()
-            found = [shared.value.predict(t) for t in b["text"]]
-            for i, name in enumerate(("score", "neighbour_ids", "cosines", "neighbour_labels")):
-                out[name] = [f[i] for f in found]
-            yield out
-
-    kinds = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep)
-    schema += ", score double, neighbour_ids array<bigint>, cosines array<double>, neighbour_labels array<int>"
-    return docs.select(*dict.fromkeys((*keep, "text"))).mapInPandas(run, schema)
+    @F.pandas_udf("score double, neighbour_ids array<bigint>, cosines array<double>, neighbour_labels array<int>")
+    def scored(texts: pd.Series) -> pd.DataFrame:
+        found = [shared.value.predict(t) for t in texts]
+        return pd.DataFrame(found, columns=["score", "neighbour_ids", "cosines", "neighbour_labels"])
+
+    return scored
+
+
+def scores(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id with score and evidence of every document."""
+    found = scorer(docs.sparkSession, model)(F.col("text"))
+    return docs.select("doc_id", found.alias("__found")).select("doc_id", "__found.*")
 
 
 def op7_toxicity_neighbours(spark: SparkSession, sf: str) -> DataFrame:
