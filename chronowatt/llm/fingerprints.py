@@ -31,7 +31,7 @@ def let(value: Column, body) -> Column:
 def fingerprint(text: Column, fraction: float = FRACTION, size: int = SHINGLE) -> Column:
     """Ascending array of the kept hashes."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), _SPACE), lambda w: w != "")
-    least = F.lit(-(1 << 63) + int(fraction * (1 << 64)))
+    least = F.lit(min(-(1 << 63) + int(fraction * (1 << 64)), (1 << 63) - 1))
 
     def hashes(w: Column) -> Column:
         runs = F.sequence(F.lit(0), F.greatest(F.size(w) - size, F.lit(0)))
