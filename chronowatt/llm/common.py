@@ -35,13 +35,13 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark).rstrip('/')}/scratch-{name}-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
+        self.written = 0
 
     def keep(self, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/{len(self.paths):03d}"
+        path = f"{self.root}/{self.written:03d}"
+        self.written += 1
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
         out._scratch_path = path
         return out
 

@@ -13,10 +13,11 @@ that agree in a band share a bucket. At a similarity of 0.8 the bands miss a pai
 Nobody is compared with everybody. A bucket's members are compared with one of them, its leader, in
 full. Members at least as similar as the threshold are linked to it. 1 - J is a metric, so a linked member
 whose distance to the leader differs by more than 1 - threshold from that of each member that is not
-linked can't be linked to any of them, and leaves; who is left forms the bucket of the next round. Small
-buckets are settled in one task; large ones are first split by their rarest shingles, of which two linked
-texts always share one (prefix filter). No link is lost by this, and work stays linear in a group of
-copies of any size. Connected components of the links are the classes.
+linked can't be linked to any of them, and leaves. Those who are left meet again by their rarest shingles, of
+which two linked texts always share one (prefix filter): the texts that share such a shingle, and are not
+all connected yet, form the buckets of the next round. Small ones are settled in one task, comparing
+only texts not yet connected; large ones have a leader again. No link is lost by this, and work
+stays linear in a group of copies of any size. Connected components of the links are the classes.
 
 Equal texts are one text from the start; null counts as empty, and all empty texts are equal. The class of
 a document is the smallest id in its component; rows without an id have the class of their component, or
@@ -202,41 +203,48 @@ class Classes:
             .filter(apart | (F.col("sim") <= F.col("nearest") + (1 - t) + 1e-9))
             .select("bucket", "key")
         )
-        sized = left.join(left.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "bucket")
-        return sims.filter(~apart).select("leader", "key"), self.scratch.keep(sized)
+        several = left.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+        return sims.filter(~apart).select("leader", "key"), self.scratch.keep(left.join(several, "bucket"))
 
     def settled(self, buckets: DataFrame) -> DataFrame:
-        """Links within buckets of a bounded size: each two members not yet connected are compared, in one task."""
+        """Links within buckets (bucket, key, root) of a bounded size: each two members not yet connected are
+        compared, in one task."""
         idf, t = self.idf, self.threshold
 
         def run(b: pd.DataFrame) -> pd.DataFrame:
             b = b.sort_values("key")
-            keys, own = list(b["key"]), [np.frombuffer(o, np.uint32) for o in b["own"]]
-            group, links = list(range(len(keys))), []
+            keys, own, group = list(b["key"]), [np.frombuffer(o, np.uint32) for o in b["own"]], list(b["root"])
+            links = []
             for j in range(len(keys)):
                 for i in range(j):
                     if group[i] != group[j] and similarity(own[i], own[j], idf.value) >= t:
                         links.append((keys[i], keys[j]))
-                        old = group[j]
-                        group = [group[i] if g == old else g for g in group]
+                        old, new = group[j], group[i]
+                        group = [new if g == old else g for g in group]
             return pd.DataFrame(links, columns=["leader", "key"])
 
         return buckets.join(self.texts, "key").groupBy("bucket").applyInPandas(run, "leader binary, key binary")
 
-    def split(self, buckets: DataFrame) -> DataFrame:
-        """The buckets, each split by the rarest shingles of its members."""
+    def by_rarest(self, keys: DataFrame) -> DataFrame:
+        """bucket, key: the rarest shingles of the texts with these keys."""
         idf, t = self.idf, self.threshold
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 rare = [prefix(np.frombuffer(o, np.uint32), idf.value, t).astype(np.int64).tolist() for o in b["own"]]
-                yield pd.DataFrame({"bucket": b["bucket"], "key": b["key"], "rare": rare})
+                yield pd.DataFrame({"key": b["key"], "rare": rare})
 
-        found = buckets.join(self.texts, "key").select("bucket", "key", "own")
-        found = found.mapInPandas(run, "bucket long, key binary, rare array<bigint>")
-        return found.select(F.explode("rare").alias("rare"), "bucket", "key").select(
-            F.xxhash64("bucket", "rare").alias("bucket"), "key"
-        )
+        found = self.texts.join(keys, "key", "left_semi").mapInPandas(run, "key binary, rare array<bigint>")
+        return found.select(F.explode("rare").alias("bucket"), "key")
+
+    def apart(self, buckets: DataFrame, links: DataFrame) -> DataFrame:
+        """bucket, key, root, n of the buckets (bucket, key) that the links do not connect; of several buckets with
+        the same members one."""
+        rooted = buckets.join(self.components(links), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        members = [F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("sum"), F.min("key").alias("low"), F.max("key").alias("high")]
+        open_ = rooted.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n"), *members)
+        once = open_.filter("a < b").groupBy("n", "sum", "low", "high").agg(F.min("bucket").alias("bucket"))
+        return self.scratch.keep(rooted.join(once.select("bucket", "n"), "bucket"))
 
     def links(self, docs: DataFrame) -> DataFrame:
         """leader, key: links between different texts that connect each class."""
@@ -245,30 +253,28 @@ class Classes:
         banded = sketched.select("key", F.explode("bands").alias("bucket")).distinct()
         shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
         buckets = self.scratch.keep(banded.join(shared, "bucket"))
-        wanted = buckets.select("key").distinct()
         # one row a text: a task wrote each text at most once
         self.texts = self.scratch.keep(
-            sketched.select("key", "own").join(wanted, "key", "left_semi").groupBy("key").agg(F.first("own").alias("own"))
+            sketched.select("key", "own")
+            .join(buckets.select("key").distinct(), "key", "left_semi")
+            .groupBy("key")
+            .agg(F.first("own").alias("own"))
         )
         self.scratch.drop(sketched)
-        found, turn = [], 0
+        found, left = self.round(buckets)
+        if left.isEmpty():
+            return found
+        buckets = self.scratch.keep(self.by_rarest(left.select("key").distinct()))
         while True:
-            linked, left = self.round(buckets)
-            found.append(linked)
+            open_ = self.apart(buckets, found)
+            if open_.isEmpty():
+                return found
+            small = self.settled(open_.filter(F.col("n") <= self.small))
+            led, left = self.round(open_.filter(F.col("n") > self.small).select("bucket", "key"))
+            found = self.scratch.keep(found.unionByName(small).unionByName(led).distinct())
             if left.isEmpty():
-                break
-            small = left.filter(F.col("n") <= self.small)
-            found.append(self.scratch.keep(self.settled(small)))
-            buckets = left.filter(F.col("n") > self.small).select("bucket", "key")
-            if buckets.isEmpty():
-                break
-            if turn % 2 == 0:
-                buckets = self.scratch.keep(self.split(buckets).distinct())
-            turn += 1
-        out = found[0]
-        for more in found[1:]:
-            out = out.unionByName(more)
-        return out.distinct()
+                return found
+            buckets = left.select("bucket", "key")
 
     def components(self, links: DataFrame) -> DataFrame:
         """key, root: the smallest key of the component, by alternating large and small stars. Each star is a
