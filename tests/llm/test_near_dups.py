@@ -32,7 +32,7 @@ def frequencies(texts):
         at = np.unique(nd.shingles(t) & np.uint32((1 << nd.SLOTS) - 1))
         df[at] += 1
         n += len(at) > 0
-    return np.log1p(max(n, 1) / np.maximum(df, 1))
+    return 1 + np.log1p(max(n, 1) / np.maximum(df, 1))
 
 
 def plain(texts):
@@ -111,7 +111,7 @@ def test_linked_texts_share_a_prefix_shingle():
 def test_large_group_of_near_copies_is_one_class_with_few_comparisons(spark):
     rnd = random.Random(9)
     base = text(rnd, 300)
-    texts = [edited(rnd, base, 1) for _ in range(400)] + [text(rnd, 100) for _ in range(20)]
+    texts = [edited(rnd, base, 1) for _ in range(400)] + [text(rnd, 100) for _ in range(800)]
     found = nd.Classes(spark)
     compared = []
     similarities = found.similarities
