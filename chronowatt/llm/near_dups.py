@@ -2,9 +2,9 @@
 
 A text's shingles are its runs of five words (lower case, cut at white space; a shorter text is one
 shingle), each weighted by tf * idf. The document frequencies behind the idf are counted over all
-documents in ``2**SLOTS`` counters by shingle hash, so the table that is broadcast has a fixed size; a
-shingle rarer than about one document in a hundred has the largest weight. That and the added 1 keep the weight of
-what a large group of near copies shares from vanishing beside that of its edits.
+documents in ``2**SLOTS`` counters by shingle hash, so the table that is broadcast has a fixed size. A
+frequency counts as ``FLOOR`` of the documents at least: that and the added 1 keep the weight of what a large
+group of near copies shares from vanishing beside that of its edits.
 
 Improved consistent weighted sampling draws ``BANDS * ROWS`` samples from a text: two texts draw the same
 sample with a probability equal to their weighted Jaccard similarity. ``ROWS`` samples make a band; texts
@@ -16,8 +16,8 @@ full. Members at least as similar as the threshold are linked to it. 1 - J is a
 whose distance to the leader differs by more than 1 - threshold from that of each member that is not
 linked can't be linked to any of them, and leaves. Those who are left meet again by their rarest shingles, of
 which two linked texts always share one (prefix filter): the texts that share such a shingle, and are not
-all connected yet, form the buckets of the next round. Small ones are settled in one task, comparing
-only texts not yet connected; large ones have a leader again. No link is lost by this, and work
+all connected yet, form the buckets of the next round. Small ones are settled in one task;
+large ones have a leader again. No link is lost by this, and work
 stays linear in a group of copies of any size. Connected components of the links are the classes.
 
 Equal texts are one text from the start; null counts as empty, and all empty texts are equal. The class of
@@ -39,7 +39,8 @@ from .common import Scratch, Words, mix, share, ship_code, spaced, table
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 8, 2
-SLOTS = 16
+SLOTS = 18
+FLOOR = 0.01
 SMALL = 256
 _GRID = 1 << 16
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
@@ -110,22 +111,61 @@ def similarity(a: np.ndarray, b: np.ndarray, idf: np.ndarray) -> float:
     return both / either if either > 0 else 1.0
 
 
-def prefix(own: np.ndarray, idf: np.ndarray, threshold: float) -> np.ndarray:
+def prefix(own: np.ndarray, idf: np.ndarray, df: np.ndarray, threshold: float) -> np.ndarray:
     """The rarest shingles that leave less than ``threshold`` of the weight behind them."""
     distinct, w = weights(own, idf)
-    rarity = idf[distinct & np.uint32(len(idf) - 1)]
-    order = np.lexsort((distinct, -rarity))
+    order = np.lexsort((distinct, df[distinct & np.uint32(len(df) - 1)]))
     behind = w.sum() - np.cumsum(w[order])
     return distinct[order][: int(np.argmax(behind < threshold * w.sum())) + 1]
 
 
+def linked(texts: list[np.ndarray], idf: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Links that connect what is similar enough among a bounded number of texts: overlaps of all of them at once
+    are a product of the matrix of texts by the shingles that several have."""
+    found = [weights(t, idf) for t in texts]
+    total = np.array([w.sum() for _, w in found])
+    flat = np.concatenate([f[0] for f in found])
+    shared, place, times = np.unique(flat, return_inverse=True, return_counts=True)
+    several = np.flatnonzero(times > 1)
+    column = np.full(len(shared), -1)
+    column[several] = np.arange(len(several))
+    row = np.repeat(np.arange(len(texts)), [len(f[0]) for f in found])
+    at, value = column[place], np.concatenate([f[1] for f in found])
+    row, at, value = row[at >= 0], at[at >= 0], value[at >= 0]
+    unit = idf[shared[several] & np.uint32(len(idf) - 1)]
+    overlap = np.zeros((len(texts), len(texts)))
+    for lo in range(0, len(several), _PART):
+        hi = min(lo + _PART, len(several))
+        inside = (at >= lo) & (at < hi)
+        w = np.zeros((len(texts), hi - lo))
+        w[row[inside], at[inside] - lo] = value[inside]
+        one = unit[lo:hi]
+        once = (w <= one * (1 + 1e-9)).all(axis=0)
+        b = (w[:, once] > 0).astype(float)
+        overlap += (b * one[once]) @ b.T
+        for c in np.flatnonzero(~once):
+            overlap += np.minimum.outer(w[:, c], w[:, c])
+    either = total[:, None] + total[None, :] - overlap
+    near = overlap >= threshold * either * (1 - 1e-12)
+    links, open_ = [], set(range(len(texts)))
+    while open_:
+        stack = [open_.pop()]
+        while stack:
+            i = stack.pop()
+            for j in [j for j in np.flatnonzero(near[i]).tolist() if j in open_]:
+                open_.discard(j)
+                links.append((i, j))
+                stack.append(j)
+    return links
+
+
 def text_key() -> Column:
     """Identity of a text: 128 bits of its hash."""
     return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
 
 
-def inverse_frequencies(docs: DataFrame, slots: int = SLOTS) -> np.ndarray:
-    """1 + log(1 + N / df) by slot, N and df counted over all documents with a word."""
+def frequencies(docs: DataFrame, slots: int = SLOTS) -> tuple[np.ndarray, float]:
+    """Documents by slot, and the number of documents with a word, counted over all documents."""
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df, n = np.zeros(1 << slots, np.int64), 0
@@ -139,11 +179,15 @@ def inverse_frequencies(docs: DataFrame, slots: int = SLOTS) -> np.ndarray:
 
     ship_code(docs.sparkSession)
     found = docs.select("text").mapInPandas(counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    df = np.ones(1 << slots)
+    df = np.zeros(1 << slots)
     at, n = found["slot"].to_numpy(np.int64), found["n"].to_numpy(float)
     df[at[at >= 0]] = n[at >= 0]
-    total = float(n[at < 0].sum())
-    return 1 + np.log1p(max(total, 1.0) / np.maximum(df, 1))
+    return df, float(n[at < 0].sum())
+
+
+def inverse(df: np.ndarray, n: float, floor: float = FLOOR) -> np.ndarray:
+    """1 + log(1 + N / df) by slot, with a floor under df."""
+    return 1 + np.log1p(max(n, 1.0) / np.maximum(df, max(1.0, floor * n)))
 
 
 class Classes:
@@ -208,31 +252,25 @@ class Classes:
         return sims.filter(~apart).select("leader", "key"), self.scratch.keep(left.join(several, "bucket"))
 
     def settled(self, buckets: DataFrame) -> DataFrame:
-        """Links within buckets (bucket, key, root) of a bounded size: each two members not yet connected are
-        compared, in one task."""
+        """Links within buckets (bucket, key) of a bounded size, each in one task."""
         idf, t = self.idf, self.threshold
 
         def run(b: pd.DataFrame) -> pd.DataFrame:
             b = b.sort_values("key")
-            keys, own, group = list(b["key"]), [np.frombuffer(o, np.uint32) for o in b["own"]], list(b["root"])
-            links = []
-            for j in range(len(keys)):
-                for i in range(j):
-                    if group[i] != group[j] and similarity(own[i], own[j], idf.value) >= t:
-                        links.append((keys[i], keys[j]))
-                        old, new = group[j], group[i]
-                        group = [new if g == old else g for g in group]
-            return pd.DataFrame(links, columns=["leader", "key"])
-
-        return buckets.join(self.texts, "key").groupBy("bucket").applyInPandas(run, "leader binary, key binary")
+            keys = list(b["key"])
+            links = linked([np.frombuffer(o, np.uint32) for o in b["own"]], idf.value, t)
+            return pd.DataFrame([(keys[i], keys[j]) for i, j in links], columns=["leader", "key"])
+
+        members = buckets.select("bucket", "key").join(self.texts, "key")
+        return members.groupBy("bucket").applyInPandas(run, "leader binary, key binary")
 
     def by_rarest(self, keys: DataFrame) -> DataFrame:
         """bucket, key: the rarest shingles of the texts with these keys."""
-        idf, t = self.idf, self.threshold
+        idf, df, t = self.idf, self.df, self.threshold
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                rare = [prefix(np.frombuffer(o, np.uint32), idf.value, t).astype(np.int64).tolist() for o in b["own"]]
+                rare = [prefix(np.frombuffer(o, np.uint32), idf.value, df.value, t).astype(np.int64).tolist() for o in b["own"]]
                 yield pd.DataFrame({"key": b["key"], "rare": rare})
 
         found = self.texts.join(keys, "key", "left_semi").mapInPandas(run, "key binary, rare array<bigint>")
@@ -249,7 +287,8 @@ class Classes:
 
     def links(self, docs: DataFrame) -> DataFrame:
         """leader, key: links between different texts that connect each class."""
-        self.idf = share(self.spark, inverse_frequencies(docs))
+        df, n = frequencies(docs)
+        self.df, self.idf = share(self.spark, df), share(self.spark, inverse(df, n))
         sketched = self.sketched(docs)
         banded = sketched.select("key", F.explode("bands").alias("bucket")).distinct()
         shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")

@@ -32,12 +32,12 @@ def frequencies(texts):
         at = np.unique(nd.shingles(t) & np.uint32((1 << nd.SLOTS) - 1))
         df[at] += 1
         n += len(at) > 0
-    return 1 + np.log1p(max(n, 1) / np.maximum(df, 1))
+    return df, nd.inverse(df, n)
 
 
 def plain(texts):
     """Classes from all pairs: components of weighted Jaccard >= 0.8, and of equal texts."""
-    idf, own = frequencies(texts), [nd.shingles(t) for t in texts]
+    (_, idf), own = frequencies(texts), [nd.shingles(t) for t in texts]
     group = list(range(len(texts)))
     for j in range(len(texts)):
         for i in range(j):
@@ -101,11 +101,27 @@ def test_linked_texts_share_a_prefix_shingle():
     rnd = random.Random(8)
     base = text(rnd, 150)
     others = [edited(rnd, base, k) for k in (1, 2, 3, 4)]
-    idf = frequencies([base, *others])
+    df, idf = frequencies([base, *others])
     for other in others:
         a, b = nd.shingles(base), nd.shingles(other)
         if nd.similarity(a, b, idf) >= 0.8:
-            assert len(np.intersect1d(nd.prefix(a, idf, 0.8), nd.prefix(b, idf, 0.8)))
+            assert len(np.intersect1d(nd.prefix(a, idf, df, 0.8), nd.prefix(b, idf, df, 0.8)))
+
+
+def test_links_of_a_bucket_equal_pairwise_comparison():
+    rnd = random.Random(12)
+    texts = [text(rnd, 60) for _ in range(10)]
+    texts += [edited(rnd, t, k) for t in texts for k in (1, 2, 3)] + ["no no no no no no " * 30, "no no no no no no " * 25, "no no no no no no " * 5]
+    _, idf = frequencies(texts)
+    own = [nd.shingles(t) for t in texts]
+    group = list(range(len(texts)))
+    for i, j in nd.linked(own, idf, 0.8):
+        assert nd.similarity(own[i], own[j], idf) >= 0.8 - 1e-9
+        group = [group[i] if g == group[j] else g for g in group]
+    for i in range(len(texts)):
+        for j in range(i):
+            if nd.similarity(own[i], own[j], idf) >= 0.8:
+                assert group[i] == group[j]
 
 
 def test_large_group_of_near_copies_is_one_class_with_few_comparisons(spark):
