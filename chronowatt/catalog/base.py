@@ -182,7 +182,7 @@ def r(expr: str, digits: int = 6) -> str:
 
 
 def ts_sql(expr: str) -> str:
-    return f"strftime({expr}, '%Y-%m-%d %H:%M:%S')"
+    return f"CAST({expr} AS VARCHAR)"
 
 
 def day_sql(expr: str) -> str:

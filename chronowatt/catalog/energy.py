@@ -55,9 +55,13 @@ J AS (SELECT G.*, H.v FROM G LEFT JOIN H ON H.series = G.series AND H.h = G.day
 C AS (SELECT series, day, position, last_value(v IGNORE NULLS) OVER (PARTITION BY series, day ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v, v IS NOT NULL AS declared FROM J)"""
 
 
-def carried(spark, sf, leading="skip"):
+def declared_points(spark, sf):
     h = hourly(spark, sf).withColumn("h", T.from_hour_index("hi"))
-    points = h.select("series", known_day("h").alias("day"), (F.hour("h") + 1).alias("position"), "v")
+    return h.select("series", known_day("h").alias("day"), (F.hour("h") + 1).alias("position"), "v")
+
+
+def carried(spark, sf, leading="skip"):
+    points = declared_points(spark, sf)
     # the filter makes both branches need the same columns, hence one shuffle below them
     periods = points.filter(F.col("v").isNotNull()).select("series", "day").distinct().withColumn("n_positions", F.lit(24))
     if leading == "error":
@@ -68,14 +72,20 @@ def carried(spark, sf, leading="skip"):
 
 @query(f"""WITH {_CARRY}, F AS (SELECT series, day FROM J WHERE position = 1 AND v IS NOT NULL)
 SELECT 'skip' AS mode, series, {day_sql('day')} AS day, count(*) AS n, count(*) FILTER (WHERE declared) AS n_declared, {r('sum(v)')} AS total FROM C WHERE v IS NOT NULL GROUP BY 2, 3
-UNION ALL SELECT 'error', series, {day_sql('day')}, count(*), count(*) FILTER (WHERE declared), {r('sum(v)')} FROM C JOIN F USING (series, day) GROUP BY 2, 3""")
+UNION ALL SELECT 'error', series, {day_sql('day')}, count(*), count(*) FILTER (WHERE declared), {r('sum(v)')} FROM C JOIN F USING (series, day) GROUP BY 2, 3
+UNION ALL SELECT 'refused', series, {day_sql('day')}, count(*), count(*), {r('sum(v)')} FROM J WHERE v IS NOT NULL AND NOT EXISTS (SELECT 1 FROM F WHERE F.series = J.series AND F.day = J.day) GROUP BY 2, 3""")
 def carry_forward_period(spark, sf):
     def mode(name):
         return carried(spark, sf, name).groupBy(F.lit(name).alias("mode"), "series", T.day_text("day").alias("day")).agg(
             F.count("*").alias("n"), F.count_if("declared").alias("n_declared"), stable(F.sum("v")).alias("total")
         )
 
-    return mode("skip").unionByName(mode("error"))
+    # the periods that the mode "error" refuses, with the points they declare
+    points = declared_points(spark, sf)
+    refused = points.groupBy(F.lit("refused").alias("mode"), "series", T.day_text("day").alias("day")).agg(
+        F.count("*").alias("n"), F.count("*").alias("n_declared"), stable(F.sum("v")).alias("total"), F.min("position").alias("first")
+    )
+    return mode("skip").unionByName(mode("error")).unionByName(refused.filter("first > 1").drop("first"))
 
 
 @query(f"""WITH {_CARRY}, K AS (SELECT *, epoch(day)/3600 + position AS t FROM C WHERE v IS NOT NULL),
@@ -158,16 +168,16 @@ def energy_integral_net(spark, sf):
 
 
 # published yearly net (constants of the stand-in), compared with both readings
-@query(f"""WITH {_CARRY}, N AS (SELECT CAST(extract('month' FROM day) AS BIGINT) AS m, sum({_SIGN}) FILTER (WHERE declared) AS a, sum({_SIGN}) AS b FROM C WHERE v IS NOT NULL GROUP BY 1)
-SELECT m, {r('100.0*(a - pub)/abs(pub)', 4)} AS gap_declared_pct, {r('100.0*(b - pub)/abs(pub)', 4)} AS gap_carried_pct FROM N JOIN (VALUES (1, -30000.0::DOUBLE)) p(pm, pub) ON pm = m""")
+@query(f"""WITH {_CARRY}, N AS (SELECT CAST(extract('year' FROM day) AS BIGINT) AS y, CAST(extract('month' FROM day) AS BIGINT) AS m, sum({_SIGN}) FILTER (WHERE declared) AS a, sum({_SIGN}) AS b FROM C WHERE v IS NOT NULL GROUP BY 1, 2)
+SELECT y, m, {r('100.0*(a - pub)/abs(pub)', 4)} AS gap_declared_pct, {r('100.0*(b - pub)/abs(pub)', 4)} AS gap_carried_pct FROM N LEFT JOIN (VALUES (2024, 1, -30000.0::DOUBLE)) p(py, pm, pub) ON py = y AND pm = m""")
 def net_against_published(spark, sf):
     signed = F.when(F.col("series").isin("purchase", "signup"), F.col("v")).otherwise(-F.col("v"))
-    net = carried(spark, sf).groupBy(F.month("day").cast("bigint").alias("m")).agg(
+    net = carried(spark, sf).groupBy(F.year("day").cast("bigint").alias("y"), F.month("day").cast("bigint").alias("m")).agg(
         F.sum(F.when(F.col("declared"), signed)).alias("a"), F.sum(signed).alias("b")
     )
-    published = F.broadcast(spark.createDataFrame([(1, -30000.0)], "m bigint, pub double"))  # a constant list
+    published = F.broadcast(spark.createDataFrame([(2024, 1, -30000.0)], "y bigint, m bigint, pub double"))  # a constant list
     gap = lambda c: stable(100.0 * (F.col(c) - F.col("pub")) / F.abs("pub"), 4)
-    return net.join(published, "m").select("m", gap("a").alias("gap_declared_pct"), gap("b").alias("gap_carried_pct"))
+    return net.join(published, ["y", "m"], "left").select("y", "m", gap("a").alias("gap_declared_pct"), gap("b").alias("gap_carried_pct"))
 
 
 @query(f"""WITH {H}, N AS (SELECT h, sum(CASE WHEN series = 'purchase' THEN v ELSE -v END) AS net FROM H WHERE series IN ('purchase','view') GROUP BY 1),

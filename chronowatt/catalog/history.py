@@ -109,12 +109,16 @@ def registry(spark, sf):
     )
 
 
-@query(f"""WITH {VS}, {_REG} SELECT CASE WHEN payload_archived THEN 'archived' WHEN origin = 'rebuilt' THEN 'never_held'
-WHEN payload_key IS NOT NULL AND superseded_at IS NULL THEN 'current_without_bytes' WHEN payload_key IS NOT NULL AND copy_intact THEN 'pending'
-WHEN payload_key IS NOT NULL THEN 'lost' ELSE 'unkeyed' END AS state, count(*) AS n, CAST(sum(CASE WHEN payload_archived THEN size ELSE 0 END) AS BIGINT) AS archived_bytes FROM RG GROUP BY 1""")
+@query(f"""WITH {VS}, {_REG}, S AS (SELECT payload_archived AS archived, NOT payload_archived AND payload_key IS NOT NULL AND coalesce(copy_intact, false) AS pending,
+NOT payload_archived AND payload_key IS NOT NULL AND superseded_at IS NULL AS current_without_bytes,
+NOT payload_archived AND payload_key IS NOT NULL AND superseded_at IS NOT NULL AND NOT coalesce(copy_intact, false) AS lost,
+coalesce(origin = 'rebuilt', false) AS never_held, size FROM RG)
+SELECT archived, pending, current_without_bytes, lost, never_held, count(*) AS n, CAST(sum(CASE WHEN archived THEN size ELSE 0 END) AS BIGINT) AS archived_bytes FROM S GROUP BY ALL""")
 def version_states(spark, sf):
+    """How many versions there are of each combination of answers."""
     held = F.when(F.col("payload_archived"), F.col("size")).otherwise(0)
-    return versions.states(registry(spark, sf)).groupBy("state").agg(
+    answers = ("pending", "current_without_bytes", "lost", "never_held")
+    return versions.states(registry(spark, sf)).groupBy(F.col("payload_archived").alias("archived"), *answers).agg(
         F.count("*").alias("n"), F.sum(held).cast("bigint").alias("archived_bytes")
     )
 
@@ -180,7 +184,7 @@ def declared_vs_recorded_diff(spark, sf):
     return d.select("id", "presence", F.array_join("changed", ",").alias("changed"))
 
 
-@query("""SELECT user_id, event_type AS latest_type, strftime(ts, '%Y-%m-%d %H:%M:%S') AS observed_at FROM
+@query("""SELECT user_id, event_type AS latest_type, CAST(ts AS VARCHAR) AS observed_at FROM
 (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rk FROM events) WHERE rk = 1""")
 def latest_attribute(spark, sf):
     latest = F.max_by(F.struct("event_type", "ts"), F.struct("ts", "event_id"))

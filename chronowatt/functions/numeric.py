@@ -64,3 +64,14 @@ def avg_if(condition: Column, value: Column | str) -> Column:
 def stable(col: Column | str, digits: int = 6) -> Column:
     """Rounded for comparison; the nudge keeps decimal ties on one side whatever the sum order."""
     return F.round(_c(col) + F.lit(10.0 ** -(digits + 3)), digits)
+
+
+# What a decimal number in text looks like; every other text is NULL without a cast being tried.
+NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
+
+def number(text: Column | str) -> Column:
+    """Text as double, NULL where it is no number. A failed cast costs an exception a row, so the form is tested
+    first."""
+    c = F.col(text) if isinstance(text, str) else text
+    return F.when(c.rlike(NUMBER), c.try_cast("double"))

@@ -125,8 +125,9 @@ def last_sunday(year: Column | str, month: int) -> Column:
 
 
 def as_text(ts: Column | str) -> Column:
-    """'yyyy-MM-dd HH:mm:ss'. A cast, because ``date_format`` would go through the session zone."""
-    return F.substring(_c(ts).cast("string"), 1, 19)
+    """'yyyy-MM-dd HH:mm:ss', with the fraction down to the microsecond where there is one. A cast, because
+    ``date_format`` would go through the session zone."""
+    return _c(ts).cast("string")
 
 
 def day_text(day: Column | str) -> Column:

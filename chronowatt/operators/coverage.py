@@ -43,19 +43,21 @@ def continuity(
     first_expected: str,
     last_expected: str,
 ) -> DataFrame:
-    """Interruptions, late starts, early stops and series that are nowhere.
+    """Interruptions, late starts, early stops, series that are nowhere and series nobody expected.
 
     ``expected`` lists each series with the first and last step it must cover (a declared closure
-    moves the last). One row per anomaly: check, key, detail.
+    moves the last). Observed series outside that list are audited too, from their own first step to
+    their last. One row per anomaly: check, key, detail.
     """
     seen = observed.groupBy(*keys).agg(
         F.min(year).alias("__first"), F.max(year).alias("__last"), F.count_distinct(year).alias("__n")
     )
-    d = expected.join(seen, list(keys), "left")
+    d = expected.withColumn("__listed", F.lit(True)).join(seen, list(keys), "full")
     key = F.concat_ws("/", *[F.col(k).cast("string") for k in keys])
     found = F.array_compact(
         F.array(
             F.when(F.col("__n").isNull(), F.struct(F.lit("absent").alias("check"), F.lit("").alias("detail"))),
+            F.when(F.col("__listed").isNull(), F.struct(F.lit("not_expected").alias("check"), F.lit("").alias("detail"))),
             F.when(
                 F.col("__last") - F.col("__first") + 1 != F.col("__n"),
                 F.struct(

@@ -140,12 +140,13 @@ def asof_join(
     bucket,
     payload: Sequence[str],
     out: str = "found",
+    tie: Sequence[str] = (),
 ) -> DataFrame:
     """Last fact at or before each probe, per key, as a struct ``out`` (NULL when there is none).
 
     Probes and facts are stacked on one time axis instead of joined by inequality, so a key with
     many facts costs a sort of its buckets and never a product. ``bucket`` maps a time column to its
-    bucket. Facts must have distinct times within a key.
+    bucket. Of facts with one time in a key the last by the columns ``tie``, then by the payload, counts (NULL first).
     """
     extra = [c for c in probes.columns if c not in (*keys, probe_time)]
     stacked_probes = probes.select(
@@ -156,10 +157,14 @@ def asof_join(
     )
     fact_struct = F.struct(*[F.col(c) for c in payload])
     stacked_facts = facts.select(
-        *keys, F.col(fact_time).alias("__t"), F.lit(0).alias("__kind"), fact_struct.alias("__fact")
+        *keys,
+        F.col(fact_time).alias("__t"),
+        F.lit(0).alias("__kind"),
+        F.struct(*[F.col(c) for c in dict.fromkeys((*tie, *payload))]).alias("__tie"),
+        fact_struct.alias("__fact"),
     )
     axis = stacked_facts.unionByName(stacked_probes, allowMissingColumns=True)
-    carried = carry_last(axis, keys, ["__t", "__kind"], bucket(F.col("__t")), F.col("__fact"), out)
+    carried = carry_last(axis, keys, ["__t", "__kind", "__tie"], bucket(F.col("__t")), F.col("__fact"), out)
     return carried.filter(F.col("__kind") == 1).select(
         *keys,
         F.col("__t").alias(probe_time),

@@ -63,19 +63,22 @@ def intervals(
 def known_at(versions: DataFrame, lookups: DataFrame, payload: Sequence[str], every: int | None = None) -> DataFrame:
     """Version held by each (source_id, at) lookup: a struct ``found``, NULL when nothing was held.
 
-    Start included, end excluded. Presence of bytes is a column of the version, not a condition.
+    Start included, end excluded: a version replaced at the instant it appeared was never held. Of versions that
+    begin together the one that ends last counts. Presence of bytes is a column of the version, not a condition.
     """
     cols = list(dict.fromkeys([*payload, "first_observed_at", "superseded_at"]))
     if every is None:
         every = min(bucket_seconds(versions, KEY, "first_observed_at"), bucket_seconds(lookups, KEY, "at"))
+    lasting = versions.filter(F.col("superseded_at").isNull() | (F.col("superseded_at") > F.col("first_observed_at")))
     held = asof_join(
         lookups,
-        versions,
+        lasting.withColumns({"__open": F.col("superseded_at").isNull(), "__end": F.col("superseded_at")}),
         KEY,
         "at",
         "first_observed_at",
         lambda t: F.floor(second_index(t) / every).cast("bigint"),
         cols,
+        tie=["__open", "__end"],
     )
     over = F.col("found.superseded_at") <= F.col("at")
     return held.withColumn("found", F.when(F.coalesce(~over, F.lit(True)), F.col("found")))
@@ -175,21 +178,21 @@ def merge_history(live: DataFrame, rebuilt: DataFrame, sha: str = "sha256") -> D
 
 
 def states(versions: DataFrame) -> DataFrame:
-    """Adds ``state``: what remains to be uploaded, what is lost, what was never held.
+    """Adds four answers that may hold together: ``pending`` (what remains to be uploaded), ``current_without_bytes``,
+    ``lost`` and ``never_held``.
 
     Expects payload_archived, payload_key, superseded_at, origin and ``copy_intact`` (the served copy
     still has the certified bytes).
     """
-    pending = ~F.col("payload_archived") & F.col("payload_key").isNotNull()
-    current = F.col("superseded_at").isNull()
-    return versions.withColumn(
-        "state",
-        F.when(F.col("payload_archived"), "archived")
-        .when(F.col("origin") == "rebuilt", "never_held")
-        .when(pending & current, "current_without_bytes")
-        .when(pending & F.col("copy_intact"), "pending")
-        .when(pending, "lost")
-        .otherwise("unkeyed"),
+    missing = ~F.col("payload_archived") & F.col("payload_key").isNotNull()
+    intact, current = F.coalesce("copy_intact", F.lit(False)), F.col("superseded_at").isNull()
+    return versions.withColumns(
+        {
+            "pending": missing & intact,
+            "current_without_bytes": missing & current,
+            "lost": missing & ~current & ~intact,
+            "never_held": F.coalesce(F.col("origin") == "rebuilt", F.lit(False)),
+        }
     )
 
 

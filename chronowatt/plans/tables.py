@@ -382,17 +382,23 @@ def weather(raw: DataFrame) -> DataFrame:
 
 
 def check_weather(table: DataFrame) -> None:
-    """No hollow day at any post, no instant twice at a post."""
+    """No day that the whole network lacks hours of, no instant twice at a post. A post that misses hours of a day
+    which others have is no reason to stop: see :func:`weather_gaps`."""
     check_rows(table, [], "weather")
     check_empty(
         {
-            "hollow day": quality.hollow_days(table, ["num_poste"], "date_locale", "heure_locale"),
+            "hollow day": quality.hollow_days(table, [], "date_locale", "heure_locale"),
             "instant twice": quality.duplicates(table, ["num_poste", "date_heure_utc"]),
         },
         "weather",
     )
 
 
+def weather_gaps(table: DataFrame) -> DataFrame:
+    """For the report: days with too few hours by post, and whether they lie at an edge of the post's series."""
+    return quality.hollow_days(table, ["num_poste"], "date_locale", "heure_locale")
+
+
 # ---- ozone and temperature ---------------------------------------------------------------------------
 
 

@@ -15,7 +15,9 @@ PARQUET_MAGIC = "PAR1"
 CONTRACT = (
     "file STRING, format STRING, delimiter STRING, columns ARRAY<STRING>, root STRING, content_type STRING"
 )
-_HEAD = 65_536
+# what may stand before the root of an XML document: declarations, comments, a document type
+_PROLOG = r"(?s)\A\x{FEFF}?\s*(?:<\?.*?\?>\s*|<!--.*?-->\s*|<!DOCTYPE[^\[>]*(?:\[.*?\]\s*)?>\s*)*"
+_ROOT = _PROLOG + r"<(?:[\w.-]+:)?([\w.-]+)"
 
 
 def _as_text(content: Column) -> Column:
@@ -26,21 +28,21 @@ def _as_text(content: Column) -> Column:
 def violations(files_table: DataFrame, contracts: DataFrame) -> DataFrame:
     """file, problem. ``files_table``: file, content, size; ``contracts``: see :data:`CONTRACT`.
 
-    Headers are looked at in the file's first bytes, never in a decompressed copy: gzipped CSV is
-    checked by :func:`gzip_header_problems`.
+    A header is everything before the first line break, and the rules for XML hold for the whole prolog, however
+    long; gzipped CSV is checked by :func:`gzip_header_problems`.
     """
     d = contracts.join(files_table, "file", "left")
-    head = _as_text(F.substring("content", 1, _HEAD))
+    content = _as_text(F.col("content"))
     fmt = F.col("format")
-    header = F.regexp_replace(F.element_at(F.split(head, r"\r?\n", 2), 1), r"^\x{FEFF}", "")
+    header = F.regexp_replace(F.element_at(F.split(content, r"\r?\n", 2), 1), r"^\x{FEFF}", "")
     names = F.transform(
         F.split(header, F.concat(F.lit(r"\Q"), F.coalesce("delimiter", F.lit(",")), F.lit(r"\E"))),
         lambda c: F.regexp_replace(F.trim(c), '^"|"$', ""),
     )
     wanted = F.coalesce("columns", F.array().cast("array<string>"))
     absent = F.array_except(wanted, names)
-    xml_root = F.regexp_extract(head, r"(?s)^\x{FEFF}?\s*(?:<\?.*?\?>\s*|<!--.*?-->\s*)*<(?:[\w.-]+:)?([\w.-]+)", 1)
-    content = _as_text(F.col("content"))
+    xml_root = F.regexp_extract(content, _ROOT, 1)
+    declared = F.regexp_replace(F.regexp_extract(content, _PROLOG, 0), r"(?s)<!--.*?-->", "")
 
     def said(label: str, detail: Column | None = None) -> Column:
         return F.lit(label) if detail is None else F.concat(F.lit(label), F.lit(": "), detail)
@@ -49,7 +51,7 @@ def violations(files_table: DataFrame, contracts: DataFrame) -> DataFrame:
         F.when(F.col("content").isNull(), said("missing file"))
         .when(
             F.lower(F.trim(F.element_at(F.split(F.coalesce("content_type", F.lit("")), ";"), 1))).isin(*HTML_TYPES)
-            | head.rlike(HTML_START),
+            | content.rlike(HTML_START),
             said("web page instead of data"),
         )
         .when((fmt == "csv") & (F.size(names) < 2), said("header is not tabular", F.substring(header, 1, 80)))
@@ -72,8 +74,8 @@ def violations(files_table: DataFrame, contracts: DataFrame) -> DataFrame:
             ),
             said("Parquet magic number missing"),
         )
+        .when((fmt == "xml") & declared.contains("<!ENTITY"), said("XML with internal entities"))
         .when((fmt == "xml") & (xml_root == ""), said("invalid XML"))
-        .when((fmt == "xml") & head.contains("<!ENTITY"), said("XML with internal entities"))
         .when(
             (fmt == "xml") & F.col("root").isNotNull() & (xml_root != F.col("root")), said("unexpected root", xml_root)
         )

@@ -164,3 +164,10 @@ def test_version_opened_inside_the_window(spark):
     ref = spark.sql("select * from values ('a', date'2019-05-01'), ('b', date'2022-05-01') t(code, opened)")
     first, last = (F.lit(d).cast("date") for d in ("2020-06-01", "2025-08-31"))
     assert [r.code for r in coverage.versions_opened_inside(ref, "opened", first, last).collect()] == ["b"]
+
+
+def test_unexpected_series_is_audited(spark):
+    observed = spark.createDataFrame([("a", 2020), ("a", 2021), ("b", 2020), ("b", 2022)], "s string, y bigint")
+    expected = spark.createDataFrame([("a", 2020, 2021)], "s string, first bigint, last bigint")
+    found = coverage.continuity(observed, expected, ["s"], "y", "first", "last")
+    assert sorted(tuple(r) for r in found.collect()) == [("interrupted", "b", "1"), ("not_expected", "b", "")]

@@ -150,7 +150,8 @@ def test_source_contracts(spark, tmp_path):
     assert got["page.csv"] == got["typed.csv"] == "web page instead of data"
     assert got["rootless.json"] == "missing root key: features" and got["bad.json"] == "invalid JSON"
     assert "magic" in got["cut.parquet"] and "short" in got["tiny.parquet"]
-    assert got["ack.xml"] == "unexpected root: Acknowledgement" and "entities" in got["bomb.xml"] or "invalid" in got["bomb.xml"]
+    assert got["ack.xml"] == "unexpected root: Acknowledgement"
+    assert got["bomb.xml"] == "XML with internal entities"
     assert got["absent.csv"] == "missing file"
     assert set(got) == {r[0] for r in rows} - {"ok.csv", "ok.json", "ok.parquet", "ok.xml"}
 
@@ -164,6 +165,22 @@ def test_schema_only_contracts(spark, tmp_path):
     assert contracts.parquet_column_problems(spark, str(tmp_path / "p"), ["a", "b"]) == ["missing columns: b"]
 
 
+def test_contracts_judge_whole_headers_and_prologs(spark, tmp_path):
+    names = [f"column_{i:06d}" for i in range(8_000)]
+    long = "<!-- " + "words of a comment > " * 6_000 + "-->"
+    write(tmp_path / "wide.csv", ";".join(names) + "\n1\n")
+    write(tmp_path / "comment.xml", f'<?xml version="1.0"?>{long}<Doc/>')
+    write(tmp_path / "doctype.xml", f'<?xml version="1.0"?><!DOCTYPE Doc SYSTEM "d.dtd">{long}<Doc/>')
+    write(tmp_path / "subset.xml", "<!DOCTYPE Doc [<!ELEMENT Doc ANY>]><Doc/>")
+    write(tmp_path / "late.xml", f'{long}<!DOCTYPE Doc [<!ENTITY a "]">]><Doc/>')
+    write(tmp_path / "said.xml", "<!-- no <!ENTITY here --><Doc>&lt;!ENTITY</Doc>")
+    write(tmp_path / "broken.xml", "no markup")
+    rows = [("wide.csv", "csv", ";", [names[-1]], None, None)]
+    rows += [(f"{n}.xml", "xml", None, None, "Doc", None) for n in ("comment", "doctype", "subset", "late", "said", "broken")]
+    found = contracts.violations(fp.files(spark, str(tmp_path)), spark.createDataFrame(rows, contracts.CONTRACT))
+    assert {r.file: r.problem for r in found.collect()} == {"late.xml": "XML with internal entities", "broken.xml": "invalid XML"}
+
+
 # ---- XML documents -------------------------------------------------------------------------------------
 
 

@@ -51,6 +51,24 @@ def test_known_at_honours_a_closed_end(spark):
     assert got[at(9)].sha256 == "A" and got[at(10)] is None
 
 
+@pytest.mark.parametrize("reverse", [False, True])
+def test_known_at_with_equal_starts(spark, reverse):
+    """A version replaced at the instant it appeared was never held; of two that begin together the longer counts."""
+    rows = [("s", "A", at(0), at(10)), ("s", "B", at(10), at(10)), ("s", "C", at(10), None), ("t", "D", at(0), at(5)), ("t", "E", at(0), at(9))]
+    schema = "source_id string, sha256 string, first_observed_at timestamp_ntz, superseded_at timestamp_ntz"
+    held = spark.createDataFrame(rows[::-1] if reverse else rows, schema)
+    lookups = spark.createDataFrame([("s", at(9)), ("s", at(10)), ("s", at(20)), ("t", at(7)), ("t", at(9))], "source_id string, at timestamp_ntz")
+    got = {(r.source_id, r["at"]): (r.found.sha256 if r.found else None) for r in V.known_at(held, lookups, ["sha256"]).collect()}
+    assert got == {("s", at(9)): "A", ("s", at(10)): "C", ("s", at(20)): "C", ("t", at(7)): "E", ("t", at(9)): None}
+
+
+def test_states_overlap(spark):
+    schema = "id int, payload_archived boolean, payload_key string, superseded_at timestamp_ntz, origin string, copy_intact boolean"
+    rows = [(1, False, "k", at(1), "rebuilt", True), (2, True, "k", None, "rebuilt", True), (3, False, "k", None, "live", False), (4, False, "k", at(1), "live", None), (5, False, None, None, "live", True)]
+    got = {r["id"]: (r["pending"], r["current_without_bytes"], r["lost"], r["never_held"]) for r in V.states(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {1: (True, False, False, True), 2: (False, False, False, True), 3: (False, True, False, False), 4: (False, False, True, False), 5: (False,) * 4}
+
+
 def test_lookup_text_needs_a_zone(spark, session_zone):
     df = spark.createDataFrame([("2026-01-01T10:00:00.250+02:00",), ("2026-01-01T08:00:00Z",)], "s string")
     got = [str(r[0]) for r in df.select(V.utc_instant(F.col("s"))).collect()]
@@ -126,8 +144,8 @@ def test_states(spark):
         ("never", False, None, 5, "rebuilt", False),
     ]
     df = spark.createDataFrame(rows, "id string, payload_archived boolean, payload_key string, superseded_at int, origin string, copy_intact boolean")
-    got = {r.id: r.state for r in V.states(df).collect()}
-    assert got == {"kept": "archived", "now": "current_without_bytes", "retry": "pending", "gone": "lost", "never": "never_held"}
+    got = {r.id: {n for n in ("pending", "current_without_bytes", "lost", "never_held") if r[n]} for r in V.states(df).collect()}
+    assert got == {"kept": set(), "now": {"current_without_bytes"}, "retry": {"pending"}, "gone": {"lost"}, "never": {"never_held"}}
 
 
 def test_volume_and_policy(spark):
