@@ -607,17 +607,18 @@ def season_scope_claims(daily_ozone: DataFrame, recent: str = "AJACCIO CONFINA 2
 
 
 def ozone_by_temperature(air_weather: DataFrame) -> DataFrame:
-    band = shares.bands(F.col("t_max"), [(25, "< 25 °C"), (30, "25 à 30 °C"), (35, "30 à 35 °C")], "≥ 35 °C")
+    """By band of the day's maximum (its lower edge in degrees, NULL below the first edge)."""
+    band = shares.bands(F.col("t_max"), [(25, None), (30, 25), (35, 30)], 35)
     days = _in_study(air_weather).filter(F.col("influence") == "Fond")
-    return days.groupBy(band.alias("tranche")).agg(
-        F.min("t_max").alias("borne"), F.avg("mda8").alias("ozone"), F.count("*").alias("releves")
+    return days.groupBy(band.alias("from_celsius")).agg(
+        F.min("t_max").alias("coolest"), F.avg("mda8").alias("ozone"), F.count("*").alias("n_days")
     )
 
 
 def temperature_claims(air_weather: DataFrame) -> DataFrame:
     """The mean must not peak in the hottest band."""
     b = ozone_by_temperature(air_weather)
-    return quality.claims(b, {"levels_off": F.max_by("borne", "ozone") < F.max("borne")})
+    return quality.claims(b, {"levels_off": F.max_by("coolest", "ozone") < F.max("coolest")})
 
 
 def _background_hours(air_series: DataFrame, without: Sequence[str] = ("VENACO",)) -> DataFrame:

@@ -101,3 +101,29 @@ PRIMARY_BALANCE_2020 = {
     "autres_enr": 4.33,
     "solaire": 3.4,
 }
+
+# Source ids of the long air series, which must equal those of the registry.
+AIR_SOURCES = (
+    "aee_no2_ajaccio_canetto_continu",
+    "aee_no2_ajaccio_canetto_valide",
+    "aee_no2_ajaccio_confina2_continu",
+    "aee_no2_ajaccio_confina2_valide",
+    "aee_no2_bastia_giraud_continu",
+    "aee_no2_bastia_giraud_valide",
+    "aee_no2_bastia_marana_continu",
+    "aee_no2_bastia_marana_valide",
+    "aee_no2_bastia_montesoro_continu",
+    "aee_no2_bastia_montesoro_valide",
+    "aee_o3_ajaccio_canetto_continu",
+    "aee_o3_ajaccio_canetto_valide",
+    "aee_o3_ajaccio_confina2_continu",
+    "aee_o3_ajaccio_confina2_valide",
+    "aee_o3_bastia_giraud_continu",
+    "aee_o3_bastia_giraud_valide",
+    "aee_o3_bastia_marana_continu",
+    "aee_o3_bastia_marana_valide",
+    "aee_o3_bastia_montesoro_continu",
+    "aee_o3_bastia_montesoro_valide",
+    "aee_o3_venaco_continu",
+    "aee_o3_venaco_valide",
+)

@@ -5,6 +5,7 @@ import decimal
 import math
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,19 +149,26 @@ def test_islands(tables):
 
 def test_seasonal_tables(tables):
     t, con = tables
-    summer = "FROM curve WHERE mois_local BETWEEN 6 AND 9"
-    check(
-        con, A.summer_peaks(t["curve"]).select("annee_locale", "n", "maximum", "top_mean", "median", "n_at_level"),
-        f"""SELECT annee_locale, count(*), max(p), avg(p) FILTER (WHERE rk <= 20), median(p), count(*) FILTER (WHERE p >= 380) FROM
-        (SELECT annee_locale, production_totale_mw p, row_number() OVER (PARTITION BY annee_locale ORDER BY production_totale_mw DESC) rk {summer}) GROUP BY 1""",
-    )
-    check(con, A.summer_quantiles(t["curve"]).select("annee_locale", "q75", "q99", "maximum"), f"SELECT annee_locale, quantile_cont(production_totale_mw, 0.75), quantile_cont(production_totale_mw, 0.99), max(production_totale_mw) {summer} GROUP BY 1")
-    winters = "SELECT CASE WHEN mois_local=12 THEN annee_locale ELSE annee_locale-1 END an, count(*) n, max(production_totale_mw) p FROM curve WHERE mois_local IN (12,1,2) GROUP BY 1"
-    check(con, A.winter_peaks(t["curve"]).select("winter", "n", "maximum"), winters)
-    check(
-        con, A.summer_less_winter(t["curve"]).select("annee", "gap"),
-        f"WITH h AS ({winters}), e AS (SELECT annee_locale an, max(production_totale_mw) p {summer} GROUP BY 1) SELECT e.an, e.p-h.p FROM e JOIN h ON h.an = e.an-1 WHERE h.n >= 2100",
-    )
+    loads = [tuple(r) for r in t["curve"].select("annee_locale", "mois_local", "production_totale_mw").collect()]
+    summers, winters = {}, {}
+    for year, month, load in loads:
+        if month in (6, 7, 8, 9):
+            summers.setdefault(year, []).append(load)
+        if month in (12, 1, 2):
+            winters.setdefault(year if month == 12 else year - 1, []).append(load)
+    for r in A.summer_peaks(t["curve"]).collect():
+        hours = sorted(summers.pop(r.annee_locale), reverse=True)
+        assert (r.n, r.maximum, r.n_at_level) == (len(hours), hours[0], sum(h >= 380 for h in hours))
+        assert r.top_mean == pytest.approx(sum(hours[:20]) / 20) and r.median == pytest.approx(np.median(hours))
+        summers[r.annee_locale] = hours
+    for r in A.summer_quantiles(t["curve"]).collect():
+        hours = summers[r.annee_locale]
+        assert [r.q75, r.q99, r.maximum] == pytest.approx([np.quantile(hours, 0.75), np.quantile(hours, 0.99), max(hours)])
+    found = {r.winter: (r.n, r.maximum) for r in A.winter_peaks(t["curve"]).collect()}
+    assert found == {w: (len(h), max(h)) for w, h in winters.items()}
+    gaps = {r.annee: r.gap for r in A.summer_less_winter(t["curve"]).collect()}
+    whole = {w: h for w, h in winters.items() if len(h) >= 2100 and w + 1 in summers}
+    assert gaps == pytest.approx({w + 1: max(summers[w + 1]) - max(h) for w, h in whole.items()})
     assert A.quantile_gains(t["curve"]).count() == 1 and A.peak_claims(t["curve"]).count() == 3
     perimeter = {r.annee_locale: r for r in A.micro_hydro_perimeter(t["curve"]).collect()}
     assert perimeter[2022].largest_at_peak == 2.0 and perimeter[2022].n_missing > 2000
@@ -258,11 +266,16 @@ def test_air(tables):
     rank = A.rural_rank(ozone).first()
     assert (rank.n_rural, rank.n_others) == (1, 3) and 1 <= rank["rank"] <= 4
     assert A.rural_claims(ozone).count() == 3
-    check(
-        con, A.ozone_by_temperature(t["crossed"]),
-        """SELECT CASE WHEN t_max < 25 THEN '< 25 °C' WHEN t_max < 30 THEN '25 à 30 °C' WHEN t_max < 35 THEN '30 à 35 °C' ELSE '≥ 35 °C' END, min(t_max), avg(mda8), count(*) FROM crossed
-        WHERE influence='Fond' AND month(date_locale) IN (6,7,8) AND year(date_locale) BETWEEN 2020 AND 2025 GROUP BY 1""",
-    )
+    by_band = {}
+    for r in t["crossed"].filter("influence = 'Fond'").collect():
+        if r.date_locale.month in (6, 7, 8) and 2020 <= r.date_locale.year <= 2025:
+            edge = max((e for e in (25, 30, 35) if r.t_max >= e), default=None)
+            by_band.setdefault(edge, []).append((r.t_max, r.mda8))
+    got = {r.from_celsius: r for r in A.ozone_by_temperature(t["crossed"]).collect()}
+    assert set(got) == set(by_band)
+    for edge, days in by_band.items():
+        assert (got[edge].coolest, got[edge].n_days) == (min(d[0] for d in days), len(days))
+        assert got[edge].ozone == pytest.approx(sum(d[1] for d in days) / len(days))
     assert A.temperature_claims(t["crossed"]).count() == 1
     assert {r["class"] for r in A.rural_against_others(t["crossed"]).collect()} == {"rural", "others"}
 
