@@ -91,7 +91,6 @@ def with_next(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) with fp, next_text and next_fp: fingerprint, and those of the next row in descending order of doc_id, ties by
     text hash; after the last row comes the first. The text moves once: each piece of the order is one window
     partition, to which the first row of the next piece is added."""
-    fp = fingerprint(F.col("text")).alias("fp")
     keyed = in_ranges(docs.withColumn("th", F.xxhash64("text")))
     order = [F.desc_nulls_last("doc_id"), F.desc_nulls_last("th")]
     top = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.col("th"))
@@ -115,10 +114,12 @@ def with_next(docs: DataFrame) -> DataFrame:
     wanted = wanted.select("range", "part", F.col("next.doc_id").alias("id"), F.col("next.th").alias("at"))
     source = docs.withColumn("th", F.xxhash64("text"))
     guests = source.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("at")))
-    guests = guests.dropDuplicates(["range", "part"]).select("doc_id", "text", fp, "th", "range", "part", F.lit(True).alias("guest"))
-    both = keyed.select("doc_id", "text", fp, "th", "range", "part", F.lit(False).alias("guest")).unionByName(guests)
+    guests = guests.dropDuplicates(["range", "part"]).select("doc_id", "text", "th", "range", "part", F.lit(True).alias("guest"))
+    both = keyed.select("doc_id", "text", "th", "range", "part", F.lit(False).alias("guest")).unionByName(guests)
     w = Window.partitionBy("range", "part").orderBy("guest", *order)
-    led = both.withColumn("next_text", F.lead("text").over(w)).withColumn("next_fp", F.lead("fp").over(w))
+    # fingerprints are made after the shuffle, which moves the texts alone
+    led = both.withColumn("next_text", F.lead("text").over(w)).withColumn("fp", fingerprint(F.col("text")))
+    led = led.withColumn("next_fp", F.lead("fp").over(w))
     return led.filter(~F.col("guest")).select("doc_id", "text", "fp", "next_text", "next_fp")
 
 

@@ -53,7 +53,8 @@ def test_every_stage_takes_odd_rows_and_no_rows(spark, tmp_path):
         if not docs.isEmpty():
             assert len(got[0]) == 9
             assert (4, len("first\nlast")) in got[1] and (1, None) in got[1]
-            assert sorted(i for i, _ in got[2]) == [1, 3, 4, 5, 6, 7]
+            # 4 is nearly 3; null and empty are one text; 7 stands for its copies
+            assert sorted(i for i, _ in got[2]) == [1, 3, 5, 6, 7]
         assert outs[-1].count() == docs.count()
 
 
