@@ -67,7 +67,7 @@ def scaled(row: np.ndarray, ratio: np.ndarray) -> np.ndarray:
 
 
 def hinge_fit(
-    rows: list[np.ndarray], ratio: np.ndarray, labels: np.ndarray, penalty: float = 1.0, epochs: int = 20
+    rows: list[np.ndarray], ratio: np.ndarray, labels: np.ndarray, penalty: float = 1.0, epochs: int = 60
 ) -> tuple[np.ndarray, float]:
     """Dual coordinate descent for the L2-regularised hinge loss: one dual variable a row, in [0, penalty],
     moved to its optimum given the others. The bias is a constant feature. Labels are -1 and 1."""
