@@ -13,8 +13,6 @@ The answer is exactly the one of the plain window, whatever the bucket width. Ke
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.timeaxis import hour_index
@@ -171,7 +169,3 @@ def asof_join(
         *[F.col(f"__probe.{c}").alias(c) for c in extra],
         out,
     )
-
-
-def null_safe_equal(left: Sequence[Column], right: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a & b, [a.eqNullSafe(b) for a, b in zip(left, right)])

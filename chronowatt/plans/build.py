@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.quality import GuardError, check_empty
+from ..sources.contracts import violations
 from ..sources.fingerprints import files as read_files, fingerprints, verify
 from ..sources.sinks import write_ordered, write_table
 
@@ -42,8 +43,8 @@ class Context:
 class Output:
     """A table: how to build it, its raw sources, the tables it derives from, its guards.
 
-    ``before`` checks the inputs or the frame while it is still lazy; ``after`` checks the staged
-    table, as it was written.
+    ``before`` checks what the builder may read, for all tables before the first is built; ``after`` checks the
+    staged table, as it was written.
     """
 
     name: str
@@ -51,6 +52,7 @@ class Output:
     sources: Sequence[str]
     derived_from: Sequence[str] = ()
     order: Sequence[str] = ()
+    before: Callable[[Context], None] | None = field(default=None)
     after: Callable[[DataFrame, Context], None] | None = field(default=None)
 
 
@@ -64,8 +66,11 @@ def plan(outputs: Iterable[Output], available: Iterable[str]) -> list[Output]:
     return chosen
 
 
-def check_inputs(spark: SparkSession, manifest: DataFrame, raw: Mapping[str, str], needed: Sequence[str]) -> DataFrame:
-    """Every needed source is in the manifest and has the certified content; returns its entries.
+def check_inputs(
+    spark: SparkSession, manifest: DataFrame, raw: Mapping[str, str], needed: Sequence[str], contracts: DataFrame | None = None
+) -> DataFrame:
+    """Every needed source is in the manifest, has the certified content and keeps its contract (see
+    ``sources.contracts``; files without one are not judged); returns the manifest's entries.
 
     ``manifest``: source_id, filename, sha256, date_collecte, ignore_xml, decompressed.
     """
@@ -75,6 +80,10 @@ def check_inputs(spark: SparkSession, manifest: DataFrame, raw: Mapping[str, str
     rules = entries.select(F.col("filename").alias("file"), "sha256", "ignore_xml", "decompressed")
     found = fingerprints(read_files(spark, [raw[s] for s in sorted(set(needed))]), rules)
     verify(found, rules)
+    if contracts is not None:
+        judged = contracts.join(rules.select("file"), "file", "left_semi")
+        broken = violations(read_files(spark, [raw[s] for s in sorted(set(needed))]), judged)
+        check_empty({"contract": broken}, "inputs")
     return entries.select("source_id", "filename", "sha256", "date_collecte")
 
 
@@ -103,6 +112,7 @@ def run_build(
     manifest: DataFrame,
     code_version: str = "unknown",
     built_at: str | None = None,
+    contracts: DataFrame | None = None,
 ) -> str:
     """Build and publish; returns the run's folder."""
     if not outputs:
@@ -112,8 +122,11 @@ def run_build(
     run = f"{root}/runs/{run_id}"
     if _exists(spark, run):
         raise ValueError(f"{run} exists already; a run never overwrites another")
-    entries = check_inputs(spark, manifest, raw, [s for o in outputs for s in o.sources])
+    entries = check_inputs(spark, manifest, raw, [s for o in outputs for s in o.sources], contracts)
     context = Context(spark, raw, run)
+    for out in outputs:
+        if out.before:
+            out.before(context)
     files = None
     for out in outputs:
         frame = out.build(context)

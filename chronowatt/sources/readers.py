@@ -89,13 +89,3 @@ def proof_extract(raw: DataFrame, territory: str, years: Sequence[int], months:
         & F.substring(text, 1, 4).cast("int").isin(*years)
         & F.substring(text, 6, 2).isin(*months)
     )
-
-
-def schema_has(df: DataFrame, columns: Sequence[str]) -> list[str]:
-    """Expected columns that the schema lacks; reads no data."""
-    return [c for c in columns if c not in df.columns]
-
-
-def parse_hour_code(code: Column) -> Column:
-    """'yyyyMMddHH' text to a zone-less timestamp."""
-    return F.to_timestamp_ntz(code, F.lit("yyyyMMddHH"))

@@ -7,15 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 
-def write_table(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
+# Keeps a file below 2 GiB, the most that the lineage can hash, for rows of up to some 500 bytes on disk.
+ROWS_PER_FILE = 4_000_000
 
 
-def write_ordered(df: DataFrame, path: str, order: Sequence[str], partition_by: Sequence[str] = ()) -> None:
+def write_table(df: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE) -> None:
+    df.write.option("maxRecordsPerFile", rows_per_file).mode("overwrite").parquet(path)
+
+
+def write_ordered(df: DataFrame, path: str, order: Sequence[str], partition_by: Sequence[str] = (), rows_per_file: int = ROWS_PER_FILE) -> None:
     """Globally ordered files: ranges of the leading keys per file, sorted inside.
 
     Range partitioning samples the keys, so a hot leading key is cut by the ones after it; give
     enough of them to tell rows apart.
     """
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    ranged.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    ranged.write.option("maxRecordsPerFile", rows_per_file).mode("overwrite").partitionBy(*partition_by).parquet(path)

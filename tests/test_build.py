@@ -105,3 +105,23 @@ def test_lineage_shape(spark):
         ("output without source", "u"), ("unknown source", "w/ghost"), ("incomplete source", "q"), ("invalid hash", "u/f"),
         ("output without hash", "w"), ("table outside the lineage", "x"), ("missing table", "u"), ("missing table", "w"),
     }
+
+
+def test_contracts_and_checks_come_before_any_table(spark, site):
+    from chronowatt.sources.contracts import CONTRACT
+
+    root, raw, manifest, folder = site
+    chosen = K.plan(outputs(), raw)
+    contract = lambda column: spark.createDataFrame([("src.csv", "csv", ",", ["k", column], None, None), ("other.csv", "csv", ",", ["z"], None, None)], CONTRACT)
+    with pytest.raises(GuardError, match="missing columns: w"):
+        K.run_build(spark, root, "r1", chosen, raw, manifest, contracts=contract("w"))
+
+    def refuse(ctx):
+        raise GuardError("refused")
+
+    last = Output("late", chosen[0].build, ["src"], before=refuse)
+    with pytest.raises(GuardError, match="refused"):
+        K.run_build(spark, root, "r1", [*chosen, last], raw, manifest)
+    assert not (folder / "out").exists()
+    K.run_build(spark, root, "r1", chosen, raw, manifest, contracts=contract("v"))
+    assert K.published(spark, root, "derived").count() == 2
