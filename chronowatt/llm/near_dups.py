@@ -16,8 +16,8 @@ full. Members at least as similar as the threshold are linked to it. 1 - J is a
 whose distance to the leader differs by more than 1 - threshold from that of each member that is not
 linked can't be linked to any of them, and leaves. Those who are left meet again by their rarest shingles, of
 which two linked texts always share one (prefix filter): the texts that share such a shingle, and are not
-all connected yet, form the buckets of the next round. Small ones are settled in one task;
-large ones have a leader again. No link is lost by this, and work
+all connected yet, form the buckets of the next round. Large ones have a leader
+again first; then each is compared in blocks of a bounded number of texts, one matrix product a block. No link is lost by this, and work
 stays linear in a group of copies of any size. Connected components of the links are the classes.
 
 Equal texts are one text from the start; null counts as empty, and all empty texts are equal. The class of
@@ -252,7 +252,9 @@ class Classes:
         return sims.filter(~apart).select("leader", "key"), self.scratch.keep(left.join(several, "bucket"))
 
     def settled(self, buckets: DataFrame) -> DataFrame:
-        """Links within buckets (bucket, key) of a bounded size, each in one task."""
+        """Links within buckets (bucket, key, n). A bucket of up to ``small`` members is compared in one task. A larger
+        one is cut into parts of about that size by the hash of the key, and each two parts are compared in
+        one task, so a task holds about twice ``small`` texts whatever the bucket's size."""
         idf, t = self.idf, self.threshold
 
         def run(b: pd.DataFrame) -> pd.DataFrame:
@@ -261,8 +263,12 @@ class Classes:
             links = linked([np.frombuffer(o, np.uint32) for o in b["own"]], idf.value, t)
             return pd.DataFrame([(keys[i], keys[j]) for i, j in links], columns=["leader", "key"])
 
-        members = buckets.select("bucket", "key").join(self.texts, "key")
-        return members.groupBy("bucket").applyInPandas(run, "leader binary, key binary")
+        parts = F.ceil(F.col("n") / self.small).cast("bigint")
+        own = F.pmod(F.xxhash64("key"), parts)
+        cut = buckets.select("bucket", "key", own.alias("part"), F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("other"))
+        low, high = F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high")
+        members = cut.select("bucket", "key", low, high).join(self.texts, "key")
+        return members.groupBy("bucket", "low", "high").applyInPandas(run, "leader binary, key binary")
 
     def by_rarest(self, keys: DataFrame) -> DataFrame:
         """bucket, key: the rarest shingles of the texts with these keys."""
@@ -305,16 +311,14 @@ class Classes:
         if left.isEmpty():
             return found
         buckets = self.scratch.keep(self.by_rarest(left.select("key").distinct()))
-        while True:
+        open_ = self.apart(buckets, found)
+        large = open_.filter(F.col("n") > self.small).select("bucket", "key")
+        if not large.isEmpty():
+            # a leader each, which settles large groups of copies, before the rest is compared in parts
+            led, _ = self.round(large)
+            found = self.scratch.keep(found.unionByName(led).distinct())
             open_ = self.apart(buckets, found)
-            if open_.isEmpty():
-                return found
-            small = self.settled(open_.filter(F.col("n") <= self.small))
-            led, left = self.round(open_.filter(F.col("n") > self.small).select("bucket", "key"))
-            found = self.scratch.keep(found.unionByName(small).unionByName(led).distinct())
-            if left.isEmpty():
-                return found
-            buckets = left.select("bucket", "key")
+        return self.scratch.keep(found.unionByName(self.settled(open_)).distinct())
 
     def components(self, links: DataFrame) -> DataFrame:
         """key, root: the smallest key of the component, by alternating large and small stars. Each star is a
