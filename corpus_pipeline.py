@@ -21,6 +21,8 @@ from chronowatt.llm.common import Scratch, held_out, table
 
 # Shares are raised to this power for the target: a mild move towards small sources, languages and topics.
 ALPHA = 0.95
+# The share of the tokens that mixing keeps.
+BUDGET = 0.75
 _REST = "__rest"
 _USED = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -58,7 +60,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = mixing.chances(packed(docs), alpha=ALPHA)
+    found = mixing.chances(packed(docs), alpha=ALPHA, budget=BUDGET)
     return unpacked(found.filter(mixing.draw(F.col("doc_id")) < F.col("chance")), docs)
 
 

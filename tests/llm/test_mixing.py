@@ -98,3 +98,48 @@ def test_target_without_tokens_is_refused(spark):
         mixing.chances(frame(spark, [(1, "a b", "en", "a")]), langs={"xx": 1.0})
     with pytest.raises(ValueError):
         mixing.chances(frame(spark, [(1, "a b", "en", "a")]), sources={"xx": 1.0})
+
+
+def test_one_document_of_a_new_category_leaves_the_chances_of_others(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source")
+    rare = spark.createDataFrame([(-1, "rare " * 60, "xx", "new")], docs.schema)
+    for alpha, budget in ((mixing.ALPHA, mixing.BUDGET), (0.95, 0.75)):
+        a = mixing.chances(docs, alpha=alpha, budget=budget).select("doc_id", F.col("chance").alias("a"), "n_tokens")
+        with_rare = mixing.chances(docs.unionByName(rare), alpha=alpha, budget=budget)
+        b = with_rare.select("doc_id", F.col("chance").alias("b"))
+        both = a.join(b, "doc_id").toPandas()
+        assert (both["a"] - both["b"]).abs().max() < 0.01
+        for c in ("a", "b"):
+            assert (both[c] * both["n_tokens"]).sum() / both["n_tokens"].sum() == pytest.approx(budget, abs=2e-3)
+        assert b.filter("doc_id = -1").first()["b"] == 1.0
+
+
+def test_full_categories_stay_whole_and_the_rest_is_raked(spark):
+    rng = np.random.default_rng(2)
+    n = rng.integers(50, 400, (4, 3, 2)).astype(float)
+    n[0] *= 50
+    n[3] = np.array([[3, 0], [0, 2], [1, 0]])
+    rows = [(f"s{i}", f"l{j}", f"t{k}", int(n[i, j, k])) for i in range(4) for j in range(3) for k in range(2)]
+    cells = spark.createDataFrame(rows, "__source string, __lang string, __topic string, tokens long")
+    mix = mixing.rake(cells, Scratch(spark, "test"), alpha=0.9, budget=0.7)
+    f = {r["__source"]: r["__f"] for r in mix.by_source.collect()}
+    p = np.array([[[min(1.0, f[f"s{i}"] * mix.lang[f"l{j}"] * mix.topic[f"t{k}"]) for k in range(2)] for j in range(3)] for i in range(4)])
+    got, total = p * n, n.sum()
+    assert mix.error < mixing.TOLERANCE
+    assert got.sum() == pytest.approx(0.7 * total) and np.allclose(p[3][n[3] > 0], 1)
+    by_source, goal = got.sum((1, 2)), n.sum((1, 2)) ** 0.9
+    whole = np.isclose(by_source, n.sum((1, 2)))
+    assert whole[3] and not whole[0]
+    assert np.ptp((by_source / goal)[~whole]) < 1e-3 * (by_source / goal)[~whole].max()
+    for axes in ((0, 2), (0, 1)):
+        have, goal = got.sum(axes), n.sum(axes) ** 0.9
+        assert np.allclose(have / have.sum(), goal / goal.sum(), atol=1e-5)
+
+
+def test_shortfall_names_what_is_missing(spark):
+    rows = [(i, "a b c d " * 50, "en", "big") for i in range(200)] + [(1_000, "a b", None, "small")]
+    found = mixing.chances(frame(spark, rows), alpha=0.5, budget=0.5)
+    got = {(r["kind"], r["category"]): r for r in mixing.shortfall(found, alpha=0.5).collect()}
+    small = got[("source", "small")]
+    assert small["tokens"] == 2 and small["expected"] == pytest.approx(2) and small["missing"] > 100
+    assert got[("lang", None)]["missing"] > 100 and got[("source", "big")]["missing"] == 0
