@@ -1,18 +1,19 @@
-"""Toxicity: nearest labelled examples by exact TF-IDF cosine, with a block-max inverted index.
+"""Toxicity: nearest labelled examples by exact TF-IDF cosine, with an inverted index.
 
 Terms are whole words and word beginnings of 4 to 6 letters. The index holds labelled examples (at most
-``SAMPLE_ROWS``, a parameter, equal texts once); its vocabulary is the at most ``TERMS`` terms most
-associated with the label (log-likelihood ratio) among them. Document frequencies count all documents.
-A text's vector is (1 + log tf) * idf over the vocabulary, of length one.
-
-Each posting list is cut into blocks of example numbers, and each block keeps its largest weight. A query
-takes blocks in the order of their upper bound and stops when the bound is below its k-th best cosine, so
-the k nearest are exact. Neighbours vote with their cosine, the share of the vote is mapped to a
-probability on the examples themselves, each left out of its own neighbours; a text without any term of
-the vocabulary gets the share of label 1 among such examples. The neighbours are the evidence.
-
-Null and empty texts have no terms. Ties among neighbours go to the smaller id. Index and vocabulary have
-a fixed bound and are broadcast; every document is a query.
+``SAMPLE_ROWS``, a parameter, equal texts once) with all their terms. Document frequencies count all documents.
+A text's vector is (1 + log tf) * idf * factor, of length one. The factor grows from ``TOPIC`` to 1 with a term's
+log-likelihood ratio of association with label 1 among the examples: so topic counts little where a text has
+words that labels tell about, and decides where it has none.
+
+A query adds up the postings of all its terms; the k best are sought only where the maximum of a block of
+examples reaches the k-th largest such maximum, so the k nearest are exact. Neighbours vote with their cosine,
+the share of the vote is mapped to a probability on the examples themselves, each left out of its own
+neighbours; a text without any term of an example gets the share of label 1 among examples without terms. The
+neighbours are the evidence.
+
+Null and empty texts have no terms. Ties among neighbours go to the smaller id. The index has a fixed number of
+examples and is broadcast; every document is a query.
 """
 
 from __future__ import annotations
@@ -28,12 +29,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .common import held_out, labelled_sample, share, table
 
 SAMPLE_ROWS = 6_000
-TERMS = 1_024
 NEIGHBOURS = 16
 BLOCK = 64
 THRESHOLD = 0.3
-_LEAST_TEXTS = 4
-_LEAST_RATIO = 25.0
+# Factor of a term that label 1 has no more often than chance, and the ratio from which the factor is 1.
+TOPIC = 0.1
+_FULL_RATIO = 25.0
 _BINS = 10
 _STARTS = (4, 5, 6)
 _WORD = re.compile(r"[^\W\d_]+")
@@ -55,17 +56,14 @@ class Terms:
         if not text:
             return {}
         met, found = self.met, Counter()
-        words = _WORD.findall(text.lower())
-        for word in set(words):
+        for word, n in Counter(_WORD.findall(text.lower())).items():
             at = met.get(word)
             if at is None:
                 if len(met) >= _REMEMBERED:
                     met.clear()
                 at = met[word] = tuple(i for t in terms_of(word) if (i := self.place.get(t)) is not None)
-            if at:
-                n = words.count(word)
-                for i in at:
-                    found[i] += n
+            for i in at:
+                found[i] += n
         return dict(found)
 
 
@@ -77,51 +75,63 @@ def vector(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndar
     return at, weight / np.sqrt(weight @ weight)
 
 
+class _Buffer:
+    """Room for the postings of one query, used again: fresh memory would cost more than the sums."""
+
+    def __init__(self) -> None:
+        self.ids, self.parts = np.zeros(0, np.int64), np.zeros(0)
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.ids) < n:
+            self.ids, self.parts = np.zeros(2 * n, np.int64), np.zeros(2 * n)
+        return self.ids, self.parts
+
+
+_BUFFER = _Buffer()
+
+
 class BlockMaxIndex:
-    """Postings in blocks of example numbers, as a matrix (term, example) with the largest weight of each
-    (term, block)."""
+    """Postings by term. The cosines of all examples are added up exactly, the best are sought by the largest
+    cosine of each block of example numbers."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int = BLOCK):
         self.n, self.block = len(vectors), block
-        blocks = -(-self.n // block)
-        postings: list[list[tuple[int, float]]] = [[] for _ in range(terms)]
-        for i, (at, weight) in enumerate(vectors):
-            for t, w in zip(at, weight):
-                postings[t].append((i, w))
-        self.ids = [np.array([p[0] for p in ps], np.int64) for ps in postings]
-        self.weights = [np.array([p[1] for p in ps]) for ps in postings]
-        # where each block begins in a posting list
-        self.cuts = [np.searchsorted(ids, np.arange(blocks + 1) * block) for ids in self.ids]
-        self.peak = np.zeros((terms, blocks))
-        for t, (ids, ws) in enumerate(zip(self.ids, self.weights)):
-            np.maximum.at(self.peak[t], ids // block, ws)
+        sizes = [len(v[0]) for v in vectors]
+        at = np.concatenate([v[0] for v in vectors]) if vectors else np.zeros(0, np.int64)
+        order = np.argsort(at, kind="stable")
+        self.ids = np.repeat(np.arange(self.n), sizes)[order]
+        self.weights = (np.concatenate([v[1] for v in vectors]) if vectors else np.zeros(0))[order]
+        # where each term's postings begin
+        self.cuts = np.searchsorted(at[order], np.arange(terms + 1))
 
     def nearest(self, at: np.ndarray, weight: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the k nearest examples that share a term, best first, ties by number."""
-        bound = weight @ self.peak[at]
-        best_ids, best = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            # a bound equal to the k-th cosine may hide a tie with a smaller number
-            if bound[b] <= 0 or (len(best) == k and bound[b] < best[-1] - 1e-12):
-                break
-            sums = np.zeros(self.block)
-            for t, w in zip(at, weight):
-                lo, hi = self.cuts[t][b], self.cuts[t][b + 1]
-                if hi > lo:
-                    sums[self.ids[t][lo:hi] - b * self.block] += w * self.weights[t][lo:hi]
-            hit = np.flatnonzero(sums > 0)
-            ids, cos = np.concatenate((best_ids, hit + b * self.block)), np.concatenate((best, sums[hit]))
-            if without >= 0:
-                ids, cos = ids[ids != without], cos[ids != without]
-            cos = np.round(cos, 12)
-            order = np.lexsort((ids, -cos))[:k]
-            best_ids, best = ids[order], cos[order]
-        return best_ids, best
+        lo, hi = self.cuts[at], self.cuts[at + 1]
+        total = int((hi - lo).sum())
+        if not total:
+            return np.zeros(0, np.int64), np.zeros(0)
+        ids, parts = _BUFFER.upto(total)
+        end = 0
+        for i, j, w in zip(lo.tolist(), hi.tolist(), weight.tolist()):
+            begin, end = end, end + j - i
+            ids[begin:end] = self.ids[i:j]
+            np.multiply(self.weights[i:j], w, out=parts[begin:end])
+        sums = np.bincount(ids[:end], parts[:end], minlength=-(-self.n // self.block) * self.block)
+        if without >= 0:
+            sums[without] = 0.0
+        # k blocks with a maximum of m or more hold k examples of m or more
+        peaks = np.sort(sums.reshape(-1, self.block).max(axis=1))
+        least = peaks[-k] - 1e-9 if len(peaks) >= k else 0.0
+        hit = np.flatnonzero((sums > 0) & (sums >= least))
+        cos = np.round(sums[hit], 12)
+        order = np.lexsort((hit, -cos))[:k]
+        return hit[order], cos[order]
 
 
 class Model:
     def __init__(self, examples: pd.DataFrame, vocabulary: list[str], idf: np.ndarray, neighbours: int = NEIGHBOURS):
-        """examples: doc_id, label, text. Only those with a term of the vocabulary can be neighbours."""
+        """examples: doc_id, label, text; idf with the factors. Only those with a term of the vocabulary can be
+        neighbours."""
         self.terms, self.idf, self.k = Terms(vocabulary), idf, neighbours
         examples = examples.sort_values("doc_id")
         vectors = [vector(self.terms.counts(t), idf) for t in examples["text"]]
@@ -169,8 +179,9 @@ def rising(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(int(n), v) for v, _, n in pools])
 
 
-def associated(examples: pd.DataFrame, most: int = TERMS) -> list[str]:
-    """The terms that label 1 has more often than chance, by log-likelihood ratio, ties by term."""
+def association(examples: pd.DataFrame) -> tuple[list[str], np.ndarray]:
+    """All terms of the examples in order, and the log-likelihood ratio of those that label 1 has more often than
+    chance, 0 for the others."""
     with_, of = Counter(), Counter()
     positive = 0
     for text, label in zip(examples["text"], examples["label"]):
@@ -179,46 +190,32 @@ def associated(examples: pd.DataFrame, most: int = TERMS) -> list[str]:
         if label > 0:
             positive += 1
             with_.update(found)
-    total = len(examples)
+    total, terms = len(examples), sorted(of)
     if not positive or positive == total:
-        return []
-    rank = []
-    for term, a in with_.items():
-        n = of[term]
-        if a < _LEAST_TEXTS or a * total <= n * positive:
-            continue
-        cells = np.array([a, n - a, positive - a, total - positive - n + a], float)
-        expected = np.outer([n, total - n], [positive, total - positive]).ravel() / total
-        ratio = 2 * float(np.sum(np.where(cells > 0, cells * np.log(np.maximum(cells, 1e-9) / expected), 0)))
-        if ratio >= _LEAST_RATIO:
-            rank.append((-ratio, term))
-    return [term for _, term in sorted(rank)[:most]]
+        return terms, np.zeros(len(terms))
+    n, a = (np.array([c[t] for t in terms], float) for c in (of, with_))
+    cells = np.array([a, n - a, positive - a, total - positive - n + a])
+    expected = np.array([n * positive, n * (total - positive), (total - n) * positive, (total - n) * (total - positive)]) / total
+    ratio = 2 * np.sum(np.where(cells > 0, cells * np.log(np.maximum(cells, 1e-9) / np.maximum(expected, 1e-9)), 0), axis=0)
+    return terms, np.where(a * total > n * positive, np.round(ratio, 9), 0.0)
+
+
+def associated(examples: pd.DataFrame) -> list[str]:
+    """The terms that have the full factor, the most associated first, ties by term."""
+    terms, ratio = association(examples)
+    return [terms[i] for i in np.argsort(-ratio, kind="stable") if ratio[i] >= _FULL_RATIO]
+
+
+def factors(ratio: np.ndarray, topic: float = TOPIC) -> np.ndarray:
+    return topic + (1 - topic) * np.minimum(1.0, ratio / _FULL_RATIO)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int = SAMPLE_ROWS) -> Model:
     sample = labelled_sample(docs, labels, label, learn, rows)
-
-    def chosen(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("doc_id").drop_duplicates("text")
-        vocabulary = associated(b)
-        terms = Terms(vocabulary)
-        short = []
-        for doc_id, lab, text in zip(b["doc_id"], b["label"], b["text"]):
-            # an example's terms stand for its text from here on
-            words = [w for w in _WORD.findall(text.lower()) if any(t in terms.place for t in terms_of(w))]
-            short.append((int(doc_id), float(lab), " ".join(words)))
-        head = pd.DataFrame({"doc_id": -1, "label": 0.0, "text": vocabulary, "term": True})
-        body = pd.DataFrame(short, columns=["doc_id", "label", "text"]).assign(term=False)
-        return pd.concat([head, body]) if vocabulary else body
-
-    found = (
-        sample.select("doc_id", "label", "text")
-        .groupBy(F.lit(0).alias("all"))
-        .applyInPandas(chosen, "doc_id long, label double, text string, term boolean")
-        .toPandas()
-    )
-    vocabulary = found.loc[found["term"], "text"].tolist()
-    return Model(found[~found["term"].astype(bool)], vocabulary, idf_of(docs, vocabulary))
+    # at most ``rows`` texts
+    found = sample.select("doc_id", "label", "text").toPandas().sort_values("doc_id").drop_duplicates("text")
+    vocabulary, ratio = association(found)
+    return Model(found, vocabulary, idf_of(docs, vocabulary) * factors(ratio))
 
 
 def idf_of(docs: DataFrame, vocabulary: list[str]) -> np.ndarray:
@@ -235,14 +232,11 @@ def idf_of(docs: DataFrame, vocabulary: list[str]) -> np.ndarray:
                 df.update(terms.counts(text).keys())
         yield pd.DataFrame([(-1, n), *df.items()], columns=["term", "n"])
 
-    rows = docs.select("text").mapInPandas(counted, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select("text").mapInPandas(counted, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    known = rows["term"].to_numpy() >= 0
     df = np.zeros(len(vocabulary))
-    total = 0
-    for r in rows:
-        if r["term"] < 0:
-            total = r["n"]
-        else:
-            df[r["term"]] = r["n"]
+    df[rows["term"].to_numpy()[known]] = rows["n"].to_numpy()[known]
+    total = int(rows["n"][~known].sum())
     return np.log((1 + total) / (1 + df)) + 1
 
 

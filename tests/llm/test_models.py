@@ -166,3 +166,16 @@ def test_examples_are_chosen_by_text_once():
     frame = pd.DataFrame({"text": ["bad moron"] * 6 + ["fine day"] * 60, "label": [1.0] * 6 + [0.0] * 60})
     assert "moron " in toxicity.associated(frame)
     assert toxicity.associated(frame[frame["label"] > 0]) == []
+
+
+def test_every_word_of_the_examples_counts(spark):
+    """Texts without a word that labels tell about have neighbours; five toxic texts are enough to learn a word."""
+    calm = [(i, f"calm harbour number{chr(97 + i % 26)} lies near village{chr(97 + i % 7)}", "en") for i in range(100)]
+    rude = [(200 + i, f"zorgle harbour side{chr(97 + i)} lies there", "en") for i in range(5)]
+    labels = spark.createDataFrame([(i, 0, int(i >= 200)) for i, _, _ in calm + rude], "doc_id long, quality int, toxic int")
+    model = toxicity.train(documents(spark, calm + rude), labels, "toxic", F.lit(True))
+    asked = documents(spark, [(1, "village", "en"), (2, "you zorgle", "en"), (3, "calm village", "en")])
+    got = toxicity.scores(asked, model).toPandas().set_index("doc_id")
+    assert got.loc[2, "score"] >= toxicity.THRESHOLD and sorted(got.loc[2, "neighbour_ids"]) == [200, 201, 202, 203, 204]
+    assert len(got.loc[3, "neighbour_ids"]) == toxicity.NEIGHBOURS and got.loc[3, "score"] < toxicity.THRESHOLD
+    assert len(got.loc[1, "neighbour_ids"]) == toxicity.NEIGHBOURS
