@@ -6,7 +6,9 @@ lies whole in one window. Template and window have ``BANDS`` MinHash values, eac
 window that holds a share c of the template has Jaccard similarity of at least c / (2 + (1 - c) - 1 / s), so
 with 32 bands a template held whole is met with probability 1 - 1e-9 or more, and one of which 0.8 is held
 with 0.999999. What is met is verified: the shingles of the template in the window, counted exactly, must be
-``CONTAINMENT`` of the template's.
+``CONTAINMENT`` of the template's. A met window that lacks some is counted again with s shingles more on both sides,
+without what other matches cover; so a copy that inserted words stretch to at most 2s shingles is counted whole,
+wherever it begins.
 
 A window can share its minimum with a template only where it holds the shingle which is the template's
 minimum. Minima are therefore taken in the windows around such shingles; all other windows can't meet any
@@ -133,17 +135,42 @@ class Scanner:
                         part = own[window * size : window * size + 2 * size - 1]
                         if mix(part ^ seed).min() == least:
                             met.add((number, window))
-        matches = []
-        for number, window in met:
+        matches, unsure = [], []
+        for number, window in sorted(met):
             size = self.length[number]
             first = window * size
-            inside = np.flatnonzero(np.isin(own[first : first + 2 * size - 1], self.shingles[number]))
-            part = np.unique(own[first + inside])
-            share_ = len(part) / len(self.shingles[number])
+            inside = first + np.flatnonzero(np.isin(own[first : first + 2 * size - 1], self.shingles[number]))
+            share_ = len(np.unique(own[inside])) / len(self.shingles[number])
             if share_ >= self.containment:
-                matches.append((number, first + int(inside[0]), first + int(inside[-1]) + SHINGLE, share_))
+                matches.append((number, int(inside[0]), int(inside[-1]) + SHINGLE, share_))
+            if share_ < 1 and len(inside):
+                unsure.append((number, first, inside))
+        for number, first, inside in unsure:
+            size, lo, end = self.length[number], int(inside[0]), int(inside[-1]) + SHINGLE
+            found = [m for m in matches if m[0] == number]
+            share_ = len(np.unique(own[inside])) / len(self.shingles[number])
+            if share_ >= self.containment:
+                # what the match lacks may stand beyond the window
+                found = [m for m in found if m[2] <= lo or m[1] >= end]
+            else:
+                inside = self._clear(inside, found)
+                if not len(inside):
+                    continue
+            begin = max(0, first - size)
+            wide = begin + np.flatnonzero(np.isin(own[begin : first + 3 * size - 1], self.shingles[number]))
+            wide = self._clear(wide[np.isin(wide, inside) | ~np.isin(own[wide], own[inside])], found)
+            share_ = len(np.unique(own[wide])) / len(self.shingles[number])
+            if share_ >= self.containment:
+                matches.append((number, int(wide[0]), int(wide[-1]) + SHINGLE, share_))
         return self._joined(sorted(matches))
 
+    @staticmethod
+    def _clear(at: np.ndarray, matches: list[tuple[int, int, int, float]]) -> np.ndarray:
+        """The shingles that share no word with any of the matches."""
+        for _, lo, end, _ in matches:
+            at = at[(at + SHINGLE <= lo) | (at >= end)]
+        return at
+
     def _joined(self, matches: list[tuple[int, int, int, float]]) -> list[tuple[str, int, int, float]]:
         """Windows of one template whose matched words overlap are one match, with the larger containment."""
         out: list[list] = []

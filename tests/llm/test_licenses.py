@@ -84,3 +84,19 @@ def test_odd_rows(spark):
     assert sorted(got["doc_id"].fillna(-1)) == [-1, 4, 5, 5]
     assert set(got["template"]) == {"MIT notice"}
     assert licenses.scan(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("inserted", [8, 12, 20])
+def test_stretched_copies_are_found_at_every_alignment(inserted):
+    name = "ISC permission"
+    words = licenses.words_of(licenses.TEMPLATES[name]).split(" ")
+    half, own = len(words) // 2, set(licenses.shingles(licenses.TEMPLATES[name]).tolist())
+    scanner, size = licenses.Scanner({name: licenses.TEMPLATES[name]}), len(words) - 4
+    for before in range(size):
+        extra = [f"extra{i}" for i in range(inserted)]
+        text = " ".join([f"a{i}" for i in range(before)] + words[:half] + extra + words[half:] + [f"z{i}" for i in range(70)])
+        held = licenses.shingles(text).tolist()
+        # brute force: the best stretch of twice the template's length
+        best = max(len(own & set(held[i : i + 2 * size])) for i in range(len(held))) / len(own)
+        assert best >= licenses.CONTAINMENT
+        assert scanner.scan(text) == [(name, before, len(words) + inserted, pytest.approx(best))]
