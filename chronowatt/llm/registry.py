@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, language, licenses, line_runs, mixing, near_dups, outliers, quality, toxicity
+from . import bpe, fingerprints, language, licenses, line_runs, mixing, near_dups, outliers, periodic_runs, quality, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,7 @@ def load() -> tuple[dict[str, Query], dict[str, str]]:
         licenses.op8_license_scan,
         mixing.op9_mix_raking,
         near_dups.op10_near_dups_icws,
+        periodic_runs.op11_periodic_runs,
     ):
         queries[fn.__name__] = fn
     oracles["op6_line_runs"] = line_runs.OP6_SQL
