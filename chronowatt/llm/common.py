@@ -134,6 +134,12 @@ class _Powers:
 _POWERS = _Powers()
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of the base and of its inverse."""
+    _POWERS.upto(n)
+    return _POWERS.up, _POWERS.down
+
+
 class Words:
     """The words of one text as byte ranges with a prefix hash, so that the hash of any run of words is one
     subtraction. ``text`` holds words separated by single spaces."""
