@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, language, licenses, line_runs, mixing, near_dups, outliers, periodic_runs, phrase_index, quality, toxicity
+from . import bpe, fingerprints, language, licenses, line_runs, manifest, mixing, near_dups, outliers, periodic_runs, phrase_index, quality, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,9 +26,11 @@ def load() -> tuple[dict[str, Query], dict[str, str]]:
         mixing.op9_mix_raking,
         near_dups.op10_near_dups_icws,
         periodic_runs.op11_periodic_runs,
+        manifest.op12_merkle_manifest,
         phrase_index.op13_phrase_decontamination,
     ):
         queries[fn.__name__] = fn
     oracles["op6_line_runs"] = line_runs.OP6_SQL
+    oracles["op12_merkle_manifest"] = manifest.OP12_SQL
     oracles["op13_phrase_decontamination"] = phrase_index.OP13_SQL
     return queries, oracles
