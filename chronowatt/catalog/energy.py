@@ -96,20 +96,23 @@ T AS (SELECT series, {r('100.0*sum(v) FILTER (WHERE NOT declared)/sum(v)')} AS c
 SELECT series, carried_pct, n_carried, (SELECT max(len) FROM B WHERE B.series = T.series) AS longest_block FROM T""")
 def carried_energy_share(spark, sf):
     c = carried(spark, sf).withColumn("t", F.unix_date("day").cast("bigint") * 24 + F.col("position"))
-    totals = c.groupBy("series").agg(
-        stable(percent(F.sum(F.when(~F.col("declared"), F.col("v"))), F.sum("v"))).alias("carried_pct"),
-        F.count_if(~F.col("declared")).alias("n_carried"),
-    )
     same = (F.col("prev.v") == F.col("v")) & (F.col("prev.t") == F.col("t") - 1)
-    blocks = ordered.runs(c, ["series"], ["t"], F.floor(F.col("t") / 720), same, ["v", "t"])
-    longest = (
-        blocks.filter(F.col("v") != 0)
-        .groupBy("series", "run_start")
-        .agg(F.count("*").alias("n"))
-        .groupBy("series")
-        .agg(F.max("n").alias("longest_block"))
+    carried_ = ~F.col("declared")
+    sizes = ordered.run_sizes(
+        c,
+        ["series"],
+        ["t"],
+        F.floor(F.col("t") / 720),
+        same,
+        ["v", "t"],
+        {"flows": F.col("v") != 0},
+        sums={"v": F.col("v"), "carried": F.when(carried_, F.col("v")), "n_carried": carried_.cast("bigint")},
+    )
+    return sizes.groupBy("series").agg(
+        stable(percent(F.sum("carried"), F.sum("v"))).alias("carried_pct"),
+        F.sum("n_carried").alias("n_carried"),
+        F.max(F.when(F.col("flows"), F.col("size"))).alias("longest_block"),
     )
-    return totals.join(longest, "series", "left")
 
 
 _LIVE = B15_TYPE + """,
@@ -206,10 +209,10 @@ def threshold_episodes(spark, sf):
     middle = h.agg(F.percentile("v", 0.5)).scalar()
     flagged = h.select("series", "hi", (F.col("v") > middle).alias("high"))
     # neighbours are consecutive readings, as in a list of the hours at hand
-    runs = ordered.runs(flagged, ["series"], ["hi"], F.floor(F.col("hi") / 720), F.col("prev.high") == F.col("high"), ["high"])
-    episodes = runs.filter("high").groupBy("series", "run_start").agg(F.count("*").alias("len"))
-    # lengths are few distinct numbers: count them, then walk the counts
-    sizes = episodes.groupBy("series", "len").agg(F.count("*").alias("k"))
+    same = F.col("prev.high") == F.col("high")
+    runs = ordered.run_sizes(flagged, ["series"], ["hi"], F.floor(F.col("hi") / 720), same, ["high"], {"high": F.col("high")})
+    # lengths are few distinct numbers: walk their counts
+    sizes = runs.filter("high").select("series", F.col("size").alias("len"), F.col("n").alias("k"))
     up_to = Window.partitionBy("series").orderBy("len").rowsBetween(Window.unboundedPreceding, 0)
     ranked = sizes.select(
         "series", "len", "k", F.sum("k").over(up_to).alias("upto"), F.sum("k").over(Window.partitionBy("series")).alias("n")

@@ -12,7 +12,8 @@ The answer is exactly the one of the plain window, whatever the bucket width. Ke
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.timeaxis import hour_index
@@ -129,6 +130,70 @@ def runs(
     ).drop("prev")
 
 
+def run_sizes(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    bucket: Column,
+    same_as_previous: Column,
+    compared: Sequence[str],
+    label: Mapping[str, Column],
+    size: Column | None = None,
+    sums: Mapping[str, Column] | None = None,
+) -> DataFrame:
+    """How many runs of each size there are: keys, the columns of ``label``, ``size``, ``n`` and the ``sums`` over their rows.
+
+    Runs are those of :func:`runs`; ``same_as_previous`` may use the columns ``compared`` and their ``prev``. ``label`` is
+    constant within a run; ``size`` is added up over its rows (their number unless given).
+
+    The rows are shuffled once, by (keys, bucket), and summed up there: inner runs of a bucket are closed and become
+    counts by size, its first and last run keep the values at their ends. These summaries are shuffled once more, by
+    the keys, where runs that go on over a seam are joined. No row is joined back.
+    """
+    sums = dict(sums or {})
+    within = Window.partitionBy(*keys, _BUCKET).orderBy(*order)
+    whole = within.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    so_far = within.rowsBetween(Window.unboundedPreceding, 0)
+    here = F.struct(*compared)
+    names, totals = [f"__label_{c}" for c in label], [f"__sum_{c}" for c in sums]
+    summed = [F.sum(c).alias(c) for c in totals]
+    added = [F.sum("__size").alias("__size"), *summed]
+
+    d = df.select(
+        *dict.fromkeys([*keys, *order, *compared]),
+        bucket.alias(_BUCKET),
+        (F.lit(1) if size is None else size).alias("__size"),
+        *[c.alias(n) for n, c in zip(totals, sums.values())],
+        *[c.alias(n) for n, c in zip(names, label.values())],
+    )
+    d = d.withColumn("prev", F.lag(here).over(within))
+    d = d.withColumn("__opens", F.when(F.col("prev").isNotNull() & same_as_previous, 0).otherwise(1))
+    d = d.withColumn("__run", F.sum("__opens").over(so_far)).withColumn("__runs", F.sum("__opens").over(whole))
+    place = F.struct(*order)
+    found = d.groupBy(*keys, _BUCKET, "__run").agg(
+        *[F.first(n).alias(n) for n in names],
+        *added,
+        F.max("__runs").alias("__runs"),
+        F.min_by(here, place).alias("__head"),
+        F.max_by(here, place).alias("__tail"),
+    )
+    outer = (F.col("__run") == 1) | (F.col("__run") == F.col("__runs"))
+    found = found.withColumn("__edge", F.when(outer, F.col("__run")))
+    ends = [F.first(F.when(outer, F.col(c))).alias(c) for c in ("__head", "__tail")]
+    found = found.groupBy(*keys, _BUCKET, "__edge", *names, "__size").agg(F.count("*").alias("n"), *summed, *ends)
+
+    # at most two ends of a bucket, and its sizes
+    seams = Window.partitionBy(*keys).orderBy(F.col("__edge").isNull(), _BUCKET, "__edge")
+    found = found.withColumn("prev", F.lag("__tail").over(seams))
+    found = found.withColumns({c: F.col(f"__head.`{c}`") for c in compared if c not in keys})
+    goes_on = (F.col("__edge") == 1) & F.col("prev").isNotNull() & same_as_previous
+    found = found.withColumn("__chain", F.sum(F.when(goes_on, 0).otherwise(1)).over(seams.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = found.groupBy(*keys, "__chain").agg(*[F.first(n).alias(n) for n in names], F.max("n").alias("n"), *added)
+    counted = merged.groupBy(*keys, *names, "__size").agg(F.sum("n").alias("n"), *summed)
+    shown = [F.col(n).alias(c) for n, c in zip((*names, *totals), (*label, *sums))]
+    return counted.select(*keys, F.col("__size").alias("size"), "n", *shown)
+
+
 def asof_join(
     probes: DataFrame,
     facts: DataFrame,

@@ -404,9 +404,9 @@ def episodes_above(generation: DataFrame, level: float = shares.THRESHOLD_IN_FOR
     """Lengths of the runs of hours above the level, by year: count, upper median, longest."""
     share = percent(_intermittent("solaire_mw", "eolien_mw"), TOTAL)
     d = generation.select("annee", T.hour_index("date_heure").alias("h"), F.coalesce(share > level, F.lit(False)).alias("high"))
-    runs = ordered.runs(d, ["annee"], ["h"], F.floor(F.col("h") / 720), F.col("prev.high") == F.col("high"), ["high"])
-    lengths = runs.filter("high").groupBy("annee", "run_start").agg(F.count("*").alias("n"))
-    sizes = lengths.groupBy("annee", "n").agg(F.count("*").alias("k"))
+    same = F.col("prev.high") == F.col("high")
+    runs = ordered.run_sizes(d, ["annee"], ["h"], F.floor(F.col("h") / 720), same, ["high"], {"high": F.col("high")})
+    sizes = runs.filter("high").select("annee", F.col("size").alias("n"), F.col("n").alias("k"))
     up_to = Window.partitionBy("annee").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     d = sizes.select("annee", "n", "k", F.sum("k").over(up_to).alias("upto"), F.sum("k").over(Window.partitionBy("annee")).alias("all"))
     place = F.floor(F.col("all") / 2) + 1
@@ -443,11 +443,22 @@ def carried_share(flows: DataFrame) -> DataFrame:
     step = T.minute_index("date_heure_utc")
     d = flows.withColumn("t", step)
     e = series.energy("mw", "minutes")
-    totals = d.groupBy("annee", "sens").agg(percent(sum_if(~F.col("declare"), e), F.sum(e)).alias("carried_percent"))
     same = (F.col("prev.mw") == F.col("mw")) & (F.col("prev.t") + F.col("prev.minutes") == F.col("t"))
-    runs = ordered.runs(d, ["annee", "sens"], ["t"], F.floor(F.col("t") / 43_200), same, ["mw", "t", "minutes"])
-    blocks = runs.filter(F.col("mw") != 0).groupBy("annee", "sens", "run_start").agg((F.sum("minutes") / 60.0).alias("hours"))
-    return totals.join(blocks.groupBy("annee", "sens").agg(F.max("hours").alias("longest_hours")), ["annee", "sens"], "left")
+    sizes = ordered.run_sizes(
+        d,
+        ["annee", "sens"],
+        ["t"],
+        F.floor(F.col("t") / 43_200),
+        same,
+        ["mw", "t", "minutes"],
+        {"flows": F.col("mw") != 0},
+        size=F.col("minutes"),
+        sums={"energy": e, "carried": F.when(~F.col("declare"), e)},
+    )
+    return sizes.groupBy("annee", "sens").agg(
+        percent(F.sum("carried"), F.sum("energy")).alias("carried_percent"),
+        (F.max(F.when(F.col("flows"), F.col("size"))) / 60.0).alias("longest_hours"),
+    )
 
 
 def instrument_mean(raw: DataFrame, value: str = "GLO", code: str = "QGLO", kept: Sequence[str] = ("1", "9")) -> DataFrame:

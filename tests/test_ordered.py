@@ -91,3 +91,62 @@ def test_bucket_width_follows_the_busiest_hour(spark):
     assert ordered.bucket_seconds(df, ["k"], "t", target_rows=1800) == 3 * 3600
     assert ordered.bucket_seconds(df, ["k"], "t", target_rows=10) == 60
     assert ordered.bucket_seconds(df.filter("false"), ["k"], "t", target_rows=10) == 36000
+
+
+def brute_sizes(df):
+    """(key, value, size) of every run in the order of time."""
+    by_key = {}
+    for r in sorted(df.collect(), key=lambda r: (r.k, r.t, r.id)):
+        by_key.setdefault(r.k, []).append((r.v, r.id))
+    out = []
+    for k, values in by_key.items():
+        for i, (v, weight) in enumerate(values):
+            if i and values[i - 1][0] == v:
+                out[-1][2] += 1
+                out[-1][3] += weight
+            else:
+                out.append([k, v, 1, weight])
+    return out
+
+
+def test_run_sizes_equal_islands_for_any_bucket(spark):
+    df = stream(spark, seed=4).fillna("z", ["v"])
+    found = brute_sizes(df)
+    want = {}
+    for k, v, size, weight in found:
+        n, total = want.get((k, v, size), (0, 0))
+        want[k, v, size] = n + 1, total + weight
+    for width in (1, 2, 4, 30, 1000):
+        got = ordered.run_sizes(
+            df, ["k"], ["t", "id"], F.floor(F.col("t") / width), F.col("prev.v") == F.col("v"), ["v"], {"value": F.col("v")},
+            sums={"ids": F.col("id")},
+        )
+        assert {(r.k, r.value, r.size): (r.n, r.ids) for r in got.collect()} == want, width
+
+
+def test_run_sizes_with_gaps_and_weights(spark):
+    """A run also ends where time is interrupted; the size is a sum."""
+    rng = random.Random(9)
+    times = sorted(rng.sample(range(300), 200))
+    rows_ = [("a", t, rng.choice([0, 0, 1])) for t in times]
+    df = spark.createDataFrame(rows_, "k string, t int, v int")
+    same = (F.col("prev.v") == F.col("v")) & (F.col("prev.t") == F.col("t") - 1)
+    want, last = [], None
+    for _, t, v in rows_:
+        if last == (t - 1, v):
+            want[-1][1] += 10
+        else:
+            want.append([v, 10])
+        last = (t, v)
+    got = ordered.run_sizes(df, ["k"], ["t"], F.floor(F.col("t") / 16), same, ["v", "t"], {"v": F.col("v")}, size=F.lit(10))
+    assert sorted((r.v, r.size) for r in got.collect() for _ in range(r.n)) == sorted(map(tuple, want))
+
+
+def test_run_sizes_take_two_shuffles(spark):
+    df = stream(spark, seed=4)
+    got = ordered.run_sizes(df, ["k"], ["t"], F.floor(F.col("t") / 4), F.col("prev.v").eqNullSafe(F.col("v")), ["v"], {"v": F.col("v")})
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") == 2
+    assert "Join" not in plan
+    assert ordered.run_sizes(df.limit(0), ["k"], ["t"], F.col("t"), F.col("prev.v") == F.col("v"), ["v"], {"v": F.col("v")}).count() == 0
