@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from . import query
@@ -10,7 +12,8 @@ from ..functions import timeaxis as T
 from ..functions.numeric import cents
 from ..operators import quality, versions
 from ..operators.ordered import bucket_seconds
-from ..session import cut_lineage
+from ..session import cut_lineage, shared_folder
+from ..streaming.snapshots import Feed
 
 ORDER = ["observed_at", "seq"]
 
@@ -191,3 +194,27 @@ def latest_attribute(spark, sf):
     return table(spark, sf, "events").groupBy("user_id").agg(latest.alias("l")).select(
         "user_id", F.col("l.event_type").alias("latest_type"), T.as_text("l.ts").alias("observed_at")
     )
+
+
+@query("""WITH R AS (SELECT event_type AS series, event_id, CAST(ts AS DATE) - DATE '1970-01-01' + k AS taken, k, CAST(round(value*100) AS BIGINT) + k * (event_id % 3) AS c
+  FROM events, range(0, 3) t(k)),
+S AS (SELECT *, row_number() OVER (PARTITION BY series, event_id ORDER BY k DESC) AS rk, max(k) OVER (PARTITION BY series, event_id) AS top FROM R WHERE taken % 5 <> 0)
+SELECT series, count(*) FILTER (WHERE rk = 1) AS n_readings, count(*) FILTER (WHERE rk = 1 AND k = 2) AS n_final,
+CAST(sum(c) FILTER (WHERE rk = 1) AS BIGINT) AS cents, count(*) FILTER (WHERE rk > 1 AND (top = 2 OR k > 0)) AS n_superseded FROM S GROUP BY 1""")
+def feed_newest_revision(spark, sf):
+    """Readings come in snapshots of the day and of the two days after, revised each time; every fifth day has no
+    snapshot. The stream meets the last snapshots first, then the first, then those between."""
+    target = f"{shared_folder(spark).rstrip('/')}/feed-{uuid.uuid4().hex}"
+    feed = Feed(spark, target, "series string, event_id bigint, ts timestamp_ntz, taken int, c bigint", ["series", "event_id"], "ts", "taken")
+    readings = table(spark, sf, "events").select(F.col("event_type").alias("series"), "event_id", "ts", cents("value").alias("first"))
+    for k in (2, 0, 1):
+        taken = F.unix_date(F.col("ts").cast("date")) + k
+        snapshot = readings.select("series", "event_id", "ts", taken.alias("taken"), (F.col("first") + k * (F.col("event_id") % 3)).alias("c"))
+        snapshot.filter("taken % 5 <> 0").write.mode("append").parquet(f"{target}/in")
+        feed.ingest(f"{target}/in", f"{target}/checkpoint")
+    final = F.col("taken") - F.unix_date(F.col("ts").cast("date")) == 2
+    found = feed.current().groupBy("series").agg(
+        F.count("*").alias("n_readings"), F.count_if(final).alias("n_final"), F.sum("c").alias("cents")
+    )
+    late = feed.late().filter("reason = 'superseded'").groupBy("series").agg(F.count("*").alias("n"))
+    return found.join(late, "series", "left").select("series", "n_readings", "n_final", "cents", F.coalesce("n", F.lit(0)).alias("n_superseded"))

@@ -1,50 +1,122 @@
+"""The feed: any order of snapshot files gives the table of the batch form; nothing late is lost."""
+
+import itertools
+from datetime import date
+
+import pytest
 from pyspark.sql import functions as F
 
 from chronowatt.streaming import snapshots as S
 
-SCHEMA = "series string, ts timestamp, value double"
+SCHEMA = "series string, ts timestamp, value double, taken timestamp"
+START = 1_700_000_000 // 86_400 * 86_400
 
 
-def feed(spark, first, last, offset=0.0):
-    """Quarter-hours of two series between two steps of the feed."""
+def snapshot(spark, first, last, taken, offset=0.0):
+    """Quarter-hours of two series between two steps of the feed, as read at day ``taken``."""
     return spark.range(first, last).select(
         F.explode(F.array(F.lit("a"), F.lit("b"))).alias("series"),
-        F.timestamp_seconds(F.lit(1_700_000_000 // 900 * 900) + F.col("id") * 900).alias("ts"),
+        F.timestamp_seconds(F.lit(START) + F.col("id") * 900).alias("ts"),
         (F.col("id") % 17 + offset).cast("double").alias("value"),
+        F.timestamp_seconds(F.lit(START + taken * 86_400)).alias("taken"),
     )
 
 
-def write_snapshots(spark, path):
-    for first, last in ((0, 60), (40, 100), (80, 140)):
-        feed(spark, first, last).coalesce(1).write.mode("append").parquet(path)
+def rows(df):
+    return sorted(map(tuple, df.collect()), key=str)
 
 
-def rows(df):
-    return sorted(map(tuple, df.collect()))
-
-
-def test_stream_equals_batch(spark, tmp_path):
-    source, target, checkpoint = (str(tmp_path / n) for n in ("in", "out", "chk"))
-    write_snapshots(spark, source)
-    S.ingest(spark, source, SCHEMA, target, checkpoint, ["series"], "ts", files_per_batch=1)
-    got = spark.read.parquet(target)
-    assert rows(got.select("series", "ts", "value")) == rows(feed(spark, 0, 140).select("series", "ts", "value"))
-    # a later run adds only what is new
-    feed(spark, 120, 160).coalesce(1).write.mode("append").parquet(source)
-    S.ingest(spark, source, SCHEMA, target, checkpoint, ["series"], "ts", files_per_batch=1)
-    got = spark.read.parquet(target)
-    assert got.count() == 320
-    batch = S.hourly_means_batch(spark.read.parquet(source), ["series"], "ts", "value")
-    assert rows(S.hourly_means(got, ["series"], "ts", "value")) == rows(batch)
-
-
-def test_hourly_stream_equals_batch_on_closed_hours(spark, tmp_path):
-    source, target, checkpoint = (str(tmp_path / n) for n in ("in", "out", "chk"))
-    write_snapshots(spark, source)
-    feed(spark, 400, 401).coalesce(1).write.mode("append").parquet(source)  # moves the watermark on
-    S.hourly_into(spark, source, SCHEMA, target, checkpoint, ["series"], "ts", "value", overlap="1 day", files_per_batch=1)
-    got = spark.read.parquet(target)
-    batch = S.hourly_means_batch(spark.read.parquet(source), ["series"], "ts", "value")
-    closed = batch.filter(F.col("hour") < F.lit("2023-11-17").cast("timestamp"))
-    assert rows(got) == rows(closed)
-    assert got.count() == 70
+def feed(spark, path):
+    return S.Feed(spark, str(path / "feed"), SCHEMA, ["series"], "ts", "taken")
+
+
+def snapshots(spark):
+    # 3 days each; the second revises half of the first, the third gives the first values back, the last is a backfill
+    return [
+        snapshot(spark, 0, 288, 3), snapshot(spark, 96, 384, 4, 0.5), snapshot(spark, 192, 480, 5), snapshot(spark, -96 * 40, -96 * 39, 6),
+    ]
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2, 3), (3, 2, 1, 0), (1, 3, 0, 2)])
+def test_any_order_of_files_gives_the_batch_table(spark, tmp_path, order):
+    f, source, checkpoint = feed(spark, tmp_path), str(tmp_path / "in"), str(tmp_path / "chk")
+    every = snapshots(spark)
+    for i in order:
+        every[i].coalesce(1).write.mode("append").parquet(source)
+        f.ingest(source, checkpoint)
+    got = f.current()
+    want = S.newest(spark.read.parquet(source), ["series"], "ts", "taken")
+    assert got.columns == ["series", "ts", "value", "taken"]
+    assert rows(got) == rows(want) and got.count() == 2 * (480 + 96)
+    assert rows(f.hourly("value")) == rows(S.hourly_means(want, ["series"], "ts", "value"))
+
+
+def test_all_files_in_one_run(spark, tmp_path):
+    f, source = feed(spark, tmp_path), str(tmp_path / "in")
+    for s in snapshots(spark):
+        s.coalesce(1).write.mode("append").parquet(source)
+    f.ingest(source, str(tmp_path / "chk"), files_per_batch=1)
+    assert rows(f.current()) == rows(S.newest(spark.read.parquet(source), ["series"], "ts", "taken"))
+    assert len(f._folders("log")) == 4
+    f.ingest(source, str(tmp_path / "chk"))  # nothing new
+    assert len(f._folders("log")) == 4
+
+
+def test_late_rows_are_listed_with_their_reason(spark, tmp_path):
+    f, every = feed(spark, tmp_path), snapshots(spark)
+    f.merge(every[1], 0)
+    assert f.late().count() == 0
+    f.merge(every[0], 1)  # older: 192 steps are superseded, 96 are new
+    assert f.late().groupBy("reason").count().collect() == [("superseded", 384)]
+    f.merge(every[3], 2)
+    assert dict(map(tuple, f.late().groupBy("reason").count().collect())) == {"superseded": 384, "backfilled": 192}
+    f.merge(every[1], 3)  # a repeated snapshot is no news
+    assert f.late().count() == 576 and f.log().count() == 2 * (288 + 96 + 96)
+
+
+def test_a_batch_run_again_replaces_itself(spark, tmp_path):
+    f, every = feed(spark, tmp_path), snapshots(spark)
+    f.merge(every[0], 0)
+    f.merge(every[1], 1)
+    before = rows(f.current()), rows(f.log()), rows(f.late())
+    f.merge(every[1], 1)
+    assert (rows(f.current()), rows(f.log()), rows(f.late())) == before
+
+
+@pytest.mark.parametrize("order", list(itertools.permutations(range(3)))[::2])
+def test_compaction_changes_nothing(spark, tmp_path, order):
+    f, every = feed(spark, tmp_path), snapshots(spark)
+    for number, i in enumerate(order):
+        f.merge(every[i], number)
+        f.compact()
+    f.merge(every[3], 3)
+    f.compact()
+    everything = every[0].unionByName(every[1]).unionByName(every[2]).unionByName(every[3])
+    assert rows(f.current()) == rows(S.newest(everything, ["series"], "ts", "taken"))
+    assert f._folders("base") == [2] and f._folders("log") == [3]
+
+
+def test_odd_rows(spark, tmp_path):
+    f = feed(spark, tmp_path)
+    odd = spark.createDataFrame(
+        [("a", None, 1.0, 1), (None, 5, 2.0, 1), (None, 5, 3.0, 2), ("a", 5, None, 2), ("a", 5, 4.0, 1), ("b", 5, 1.0, 1), ("b", 5, 2.0, 1)],
+        "series string, t int, value double, d int",
+    ).select("series", F.timestamp_seconds("t").alias("ts"), "value", F.timestamp_seconds("d").alias("taken"))
+    f.merge(odd, 0)
+    f.merge(odd.limit(0), 1)
+    assert sorted(((r.series, r.value) for r in f.current().collect()), key=str) == [("a", None), ("b", 2.0), (None, 3.0)]
+    assert [r.reason for r in f.late().collect()] == ["no instant"]
+    f.merge(odd.filter("series is null and value = 2"), 2)
+    assert {r.reason for r in f.late().collect()} == {"no instant", "superseded"}
+    assert feed(spark, tmp_path / "none").current().count() == 0
+
+
+def test_a_span_of_days_reads_only_its_folders(spark, tmp_path):
+    f = feed(spark, tmp_path)
+    f.merge(snapshot(spark, 0, 96 * 5, 9), 0)
+    days = sorted(r.ts for r in f.current().select(F.to_date("ts").alias("ts")).distinct().collect())
+    got = f.current(days[1], days[2])
+    assert got.count() == 2 * 96 * 2
+    scan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in scan
+    assert f.current(date(1990, 1, 1), date(1990, 1, 2)).count() == 0
