@@ -105,27 +105,52 @@ def test_bands(spark):
     assert [r[0] for r in df.select(band).collect()] == ["low", "mid", "high", "top"]
 
 
-@pytest.mark.parametrize("cells", [(1_000.0, 14_000.0), (50.0, 700.0, 14_000.0), (14_000.0,)])
-def test_nearest_k_equals_brute_force(spark, cells):
-    rng = random.Random(5)
-    pts = [(i, rng.uniform(-80, 80), rng.uniform(-180, 180)) for i in range(40)] + [(99, 0.0, 179.9)]
-    tgt = [(100 + i, rng.uniform(-80, 80), rng.uniform(-180, 180)) for i in range(30)] + [(999, 0.0, -179.9)]
-    p = spark.createDataFrame(pts, "p int, lat double, lon double")
-    t = spark.createDataFrame(tgt, "t int, lat double, lon double")
+def km(a, b):
+    la, lo, lb, lp = map(np.radians, (a[1], a[2], b[1], b[2]))
+    h = np.sin((lb - la) / 2) ** 2 + np.cos(la) * np.cos(lb) * np.sin((lp - lo) / 2) ** 2
+    return 2 * 6371 * np.arcsin(np.sqrt(min(1, h)))
+
 
-    def km(a, b):
-        la, lo, lb, lp = map(np.radians, (a[1], a[2], b[1], b[2]))
-        h = np.sin((lb - la) / 2) ** 2 + np.cos(la) * np.cos(lb) * np.sin((lp - lo) / 2) ** 2
-        return 2 * 6371 * np.arcsin(np.sqrt(min(1, h)))
+def places(spark, name, rows):
+    return spark.createDataFrame(rows, f"{name} int, lat double, lon double")
 
+
+@pytest.mark.parametrize("leaf", [1, 4, 1_000])
+def test_nearest_k_equals_brute_force(spark, leaf):
+    rng = random.Random(5)
+    pts = [(i, rng.uniform(-80, 80), rng.uniform(-180, 180)) for i in range(40)] + [(99, 0.0, 179.9), (98, 90.0, 0.0)]
+    # a dense town beside the open country
+    pts += [(200 + i, 48 + rng.uniform(-0.1, 0.1), 2 + rng.uniform(-0.1, 0.1)) for i in range(20)]
+    tgt = [(100 + i, rng.uniform(-80, 80), rng.uniform(-180, 180)) for i in range(30)] + [(999, 0.0, -179.9)]
+    tgt += [(300 + i, 48 + rng.gauss(0, 0.01), 2 + rng.gauss(0, 0.01)) for i in range(60)]
     got = {}
-    for r in joins.nearest_k(p, t, "p", "t", 3, cells).collect():
+    for r in joins.nearest_k(places(spark, "p", pts), places(spark, "t", tgt), "p", "t", 3, leaf).collect():
         got.setdefault(r.p, {})[r["rank"]] = r.t
     for a in pts:
         best = [b[0] for b in sorted(tgt, key=lambda b: km(a, b))[:3]]
         assert [got[a[0]][i] for i in (1, 2, 3)] == best
 
 
+def test_nearest_k_with_too_few_targets_ties_and_no_position(spark):
+    pts = [(1, 10.0, 10.0), (2, None, 10.0)]
+    tgt = [(7, 10.0, 10.0), (5, 10.0, 10.0), (6, None, None)]
+    got = joins.nearest_k(places(spark, "p", pts), places(spark, "t", tgt), "p", "t", 3).collect()
+    assert sorted((r.p, r.t, r["rank"]) for r in got) == [(1, 5, 1), (1, 7, 2)]
+    one = joins.nearest_k(places(spark, "p", pts), places(spark, "t", tgt), "p", "t", 1).collect()
+    assert [(r.p, r.t) for r in one] == [(1, 5)]
+    assert joins.nearest_k(places(spark, "p", pts), places(spark, "t", tgt).limit(0), "p", "t", 1).count() == 0
+
+
+def test_pairs_grow_with_the_points_inside_one_degree(spark):
+    rng = random.Random(8)
+    per_point = []
+    for n in (200, 3_200):
+        pts, tgt = ([(i, 45 + rng.random(), 5 + rng.random()) for i in range(n)] for _ in range(2))
+        pairs = joins.candidates(places(spark, "p", pts), places(spark, "t", tgt), "p", "t", 2)
+        per_point.append(pairs.count() / n)
+    assert max(per_point) < 120 and per_point[1] < 2 * per_point[0]
+
+
 def test_reconcile(spark):
     a = spark.createDataFrame([("s", 1, 1.0), ("s", 2, 5.0)], "k string, t int, v double")
     b = spark.createDataFrame([("s", 1, 1.5), ("s", 3, 9.0)], "k string, t int, v double")
@@ -137,3 +162,5 @@ def test_broadcast_only_after_counting(spark):
     hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
     assert hinted(joins.broadcast_if_small(spark.range(10), limit=10))
     assert not hinted(joins.broadcast_if_small(spark.range(11), limit=10))
+    wide = spark.createDataFrame([("x" * 5_000,)], "s string")
+    assert hinted(joins.broadcast_if_small(wide, size=6_000)) and not hinted(joins.broadcast_if_small(wide, size=4_000))
