@@ -1,171 +1,256 @@
-"""Toxicity: nearest labelled examples by exact TF-IDF cosine, with an inverted index.
-
-Terms are whole words and word beginnings of 4 to 6 letters. The index holds labelled examples (at most
-``SAMPLE_ROWS``, a parameter, equal texts once) with all their terms. Document frequencies count all documents.
-A text's vector is (1 + log tf) * idf * factor, of length one. The factor grows from ``TOPIC`` to 1 with a term's
-log-likelihood ratio of association with label 1 among the examples: so topic counts little where a text has
-words that labels tell about, and decides where it has none.
-
-A query adds up the postings of all its terms; the k best are sought only where the maximum of a block of
-examples reaches the k-th largest such maximum, so the k nearest are exact. Neighbours vote with their cosine,
-the share of the vote is mapped to a probability on the examples themselves, each left out of its own
-neighbours; a text without any term of an example gets the share of label 1 among examples without terms. The
-neighbours are the evidence.
-
-Null and empty texts have no terms. Ties among neighbours go to the smaller id. The index has a fixed number of
-examples and is broadcast; every document is a query.
+"""Toxicity: nearest labelled examples by exact TF-IDF cosine, with a block-max inverted index.
+
+Terms are whole words and word beginnings of 5 letters, known by a 64-bit hash. The index holds labelled examples
+(at most ``SAMPLE_ROWS``, a parameter, equal texts once, with the mean of their labels) with all their terms. Document
+frequencies count all documents. A text's vector is (1 + log tf) * idf * factor, of length one. The factor grows from
+``TOPIC`` to 1 with a term's log-likelihood ratio of association with label 1 among the examples: so topic counts little
+where a text has words that labels tell about, and decides where it has none (``topic=1`` is plain TF-IDF).
+
+Examples that are alike stand in one block. A term that many examples have keeps a row of weights for each block, with
+the largest of them; a rarer term keeps a posting list. A query adds up the posting lists of its rarer terms. The best
+of these sums in a block and the block's largest weights of the common terms bound the cosine of every example of the
+block. The blocks with the best bounds are added up in whole; of the others, only those whose bound reaches the
+k-th cosine found so far. The k nearest are exact.
+
+Neighbours vote with their cosine, the share of the vote is mapped to a
+probability on the examples themselves, each left out of its own neighbours; a text without any term of an example gets
+the share of label 1 among examples without terms. The neighbours are the evidence.
+
+Terms are counted, vectors made and the left-out votes cast on executors; the driver gets numbers of terms, in
+proportion to the different terms of the sampled examples, and lays them out as the index.
+
+Null and empty texts have no terms. A text of any length is one query. Ties among neighbours go to the smaller id.
+Repeated rows are scored alike and count once each in the document frequencies. An empty table has no rows; without
+labels every score is 0. Only doc_id and text are looked at, other columns may have any name.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import held_out, labelled_sample, share, table
+from .common import held_out, labelled_sample, mix, powers, share, table
 
 SAMPLE_ROWS = 6_000
 NEIGHBOURS = 16
-BLOCK = 64
+BLOCK = 32
+# A term is common if one in so many examples has it.
+_COMMON = 24
+# Queries that are answered at once.
+_QUERIES = 128
 THRESHOLD = 0.3
 # Factor of a term that label 1 has no more often than chance, and the ratio from which the factor is 1.
 TOPIC = 0.1
 _FULL_RATIO = 25.0
 _BINS = 10
-_STARTS = (4, 5, 6)
-_WORD = re.compile(r"[^\W\d_]+")
-_REMEMBERED = 300_000
-
-
-def terms_of(word: str) -> list[str]:
-    return [f"{word} ", *[word[:n] for n in _STARTS if len(word) >= n]]
-
-
-class Terms:
-    """Counts of the vocabulary's terms in a text. Which terms a word has is remembered, up to a bound."""
-
-    def __init__(self, vocabulary: list[str]):
-        self.place = {t: i for i, t in enumerate(vocabulary)}
-        self.met: dict[str, tuple[int, ...]] = {}
-
-    def counts(self, text: str | None) -> dict[int, int]:
-        if not text:
-            return {}
-        met, found = self.met, Counter()
-        for word, n in Counter(_WORD.findall(text.lower())).items():
-            at = met.get(word)
-            if at is None:
-                if len(met) >= _REMEMBERED:
-                    met.clear()
-                at = met[word] = tuple(i for t in terms_of(word) if (i := self.place.get(t)) is not None)
-            for i in at:
-                found[i] += n
-        return dict(found)
-
-
-def vector(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.array(sorted(counts), np.int64)
-    if not len(at):
-        return at, np.zeros(0)
-    weight = (1 + np.log(np.array([counts[i] for i in at], float))) * idf[at]
-    return at, weight / np.sqrt(weight @ weight)
-
-
-class _Buffer:
-    """Room for the postings of one query, used again: fresh memory would cost more than the sums."""
-
-    def __init__(self) -> None:
-        self.ids, self.parts = np.zeros(0, np.int64), np.zeros(0)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.ids) < n:
-            self.ids, self.parts = np.zeros(2 * n, np.int64), np.zeros(2 * n)
-        return self.ids, self.parts
-
-
-_BUFFER = _Buffer()
+_START = 5
+# Characters of texts that are worked on at once; a longer text is alone.
+_PIECE = 1 << 19
+_LETTERS: list[np.ndarray] = []
+
+
+def letters() -> np.ndarray:
+    """Whether a code point is a letter: a word character that is neither a digit nor an underscore."""
+    if not _LETTERS:
+        _LETTERS.append(np.array([(c := chr(i)).isalnum() and not c.isdecimal() for i in range(0x110000)]))
+    return _LETTERS[0]
+
+
+def pieces(texts: list[str | None]) -> Iterator[list[str]]:
+    """Consecutive texts of about _PIECE characters, null as empty."""
+    some: list[str] = []
+    size = 0
+    for text in texts:
+        text = text or ""
+        if some and size + len(text) > _PIECE:
+            yield some
+            some, size = [], 0
+        some.append(text)
+        size += len(text)
+    if some:
+        yield some
+
+
+def terms_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the text, term and count of each different term of each text, in that order."""
+    low = [t.lower() for t in texts]
+    cuts = np.cumsum([0] + [len(t) + 1 for t in low])
+    code = np.frombuffer((" ".join(low) + " ").encode("utf-32-le", "surrogatepass"), "<u4")
+    edge = np.diff(letters()[code].astype(np.int8), prepend=0)
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    up, down = powers(len(code) + 1)
+    prefix = np.zeros(len(code) + 1, np.uint64)
+    np.cumsum((code.astype(np.uint64) + np.uint64(1)) * up[: len(code)], out=prefix[1:])
+    text = np.searchsorted(cuts, starts, "right") - 1
+    begun = lambda s, e: (prefix[e] - prefix[s]) * down[s]
+    # a word is another term than a beginning of the same letters
+    found, where = [mix(begun(starts, ends) + np.uint64(1))], [text]
+    long = ends - starts >= _START
+    found.append(mix(begun(starts[long], starts[long] + _START) * np.uint64(3)))
+    where.append(text[long])
+    term, text = np.concatenate(found).view(np.int64), np.concatenate(where)
+    order = np.lexsort((term, text))
+    term, text = term[order], text[order]
+    first = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (text[1:] != text[:-1])))) if len(term) else order
+    return text[first], term[first], np.diff(np.append(first, len(term)))
+
+
+def spread(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after the other."""
+    size = end - begin
+    return np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
 
 
 class BlockMaxIndex:
-    """Postings by term. The cosines of all examples are added up exactly, the best are sought by the largest
-    cosine of each block of example numbers."""
-
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int = BLOCK):
-        self.n, self.block = len(vectors), block
-        sizes = [len(v[0]) for v in vectors]
-        at = np.concatenate([v[0] for v in vectors]) if vectors else np.zeros(0, np.int64)
-        order = np.argsort(at, kind="stable")
-        self.ids = np.repeat(np.arange(self.n), sizes)[order]
-        self.weights = (np.concatenate([v[1] for v in vectors]) if vectors else np.zeros(0))[order]
-        # where each term's postings begin
-        self.cuts = np.searchsorted(at[order], np.arange(terms + 1))
-
-    def nearest(self, at: np.ndarray, weight: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and cosines of the k nearest examples that share a term, best first, ties by number."""
-        lo, hi = self.cuts[at], self.cuts[at + 1]
-        total = int((hi - lo).sum())
-        if not total:
-            return np.zeros(0, np.int64), np.zeros(0)
-        ids, parts = _BUFFER.upto(total)
-        end = 0
-        for i, j, w in zip(lo.tolist(), hi.tolist(), weight.tolist()):
-            begin, end = end, end + j - i
-            ids[begin:end] = self.ids[i:j]
-            np.multiply(self.weights[i:j], w, out=parts[begin:end])
-        sums = np.bincount(ids[:end], parts[:end], minlength=-(-self.n // self.block) * self.block)
-        if without >= 0:
-            sums[without] = 0.0
-        # k blocks with a maximum of m or more hold k examples of m or more
-        peaks = np.sort(sums.reshape(-1, self.block).max(axis=1))
-        least = peaks[-k] - 1e-9 if len(peaks) >= k else 0.0
-        hit = np.flatnonzero((sums > 0) & (sums >= least))
-        cos = np.round(sums[hit], 12)
-        order = np.lexsort((hit, -cos))[:k]
-        return hit[order], cos[order]
+    """Examples in blocks. A term that many examples have keeps its postings as one row of weights for each block, and
+    the largest of them; a rarer term keeps a list of slots (places of examples) and weights."""
+
+    def __init__(self, example: np.ndarray, term: np.ndarray, weight: np.ndarray, examples: int, terms: int, block: int = BLOCK):
+        """Postings in any order; examples and terms are numbered from 0."""
+        self.n, self.block, self.blocks = examples, block, -(-examples // block)
+        self.blocks_seen = 0
+        self.slot = np.arange(examples)
+        self._lay_out(example, term, weight, terms)
+        if self.blocks > 1:
+            self.slot = self._alike(example, term, weight)
+            self._lay_out(example, term, weight, terms)
+
+    def _lay_out(self, example: np.ndarray, term: np.ndarray, weight: np.ndarray, terms: int) -> None:
+        self.example_at = np.argsort(self.slot)
+        common = np.bincount(term, minlength=terms) * _COMMON >= max(self.n, 1)
+        # number among the common terms, -1 for others
+        self.common = np.where(common, np.cumsum(common) - 1, -1)
+        often = common[term]
+        self.rows = np.zeros((int(common.sum()), self.blocks * self.block))
+        self.rows[self.common[term[often]], self.slot[example[often]]] = weight[often]
+        self.largest = self.rows.reshape(len(self.rows), self.blocks, self.block).max(axis=2) if self.blocks else self.rows
+        term, slot, weight = term[~often], self.slot[example[~often]], weight[~often]
+        order = np.lexsort((slot, term))
+        self.slots, self.weights = slot[order].astype(np.int32), weight[order]
+        self.cuts = np.searchsorted(term[order], np.arange(terms + 1))
+
+    def _alike(self, example: np.ndarray, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Another order of the examples: by the nearest of as many of them as there are blocks."""
+        order = np.argsort(example, kind="stable")
+        cuts = np.searchsorted(example[order], np.arange(self.n + 1))
+        nearest, cosine = np.zeros(self.n, np.int64), np.zeros(self.n)
+        for pivot in np.linspace(0, self.n - 1, self.blocks).astype(int).tolist():
+            mine = order[cuts[pivot] : cuts[pivot + 1]]
+            rare, dense = self._split(np.zeros(len(mine), np.int64), term[mine], weight[mine], 1)
+            here = (rare + dense @ self.rows)[0, : self.n]
+            closer = here > cosine
+            nearest[closer], cosine[closer] = pivot, here[closer]
+        slot = np.empty(self.n, np.int64)
+        slot[np.lexsort((-cosine, nearest))] = np.arange(self.n)
+        return slot
+
+    def _split(self, query: np.ndarray, at: np.ndarray, q: np.ndarray, queries: int) -> tuple[np.ndarray, np.ndarray]:
+        """By query: the sums of the rarer terms over all slots, and the weights of the common terms."""
+        width = self.blocks * self.block
+        begin, end = self.cuts[at], self.cuts[at + 1]
+        i = spread(begin, end)
+        places = np.repeat(query * width, end - begin) + self.slots[i]
+        sums = np.bincount(places, self.weights[i] * np.repeat(q, end - begin), minlength=queries * width)
+        dense = np.zeros((queries, len(self.rows)))
+        often = self.common[at] >= 0
+        dense[query[often], self.common[at[often]]] = q[often]
+        return sums.astype(float, copy=False).reshape(queries, width), dense
+
+    def nearest(
+        self, query: np.ndarray, at: np.ndarray, q: np.ndarray, queries: int, k: int, without: np.ndarray | None = None
+    ) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the numbers and cosines of the k nearest examples that share a term, best first, ties by number.
+
+        query, at, q: number of the query, term, weight; without: an example for each query that is no neighbour."""
+        if not self.n:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * queries
+        sums, dense = self._split(query, at, q, queries)
+        if without is not None:
+            sums[np.arange(queries), self.slot[without]] = -np.inf
+        # cosines of a block are at most its best sum of rarer terms and the largest weights of the common ones
+        bound = sums.reshape(queries, self.blocks, self.block).max(axis=2) + dense @ self.largest
+        first = min(self.blocks, max(2, -(-k // self.block)))
+        best = np.argpartition(-bound, first - 1, axis=1)[:, :first]
+        seen = np.zeros(bound.shape, bool)
+        np.put_along_axis(seen, best, True, axis=1)
+        self._complete(sums, dense, seen)
+        found = np.take_along_axis(sums.reshape(queries, self.blocks, self.block), best[:, :, None], axis=1).reshape(queries, -1)
+        # the k-th cosine so far; other blocks that do not reach it are not looked at
+        least = np.partition(found, -k, axis=1)[:, -k] if found.shape[1] >= k else np.zeros(queries)
+        least = np.maximum(least, 0) - 1e-9
+        more = ~seen & (bound > 0) & (bound >= least[:, None])
+        self._complete(sums, dense, more)
+        self.blocks_seen += int(seen.sum() + more.sum())
+        row, slot = np.nonzero((sums > 0) & (sums >= least[:, None]))
+        cosine = np.round(sums[row, slot], 12)
+        number = self.example_at[np.minimum(slot, self.n - 1)]
+        order = np.lexsort((number, -cosine, row))
+        number, cosine = number[order], cosine[order]
+        cuts = np.searchsorted(row[order], np.arange(queries + 1))
+        return [(number[i : min(j, i + k)], cosine[i : min(j, i + k)]) for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+
+    def _complete(self, sums: np.ndarray, dense: np.ndarray, todo: np.ndarray) -> None:
+        """Add the common terms to the sums of the blocks in ``todo``, by query."""
+        for b in np.flatnonzero(todo.any(axis=0)).tolist():
+            who, here = np.flatnonzero(todo[:, b]), slice(b * self.block, (b + 1) * self.block)
+            sums[who, here] += dense[who] @ self.rows[:, here]
 
 
 class Model:
-    def __init__(self, examples: pd.DataFrame, vocabulary: list[str], idf: np.ndarray, neighbours: int = NEIGHBOURS):
-        """examples: doc_id, label, text; idf with the factors. Only those with a term of the vocabulary can be
-        neighbours."""
-        self.terms, self.idf, self.k = Terms(vocabulary), idf, neighbours
-        examples = examples.sort_values("doc_id")
-        vectors = [vector(self.terms.counts(t), idf) for t in examples["text"]]
-        labels = examples["label"].to_numpy(float)
-        has = np.array([len(v[0]) > 0 for v in vectors], bool)
-        none = labels[~has] if len(labels) else labels
-        self.prior = (labels.sum() + 0.5) / (len(labels) + 1) if len(labels) else 0.0
-        self.without_terms = float((none.sum() + self.prior) / (len(none) + 1)) if len(none) else float(self.prior)
-        self.ids = examples["doc_id"].to_numpy()[has]
-        self.labels = labels[has]
-        kept = [v for v in vectors if len(v[0])]
-        self.index = BlockMaxIndex(kept, len(vocabulary))
-        votes = np.array([self.vote(*self.index.nearest(*v, self.k, i)) for i, v in enumerate(kept)])
-        # probability by bin of the vote, smoothed by the bin's middle and made to rise
+    """Terms of the examples, their weights and the index; after :meth:`calibrate` also the probabilities by vote."""
+
+    def __init__(
+        self, ids: np.ndarray, labels: np.ndarray, example: np.ndarray, term: np.ndarray, count: np.ndarray, weight_of: np.ndarray, vocabulary: np.ndarray, neighbours: int = NEIGHBOURS
+    ):
+        """Examples by ascending id; example, term (number in the sorted vocabulary), count: their terms; weight_of: idf
+        with the factor."""
+        self.vocabulary, self.weight_of, self.k = vocabulary, weight_of, neighbours
+        self.ids, self.labels = ids, labels
+        weight = (1 + np.log(count)) * weight_of[term]
+        norm = np.sqrt(np.bincount(example, weight**2, minlength=len(ids)))
+        self.index = BlockMaxIndex(example, term, weight / np.maximum(norm, 1e-300)[example], len(ids), len(vocabulary))
+        has = norm > 0
+        self.prior = float((labels.sum() + 0.5) / (len(labels) + 1)) if len(labels) else 0.0
+        none = labels[~has]
+        self.without_terms = float((none.sum() + self.prior) / (len(none) + 1)) if len(none) else self.prior
+        self.calibrated = np.full(_BINS, self.prior)
+
+    def calibrate(self, votes: np.ndarray, labels: np.ndarray) -> None:
+        """Probability by bin of the vote, smoothed by the bin's middle and made to rise."""
         middle = (np.arange(_BINS) + 0.5) / _BINS
-        at = np.minimum((votes * _BINS).astype(int), _BINS - 1) if len(votes) else np.zeros(0, int)
+        at = np.minimum((votes * _BINS).astype(int), _BINS - 1)
         n = np.bincount(at, minlength=_BINS) + 2.0
-        p = (np.bincount(at, weights=self.labels, minlength=_BINS) + 2.0 * middle) / n
-        self.calibrated = rising(p, n)
+        self.calibrated = rising((np.bincount(at, weights=labels, minlength=_BINS) + 2.0 * middle) / n, n)
+
+    def queries(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Texts in groups: their number, and text (of the group), term, weight of all known terms, a text's of length one."""
+        for some in pieces(texts):
+            for first in range(0, len(some), _QUERIES):
+                group = some[first : first + _QUERIES]
+                text, term, count = terms_of(group)
+                at = np.minimum(np.searchsorted(self.vocabulary, term), max(len(self.vocabulary) - 1, 0))
+                known = self.vocabulary[at] == term if len(self.vocabulary) else np.zeros(len(term), bool)
+                text, at, count = text[known], at[known], count[known]
+                weight = (1 + np.log(count)) * self.weight_of[at]
+                norm = np.sqrt(np.bincount(text, weight**2, minlength=len(group)))
+                yield len(group), text, at, weight / np.maximum(norm, 1e-300)[text]
 
     def vote(self, ids: np.ndarray, cosines: np.ndarray) -> float:
         if not len(ids):
-            return float(self.prior)
+            return self.prior
         return float((cosines @ self.labels[ids]) / cosines.sum())
 
-    def predict(self, text: str | None) -> tuple[float, list[int], list[float], list[int]]:
-        """Score and evidence: ids, cosines and labels of the neighbours."""
-        at, weight = vector(self.terms.counts(text), self.idf)
-        if not len(at):
-            return self.without_terms, [], [], []
-        ids, cosines = self.index.nearest(at, weight, self.k)
+    def predict(self, texts: list[str | None]) -> Iterator[tuple[float, list[int], list[float], list[float]]]:
+        """Score and evidence (ids, cosines and labels of the neighbours) of each text."""
         middle = (np.arange(_BINS) + 0.5) / _BINS
-        score = float(np.interp(self.vote(ids, cosines), middle, self.calibrated))
-        return score, self.ids[ids].tolist(), cosines.tolist(), self.labels[ids].astype(int).tolist()
+        for n, text, at, weight in self.queries(texts):
+            has = np.bincount(text, minlength=n) > 0
+            for some, (ids, cosines) in zip(has.tolist(), self.index.nearest(text, at, weight, n, self.k)):
+                score = float(np.interp(self.vote(ids, cosines), middle, self.calibrated)) if some else self.without_terms
+                yield score, self.ids[ids].tolist(), cosines.tolist(), self.labels[ids].tolist()
 
 
 def rising(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -179,60 +264,96 @@ def rising(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(int(n), v) for v, _, n in pools])
 
 
-def association(examples: pd.DataFrame) -> tuple[list[str], np.ndarray]:
-    """All terms of the examples in order, and the log-likelihood ratio of those that label 1 has more often than
-    chance, 0 for the others."""
-    with_, of = Counter(), Counter()
-    positive = 0
-    for text, label in zip(examples["text"], examples["label"]):
-        found = {t for w in set(_WORD.findall(text.lower())) for t in terms_of(w)}
-        of.update(found)
-        if label > 0:
-            positive += 1
-            with_.update(found)
-    total, terms = len(examples), sorted(of)
-    if not positive or positive == total:
-        return terms, np.zeros(len(terms))
-    n, a = (np.array([c[t] for t in terms], float) for c in (of, with_))
+def association(example: np.ndarray, term: np.ndarray, labels: np.ndarray, terms: int) -> np.ndarray:
+    """Log-likelihood ratio of each term that label 1 has more often than chance, 0 for the others. One posting for each
+    example and term."""
+    total, positive = len(labels), labels.sum()
+    if not 0 < positive < total:
+        return np.zeros(terms)
+    n = np.bincount(term, minlength=terms).astype(float)
+    a = np.bincount(term, labels[example], minlength=terms)
     cells = np.array([a, n - a, positive - a, total - positive - n + a])
     expected = np.array([n * positive, n * (total - positive), (total - n) * positive, (total - n) * (total - positive)]) / total
     ratio = 2 * np.sum(np.where(cells > 0, cells * np.log(np.maximum(cells, 1e-9) / np.maximum(expected, 1e-9)), 0), axis=0)
-    return terms, np.where(a * total > n * positive, np.round(ratio, 9), 0.0)
-
-
-def associated(examples: pd.DataFrame) -> list[str]:
-    """The terms that have the full factor, the most associated first, ties by term."""
-    terms, ratio = association(examples)
-    return [terms[i] for i in np.argsort(-ratio, kind="stable") if ratio[i] >= _FULL_RATIO]
+    return np.where(a * total > n * positive, np.round(ratio, 9), 0.0)
 
 
 def factors(ratio: np.ndarray, topic: float = TOPIC) -> np.ndarray:
     return topic + (1 - topic) * np.minimum(1.0, ratio / _FULL_RATIO)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int = SAMPLE_ROWS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int = SAMPLE_ROWS, topic: float = TOPIC) -> Model:
     sample = labelled_sample(docs, labels, label, learn, rows)
-    # at most ``rows`` texts
-    found = sample.select("doc_id", "label", "text").toPandas().sort_values("doc_id").drop_duplicates("text")
-    vocabulary, ratio = association(found)
-    return Model(found, vocabulary, idf_of(docs, vocabulary) * factors(ratio))
-
+    sample = sample.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.avg("label").alias("label"))
 
-def idf_of(docs: DataFrame, vocabulary: list[str]) -> np.ndarray:
-    """log((1 + N) / (1 + df)) + 1 over all documents, for a vocabulary of bounded size."""
-    if not vocabulary:
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for row in b.itertuples(index=False):
+                _, term, count = terms_of([row.text])
+                yield pd.DataFrame({"doc_id": [row.doc_id], "label": [row.label], "terms": [term.tobytes()], "counts": [count.astype("<i4").tobytes()]})
+
+    # at most ``rows`` rows, with the numbers of their terms
+    found = sample.select("doc_id", "label", "text").mapInPandas(counted, "doc_id bigint, label double, terms binary, counts binary")
+    found = found.toPandas().sort_values("doc_id", kind="stable")
+    read = lambda c, kind: [np.frombuffer(x, kind) for x in found[c]]
+    terms = read("terms", "<i8")
+    example = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
+    flat = np.concatenate([np.zeros(0, np.int64), *terms])
+    count = np.concatenate([np.zeros(0, np.int32), *read("counts", "<i4")])
+    vocabulary, term = np.unique(flat, return_inverse=True)
+    given = found["label"].to_numpy(float)
+    ratio = association(example, term, given, len(vocabulary))
+    weight_of = idf_of(docs, vocabulary) * factors(ratio, topic)
+    model = Model(found["doc_id"].to_numpy(), given, example, term, count, weight_of, vocabulary)
+    votes = left_out_votes(sample, model)
+    if len(votes):
+        model.calibrate(votes["vote"].to_numpy(float), votes["label"].to_numpy(float))
+    return model
+
+
+def left_out_votes(sample: DataFrame, model: Model) -> pd.DataFrame:
+    """vote and label of each example with terms, each left out of its own neighbours."""
+    shared = share(sample.sparkSession, model)
+
+    def voted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = shared.value
+        number = {i: n for n, i in enumerate(m.ids.tolist())}
+        for b in batches:
+            out, first, labels = [], 0, b["label"].to_numpy(float)
+            own = np.array([number[i] for i in b["doc_id"]], np.int64)
+            for n, text, at, weight in m.queries(b["text"].tolist()):
+                has = np.bincount(text, minlength=n) > 0
+                for i, near in enumerate(m.index.nearest(text, at, weight, n, m.k, own[first : first + n])):
+                    if has[i]:
+                        out.append((m.vote(*near), labels[first + i]))
+                first += n
+            yield pd.DataFrame(out, columns=["vote", "label"], dtype=float)
+
+    votes = sample.repartition(16, "doc_id").mapInPandas(voted, "vote double, label double").toPandas()
+    shared.destroy()
+    return votes
+
+
+def idf_of(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
+    """log((1 + N) / (1 + df)) + 1 over all documents, for a sorted vocabulary of bounded size."""
+    if not len(vocabulary):
         return np.zeros(0)
     shared = share(docs.sparkSession, vocabulary)
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        terms, df, n = Terms(shared.value), Counter(), 0
+        known, n = shared.value, 0
+        df = np.zeros(len(known), np.int64)
         for b in batches:
             n += len(b)
-            for text in b["text"]:
-                df.update(terms.counts(text).keys())
-        yield pd.DataFrame([(-1, n), *df.items()], columns=["term", "n"])
+            for some in pieces(b["text"].tolist()):
+                _, term, _ = terms_of(some)
+                at = np.minimum(np.searchsorted(known, term), len(known) - 1)
+                df += np.bincount(at[known[at] == term], minlength=len(known))
+        some = np.flatnonzero(df)
+        yield pd.DataFrame({"term": np.append(some, -1), "n": np.append(df[some], n)})
 
     rows = docs.select("text").mapInPandas(counted, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    shared.destroy()
     known = rows["term"].to_numpy() >= 0
     df = np.zeros(len(vocabulary))
     df[rows["term"].to_numpy()[known]] = rows["n"].to_numpy()[known]
@@ -244,10 +365,13 @@ def scorer(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
     """Function of a text column: a struct of score and the evidence (neighbour_ids, cosines, neighbour_labels)."""
     shared = share(spark, model)
 
-    @F.pandas_udf("score double, neighbour_ids array<bigint>, cosines array<double>, neighbour_labels array<int>")
+    @F.pandas_udf("score double, neighbour_ids array<bigint>, cosines array<double>, neighbour_labels array<double>")
     def scored(texts: pd.Series) -> pd.DataFrame:
-        found = [shared.value.predict(t) for t in texts]
-        return pd.DataFrame(found, columns=["score", "neighbour_ids", "cosines", "neighbour_labels"])
+        # copies of a text are one query
+        place: dict[str | None, int] = {}
+        at = [place.setdefault(t, len(place)) for t in texts]
+        found = pd.DataFrame(list(shared.value.predict(list(place))), columns=["score", "neighbour_ids", "cosines", "neighbour_labels"])
+        return found.iloc[at].reset_index(drop=True)
 
     return scored
 

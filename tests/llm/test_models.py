@@ -109,22 +109,65 @@ def test_quality_held_out_accuracy(spark):
     assert got.filter("held_out").join(labels, "doc_id").agg(F.avg((F.col("quality") == F.col("predicted")).cast("int"))).first()[0] > 0.9
 
 
-def test_nearest_equals_brute_force():
+def _postings(rng, rows, terms, idf, topics):
+    """example, term, weight of unit vectors; each example draws most of its terms from one topic."""
+    example, term, weight = [], [], []
+    for i in range(rows):
+        topic = int(rng.integers(topics))
+        some = np.flatnonzero((np.arange(terms) % topics == topic) | (rng.random(terms) < 0.05))
+        at = rng.choice(some, rng.integers(1, min(12, len(some))), replace=False)
+        w = (1 + np.log(rng.integers(1, 4, len(at)))) * idf[at]
+        example.append(np.full(len(at), i))
+        term.append(at)
+        weight.append(w / np.sqrt(w @ w))
+    return tuple(map(np.concatenate, (example, term, weight)))
+
+
+@pytest.mark.parametrize("rows, block, common", [(300, 16, 24), (300, 16, 2), (300, 7, 1000), (5, 16, 24), (40, 64, 8)])
+def test_nearest_equals_brute_force(monkeypatch, rows, block, common):
+    monkeypatch.setattr(toxicity, "_COMMON", common)
     rng = np.random.default_rng(3)
-    idf = rng.random(30) + 0.5
-    draw = lambda: {int(t): int(rng.integers(1, 4)) for t in rng.choice(30, rng.integers(1, 5), replace=False)}
-    vectors = [toxicity.vector(draw(), idf) for _ in range(300)]
-    index = toxicity.BlockMaxIndex(vectors, 30, block=16)
-    dense = np.zeros((300, 30))
-    for i, (at, w) in enumerate(vectors):
-        dense[i, at] = w
-    for _ in range(60):
-        at, w = toxicity.vector(draw(), idf)
-        ids, cosines = index.nearest(at, w, 10)
-        full = np.round(dense[:, at] @ w, 12)
-        hit = np.flatnonzero(full > 0)
-        want = hit[np.lexsort((hit, -full[hit]))][:10]
-        assert np.allclose(full[ids], cosines) and np.allclose(full[want], cosines)
+    idf = rng.random(60) + 0.5
+    example, term, weight = _postings(rng, rows, 60, idf, 5)
+    index = toxicity.BlockMaxIndex(example, term, weight, rows, 60, block)
+    dense = np.zeros((rows, 60))
+    dense[example, term] = weight
+    query, at, q = _postings(rng, 50, 60, idf, 5)
+    asked = np.zeros((50, 60))
+    asked[query, at] = q
+    left_out = rng.integers(0, rows, 50)
+    for without in (None, left_out):
+        got = index.nearest(query, at, q, 50, 10, without)
+        for i, (ids, cosines) in enumerate(got):
+            full = np.round(dense @ asked[i], 12)
+            if without is not None:
+                full[without[i]] = 0
+            hit = np.flatnonzero(full > 0)
+            want = hit[np.lexsort((hit, -full[hit]))][:10]
+            assert np.allclose(full[ids], cosines, atol=1e-11) and np.allclose(full[want], cosines, atol=1e-11)
+            assert without is None or without[i] not in ids
+
+
+def test_blocks_that_cannot_hold_a_neighbour_are_skipped():
+    rng = np.random.default_rng(4)
+    idf = np.ones(400)
+    example, term, weight = _postings(rng, 1_000, 400, idf, 20)
+    index = toxicity.BlockMaxIndex(example, term, weight, 1_000, 400, 16)
+    query, at, q = _postings(rng, 100, 400, idf, 20)
+    index.nearest(query, at, q, 100, 5)
+    assert 200 <= index.blocks_seen < 0.7 * 100 * index.blocks
+
+
+def test_terms_are_words_and_beginnings():
+    text, term, count = toxicity.terms_of(["Hüte, hüte-hüten! x_1y", "", "HÜTEN hüten ab"])
+    by = [dict(zip(term[text == i].tolist(), count[text == i].tolist())) for i in range(3)]
+    # x and y stand alone between a mark and digits
+    assert sorted(by[0].values()) == [1, 1, 1, 1, 2] and by[1] == {}
+    assert sorted(by[2].values()) == [1, 2, 2] and len(set(by[0]) & set(by[2])) == 2
+    whole, beginning = toxicity.terms_of(["abcde"])[1], toxicity.terms_of(["abcdef"])[1]
+    assert len(set(whole) & set(beginning)) == 1
+    long = toxicity.terms_of(["zeta " * 200_000 + "omega"])
+    assert sorted(long[2].tolist()) == [1, 1, 200_000]
 
 
 def test_pools_make_a_sequence_rise():
@@ -148,9 +191,33 @@ def test_toxicity_without_labels(spark):
     assert set(toxicity.scores(documents(spark, ODD), model).toPandas()["score"]) == {0.0}
 
 
+def hashed(*words):
+    """A word's own term: the one that the word before it does not share."""
+    return np.array([next(t for t in toxicity.terms_of([w])[1] if t not in toxicity.terms_of([w + "zz"])[1]) for w in words])
+
+
 def test_document_frequencies_count_all_documents(spark):
     docs = documents(spark, [(1, "moron here", "en"), (2, "moron moron", "en"), (3, "calm", "en"), (4, None, "en")])
-    assert np.allclose(toxicity.idf_of(docs, ["moron ", "calm "]), np.log(5 / np.array([3, 2])) + 1)
+    vocabulary = hashed("moron", "calm")
+    order = np.argsort(vocabulary)
+    assert np.allclose(toxicity.idf_of(docs, vocabulary[order]), (np.log(5 / np.array([3, 2])) + 1)[order])
+    assert toxicity.idf_of(docs, vocabulary[:0]).size == 0
+
+
+def test_association_follows_the_labels():
+    labels = np.array([1.0] * 6 + [0.0] * 60)
+    example, term = np.arange(66), np.repeat([0, 1], [6, 60])
+    ratio = toxicity.association(example, term, labels, 2)
+    assert ratio[0] > 25 and ratio[1] == 0 and np.allclose(toxicity.factors(ratio), [1.0, toxicity.TOPIC])
+    assert not toxicity.association(example[:6], term[:6], labels[:6], 2).any()
+
+
+def test_equal_texts_are_one_example_with_the_mean_of_their_labels(spark):
+    rows = [(i, "same words here", "en") for i in range(4)] + [(9, "quite another text", "en")]
+    labels = spark.createDataFrame([(0, 0, 1), (1, 0, 1), (2, 0, 1), (3, 0, 0), (9, 0, 0)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(documents(spark, rows), labels, "toxic", F.lit(True))
+    assert model.ids.tolist() == [0, 9] and model.labels.tolist() == [0.75, 0.0]
+    assert len(set(toxicity.scores(documents(spark, rows), model).filter("doc_id < 4").toPandas()["score"])) == 1
 
 
 def test_toxicity_held_out(spark):
@@ -162,12 +229,6 @@ def test_toxicity_held_out(spark):
     assert n[(1, 1)] >= 0.5 * (n.get((1, 0), 0) + n[(1, 1)])
 
 
-def test_examples_are_chosen_by_text_once():
-    frame = pd.DataFrame({"text": ["bad moron"] * 6 + ["fine day"] * 60, "label": [1.0] * 6 + [0.0] * 60})
-    assert "moron " in toxicity.associated(frame)
-    assert toxicity.associated(frame[frame["label"] > 0]) == []
-
-
 def test_every_word_of_the_examples_counts(spark):
     """Texts without a word that labels tell about have neighbours; five toxic texts are enough to learn a word."""
     calm = [(i, f"calm harbour number{chr(97 + i % 26)} lies near village{chr(97 + i % 7)}", "en") for i in range(100)]
