@@ -108,13 +108,15 @@ class BlockMaxIndex:
     """Examples in blocks. A term that many examples have keeps its postings as one row of weights for each block, and
     the largest of them; a rarer term keeps a list of slots (places of examples) and weights."""
 
-    def __init__(self, example: np.ndarray, term: np.ndarray, weight: np.ndarray, examples: int, terms: int, block: int = BLOCK):
-        """Postings in any order; examples and terms are numbered from 0."""
+    def __init__(
+        self, example: np.ndarray, term: np.ndarray, weight: np.ndarray, examples: int, terms: int, block: int = BLOCK, slot: np.ndarray | None = None
+    ):
+        """Postings in any order; examples and terms are numbered from 0. slot: the examples' places, if known."""
         self.n, self.block, self.blocks = examples, block, -(-examples // block)
         self.blocks_seen = 0
-        self.slot = np.arange(examples)
+        self.slot = np.arange(examples) if slot is None else slot
         self._lay_out(example, term, weight, terms)
-        if self.blocks > 1:
+        if slot is None and self.blocks > 1:
             self.slot = self._alike(example, term, weight)
             self._lay_out(example, term, weight, terms)
 
@@ -209,15 +211,33 @@ class Model:
         with the factor."""
         self.vocabulary, self.weight_of, self.k = vocabulary, weight_of, neighbours
         self.ids, self.labels = ids, labels
-        weight = (1 + np.log(count)) * weight_of[term]
-        norm = np.sqrt(np.bincount(example, weight**2, minlength=len(ids)))
-        self.index = BlockMaxIndex(example, term, weight / np.maximum(norm, 1e-300)[example], len(ids), len(vocabulary))
-        has = norm > 0
+        self.postings = example.astype(np.int32), term.astype(np.int32), count.astype(np.int32)
+        self.slot = None
+        self._index = None
+        has = np.bincount(example, minlength=len(ids)) > 0
         self.prior = float((labels.sum() + 0.5) / (len(labels) + 1)) if len(labels) else 0.0
         none = labels[~has]
         self.without_terms = float((none.sum() + self.prior) / (len(none) + 1)) if len(none) else self.prior
         self.calibrated = np.full(_BINS, self.prior)
 
+    @property
+    def index(self) -> BlockMaxIndex:
+        """Laid out where it is first used: what travels is a tenth of it."""
+        if self._index is None:
+            example, term, count = self.postings
+            weight = (1 + np.log(count)) * self.weight_of[term]
+            norm = np.sqrt(np.bincount(example, weight**2, minlength=len(self.ids)))
+            weight /= np.maximum(norm, 1e-300)[example]
+            self._index = BlockMaxIndex(example, term, weight, len(self.ids), len(self.vocabulary), slot=self.slot)
+            self.slot = self._index.slot
+        return self._index
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_index": None}
+
+    def release(self) -> None:
+        self._index = None
+
     def calibrate(self, votes: np.ndarray, labels: np.ndarray) -> None:
         """Probability by bin of the vote, smoothed by the bin's middle and made to rise."""
         middle = (np.arange(_BINS) + 0.5) / _BINS
@@ -305,6 +325,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: i
     ratio = association(example, term, given, len(vocabulary))
     weight_of = idf_of(docs, vocabulary) * factors(ratio, topic)
     model = Model(found["doc_id"].to_numpy(), given, example, term, count, weight_of, vocabulary)
+    model.slot = model.index.slot
+    model.release()
     votes = left_out_votes(sample, model)
     if len(votes):
         model.calibrate(votes["vote"].to_numpy(float), votes["label"].to_numpy(float))
