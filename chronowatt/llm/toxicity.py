@@ -36,11 +36,11 @@ from .common import held_out, labelled_sample, mix, powers, share, table
 
 SAMPLE_ROWS = 6_000
 NEIGHBOURS = 16
-BLOCK = 32
+BLOCK = 128
 # A term is common if one in so many examples has it.
-_COMMON = 24
+_COMMON = 20
 # Queries that are answered at once.
-_QUERIES = 128
+_QUERIES = 64
 THRESHOLD = 0.3
 # Factor of a term that label 1 has no more often than chance, and the ratio from which the factor is 1.
 TOPIC = 0.1
@@ -98,12 +98,6 @@ def terms_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text[first], term[first], np.diff(np.append(first, len(term)))
 
 
-def spread(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """The numbers of all ranges, one after the other."""
-    size = end - begin
-    return np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
-
-
 class BlockMaxIndex:
     """Examples in blocks. A term that many examples have keeps its postings as one row of weights for each block, and
     the largest of them; a rarer term keeps a list of slots (places of examples) and weights."""
@@ -126,9 +120,11 @@ class BlockMaxIndex:
         # number among the common terms, -1 for others
         self.common = np.where(common, np.cumsum(common) - 1, -1)
         often = common[term]
-        self.rows = np.zeros((int(common.sum()), self.blocks * self.block))
-        self.rows[self.common[term[often]], self.slot[example[often]]] = weight[often]
-        self.largest = self.rows.reshape(len(self.rows), self.blocks, self.block).max(axis=2) if self.blocks else self.rows
+        # for each block the weights of the common terms, by term and place in the block
+        self.rows = np.zeros((self.blocks, int(common.sum()), self.block))
+        at = self.slot[example[often]]
+        self.rows[at // self.block, self.common[term[often]], at % self.block] = weight[often]
+        self.largest = np.ascontiguousarray(self.rows.max(axis=2, initial=0).T)
         term, slot, weight = term[~often], self.slot[example[~often]], weight[~often]
         order = np.lexsort((slot, term))
         self.slots, self.weights = slot[order].astype(np.int32), weight[order]
@@ -142,7 +138,7 @@ class BlockMaxIndex:
         for pivot in np.linspace(0, self.n - 1, self.blocks).astype(int).tolist():
             mine = order[cuts[pivot] : cuts[pivot + 1]]
             rare, dense = self._split(np.zeros(len(mine), np.int64), term[mine], weight[mine], 1)
-            here = (rare + dense @ self.rows)[0, : self.n]
+            here = (rare + np.einsum("t,btp->bp", dense[0], self.rows).reshape(1, -1))[0, : self.n]
             closer = here > cosine
             nearest[closer], cosine[closer] = pivot, here[closer]
         slot = np.empty(self.n, np.int64)
@@ -153,10 +149,12 @@ class BlockMaxIndex:
         """By query: the sums of the rarer terms over all slots, and the weights of the common terms."""
         width = self.blocks * self.block
         begin, end = self.cuts[at], self.cuts[at + 1]
-        i = spread(begin, end)
-        places = np.repeat(query * width, end - begin) + self.slots[i]
-        sums = np.bincount(places, self.weights[i] * np.repeat(q, end - begin), minlength=queries * width)
-        dense = np.zeros((queries, len(self.rows)))
+        size = end - begin
+        entry = np.repeat(np.arange(len(at)), size)
+        i = (begin - np.cumsum(size) + size)[entry] + np.arange(len(entry))
+        places = (query * width)[entry] + self.slots[i]
+        sums = np.bincount(places, self.weights[i] * q[entry], minlength=queries * width)
+        dense = np.zeros((queries, self.rows.shape[1]))
         often = self.common[at] >= 0
         dense[query[often], self.common[at[often]]] = q[often]
         return sums.astype(float, copy=False).reshape(queries, width), dense
@@ -198,7 +196,7 @@ class BlockMaxIndex:
         """Add the common terms to the sums of the blocks in ``todo``, by query."""
         for b in np.flatnonzero(todo.any(axis=0)).tolist():
             who, here = np.flatnonzero(todo[:, b]), slice(b * self.block, (b + 1) * self.block)
-            sums[who, here] += dense[who] @ self.rows[:, here]
+            sums[who, here] += dense[who] @ self.rows[b]
 
 
 class Model:
@@ -235,9 +233,6 @@ class Model:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_index": None}
 
-    def release(self) -> None:
-        self._index = None
-
     def calibrate(self, votes: np.ndarray, labels: np.ndarray) -> None:
         """Probability by bin of the vote, smoothed by the bin's middle and made to rise."""
         middle = (np.arange(_BINS) + 0.5) / _BINS
@@ -325,14 +320,26 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: i
     ratio = association(example, term, given, len(vocabulary))
     weight_of = idf_of(docs, vocabulary) * factors(ratio, topic)
     model = Model(found["doc_id"].to_numpy(), given, example, term, count, weight_of, vocabulary)
-    model.slot = model.index.slot
-    model.release()
+    model.slot = places(docs.sparkSession, model)
     votes = left_out_votes(sample, model)
     if len(votes):
         model.calibrate(votes["vote"].to_numpy(float), votes["label"].to_numpy(float))
     return model
 
 
+def places(spark: SparkSession, model: Model) -> np.ndarray:
+    """Slots of the examples, found in a task: the driver holds no index."""
+    shared = share(spark, model)
+
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _ in batches:
+            yield pd.DataFrame({"slot": shared.value.index.slot})
+
+    slot = spark.range(1, numPartitions=1).mapInPandas(found, "slot bigint").toPandas()["slot"].to_numpy(np.int64)
+    shared.destroy()
+    return slot
+
+
 def left_out_votes(sample: DataFrame, model: Model) -> pd.DataFrame:
     """vote and label of each example with terms, each left out of its own neighbours."""
     shared = share(sample.sparkSession, model)
