@@ -1,6 +1,6 @@
 """Toxicity: nearest labelled examples by exact TF-IDF cosine, with a block-max inverted index.
 
-Terms are whole words and word beginnings of 5 letters, known by a 64-bit hash. The index holds labelled examples
+Terms are whole words and word beginnings of 5 letters, known by a 48-bit hash. The index holds labelled examples
 (at most ``SAMPLE_ROWS``, a parameter, equal texts once, with the mean of their labels) with all their terms. Document
 frequencies count all documents. A text's vector is (1 + log tf) * idf * factor, of length one. The factor grows from
 ``TOPIC`` to 1 with a term's log-likelihood ratio of association with label 1 among the examples: so topic counts little
@@ -10,7 +10,7 @@ Examples that are alike stand in one block. A term that many examples have keeps
 the largest of them; a rarer term keeps a posting list. A query adds up the posting lists of its rarer terms. The best
 of these sums in a block and the block's largest weights of the common terms bound the cosine of every example of the
 block. The blocks with the best bounds are added up in whole; of the others, only those whose bound reaches the
-k-th cosine found so far. The k nearest are exact.
+k-th cosine found so far. The k nearest are exact, to the six places that a cosine is rounded to.
 
 Neighbours vote with their cosine, the share of the vote is mapped to a
 probability on the examples themselves, each left out of its own neighbours; a text without any term of an example gets
@@ -41,6 +41,9 @@ BLOCK = 128
 _COMMON = 20
 # Queries that are answered at once.
 _QUERIES = 64
+_AT_ONCE = 4
+# Sums of the common terms are of single precision; cosines are rounded to six places.
+_ROUNDING = 1e-5
 THRESHOLD = 0.3
 # Factor of a term that label 1 has no more often than chance, and the ratio from which the factor is 1.
 TOPIC = 0.1
@@ -49,6 +52,8 @@ _BINS = 10
 _START = 5
 # Characters of texts that are worked on at once; a longer text is alone.
 _PIECE = 1 << 19
+# Bits of a term; the rest of 64 tell the texts of a piece apart.
+_TERM_BITS, _TEXTS = 48, 1 << 16
 _LETTERS: list[np.ndarray] = []
 
 
@@ -65,7 +70,7 @@ def pieces(texts: list[str | None]) -> Iterator[list[str]]:
     size = 0
     for text in texts:
         text = text or ""
-        if some and size + len(text) > _PIECE:
+        if some and (size + len(text) > _PIECE or len(some) >= _TEXTS):
             yield some
             some, size = [], 0
         some.append(text)
@@ -91,11 +96,12 @@ def terms_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     long = ends - starts >= _START
     found.append(mix(begun(starts[long], starts[long] + _START) * np.uint64(3)))
     where.append(text[long])
-    term, text = np.concatenate(found).view(np.int64), np.concatenate(where)
-    order = np.lexsort((term, text))
-    term, text = term[order], text[order]
-    first = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (text[1:] != text[:-1])))) if len(term) else order
-    return text[first], term[first], np.diff(np.append(first, len(term)))
+    # text and term in one number: one sort of plain numbers groups them
+    key = np.sort(np.concatenate(where).astype(np.uint64) << np.uint64(_TERM_BITS) | np.concatenate(found) >> np.uint64(64 - _TERM_BITS))
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    count = np.diff(np.append(first, len(key)))
+    key = key[first]
+    return (key >> np.uint64(_TERM_BITS)).astype(np.int64), (key & np.uint64((1 << _TERM_BITS) - 1)).astype(np.int64), count
 
 
 class BlockMaxIndex:
@@ -121,7 +127,7 @@ class BlockMaxIndex:
         self.common = np.where(common, np.cumsum(common) - 1, -1)
         often = common[term]
         # for each block the weights of the common terms, by term and place in the block
-        self.rows = np.zeros((self.blocks, int(common.sum()), self.block))
+        self.rows = np.zeros((self.blocks, int(common.sum()), self.block), np.float32)
         at = self.slot[example[often]]
         self.rows[at // self.block, self.common[term[often]], at % self.block] = weight[often]
         self.largest = np.ascontiguousarray(self.rows.max(axis=2, initial=0).T)
@@ -146,18 +152,24 @@ class BlockMaxIndex:
         return slot
 
     def _split(self, query: np.ndarray, at: np.ndarray, q: np.ndarray, queries: int) -> tuple[np.ndarray, np.ndarray]:
-        """By query: the sums of the rarer terms over all slots, and the weights of the common terms."""
+        """By query: the sums of the rarer terms over all slots, and the weights of the common terms. query ascends."""
         width = self.blocks * self.block
-        begin, end = self.cuts[at], self.cuts[at + 1]
-        size = end - begin
-        entry = np.repeat(np.arange(len(at)), size)
-        i = (begin - np.cumsum(size) + size)[entry] + np.arange(len(entry))
-        places = (query * width)[entry] + self.slots[i]
-        sums = np.bincount(places, self.weights[i] * q[entry], minlength=queries * width)
-        dense = np.zeros((queries, self.rows.shape[1]))
+        sums = np.empty((queries, width))
+        first = np.searchsorted(query, np.arange(0, queries + _AT_ONCE, _AT_ONCE))
+        for k, (lo, hi) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
+            # a few queries at once: their postings stay in the cache
+            here = slice(k * _AT_ONCE, min((k + 1) * _AT_ONCE, queries))
+            begin = self.cuts[at[lo:hi]]
+            size = self.cuts[at[lo:hi] + 1] - begin
+            entry = np.repeat(np.arange(hi - lo), size)
+            i = (begin - np.cumsum(size) + size)[entry] + np.arange(len(entry))
+            places = ((query[lo:hi] - here.start) * width)[entry] + self.slots[i]
+            n = here.stop - here.start
+            sums[here] = np.bincount(places, self.weights[i] * q[lo:hi][entry], minlength=n * width).reshape(n, width)
+        dense = np.zeros((queries, self.rows.shape[1]), np.float32)
         often = self.common[at] >= 0
         dense[query[often], self.common[at[often]]] = q[often]
-        return sums.astype(float, copy=False).reshape(queries, width), dense
+        return sums, dense
 
     def nearest(
         self, query: np.ndarray, at: np.ndarray, q: np.ndarray, queries: int, k: int, without: np.ndarray | None = None
@@ -180,12 +192,12 @@ class BlockMaxIndex:
         found = np.take_along_axis(sums.reshape(queries, self.blocks, self.block), best[:, :, None], axis=1).reshape(queries, -1)
         # the k-th cosine so far; other blocks that do not reach it are not looked at
         least = np.partition(found, -k, axis=1)[:, -k] if found.shape[1] >= k else np.zeros(queries)
-        least = np.maximum(least, 0) - 1e-9
-        more = ~seen & (bound > 0) & (bound >= least[:, None])
+        least = np.maximum(least, 0) - _ROUNDING
+        more = ~seen & (bound > 0) & (bound >= least[:, None] - _ROUNDING)
         self._complete(sums, dense, more)
         self.blocks_seen += int(seen.sum() + more.sum())
-        row, slot = np.nonzero((sums > 0) & (sums >= least[:, None]))
-        cosine = np.round(sums[row, slot], 12)
+        row, slot = np.nonzero(sums >= np.maximum(least, 5e-7)[:, None])
+        cosine = np.round(sums[row, slot], 6)
         number = self.example_at[np.minimum(slot, self.n - 1)]
         order = np.lexsort((number, -cosine, row))
         number, cosine = number[order], cosine[order]
