@@ -1,10 +1,11 @@
 """Near duplicates by consistent weighted sampling over TF-IDF shingles, banded and verified.
 
 A text's shingles are its runs of five words (lower case, cut at white space; a shorter text is one
-shingle), each weighted by tf * idf. The document frequencies behind the idf are counted over all
-documents in ``2**SLOTS`` counters by shingle hash, so the table that is broadcast has a fixed size. A
-frequency counts as ``FLOOR`` of the documents at least: that and the added 1 keep the weight of what a large
-group of near copies shares from vanishing beside that of its edits.
+shingle), each weighted by tf * idf. Document frequencies are counted over all documents: ``2**SLOTS`` counters by
+shingle hash sift out what can be in more than ``FLOOR`` of the documents, whose frequencies are then counted
+exactly. There are at most 1 / FLOOR times as many of them as shingles in a mean document, so their table may be
+broadcast. All rarer shingles count as if ``FLOOR`` of the documents had them: that and the added 1 keep the weight of
+what a large group of near copies shares from vanishing beside that of its edits.
 
 Improved consistent weighted sampling draws ``BANDS * ROWS`` samples from a text: two texts draw the same
 sample with a probability equal to their weighted Jaccard similarity. ``ROWS`` samples make a band; texts
@@ -15,14 +16,17 @@ Nobody is compared with everybody. A bucket's members are compared with one of t
 full. Members at least as similar as the threshold are linked to it. 1 - J is a metric, so a linked member
 whose distance to the leader differs by more than 1 - threshold from that of each member that is not
 linked can't be linked to any of them, and leaves. Those who are left meet again by their rarest shingles, of
-which two linked texts always share one (prefix filter): the texts that share such a shingle, and are not
-all connected yet, form the buckets of the next round. Large ones have a leader
-again first; then each is compared in blocks of a bounded number of texts, one matrix product a block. No link is lost by this, and work
-stays linear in a group of copies of any size. Connected components of the links are the classes.
+which two linked texts always share one (prefix filter). How rare a shingle is, is counted exactly among those who are
+left; what only one of them has brings nobody together. The texts that share a rare shingle, and are not all connected
+yet, form the buckets of the next round. Large ones have a leader again first; then each is compared in blocks of a
+bounded number of texts, one matrix product a block. No link is lost by this. A group of copies of any size costs
+its leaders' comparisons, which are linear; only texts that share a rare shingle, and that neither leader could settle,
+are compared in blocks with each other. Connected components of the links are the classes.
 
 Equal texts are one text from the start; null counts as empty, and all empty texts are equal. The class of
 a document is the smallest id in its component; rows without an id have the class of their component, or
-null if no member has an id. Repeated rows have the same class.
+null if no member has an id. Repeated rows have the same class. A text of any length is one row of shingle hashes, four
+bytes a word. An empty table has no rows. Only doc_id and text are looked at; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import SparkSession
 
@@ -63,10 +68,28 @@ _GAMMA = _gamma_quantiles()
 _LOG_GAMMA = np.log(_GAMMA)
 
 
-def weights(own: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class Idf:
+    """1 + log(1 + N / df) of a shingle, with the exact df where it is above the floor."""
+
+    def __init__(self, shingle: np.ndarray, df: np.ndarray, n: float, floor: float = FLOOR):
+        order = np.argsort(shingle)
+        self.shingle, self.least = shingle[order].astype(np.uint32), max(1.0, floor * n)
+        self.rest = 1 + float(np.log1p(max(n, 1.0) / self.least))
+        self.value = 1 + np.log1p(max(n, 1.0) / np.maximum(df[order], self.least))
+
+    def __call__(self, distinct: np.ndarray) -> np.ndarray:
+        out = np.full(len(distinct), self.rest)
+        if len(self.shingle):
+            at = np.minimum(np.searchsorted(self.shingle, distinct), len(self.shingle) - 1)
+            known = self.shingle[at] == distinct
+            out[known] = self.value[at[known]]
+        return out
+
+
+def weights(own: np.ndarray, idf: Idf) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles and their weights."""
     distinct, tf = np.unique(own, return_counts=True)
-    return distinct, tf * idf[distinct & np.uint32(len(idf) - 1)]
+    return distinct, tf * idf(distinct)
 
 
 def samples(distinct: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -102,7 +125,7 @@ def bands(drawn: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def similarity(a: np.ndarray, b: np.ndarray, idf: np.ndarray) -> float:
+def similarity(a: np.ndarray, b: np.ndarray, idf: Idf) -> float:
     """Weighted Jaccard similarity of two shingle multisets."""
     (x, wx), (y, wy) = weights(a, idf), weights(b, idf)
     _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
@@ -111,15 +134,19 @@ def similarity(a: np.ndarray, b: np.ndarray, idf: np.ndarray) -> float:
     return both / either if either > 0 else 1.0
 
 
-def prefix(own: np.ndarray, idf: np.ndarray, df: np.ndarray, threshold: float) -> np.ndarray:
-    """The rarest shingles that leave less than ``threshold`` of the weight behind them."""
+def prefix(own: np.ndarray, idf: Idf, shared: np.ndarray, count: np.ndarray, threshold: float) -> np.ndarray:
+    """Of the rarest shingles that leave less than ``threshold`` of the weight behind them, those that are shared.
+    shared, count: the text's shingles that other texts have too, and how many texts have them."""
     distinct, w = weights(own, idf)
-    order = np.lexsort((distinct, df[distinct & np.uint32(len(df) - 1)]))
+    texts = np.ones(len(distinct), np.int64)
+    texts[np.searchsorted(distinct, shared)] = count
+    order = np.lexsort((distinct, texts))
     behind = w.sum() - np.cumsum(w[order])
-    return distinct[order][: int(np.argmax(behind < threshold * w.sum())) + 1]
+    first = order[: int(np.argmax(behind < threshold * w.sum())) + 1]
+    return distinct[first[texts[first] > 1]]
 
 
-def linked(texts: list[np.ndarray], idf: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+def linked(texts: list[np.ndarray], idf: Idf, threshold: float) -> list[tuple[int, int]]:
     """Links that connect what is similar enough among a bounded number of texts: overlaps of all of them at once
     are a product of the matrix of texts by the shingles that several have."""
     found = [weights(t, idf) for t in texts]
@@ -132,7 +159,7 @@ def linked(texts: list[np.ndarray], idf: np.ndarray, threshold: float) -> list[t
     row = np.repeat(np.arange(len(texts)), [len(f[0]) for f in found])
     at, value = column[place], np.concatenate([f[1] for f in found])
     row, at, value = row[at >= 0], at[at >= 0], value[at >= 0]
-    unit = idf[shared[several] & np.uint32(len(idf) - 1)]
+    unit = idf(shared[several])
     overlap = np.zeros((len(texts), len(texts)))
     for lo in range(0, len(several), _PART):
         hi = min(lo + _PART, len(several))
@@ -164,7 +191,7 @@ def text_key() -> Column:
     return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
 
 
-def frequencies(docs: DataFrame, slots: int = SLOTS) -> tuple[np.ndarray, float]:
+def counters(docs: DataFrame, slots: int = SLOTS) -> tuple[np.ndarray, float]:
     """Documents by slot, and the number of documents with a word, counted over all documents."""
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -177,7 +204,6 @@ def frequencies(docs: DataFrame, slots: int = SLOTS) -> tuple[np.ndarray, float]
         used = np.flatnonzero(df)
         yield pd.DataFrame({"slot": np.append(used, -1), "n": np.append(df[used], n)})
 
-    ship_code(docs.sparkSession)
     found = docs.select("text").mapInPandas(counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(1 << slots)
     at, n = found["slot"].to_numpy(np.int64), found["n"].to_numpy(float)
@@ -185,9 +211,29 @@ def frequencies(docs: DataFrame, slots: int = SLOTS) -> tuple[np.ndarray, float]
     return df, float(n[at < 0].sum())
 
 
-def inverse(df: np.ndarray, n: float, floor: float = FLOOR) -> np.ndarray:
-    """1 + log(1 + N / df) by slot, with a floor under df."""
-    return 1 + np.log1p(max(n, 1.0) / np.maximum(df, max(1.0, floor * n)))
+def frequencies(docs: DataFrame, floor: float = FLOOR, slots: int = SLOTS) -> Idf:
+    """The idf behind all weights. A shingle above the floor has a counter above it, so no such shingle is missed."""
+    spark = docs.sparkSession
+    ship_code(spark)
+    df, n = counters(docs, slots)
+    least = max(1.0, floor * n)
+    if not (df > least).any():
+        return Idf(np.zeros(0, np.uint32), np.zeros(0), n, floor)
+    shared = share(spark, df > least)
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        often, low = shared.value, np.uint32((1 << slots) - 1)
+        for b in batches:
+            found = [np.zeros(0, np.uint32)]
+            for text in b["text"]:
+                distinct = np.unique(shingles(text))
+                found.append(distinct[often[distinct & low]])
+            shingle, times = np.unique(np.concatenate(found), return_counts=True)
+            yield pd.DataFrame({"shingle": shingle.astype(np.int64), "n": times})
+
+    exact = docs.select("text").mapInPandas(counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    exact = exact.filter(F.col("n") > least).toPandas()
+    return Idf(exact["shingle"].to_numpy(np.int64), exact["n"].to_numpy(float), n, floor)
 
 
 class Classes:
@@ -271,15 +317,31 @@ class Classes:
         return members.groupBy("bucket", "low", "high").applyInPandas(run, "leader binary, key binary")
 
     def by_rarest(self, keys: DataFrame) -> DataFrame:
-        """bucket, key: the rarest shingles of the texts with these keys."""
-        idf, df, t = self.idf, self.df, self.threshold
+        """bucket, key: the rarest shingles of the texts with these keys that several of them have."""
+        idf, t = self.idf, self.threshold
+
+        def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                own = [np.unique(np.frombuffer(o.as_buffer(), np.uint32)) for o in b.column("own")]
+                cuts = np.cumsum([0, *[len(o) for o in own]])
+                values = np.concatenate([np.zeros(0, np.uint32), *own]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column("key"), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values))], ["key", "own"])
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                rare = [prefix(np.frombuffer(o, np.uint32), idf.value, df.value, t).astype(np.int64).tolist() for o in b["own"]]
+                rare = []
+                for own, shared in zip(b["own"], b["shared"]):
+                    shingle = np.array([r["shingle"] for r in shared], np.uint32)
+                    count = np.array([r["texts"] for r in shared], np.int64)
+                    rare.append(prefix(np.frombuffer(own, np.uint32), idf.value, shingle, count, t).astype(np.int64).tolist())
                 yield pd.DataFrame({"key": b["key"], "rare": rare})
 
-        found = self.texts.join(keys, "key", "left_semi").mapInPandas(run, "key binary, rare array<bigint>")
+        texts = self.texts.join(keys, "key", "left_semi")
+        each = texts.select("key", "own").mapInArrow(flat, "key binary, own array<bigint>").select("key", F.explode("own").alias("shingle"))
+        often = each.groupBy("shingle").agg(F.count("*").alias("texts")).filter("texts > 1")
+        # no more rows for a text than it has shingles
+        shared = each.join(often, "shingle").groupBy("key").agg(F.collect_list(F.struct("shingle", "texts")).alias("shared"))
+        found = texts.join(shared, "key").mapInPandas(run, "key binary, rare array<bigint>")
         return found.select(F.explode("rare").alias("bucket"), "key")
 
     def apart(self, buckets: DataFrame, links: DataFrame) -> DataFrame:
@@ -293,8 +355,7 @@ class Classes:
 
     def links(self, docs: DataFrame) -> DataFrame:
         """leader, key: links between different texts that connect each class."""
-        df, n = frequencies(docs)
-        self.df, self.idf = share(self.spark, df), share(self.spark, inverse(df, n))
+        self.idf = share(self.spark, frequencies(docs))
         sketched = self.sketched(docs)
         banded = sketched.select("key", F.explode("bands").alias("bucket")).distinct()
         shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")

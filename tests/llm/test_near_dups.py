@@ -1,6 +1,7 @@
 """Near duplicates against all pairs; sampling; groups that buckets split; edge cases."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -27,17 +28,23 @@ def frame(spark, texts):
 
 
 def frequencies(texts):
-    df, n = np.zeros(1 << nd.SLOTS), 0
-    for t in texts:
-        at = np.unique(nd.shingles(t) & np.uint32((1 << nd.SLOTS) - 1))
-        df[at] += 1
-        n += len(at) > 0
-    return df, nd.inverse(df, n)
+    """The idf by counting every shingle of every text."""
+    df = Counter(x for t in texts for x in set(nd.shingles(t).tolist()))
+    n = sum(len(nd.shingles(t)) > 0 for t in texts)
+    often = {x: c for x, c in df.items() if c > max(1, nd.FLOOR * n)}
+    return nd.Idf(np.array(list(often), np.int64), np.array(list(often.values()), float), n)
+
+
+def given(values):
+    """An idf of given values: of the shingles 0, 1, ..."""
+    idf = nd.Idf(np.arange(len(values)), np.ones(len(values)), 1)
+    idf.value = np.array(values)
+    return idf
 
 
 def plain(texts):
     """Classes from all pairs: components of weighted Jaccard >= 0.8, and of equal texts."""
-    (_, idf), own = frequencies(texts), [nd.shingles(t) for t in texts]
+    idf, own = frequencies(texts), [nd.shingles(t) for t in texts]
     group = list(range(len(texts)))
     for j in range(len(texts)):
         for i in range(j):
@@ -83,7 +90,9 @@ def test_samples_agree_as_often_as_texts_are_similar():
     for _ in range(400):
         a = np.sort(rnd.integers(0, 1 << 32, 60, dtype=np.uint32))
         b = np.sort(np.concatenate((a[: rnd.integers(20, 60)], rnd.integers(0, 1 << 32, 10, dtype=np.uint32))))
-        idf = rnd.random(1 << 8) + 0.2
+        every = np.unique(np.concatenate((a, b)))
+        idf = nd.Idf(every, np.ones(len(every)), 1)
+        idf.value = rnd.random(len(every)) + 0.2
         agree.append(np.mean(nd.samples(*nd.weights(a, idf)) == nd.samples(*nd.weights(b, idf))))
         want.append(nd.similarity(a, b, idf))
     assert abs(np.mean(agree) - np.mean(want)) < 0.02
@@ -91,7 +100,7 @@ def test_samples_agree_as_often_as_texts_are_similar():
 
 
 def test_similarity_by_hand():
-    idf = np.array([1.0, 2.0, 3.0, 4.0])
+    idf = given([1.0, 2.0, 3.0, 4.0])
     a, b = np.array([0, 1, 1, 2], np.uint32), np.array([1, 2, 2, 3], np.uint32)
     # min: 1 -> 2, 2 -> 3; max: 0 -> 1, 1 -> 4, 2 -> 6, 3 -> 4
     assert nd.similarity(a, b, idf) == pytest.approx(5 / 15)
@@ -100,19 +109,39 @@ def test_similarity_by_hand():
 def test_linked_texts_share_a_prefix_shingle():
     rnd = random.Random(8)
     base = text(rnd, 150)
-    others = [edited(rnd, base, k) for k in (1, 2, 3, 4)]
-    df, idf = frequencies([base, *others])
-    for other in others:
-        a, b = nd.shingles(base), nd.shingles(other)
-        if nd.similarity(a, b, idf) >= 0.8:
-            assert len(np.intersect1d(nd.prefix(a, idf, df, 0.8), nd.prefix(b, idf, df, 0.8)))
+    texts = [base, *[edited(rnd, base, k) for k in (1, 2, 3, 4)], text(rnd, 90)]
+    idf, own = frequencies(texts), [nd.shingles(t) for t in texts]
+    df = Counter(x for o in own for x in set(o.tolist()))
+
+    def rarest(o):
+        shared = np.array([x for x in np.unique(o).tolist() if df[x] > 1], np.uint32)
+        return nd.prefix(o, idf, shared, np.array([df[x] for x in shared.tolist()], np.int64), 0.8)
+
+    pairs = [(i, j) for j in range(len(own)) for i in range(j) if nd.similarity(own[i], own[j], idf) >= 0.8]
+    assert pairs and all(len(np.intersect1d(rarest(own[i]), rarest(own[j]))) for i, j in pairs)
+    # a text that has enough of its own meets nobody
+    assert not len(rarest(own[-1]))
+
+
+def test_frequencies_above_the_floor_are_exact(spark):
+    rnd = random.Random(4)
+    common = [text(rnd, 5) for _ in range(6)]
+    texts = [". ".join([*common[: k % 7], text(rnd, 30)]) + " end" for k in range(400)] + [None, ""]
+    # few counters, so that nearly all shingles share one with a frequent one
+    for slots in (4, nd.SLOTS):
+        got = nd.frequencies(frame(spark, texts), slots=slots)
+        want = frequencies(texts)
+        assert got.shingle.tolist() == want.shingle.tolist() and np.allclose(got.value, want.value) and got.rest == want.rest
+    # the idf is spread: from what is in half of the texts to what is in one
+    assert len(want.shingle) > 5 and want.value.min() < 2.3 and want.rest > 5.5 and len(set(np.round(want.value, 3))) >= 5
+    assert nd.frequencies(frame(spark, texts).limit(0)).rest > 0
 
 
 def test_links_of_a_bucket_equal_pairwise_comparison():
     rnd = random.Random(12)
     texts = [text(rnd, 60) for _ in range(10)]
     texts += [edited(rnd, t, k) for t in texts for k in (1, 2, 3)] + ["no no no no no no " * 30, "no no no no no no " * 25, "no no no no no no " * 5]
-    _, idf = frequencies(texts)
+    idf = frequencies(texts)
     own = [nd.shingles(t) for t in texts]
     group = list(range(len(texts)))
     for i, j in nd.linked(own, idf, 0.8):
