@@ -1,90 +1,26 @@
 """Contracts of raw files: is this the data that was asked for, and not an error page?
 
-Checks a whole table of files in one pass and returns the violations.
+Judged for a whole table of files, each read once as a stream (see ``fingerprints.inspected``, which can certify the
+content in the same reading). A header is everything before the first line break; the rules for XML hold for the whole
+prolog, however long; a gzip is read to its end, so a truncated or altered member is found.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-# First characters of a web page, and the four bytes around a Parquet file.
-HTML_START = r"(?is)^\s*(<!doctype html|<html)"
-HTML_TYPES = ("text/html", "application/xhtml+xml")
-PARQUET_MAGIC = "PAR1"
+from .fingerprints import CONTRACT, inspected
 
-CONTRACT = (
-    "file STRING, format STRING, delimiter STRING, columns ARRAY<STRING>, root STRING, content_type STRING"
-)
-# what may stand before the root of an XML document: declarations, comments, a document type
-_PROLOG = r"(?s)\A\x{FEFF}?\s*(?:<\?.*?\?>\s*|<!--.*?-->\s*|<!DOCTYPE[^\[>]*(?:\[.*?\]\s*)?>\s*)*"
-_ROOT = _PROLOG + r"<(?:[\w.-]+:)?([\w.-]+)"
-
-
-def _as_text(content: Column) -> Column:
-    """Bytes as text; bytes that are no text (a cut character, a binary file) are replaced."""
-    return F.make_valid_utf8(content.cast("string"))
+__all__ = ["CONTRACT", "gzip_header_problems", "parquet_column_problems", "violations"]
 
 
 def violations(files_table: DataFrame, contracts: DataFrame) -> DataFrame:
-    """file, problem. ``files_table``: file, content, size; ``contracts``: see :data:`CONTRACT`.
-
-    A header is everything before the first line break, and the rules for XML hold for the whole prolog, however
-    long; gzipped CSV is checked by :func:`gzip_header_problems`.
-    """
-    d = contracts.join(files_table, "file", "left")
-    content = _as_text(F.col("content"))
-    fmt = F.col("format")
-    header = F.regexp_replace(F.element_at(F.split(content, r"\r?\n", 2), 1), r"^\x{FEFF}", "")
-    names = F.transform(
-        F.split(header, F.concat(F.lit(r"\Q"), F.coalesce("delimiter", F.lit(",")), F.lit(r"\E"))),
-        lambda c: F.regexp_replace(F.trim(c), '^"|"$', ""),
-    )
-    wanted = F.coalesce("columns", F.array().cast("array<string>"))
-    absent = F.array_except(wanted, names)
-    xml_root = F.regexp_extract(content, _ROOT, 1)
-    declared = F.regexp_replace(F.regexp_extract(content, _PROLOG, 0), r"(?s)<!--.*?-->", "")
-
-    def said(label: str, detail: Column | None = None) -> Column:
-        return F.lit(label) if detail is None else F.concat(F.lit(label), F.lit(": "), detail)
-
-    problem = (
-        F.when(F.col("content").isNull(), said("missing file"))
-        .when(
-            F.lower(F.trim(F.element_at(F.split(F.coalesce("content_type", F.lit("")), ";"), 1))).isin(*HTML_TYPES)
-            | content.rlike(HTML_START),
-            said("web page instead of data"),
-        )
-        .when((fmt == "csv") & (F.size(names) < 2), said("header is not tabular", F.substring(header, 1, 80)))
-        .when((fmt == "csv") & (F.size(absent) > 0), said("missing columns", F.array_join(absent, ",")))
-        .when(
-            fmt.isin("json", "geojson") & F.get_json_object(content, "$").isNull(), said("invalid JSON")
-        )
-        .when(
-            fmt.isin("json", "geojson")
-            & F.col("root").isNotNull()
-            & ~F.array_contains(F.coalesce(F.json_object_keys(content), F.array().cast("array<string>")), F.col("root")),
-            said("missing root key", F.col("root")),
-        )
-        .when((fmt == "parquet") & (F.col("size") < 8), said("Parquet file too short"))
-        .when(
-            (fmt == "parquet")
-            & (
-                (_as_text(F.substring("content", 1, 4)) != PARQUET_MAGIC)
-                | (_as_text(F.substring("content", -4, 4)) != PARQUET_MAGIC)
-            ),
-            said("Parquet magic number missing"),
-        )
-        .when((fmt == "xml") & declared.contains("<!ENTITY"), said("XML with internal entities"))
-        .when((fmt == "xml") & (xml_root == ""), said("invalid XML"))
-        .when(
-            (fmt == "xml") & F.col("root").isNotNull() & (xml_root != F.col("root")), said("unexpected root", xml_root)
-        )
-    )
-    return d.select("file", problem.alias("problem")).filter(F.col("problem").isNotNull())
+    """file, problem. ``files_table``: see ``fingerprints.files``; ``contracts``: see :data:`CONTRACT`."""
+    return inspected(files_table, contracts=contracts).select("file", "problem").filter("problem is not null")
 
 
 def gzip_header_problems(spark: SparkSession, path: str, delimiter: str, columns: list[str]) -> list[str]:
-    """The same header rules for a gzipped CSV, from the header alone (Spark decompresses it)."""
+    """The rules of a header for a gzipped CSV, from the header alone (Spark decompresses it)."""
     found = spark.read.option("sep", delimiter).option("header", True).option("inferSchema", False).csv(path).columns
     if len(found) < 2:
         return [f"header is not tabular: {found}"]

@@ -3,124 +3,158 @@
 Three rules: the raw bytes; the decompressed content of a gzip (its header carries the compression
 instant); an XML with the text of a few exact paths blanked (the envelope an API stamps anew on
 every request). A rule travels with the certified hash.
+
+What goes round in Spark is a table of paths: the task that gets a path reads the file as a stream, block by block, so
+a file of any size takes little memory. The contracts of the files are judged in the same pass.
 """
 
 from __future__ import annotations
 
-import hashlib
-import zlib
+import io
 from collections.abc import Iterator
-from xml.parsers import expat
 
 import pandas as pd
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import streams
+
 
 class FingerprintMismatch(ValueError):
     """A file no longer has the content that was certified."""
 
 
-def files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """file (base name), content, size."""
-    raw = spark.read.format("binaryFile").load(path)
-    return raw.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content", F.col("length").alias("size"))
-
-
-class _XmlDigest:
-    """Feeds what a parser meets into a hash, in the order of the document; no tree is built."""
-
-    def __init__(self, ignored: list[str]):
-        self.ignored = {tuple(path.split("/")) for path in ignored}
-        self.open: list[str] = []
-        self.hash = hashlib.sha256()
-        self.parser = expat.ParserCreate(namespace_separator="}")
-        self.parser.buffer_text = True
-        self.parser.StartElementHandler = self.start
-        self.parser.EndElementHandler = self.end
-        self.parser.CharacterDataHandler = self.text
-        self.parser.EntityDeclHandler = self.entity
-
-    def say(self, *parts: str) -> None:
-        for part in parts:
-            data = part.encode()
-            self.hash.update(len(data).to_bytes(8, "big") + data)
-
-    def start(self, name: str, attributes: dict[str, str]) -> None:
-        self.open.append(name.rpartition("}")[2])
-        self.say("start", name)
-        for pair in sorted(attributes.items()):
-            self.say(*pair)
+FILES = "file string, path string, size bigint, content binary"
 
-    def text(self, data: str) -> None:
-        if tuple(self.open) not in self.ignored:
-            self.say("text", data)
 
-    def end(self, name: str) -> None:
-        self.open.pop()
-        self.say("end")
-
-    def entity(self, *_: object) -> None:
-        raise ValueError("XML with internal entities is refused")
+def files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """file (base name), path, size; content only for files of a store that executors can't open by themselves. Spark lists
+    no empty files: they count as missing."""
+    first = path if isinstance(path, str) else path[0]
+    where = spark._jvm.org.apache.hadoop.fs.Path(first)
+    scheme = where.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme()
+    raw = spark.read.format("binaryFile").load(path)
+    streamed = scheme in (*streams.LOCAL, *streams.REMOTE)
+    # without the column Spark lists the files and reads none
+    content = F.lit(None).cast("binary") if streamed else F.col("content")
+    return raw.select(F.element_at(F.split("path", "/"), -1).alias("file"), "path", F.col("length").alias("size"), content.alias("content"))
 
 
 def canonical_xml(content: bytes, ignored: list[str]) -> str:
-    """SHA-256 of the elements, attributes and texts of a document, without the text directly at the given paths (local
-    names from the root on). Comments and the order of attributes don't count."""
-    digest = _XmlDigest(ignored)
-    digest.parser.Parse(content, True)
-    return digest.hash.hexdigest()
+    """The hash of :class:`streams.XmlDigest` of a document at hand."""
+    digest = streams.XmlDigest(ignored)
+    digest.feed(content)
+    digest.close()
+    return digest.result()
 
 
-_CHUNK = 1 << 20
+def decompressed(content: bytes) -> str:
+    """SHA-256 of the content of all members of a gzip at hand."""
+    digest = streams.Digest()
+    gunzip = streams.Gunzip(digest)
+    gunzip.feed(content)
+    gunzip.close()
+    return digest.result()
+
+
+# Types of web pages, and the four bytes around a Parquet file.
+HTML_TYPES = ("text/html", "application/xhtml+xml")
+PARQUET_MAGIC = b"PAR1"
+_CSV, _JSON = ("csv", "csv.gz"), ("json", "geojson")
+
+
+def _judged(row, stream, start, consumer, error) -> str | None:
+    """The first rule of its contract that a file breaks; None if it keeps them all."""
+    kind = (row.content_type or "").split(";")[0].strip().lower()
+    if kind in HTML_TYPES or start.is_page():
+        return "web page instead of data"
+    columns = list(row.columns) if row.columns is not None else []
+    if row.format in _CSV:
+        if error is not None:
+            return f"gzip: {error}"
+        header, names = consumer.names(row.delimiter or ",")
+        if len(names) < 2:
+            return f"header is not tabular: {header[:80]}"
+        absent = [c for c in columns if c not in names]
+    elif row.format in _JSON:
+        if not consumer.valid:
+            return "invalid JSON"
+        return f"missing root key: {row.root}" if row.root is not None and not consumer.found else None
+    elif row.format == "parquet":
+        if consumer.size < 8:
+            return "Parquet file too short"
+        if (consumer.first, consumer.last) != (PARQUET_MAGIC, PARQUET_MAGIC):
+            return "Parquet magic number missing"
+        absent = []
+        if columns:
+            stream.seek(0)
+            known = pq.ParquetFile(stream).schema_arrow.names
+            absent = [c for c in columns if c not in known]
+    elif row.format == "xml":
+        if consumer.entities:
+            return "XML with internal entities"
+        if consumer.root is None:
+            return "invalid XML"
+        return f"unexpected root: {consumer.root}" if row.root is not None and consumer.root != row.root else None
+    else:
+        return None
+    return f"missing columns: {','.join(absent)}" if absent else None
+
+
+def _inspected(row) -> tuple[str | None, str | None, str | None]:
+    """sha256, error, problem of one file, from one reading."""
+    if row.path is None:
+        return None, None, "missing file"
+    ignored = list(row.ignore_xml) if row.ignore_xml is not None else []
+    digest = streams.XmlDigest(ignored) if ignored else streams.Digest()
+    whole = streams.Gunzip(digest) if row.decompressed and not ignored else digest
+    start, consumer, checked = streams.Start(), None, []
+    if row.judged:
+        consumer = {
+            **dict.fromkeys(_CSV, streams.Header), "parquet": streams.Ends, "xml": streams.Root, **dict.fromkeys(_JSON, lambda: streams.Json(row.root)),
+        }.get(row.format, streams.Ends)()
+        zipped = row.format == "csv.gz" or (row.format == "csv" and row.file.endswith(".gz"))
+        checked = [start, streams.Gunzip(consumer) if zipped else consumer]
+    with (streams.opened(row.path) if row.content is None else io.BytesIO(row.content)) as stream:
+        error, *others = streams.through(stream, [whole, *checked])
+        problem = _judged(row, stream, start, consumer, others[1]) if row.judged else None
+    if error is not None:
+        return None, f"{type(error).__name__}: {error}", problem
+    return digest.result(), None, problem
+
+
+CONTRACT = (
+    "file STRING, format STRING, delimiter STRING, columns ARRAY<STRING>, root STRING, content_type STRING"
+)
+
+
+def inspected(files_table: DataFrame, rules: DataFrame | None = None, contracts: DataFrame | None = None) -> DataFrame:
+    """file, sha256, error, problem of every file of the table and of the contracts. Each file is read once.
+
+    ``rules``: file, ignore_xml ARRAY<STRING>, decompressed BOOLEAN; a file that cannot be read under its rule has a NULL
+    hash and its error. ``contracts``: see :data:`CONTRACT`; files without one have no problem.
+    """
+    spark = files_table.sparkSession
+    if rules is None:
+        rules = spark.createDataFrame([], "file string, ignore_xml array<string>, decompressed boolean")
+    if contracts is None:
+        contracts = spark.createDataFrame([], CONTRACT)
+    d = files_table.join(rules.select("file", "ignore_xml", F.coalesce("decompressed", F.lit(False)).alias("decompressed")), "file", "left")
+    d = d.join(contracts.withColumn("judged", F.lit(True)), "file", "full")
+    d = d.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("judged", "decompressed")})
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                yield pd.DataFrame([(row.file, *_inspected(row))], columns=["file", "sha256", "error", "problem"])
 
-def decompressed(content: bytes) -> str:
-    """SHA-256 of the content of all members of a gzip; each member's checksum and length are verified."""
-    digest, left = hashlib.sha256(), content
-    while left:
-        member = zlib.decompressobj(wbits=31)
-        while not member.eof:
-            block = member.decompress(left, _CHUNK)
-            left = member.unconsumed_tail
-            if not block and not left and not member.eof:
-                raise EOFError("the gzip ends within a member")
-            digest.update(block)
-        left = member.unused_data.lstrip(b"\0")
-    return digest.hexdigest()
-
-
-def _special(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for file, content, ignored, unzip in zip(batch["file"], batch["content"], batch["ignore_xml"], batch["decompressed"]):
-            try:
-                if ignored is not None and len(ignored):
-                    sha = canonical_xml(bytes(content), list(ignored))
-                elif unzip:
-                    sha = decompressed(bytes(content))
-                else:
-                    sha = hashlib.sha256(bytes(content)).hexdigest()
-                rows.append((file, sha, None))
-            except (expat.ExpatError, ValueError, EOFError, zlib.error) as exc:
-                rows.append((file, None, f"{type(exc).__name__}: {exc}"))
-        yield pd.DataFrame(rows, columns=["file", "sha256", "error"])
+    # one path is one row: by size, large files come first and lie in tasks of their own
+    return d.repartition("file").sortWithinPartitions(F.desc("size")).mapInPandas(run, "file string, sha256 string, error string, problem string")
 
 
 def fingerprints(files_table: DataFrame, rules: DataFrame) -> DataFrame:
-    """file, sha256, error. ``rules``: file, ignore_xml ARRAY<STRING>, decompressed BOOLEAN.
-
-    Plain files are hashed by Spark itself; only the two special rules go through Python, one file
-    at a time. A file that cannot be read under its rule has a NULL hash and its error.
-    """
-    d = files_table.join(rules.select("file", "ignore_xml", "decompressed"), "file", "left")
-    special = (F.coalesce(F.size("ignore_xml"), F.lit(0)) > 0) | F.coalesce("decompressed", F.lit(False))
-    plain = d.filter(~special).select("file", F.sha2("content", 256).alias("sha256"), F.lit(None).cast("string").alias("error"))
-    other = (
-        d.filter(special)
-        .select("file", "content", "ignore_xml", F.coalesce("decompressed", F.lit(False)).alias("decompressed"))
-        .mapInPandas(_special, "file string, sha256 string, error string")
-    )
-    return plain.unionByName(other)
+    """file, sha256, error, by the rules of :func:`inspected`."""
+    return inspected(files_table, rules).select("file", "sha256", "error")
 
 
 def mismatches(found: DataFrame, certified: DataFrame) -> DataFrame:

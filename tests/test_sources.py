@@ -1,10 +1,14 @@
 import gzip
 import hashlib
+import json
+import resource
+from pathlib import Path
 
 import pytest
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from chronowatt.sources import contracts, fingerprints as fp, readers, sinks, xml_series
+from chronowatt.sources import contracts, fingerprints as fp, readers, sinks, streams, xml_series
 
 
 def write(path, text, encoding="utf-8"):
@@ -181,6 +185,141 @@ def test_contracts_judge_whole_headers_and_prologs(spark, tmp_path):
     assert {r.file: r.problem for r in found.collect()} == {"late.xml": "XML with internal entities", "broken.xml": "invalid XML"}
 
 
+def judged(spark, folder, rows):
+    found = contracts.violations(fp.files(spark, str(folder)), spark.createDataFrame(rows, contracts.CONTRACT))
+    return {r.file: r.problem for r in found.collect()}
+
+
+def test_any_number_of_comments_before_the_root(spark, tmp_path):
+    write(tmp_path / "many.xml", '<?xml version="1.0"?>' + "<!-- c -->\n" * 100_000 + "<Doc/>")
+    write(tmp_path / "other.xml", "<!-- c -->" * 100_000 + "<Ack/>")
+    write(tmp_path / "none.xml", "<!-- c -->" * 100_000)
+    rows = [(n, "xml", None, None, "Doc", None) for n in ("many.xml", "other.xml", "none.xml")]
+    assert judged(spark, tmp_path, rows) == {"other.xml": "unexpected root: Ack", "none.xml": "invalid XML"}
+
+
+def test_gzip_is_read_to_its_end(spark, tmp_path):
+    body = "A;B\n" + "1;2\n" * 400_000
+    whole = Path(gz(tmp_path / "ok.csv.gz", body)).read_bytes()
+    second = Path(gz(tmp_path / "two.csv.gz", "A;B\n1;2\n")).read_bytes()
+    (tmp_path / "two.csv.gz").write_bytes(second + whole + b"\0" * 512)
+    (tmp_path / "cut.csv.gz").write_bytes(whole[:-5])
+    (tmp_path / "member.csv.gz").write_bytes(second + whole[: len(whole) // 2])
+    (tmp_path / "crc.csv.gz").write_bytes(whole[:-8] + b"\1\2\3\4" + whole[-4:])
+    (tmp_path / "empty.csv.gz").write_bytes(b"")
+    (tmp_path / "plain.csv.gz").write_bytes(b"A;B\n1;2\n")
+    names = ("ok", "two", "cut", "member", "crc", "empty", "plain")
+    got = judged(spark, tmp_path, [(f"{n}.csv.gz", "csv.gz", ";", ["A", "B"], None, None) for n in names])
+    assert set(got) == {"cut.csv.gz", "member.csv.gz", "crc.csv.gz", "empty.csv.gz", "plain.csv.gz"}
+    # Spark lists no empty files
+    assert got.pop("empty.csv.gz") == "missing file"
+    assert all(p.startswith("gzip: ") for p in got.values())
+    assert "ends within a member" in got["cut.csv.gz"] and "ends within a member" in got["member.csv.gz"]
+    # the same pass certifies the content
+    rules = spark.createDataFrame([("two.csv.gz", None, True), ("crc.csv.gz", None, True)], "file string, ignore_xml array<string>, decompressed boolean")
+    found = {r.file: r for r in fp.inspected(fp.files(spark, str(tmp_path)), rules).collect()}
+    assert found["two.csv.gz"].sha256 == hashlib.sha256(b"A;B\n1;2\n" + body.encode()).hexdigest()
+    assert found["crc.csv.gz"].sha256 is None and "incorrect data check" in found["crc.csv.gz"].error
+
+
+def test_file_beyond_two_gigabytes_in_bounded_memory(spark, tmp_path):
+    size = 3 << 30
+    with open(tmp_path / "big.bin", "wb") as f:
+        f.truncate(size)
+    want, block = hashlib.sha256(), bytes(1 << 20)
+    for _ in range(size >> 20):
+        want.update(block)
+    rules = spark.createDataFrame([], "file string, ignore_xml array<string>, decompressed boolean")
+    (row,) = fp.fingerprints(fp.files(spark, str(tmp_path)), rules).collect()
+    assert (row.sha256, row.error) == (want.hexdigest(), None)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    with streams.opened(f"file:{tmp_path}/big.bin") as f:
+        assert streams.through(f, [streams.Start(), streams.Ends()]) == [None, None]
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 64_000
+
+
+@pytest.mark.parametrize("block", [1, 3, 7, 1 << 20])
+def test_streams_do_not_depend_on_the_blocks(block):
+    def fed(consumer, data):
+        for i in range(0, len(data), block):
+            consumer.feed(data[i : i + block])
+        consumer.close()
+        return consumer
+
+    xml = XML.format("é" * 50, "t", "m", "x" * 30_000).encode()
+    assert fed(streams.XmlDigest(IGNORE), xml).result() == fp.canonical_xml(xml, IGNORE)
+    assert fp.canonical_xml(xml.replace(b"<q>x", b"<q><!-- c -->x"), IGNORE) == fp.canonical_xml(xml, IGNORE)
+    assert fp.canonical_xml(b"<a>bc<d/></a>", []) != fp.canonical_xml(b"<a>b<d/>c</a>", [])
+    packed = gzip.compress(b"abc" * 5_000) + gzip.compress(b"") + b"\0" + gzip.compress(b"tail")
+    assert fed(streams.Gunzip(digest := streams.Digest()), packed) and digest.result() == hashlib.sha256(b"abc" * 5_000 + b"tail").hexdigest()
+    assert fed(streams.Start(), b"\xef\xbb\xbf \n <!DocType HTML>").is_page() and not fed(streams.Start(), b"a <html").is_page()
+    ends = fed(streams.Ends(), b"PAR1xxPAR1")
+    assert (ends.size, ends.first, ends.last) == (10, b"PAR1", b"PAR1")
+    assert fed(streams.Header(), '\ufeff"a" ;b\r\nc'.encode()).names(";") == ('"a" ;b', ["a", "b"])
+    root = fed(streams.Root(), b"<?xml version='1.0'?><!DOCTYPE d [<!ELEMENT d ANY>]><n:d xmlns:n='u'><broken")
+    assert (root.root, root.entities, root.broken) == ("d", False, False)
+
+
+_VALUES = st.recursive(
+    st.none() | st.booleans() | st.floats(allow_nan=False, allow_infinity=False) | st.integers() | st.text(max_size=8),
+    lambda inner: st.lists(inner, max_size=4) | st.dictionaries(st.text(max_size=5), inner, max_size=4),
+    max_leaves=12,
+)
+
+
+def fed_json(text, wanted, block):
+    found, data = streams.Json(wanted), text.encode("utf-8", "surrogatepass")
+    for i in range(0, len(data), block):
+        found.feed(data[i : i + block])
+    found.close()
+    return found
+
+
+@settings(max_examples=200, deadline=None)
+@given(_VALUES, st.integers(1, 9), st.booleans(), st.integers(0, 40), st.sampled_from(list('{}[],:"\\0-.x ')))
+def test_json_is_judged_as_the_library_does(value, block, pretty, at, mark):
+    text = json.dumps(value, indent=1 if pretty else None, ensure_ascii=pretty)
+    broken = text[:at] + mark + text[at:]
+    for t in (text, broken, text[: at or 1], text + text):
+        try:
+            known, valid = json.loads(t), True
+        except ValueError:
+            known, valid = None, False
+        got = fed_json(t, "a", block)
+        assert got.valid == valid, t
+        if valid:
+            assert got.found == (isinstance(known, dict) and "a" in known)
+
+
+def test_json_with_a_long_text_and_odd_ends(spark, tmp_path):
+    assert fed_json('{"a": "' + "x" * 300_000 + '", "features": []}', "features", 1 << 12).found
+    assert not fed_json("", None, 1).valid and not fed_json("1 2", None, 1).valid and fed_json(" 12 ", None, 1).valid
+    assert not streams_json_of_bytes(b"\"\xff\"").valid and fed_json("\ufeff[]", None, 1).valid
+
+
+def streams_json_of_bytes(data):
+    found = streams.Json()
+    found.feed(data)
+    found.close()
+    return found
+
+
+def test_parquet_columns_and_unknown_formats(spark, tmp_path):
+    spark.createDataFrame([(1, 2)], "a int, b int").coalesce(1).write.parquet(str(tmp_path / "pq"))
+    part = next((tmp_path / "pq").glob("*.parquet")).read_bytes()
+    f = tmp_path / "files"
+    f.mkdir()
+    (f / "p.parquet").write_bytes(part)
+    write(f / "notes.txt", "<html>")
+    write(f / "free.txt", "anything")
+    rows = [("p.parquet", "parquet", None, ["b", "z"], None, None), ("notes.txt", "txt", None, None, None, None), ("free.txt", "txt", None, None, None, None)]
+    assert judged(spark, f, rows) == {"p.parquet": "missing columns: z", "notes.txt": "web page instead of data"}
+    # bytes that come from a store that executors can't open
+    held = fp.files(spark, str(f)).drop("content").join(spark.createDataFrame([("p.parquet", bytearray(part))], "file string, content binary"), "file")
+    (row,) = fp.inspected(held, contracts=spark.createDataFrame(rows[:1], contracts.CONTRACT)).collect()
+    assert row.sha256 == hashlib.sha256(part).hexdigest() and row.problem == "missing columns: z"
+
+
 # ---- XML documents -------------------------------------------------------------------------------------
 
 
