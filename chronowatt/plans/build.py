@@ -14,8 +14,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.quality import GuardError, check_empty
-from ..sources.contracts import violations
-from ..sources.fingerprints import files as read_files, fingerprints, verify
+from ..session import cut_lineage
+from ..sources.fingerprints import files as read_files, inspected, verify
 from ..sources.sinks import write_ordered, write_table
 
 POINTER = "CURRENT"
@@ -56,6 +56,33 @@ class Output:
     after: Callable[[DataFrame, Context], None] | None = field(default=None)
 
 
+@dataclass(frozen=True)
+class Gate:
+    """A check between the last table and the publication: ``violations`` derives, from the tables it ``needs``, frames that
+    must be empty. A gate whose tables are not all built stops the publication too, unless ``optional``."""
+
+    name: str
+    needs: Sequence[str]
+    violations: Callable[[Context], Mapping[str, DataFrame]]
+    optional: bool = False
+
+
+def claims_gate(name: str, needs: str, claims: Callable[[DataFrame], DataFrame]) -> Gate:
+    """A gate of publication claims: ``claims`` gives (name, ok) rows over a table; each must be true."""
+    untrue = lambda c: {"no longer true": claims(c.staged(needs)).filter("ok is distinct from true").select("name")}
+    return Gate(name, (needs,), untrue, optional=True)
+
+
+def pass_gates(context: Context, gates: Sequence[Gate], built: Sequence[str]) -> None:
+    for gate in gates:
+        absent = sorted(set(gate.needs) - set(built))
+        if absent and gate.optional:
+            continue
+        if absent:
+            raise GuardError(f"{gate.name}: not built: {', '.join(absent)}")
+        check_empty(gate.violations(context), gate.name)
+
+
 def plan(outputs: Iterable[Output], available: Iterable[str]) -> list[Output]:
     """Outputs whose sources are all present, each after the tables it derives from."""
     have, chosen, names = set(available), [], set()
@@ -78,28 +105,50 @@ def check_inputs(
     check_empty({"source absent from the manifest": wanted.join(manifest, "source_id", "left_anti")}, "inputs")
     entries = manifest.join(wanted, "source_id", "left_semi")
     rules = entries.select(F.col("filename").alias("file"), "sha256", "ignore_xml", "decompressed")
-    found = fingerprints(read_files(spark, [raw[s] for s in sorted(set(needed))]), rules)
+    judged = None if contracts is None else contracts.join(rules.select("file"), "file", "left_semi")
+    # every file is read once, for its hash and its contract
+    found = cut_lineage(inspected(read_files(spark, [raw[s] for s in sorted(set(needed))]), rules, judged))
     verify(found, rules)
-    if contracts is not None:
-        judged = contracts.join(rules.select("file"), "file", "left_semi")
-        broken = violations(read_files(spark, [raw[s] for s in sorted(set(needed))]), judged)
-        check_empty({"contract": broken}, "inputs")
+    check_empty({"contract": found.select("file", "problem").filter("problem is not null")}, "inputs")
     return entries.select("source_id", "filename", "sha256", "date_collecte")
 
 
+_SEEDS = (11, 23, 37, 53)
+
+
+def content_hash(df: DataFrame, by: Sequence[Column]) -> DataFrame:
+    """``by``, rows and sha256 of the rows as a multiset: for each seed the sum of the rows' hashes, as exact decimals. A row
+    counts with all columns, a NULL as such; the order of rows does not count. It is summed where the rows are read."""
+    parts: list[Column] = []
+    for field_ in df.schema.fields:
+        c = F.col(f"`{field_.name}`")
+        parts += [c.isNull(), c]
+        if field_.dataType.typeName() in ("array", "struct", "map"):
+            # a hash passes over NULLs inside, their text does not
+            parts[-1] = c.cast("string")
+    sums = [F.sum(F.xxhash64(F.lit(seed), *parts).cast("decimal(38,0)")).alias(f"s{seed}") for seed in _SEEDS]
+    found = df.groupBy(*by).agg(F.count("*").alias("rows"), *sums)
+    names = F.lit(",".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields))
+    text = F.concat_ws(";", names, "rows", *[F.coalesce(F.col(f"s{s}"), F.lit(0)).cast("string") for s in _SEEDS])
+    return found.withColumn("sha256", F.sha2(text.cast("binary"), 256)).drop(*[f"s{s}" for s in _SEEDS])
+
+
 def table_files(spark: SparkSession, run: str, name: str) -> DataFrame:
-    """output, file, sha256, size of a staged table's data files."""
-    found = (
+    """output, file, sha256 (of the content), size, rows of a staged table's data files, of any size."""
+    listed = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.parquet")
         .option("recursiveFileLookup", True)
         .load(f"{run}/{name}")
+        .select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("size"))
     )
-    return found.select(
-        F.lit(name).alias("output"),
-        F.element_at(F.split("path", "/"), -1).alias("file"),
-        F.sha2("content", 256).alias("sha256"),
-        F.col("length").alias("size"),
+    table = spark.read.parquet(f"{run}/{name}")
+    content = content_hash(table, [F.col("_metadata.file_name").alias("file")])
+    joined = listed.join(content, "file", "left")
+    # a file without rows
+    empty = F.sha2(F.lit("no rows").cast("binary"), 256)
+    return joined.select(
+        F.lit(name).alias("output"), "file", F.coalesce("sha256", empty).alias("sha256"), "size", F.coalesce("rows", F.lit(0)).alias("rows")
     )
 
 
@@ -113,8 +162,9 @@ def run_build(
     code_version: str = "unknown",
     built_at: str | None = None,
     contracts: DataFrame | None = None,
+    gates: Sequence[Gate] = (),
 ) -> str:
-    """Build and publish; returns the run's folder."""
+    """Build and publish; returns the run's folder. All ``gates`` must let the staged tables pass before the pointer moves."""
     if not outputs:
         raise ValueError("nothing to build: no output has all its sources")
     if not re.fullmatch(r"[\w.-]+", run_id):
@@ -139,6 +189,7 @@ def run_build(
             out.after(staged, context)
         one = table_files(spark, run, out.name)
         files = one if files is None else files.unionByName(one)
+    pass_gates(context, gates, [o.name for o in outputs])
     rows = [(o.name, list(o.sources), list(o.derived_from)) for o in outputs]
     moment = F.lit(built_at).cast("timestamp") if built_at else F.current_timestamp()
     declared = spark.createDataFrame(rows, "output string, sources array<string>, derived_from array<string>")

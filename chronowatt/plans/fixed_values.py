@@ -127,3 +127,33 @@ AIR_SOURCES = (
     "aee_o3_venaco_continu",
     "aee_o3_venaco_valide",
 )
+
+# Coverage of the study. Summer months; stations that measure each pollutant; first summer of those that
+# opened inside the window; last summer of those that closed.
+AIR_SUMMER_MONTHS = (6, 7, 8)
+STATIONS_OF_POLLUTANT = {
+    "O3": ("AJACCIO CANETTO", "AJACCIO CONFINA 2", "BASTIA GIRAUD", "BASTIA LA MARANA", "BASTIA MONTESORO", "VENACO"),
+    "NO2": ("AJACCIO CANETTO", "AJACCIO CONFINA 2", "BASTIA GIRAUD", "BASTIA LA MARANA", "BASTIA MONTESORO"),
+}
+FIRST_SUMMER = {"AJACCIO CONFINA 2": 2024}
+LAST_SUMMER: dict[tuple[str, str], int] = {}
+
+# What each source must look like (ids as in the registry): format, delimiter, columns, root.
+SALES_COLUMNS = ("nature_mutation", "valeur_fonciere", "nom_commune", "code_commune")
+WEATHER_COLUMNS = ("NUM_POSTE", "NOM_USUEL", "AAAAMMJJHH", "T", "QT")
+AIR_COLUMNS = ("Samplingpoint", "Start", "End", "Value", "Validity", "Verification")
+SOURCE_CONTRACTS = {
+    "dvf_2a_2024": ("csv.gz", ",", SALES_COLUMNS, None),
+    "dvf_2b_2024": ("csv.gz", ",", SALES_COLUMNS, None),
+    "edf_mix_temps_reel": ("csv", ";", ("date", "total", "photovoltaique", "filiere_enr_distrib", "statut"), None),
+    "edf_courbe_charge_horaire": ("csv", ";", ("territoire", "date_heure", "production_totale_mw", "photovoltaique_mw", "statut"), None),
+    "edf_ecretement_corse": ("csv", ",", ("Territoire", "Mois", "Durée (h)"), None),
+    "seqe_emissions_verifiees": ("csv", ",", ("country_code", "eutl_id", "name", "year", "emissions_tco2e"), None),
+    "lcsqa_temps_reel": ("csv", ";", ("Zas", "nom site", "Polluant", "valeur", "validité"), None),
+    "meteo_horaire_corse": ("csv.gz", ";", WEATHER_COLUMNS, None),
+    "meteo_horaire_corse_2020_2024": ("csv.gz", ";", WEATHER_COLUMNS, None),
+    **{f"entsoe_sardaigne_{y}": ("xml", None, (), "GL_MarketDocument") for y in GENERATION_YEARS},
+    **{f"entsoe_charge_sardaigne_{y}": ("xml", None, (), "GL_MarketDocument") for y in GENERATION_YEARS},
+    **{f"entsoe_sarco_{y}_{d}": ("xml", None, (), "Publication_MarketDocument") for y in FLOW_YEARS for d in FLOW_DIRECTIONS},
+    **{source: ("parquet", None, AIR_COLUMNS, None) for source in AIR_SOURCES},
+}

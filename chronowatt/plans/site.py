@@ -1,12 +1,16 @@
-"""The build of the whole site: every published table, its sources and its guards."""
+"""The build of the whole site: every published table, its sources, its guards, and the gates before publication."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Mapping, Sequence
 
-from . import fixed_values as V, tables as B
-from .build import Context, Output
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from . import analyses as A, fixed_values as V, tables as B
+from .build import Context, Gate, Output, claims_gate, plan, run_build
+from ..operators import coverage
 from ..sources import readers, xml_series
+from ..sources.fingerprints import CONTRACT
 
 SALES = ("dvf_2a_2024", "dvf_2b_2024")
 WEATHER = ("meteo_horaire_corse", "meteo_horaire_corse_2020_2024")
@@ -143,3 +147,53 @@ OUTPUTS = (
         order=("date_locale", "station"), after=lambda t, c: B.check_air_weather(t, c.staged("air_o3_mda8")),
     ),
 )
+
+
+# ---- gates --------------------------------------------------------------------------------------------
+
+
+def _summers(df: DataFrame, years: tuple[int, int]) -> DataFrame:
+    day = F.col("date_locale")
+    return df.filter(F.month(day).isin(*V.AIR_SUMMER_MONTHS) & F.year(day).between(*years)).withColumn("year", F.year(day))
+
+
+def coverage_violations(ctx: Context, years: tuple[int, int] = V.STUDY_YEARS) -> dict[str, DataFrame]:
+    """What the air tables lack in the summers of the study; the expectation is a written list."""
+    daily = _summers(ctx.staged("air_o3_mda8").filter("valide"), years)
+    series = _summers(ctx.staged("air_serie"), years).select(F.col("polluant").alias("pollutant"), "station", "year").distinct()
+    crossed = _summers(ctx.staged("air_temperature_jour"), years).select("year").distinct()
+    first, last = years
+    pairs = [(p, s) for p, stations_ in V.STATIONS_OF_POLLUTANT.items() for s in stations_]
+    listed = [(p, s, max(V.FIRST_SUMMER.get(s, first), first), V.LAST_SUMMER.get((p, s), last)) for p, s in pairs]
+    expected = ctx.spark.createDataFrame(listed, "pollutant string, station string, first_year int, last_year int")
+    window = ctx.spark.range(first, last + 1).select(F.col("id").cast("int").alias("year"))
+    return {"coverage": coverage.audit_air(daily.select("station", "year"), series, crossed, window, expected)}
+
+
+GATES = (
+    Gate("coverage of the air tables", ("air_serie", "air_o3_mda8", "air_temperature_jour"), coverage_violations),
+    claims_gate("july plateau", "edf_courbe_corse", A.july_plateau_claims),
+    claims_gate("summer hours", "edf_courbe_corse", A.summer_hourly_claims),
+    claims_gate("greenest slot", "edf_courbe_corse", A.greenest_slot_claims),
+    claims_gate("hydro against thermal", "edf_courbe_corse", A.hydro_claims),
+    claims_gate("summer peaks", "edf_courbe_corse", A.peak_claims),
+    claims_gate("rural station", "air_o3_mda8", A.rural_claims),
+    claims_gate("scope of the season", "air_o3_mda8", A.season_scope_claims),
+    claims_gate("ozone by temperature", "air_temperature_jour", A.temperature_claims),
+)
+
+
+def contracts(spark: SparkSession, manifest: DataFrame) -> DataFrame:
+    """The contract of every file of the manifest whose source has one."""
+    rows = [(s, fmt, delimiter, list(columns), root) for s, (fmt, delimiter, columns, root) in V.SOURCE_CONTRACTS.items()]
+    known = spark.createDataFrame(rows, "source_id string, format string, delimiter string, columns array<string>, root string")
+    named = manifest.select("source_id", F.col("filename").alias("file")).join(known, "source_id")
+    typed = named.withColumn("content_type", F.lit(None).cast("string"))
+    return typed.select(*[c.split()[0] for c in CONTRACT.split(", ")])
+
+
+def publish(
+    spark: SparkSession, root: str, run_id: str, raw: Mapping[str, str], manifest: DataFrame, gates: Sequence[Gate] = GATES, **more
+) -> str:
+    """Certify and judge the raw files, build every table that has its sources, pass the gates, publish."""
+    return run_build(spark, root, run_id, plan(OUTPUTS, raw), raw, manifest, contracts=contracts(spark, manifest), gates=gates, **more)

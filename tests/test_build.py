@@ -1,10 +1,12 @@
+import glob
 import hashlib
+import os
 import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
-from chronowatt.operators.quality import GuardError, check_empty, duplicates
+from chronowatt.operators.quality import GuardError, check_empty, claims, duplicates
 from chronowatt.plans import build as K
 from chronowatt.plans.build import Context, LineageError, Output
 from chronowatt.sources.fingerprints import FingerprintMismatch
@@ -125,3 +127,62 @@ def test_contracts_and_checks_come_before_any_table(spark, site):
     assert not (folder / "out").exists()
     K.run_build(spark, root, "r1", chosen, raw, manifest, contracts=contract("v"))
     assert K.published(spark, root, "derived").count() == 2
+
+
+def test_one_changed_row_is_found_in_a_table_of_any_file_size(spark, site):
+    """The hash of a file is that of its rows, in any order; a row changed within the same file is found."""
+    path = run(spark, site, "r1")
+    before = K.table_files(spark, path, "base").collect()
+    table = spark.read.parquet(f"{path}/base")
+    rows = table.collect()
+
+    def rewrite(rows):
+        # the same file name with other content
+        (file,) = glob.glob(f"{path}/base/*.parquet")
+        spark.createDataFrame(rows, table.schema).coalesce(1).write.mode("overwrite").parquet(f"{site[3]}/other")
+        (other,) = glob.glob(f"{site[3]}/other/*.parquet")
+        shutil.copy(other, file)
+        for crc in glob.glob(f"{path}/base/.*.crc"):
+            os.remove(crc)
+
+    if len(before) == 1:
+        rewrite(rows[::-1])
+        assert K.table_files(spark, path, "base").first().sha256 == before[0].sha256
+        K.verify_outputs(spark, site[0])
+        rewrite([(r.k, r.v + (i == 1)) for i, r in enumerate(rows)])
+        with pytest.raises(LineageError, match="altered content"):
+            K.verify_outputs(spark, site[0])
+    assert {(r.output, r.rows) for r in before} == {("base", 3)} or sum(r.rows for r in before) == 3
+
+
+def test_content_hash_tells_nulls_columns_and_repeats_apart(spark):
+    def of(rows, schema="a int, b int, c array<int>"):
+        return K.content_hash(spark.createDataFrame(rows, schema), []).first().sha256
+
+    one = of([(1, None, [1, None]), (2, 3, [])])
+    assert one == of([(2, 3, []), (1, None, [1, None])])
+    others = [
+        of([(None, 1, [1, None]), (2, 3, [])]), of([(1, None, [None, 1]), (2, 3, [])]), of([(1, None, [1, None]), (2, 3, []), (2, 3, [])]),
+        of([(1, None, [1, None]), (2, 3, None)]), of([(1, None, [1, None]), (2, 3, [])], "a int, z int, c array<int>"), of([]),
+    ]
+    assert len({one, *others}) == 7
+
+
+def test_gates_stand_before_the_pointer(spark, site):
+    root, raw, manifest, _ = site
+    chosen = K.plan(outputs(), raw)
+
+    def publish(run_id, *gates):
+        return K.run_build(spark, root, run_id, chosen, raw, manifest, gates=gates)
+
+    publish("r1", K.claims_gate("sums", "derived", lambda t: claims(t, {"positive": F.every(F.col("v") > 0)})))
+    with pytest.raises(GuardError, match="sums: no longer true.*large"):
+        publish("r2", K.claims_gate("sums", "derived", lambda t: claims(t, {"positive": F.every(F.col("v") > 0), "large": F.every(F.col("v") > 3)})))
+    few = lambda c: {"few rows": c.staged("base").groupBy("k").count().filter("count < 2")}
+    with pytest.raises(GuardError, match="enough: few rows.*'b'"):
+        publish("r3", K.Gate("enough", ("base",), few))
+    with pytest.raises(GuardError, match="enough: not built: absent"):
+        publish("r4", K.Gate("enough", ("base", "absent"), few))
+    assert K.current_run(spark, root).endswith("/r1")
+    publish("r5", K.claims_gate("elsewhere", "absent", lambda t: t))
+    assert K.current_run(spark, root).endswith("/r5")

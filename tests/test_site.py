@@ -6,6 +6,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+from chronowatt.operators.quality import GuardError
 from chronowatt.plans import build as K, fixed_values as V, site
 from tests.test_build import MANIFEST
 from tests.test_sources import IN, OUT, document, gz, period, time_series, write
@@ -24,14 +25,14 @@ def raw_files(spark, folder):
         raw[source] = make(folder / name)
 
     for source in site.SALES:
-        put(source, f"{source}.csv.gz", lambda p: gz(p, "nature_mutation,valeur_fonciere,nom_commune\nVente,1,X\nEchange,2,Y\n"))
+        put(source, f"{source}.csv.gz", lambda p: gz(p, "nature_mutation,valeur_fonciere,nom_commune,code_commune\nVente,1,X,2A1\nEchange,2,Y,2A2\n"))
     mix = "date;total;filiere_thermique;filiere_enr_distrib;hydraulique;liaisons;photovoltaique;eolien;bioenergies;micro_hydro;statut\n"
     mix += "".join(f"{t:%Y-%m-%dT%H:%M:%S}+00:00;200;100;30;40;30;20;5;3;2;Estimé\n" for t in hours(6))
     put("edf_mix_temps_reel", "mix.csv", lambda p: write(p, mix))
     curve = "territoire;date_heure;statut;production_totale_mw;thermique_mw;hydraulique_mw;micro_hydraulique_mw;photovoltaique_mw;eolien_mw;bioenergies_mw;bagasse_mw;importations_mw\n"
     curve += "".join(f"Corse;{t:%Y-%m-%dT%H:%M:%S}+00:00;Validé;200;100;50;1;10;3;2;;35\n" for t in hours(48))
     put("edf_courbe_charge_horaire", "curve.csv", lambda p: write(p, curve))
-    cut = "﻿territoire,mois,duree_h,taux_pct\n" + "".join(f"Corse,2018-{m:02d},{m}\n" for m in range(1, 13))
+    cut = "﻿Territoire,Mois,Durée (h),Taux (%)\n" + "".join(f"Corse,2018-{m:02d},{m}\n" for m in range(1, 13))
     put("edf_ecretement_corse", "cut.csv", lambda p: write(p, cut))
     for y in V.GENERATION_YEARS:
         span = (f"{y}-06-01T00:00Z", f"{y}-06-01T02:00Z")
@@ -54,6 +55,7 @@ def raw_files(spark, folder):
         times = hours(24 * DAYS) if kind == "valide" else [START + dt.timedelta(days=DAYS, hours=h) for h in range(4)]
         data = [(label, t, 80.0 + t.hour, 1, 1 if kind == "valide" else 3) for t in times]
         frame = spark.createDataFrame(data, "Samplingpoint string, Start timestamp_ntz, Value double, Validity int, Verification int")
+        frame = frame.withColumn("End", F.col("Start") + F.expr("INTERVAL 1 HOUR"))
         if kind == "continu":
             frame = frame.withColumn("Extra", F.lit("only here"))
         target = folder / f"{source}_dir"
@@ -76,13 +78,17 @@ def manifest(spark, raw):
 
 
 @pytest.fixture(scope="module")
-def built(spark, tmp_path_factory):
-    folder = tmp_path_factory.mktemp("raw")
-    raw = raw_files(spark, folder)
+def raw(spark, tmp_path_factory):
+    return raw_files(spark, tmp_path_factory.mktemp("raw"))
+
+
+@pytest.fixture(scope="module")
+def built(spark, raw, tmp_path_factory):
     root = str(tmp_path_factory.mktemp("site"))
     chosen = K.plan(site.OUTPUTS, raw)
     assert len(chosen) == len(site.OUTPUTS)
-    K.run_build(spark, root, "run1", chosen, raw, manifest(spark, raw), built_at="2026-10-02 00:00:00")
+    # contracts are judged without being asked for
+    site.publish(spark, root, "run1", raw, manifest(spark, raw), gates=(), built_at="2026-10-02 00:00:00")
     return root
 
 
@@ -102,3 +108,31 @@ def test_daily_tables(spark, built):
     assert crossed.select("code_site").distinct().count() == 6
     assert {str(d[0]) for d in crossed.select("date_locale").distinct().collect()} == {"2024-07-02", "2024-07-03", "2024-07-04", "2024-07-05"}
     assert K.collected_on(spark, built, "lcsqa_temps_reel") == "2026-10-01"
+
+
+def test_every_source_has_a_contract(spark, raw):
+    assert set(V.SOURCE_CONTRACTS) == set(raw) == {s for o in site.OUTPUTS for s in o.sources}
+    found = site.contracts(spark, manifest(spark, raw)).collect()
+    assert len(found) == len(raw) and {r.format for r in found} == {"csv", "csv.gz", "xml", "parquet"}
+
+
+def test_a_missing_summer_or_a_false_claim_leaves_the_old_publication(spark, built, raw):
+    before = K.current_run(spark, built)
+    with pytest.raises(GuardError, match="coverage of the air tables.*empty_year"):
+        site.publish(spark, built, "run2", raw, manifest(spark, raw))
+    one_summer = K.Gate(
+        "one summer", site.GATES[0].needs, lambda c: {k: v.filter("check not in ('days_floor', 'station_floor')") for k, v in site.coverage_violations(c, (2024, 2024)).items()}
+    )
+    with pytest.raises(GuardError, match="july plateau.*one_stretch|july plateau.*afternoon"):
+        site.publish(spark, built, "run3", raw, manifest(spark, raw), gates=(one_summer, site.GATES[1]))
+    assert K.current_run(spark, built) == before
+    site.publish(spark, built, "run4", raw, manifest(spark, raw), gates=(one_summer,))
+    assert K.current_run(spark, built).endswith("run4")
+    K.verify_outputs(spark, built)
+
+
+def test_a_broken_contract_stops_before_any_table(spark, built, raw, tmp_path):
+    page = write(tmp_path / "mix.csv", "<!DOCTYPE html><html>not today</html>")
+    wrong = {**raw, "edf_mix_temps_reel": page}
+    with pytest.raises(GuardError, match="web page"):
+        site.publish(spark, built, "run5", wrong, manifest(spark, wrong), gates=())
