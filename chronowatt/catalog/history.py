@@ -93,7 +93,7 @@ def version_merge(spark, sf):
     every = bucket_seconds(seen, versions.KEY, "observed_at")
     rebuilt = versions.intervals(seen.filter(F.col("observed_at") < cut), ORDER, every=every)
     live = versions.intervals(seen.filter(F.col("observed_at") >= live_from), ORDER, every=every)
-    merged = versions.merge_history(live, rebuilt)
+    merged = versions.merge_history(live, rebuilt, every=every)
     return merged.select("source_id", "sha256", _text("first_observed_at"), _text("superseded_at"), "origin")
 
 

@@ -17,6 +17,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.timeaxis import hour_index
+from ..session import cut_lineage
 
 _BUCKET, _VALUE, _NEAR, _EDGE = "__bucket", "__value", "__near", "__edge"
 
@@ -110,6 +111,70 @@ def lead_of(df, keys, order, bucket, cols: Sequence[str], out: str) -> DataFrame
     return _neighbour(df, keys, order, bucket, cols, out, forward=False)
 
 
+def around(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    bucket: Column,
+    cols: Sequence[str],
+    carried: Mapping[str, Column] | None = None,
+) -> DataFrame:
+    """Structs ``prev`` and ``next`` of ``cols`` from the rows before and after, and for each name in ``carried`` the last
+    non-null value before the row, per key: all in one pass.
+
+    The rows are shuffled once, by (keys, bucket). One summary per bucket (its ends, and what it carries on) looks
+    across the seams and comes back to the bucket, whose rows stay where they are.
+    """
+    carried = dict(carried or {})
+    picked = F.struct(*cols)
+    d = df.withColumn(_BUCKET, bucket).withColumns({f"__c_{n}": c for n, c in carried.items()})
+    within = Window.partitionBy(*keys, _BUCKET).orderBy(*order)
+    before = within.rowsBetween(Window.unboundedPreceding, -1)
+    place = F.struct(*order)
+    ends = d.groupBy(*keys, _BUCKET).agg(
+        F.min_by(picked, place).alias("__first"),
+        F.max_by(picked, place).alias("__last"),
+        *[F.max_by(f"__c_{n}", F.when(F.col(f"__c_{n}").isNotNull(), place)).alias(f"__b_{n}") for n in carried],
+    )
+    across = Window.partitionBy(*keys).orderBy(_BUCKET)
+    seams = ends.select(
+        *keys,
+        _BUCKET,
+        F.lag("__last").over(across).alias("__prev"),
+        F.lead("__first").over(across).alias("__next"),
+        *[
+            F.last(f"__b_{n}", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1)).alias(f"__a_{n}")
+            for n in carried
+        ],
+    )
+    near = d.withColumns(
+        {
+            "__near_prev": F.lag(picked).over(within),
+            "__near_next": F.lead(picked).over(within),
+            **{f"__n_{n}": F.last(f"__c_{n}", ignorenulls=True).over(before) for n in carried},
+        }
+    )
+    return near.join(seams, [*keys, _BUCKET]).select(
+        *df.columns,
+        F.coalesce("__near_prev", "__prev").alias("prev"),
+        F.coalesce("__near_next", "__next").alias("next"),
+        *[F.coalesce(f"__n_{n}", f"__a_{n}").alias(n) for n in carried],
+    )
+
+
+def numbered(df: DataFrame, order: Sequence[str], out: str = "number") -> DataFrame:
+    """``out``: the place of each row, from 1, in the order over all rows. They are sorted by ranges; a place is the rows of
+    the ranges before plus the place within the range, so no task holds more than a range."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # partition and place in it in one number
+    ranged = cut_lineage(ranged.withColumn("__id", F.monotonically_increasing_id())).withColumn("__part", F.shiftright("__id", 33))
+    sizes = ranged.groupBy("__part").agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
+    # one row for each range
+    sizes = sizes.withColumn("__before", F.sum("__n").over(Window.orderBy("__part")) - F.col("__n"))
+    joined = ranged.join(F.broadcast(sizes.drop("__n")), "__part")
+    return joined.withColumn(out, F.col("__id") - F.col("__first") + F.col("__before") + 1).drop("__id", "__part", "__first", "__before")
+
+
 def runs(
     df: DataFrame,
     keys: Sequence[str],

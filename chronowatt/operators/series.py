@@ -210,47 +210,44 @@ def live_window(
     one may lie just before the window; otherwise nothing is filled. Returns the window's rows with
     ``state`` = 'read', 'filled' or 'missing'.
     """
-    latest = readings.groupBy(*keys).agg(F.max(step_index).alias("__end"))
-    recent = readings.join(latest, list(keys)).filter(F.col(step_index) >= F.col("__end") - steps)
-    axis = latest.select(
-        *keys, "__end", F.explode(F.sequence(F.col("__end") - steps, F.col("__end"))).alias(step_index)
+    # The last steps + 1 readings hold one step of each remainder: the newest reading of a remainder is in the window or
+    # its step is missing. So a key keeps steps + 1 rows, found by partial aggregates; the history is read once and
+    # never joined.
+    at = F.col(step_index)
+    newest = readings.filter(at.isNotNull()).groupBy(*keys, F.pmod(at, F.lit(steps + 1)).alias("__slot")).agg(
+        F.max(at).alias("__at"), *[F.max_by(v, at).alias(v) for v in values]
     )
-    given = F.struct(F.col(step_index).alias("at"), *values)
-    joined = axis.join(
-        recent.select(*keys, step_index, given.alias("__given")), [*keys, step_index], "left"
-    )
-    up_to = Window.partitionBy(*keys).orderBy(step_index).rowsBetween(Window.unboundedPreceding, 0)
-    back_to = Window.partitionBy(*keys).orderBy(F.desc(step_index)).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
+    reading = F.struct(F.col("__at").alias("at"), *values)
+    gathered = newest.groupBy(*keys).agg(F.max("__at").alias("__end"), F.collect_list(reading).alias("__given"))
     # the axis has one step more than the window: the neighbour just before it
-    in_window = F.col(step_index) > F.col("__end") - steps
-    gap = in_window & F.col("__given").isNull()
-    d = joined.select(
+    gathered = gathered.withColumn("__given", F.array_sort(F.filter("__given", lambda r: r["at"] >= F.col("__end") - steps)))
+    axis = F.sequence(F.col("__end") - steps + 1, F.col("__end"))
+
+    def around(step: Column) -> Column:
+        return F.struct(
+            step.alias("step"),
+            F.try_element_at(F.filter("__given", lambda r: r["at"] <= step), F.lit(-1)).alias("before"),
+            F.get(F.filter("__given", lambda r: r["at"] >= step), 0).alias("after"),
+        )
+
+    is_gap = lambda p: ~F.coalesce(p["before"]["at"] == p["step"], F.lit(False))
+    is_open = lambda p: is_gap(p) & (p["before"].isNull() | p["after"].isNull())
+    d = gathered.select(*keys, F.transform(axis, around).alias("__window")).select(
         *keys,
-        "__end",
-        step_index,
-        "__given",
-        F.last("__given", ignorenulls=True).over(up_to).alias("__before"),
-        F.last("__given", ignorenulls=True).over(back_to).alias("__after"),
-        in_window.alias("__in"),
-        gap.alias("__gap"),
-    ).select(
-        "*",
-        F.count_if(F.col("__gap")).over(whole).alias("__n_gaps"),
-        F.count_if(F.col("__gap") & (F.col("__before").isNull() | F.col("__after").isNull()))
-        .over(whole)
-        .alias("__n_open"),
+        F.explode("__window").alias("__p"),
+        ((F.size(F.filter("__window", is_gap)) <= fillable) & ~F.exists("__window", is_open)).alias("__fill"),
     )
-    fill = (F.col("__n_gaps") <= fillable) & (F.col("__n_open") == 0)
-    weight = (F.col(step_index) - F.col("__before.at")) / (F.col("__after.at") - F.col("__before.at"))
+    gap, fill = is_gap(F.col("__p")), F.col("__fill")
+    place = lambda name: F.col(f"__p.{name}.at")
+    weight = (F.col("__p.step") - place("before")) / (place("after") - place("before"))
     blended = [
-        F.when(~F.col("__gap"), F.col(f"__given.{v}"))
-        .when(fill, (1 - weight) * F.col(f"__before.{v}") + weight * F.col(f"__after.{v}"))
+        F.when(~gap, F.col(f"__p.before.{v}"))
+        .when(fill, (1 - weight) * F.col(f"__p.before.{v}") + weight * F.col(f"__p.after.{v}"))
         .alias(v)
         for v in values
     ]
-    state = F.when(~F.col("__gap"), "read").when(fill, "filled").otherwise("missing")
-    return d.filter("__in").select(*keys, step_index, *blended, state.alias("state"))
+    state = F.when(~gap, "read").when(fill, "filled").otherwise("missing")
+    return d.select(*keys, F.col("__p.step").alias(step_index), *blended, state.alias("state"))
 
 
 def live_summary(window: DataFrame, keys: Sequence[str], part: str, whole: str, step_minutes: int) -> DataFrame:

@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.timeaxis import instant_to_utc, second_index
-from .ordered import BUCKET_ROWS, asof_join, bucket_seconds, lag_of, lead_of
+from .ordered import BUCKET_ROWS, around, asof_join, bucket_seconds, lag_of, lead_of, numbered
 
 KEY = ["source_id"]
 # Revision policies under which an earlier state need not be archived.
@@ -123,58 +123,48 @@ def disappearances(snapshots: DataFrame, snapshot: str) -> DataFrame:
 
     Counted, not listed: snapshots since the first sight less snapshots it is in.
     """
-    # the numbering runs over the distinct snapshots, not over the rows
-    axis = snapshots.select(snapshot).distinct()
-    numbered = axis.withColumn("__no", F.row_number().over(Window.orderBy(snapshot)))
+    pairs = snapshots.select(*KEY, snapshot).distinct()
+    axis = numbered(pairs.select(snapshot).distinct(), [snapshot], "__no")
     last = axis.agg(F.count("*")).scalar()
-    seen = snapshots.groupBy(*KEY).agg(
-        F.min(snapshot).alias(snapshot), F.count_distinct(snapshot).alias("n_present")
-    )
+    seen = pairs.groupBy(*KEY).agg(F.min(snapshot).alias(snapshot), F.count("*").alias("n_present"))
     return (
-        seen.join(numbered, snapshot)
+        seen.join(axis, snapshot)
         .withColumn("n_absent", last - F.col("__no") + 1 - F.col("n_present"))
         .drop("__no")
     )
 
 
-def merge_history(live: DataFrame, rebuilt: DataFrame, sha: str = "sha256") -> DataFrame:
+def merge_history(live: DataFrame, rebuilt: DataFrame, sha: str = "sha256", every: int | None = None) -> DataFrame:
     """Rebuilt versions placed in front of the live registry, which is never rewritten.
 
     A rebuilt version that starts at or after the live registry is left out. When the last one kept
     carries the hash of the first live version the two are one: the live start moves back. Otherwise
     it ends where the live registry begins. Both tables: source_id, sha, first_observed_at,
-    superseded_at.
+    superseded_at; the versions of a table begin at different instants. The two are stacked on one time axis, where
+    each version sees its neighbours, so a source with a long history is neither gathered nor joined.
     """
-    cols = [*KEY, sha, "first_observed_at", "superseded_at"]
-    live_start = live.groupBy(*KEY).agg(
-        F.min("first_observed_at").alias("__live_start"), F.min_by(sha, "first_observed_at").alias("__live_sha")
-    )
-    before = rebuilt.select(*cols).join(live_start, KEY, "left").filter(
-        F.col("__live_start").isNull() | (F.col("first_observed_at") < F.col("__live_start"))
-    )
-    last = before.groupBy(*KEY).agg(
-        F.max("first_observed_at").alias("__last_start"), F.max_by(sha, "first_observed_at").alias("__last_sha")
-    )
-    joined_here = F.col("__last_sha") == F.col("__live_sha")
-    is_last = F.col("first_observed_at") == F.col("__last_start")
-    kept = (
-        before.join(last, KEY)
-        .filter(~F.coalesce(is_last & joined_here, F.lit(False)))
-        .withColumn(
-            "superseded_at",
-            F.when(is_last & F.col("__live_start").isNotNull(), F.col("__live_start")).otherwise(
-                F.col("superseded_at")
-            ),
-        )
-        .select(*cols, F.lit("rebuilt").alias("origin"))
-    )
-    moved = live.select(*cols).join(live_start.join(last, KEY, "left"), KEY).withColumn(
-        "first_observed_at",
-        F.when(
-            (F.col("first_observed_at") == F.col("__live_start")) & joined_here, F.col("__last_start")
-        ).otherwise(F.col("first_observed_at")),
+    time = "first_observed_at"
+    cols = [*KEY, sha, time, "superseded_at"]
+    stacked = live.select(*cols, F.lit(True).alias("__live")).unionByName(rebuilt.select(*cols, F.lit(False).alias("__live")))
+    instants = "timestamp" in stacked.schema[time].dataType.typeName()
+    if every is None:
+        every = bucket_seconds(stacked, KEY, time) if instants else BUCKET_ROWS
+    bucket = F.floor((second_index(time) if instants else F.col(time)) / every).cast("bigint")
+    # at one instant the live version comes first, and leaves the rebuilt one out
+    stacked = stacked.withColumn("__rank", (~F.col("__live")).cast("int"))
+    mark = F.when(F.col("__live"), True)
+    near = around(stacked, KEY, [time, "__rank"], bucket, [sha, time, "__live"], {"__begun": mark})
+    first_live = F.col("__live") & F.col("__begun").isNull()
+    last_kept = ~F.col("__live") & F.coalesce(F.col("next.__live"), F.lit(False))
+    moves = first_live & F.col("prev").isNotNull() & (F.col(f"prev.{sha}") == F.col(sha))
+    absorbed = last_kept & F.coalesce(F.col(f"next.{sha}") == F.col(sha), F.lit(False))
+    return near.filter(F.col("__live") | (F.col("__begun").isNull() & ~absorbed)).select(
+        *KEY,
+        sha,
+        F.when(moves, F.col(f"prev.{time}")).otherwise(F.col(time)).alias(time),
+        F.when(last_kept, F.col(f"next.{time}")).otherwise(F.col("superseded_at")).alias("superseded_at"),
+        F.when(F.col("__live"), "live").otherwise("rebuilt").alias("origin"),
     )
-    return kept.unionByName(moved.select(*cols, F.lit("live").alias("origin")))
 
 
 def states(versions: DataFrame) -> DataFrame:
@@ -224,12 +214,32 @@ def restore_first(
     versions: DataFrame, expected: DataFrame, newest: Sequence[str], sha: str = "sha256"
 ) -> DataFrame:
     """Per source: number of candidates and the one to try first, by aggregation alone."""
-    candidates = restore_candidates(versions, expected, sha)
-    preference = F.struct((1 - F.col("other_hash")).alias("same"), *newest)
-    return candidates.groupBy(*KEY).agg(
-        F.count("*").alias("n_candidates"),
-        F.count_if(F.col("other_hash") == 0).alias("n_same_hash"),
-        F.max_by(F.struct(*[c for c in versions.columns if c not in KEY]), preference).alias("first"),
+    held = versions.filter(F.col("payload_archived") & F.col("payload_key").isNotNull())
+    payload = F.struct(*[F.col(c) for c in versions.columns if c not in KEY])
+    # what is wanted is stacked below what is held: equal hashes meet by aggregation, not by a join on the source
+    asked = expected.select(*KEY, F.col(sha).alias("__sha"), F.lit(True).alias("__asked"))
+    rows = held.select(*KEY, F.col(sha).alias("__sha"), F.struct(*newest).alias("__newest"), payload.alias("__payload"))
+    by_hash = (
+        rows.unionByName(asked, allowMissingColumns=True)
+        .groupBy(*KEY, "__sha")
+        .agg(
+            F.count("__newest").alias("n"),
+            F.max_by("__payload", "__newest").alias("__payload"),
+            F.max("__newest").alias("__newest"),
+            F.coalesce(F.max("__asked"), F.lit(False)).alias("__asked"),
+        )
+    )
+    preference = F.when(F.col("n") > 0, F.struct("__asked", "__newest"))
+    return (
+        by_hash.groupBy(*KEY)
+        .agg(
+            F.sum("n").alias("n_candidates"),
+            F.sum(F.when(F.col("__asked"), F.col("n")).otherwise(0)).alias("n_same_hash"),
+            F.max_by("__payload", preference).alias("first"),
+            F.max("__asked").alias("__wanted"),
+        )
+        .filter((F.col("n_candidates") > 0) & F.col("__wanted"))
+        .drop("__wanted")
     )
 
 

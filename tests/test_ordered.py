@@ -150,3 +150,42 @@ def test_run_sizes_take_two_shuffles(spark):
     assert plan.count("Exchange hashpartitioning") == 2
     assert "Join" not in plan
     assert ordered.run_sizes(df.limit(0), ["k"], ["t"], F.col("t"), F.col("prev.v") == F.col("v"), ["v"], {"v": F.col("v")}).count() == 0
+
+
+def test_around_equals_plain_windows(spark):
+    df = stream(spark, seed=12)
+    w = Window.partitionBy("k").orderBy("t", "id")
+    so_far = w.rowsBetween(Window.unboundedPreceding, -1)
+    want = df.select(
+        "id", F.lag(F.struct("v", "t")).over(w).alias("prev"), F.lead(F.struct("v", "t")).over(w).alias("next"),
+        F.last("v", ignorenulls=True).over(so_far).alias("known"), F.last(F.when(F.col("id") % 7 == 0, F.col("id")), ignorenulls=True).over(so_far).alias("seventh"),
+    )
+    for width in (1, 6, 1000):
+        got = ordered.around(
+            df, ["k"], ["t", "id"], F.floor(F.col("t") / width), ["v", "t"], {"known": F.col("v"), "seventh": F.when(F.col("id") % 7 == 0, F.col("id"))}
+        )
+        assert got.columns == [*df.columns, "prev", "next", "known", "seventh"]
+        assert rows(got, "id", "prev", "next", "known", "seventh") == rows(want, "id", "prev", "next", "known", "seventh"), width
+    assert ordered.around(df.limit(0), ["k"], ["t"], F.col("t"), ["v"]).count() == 0
+
+
+def test_around_shuffles_rows_once(spark):
+    df = stream(spark, seed=12)
+    got = ordered.around(df, ["k"], ["t", "id"], F.floor(F.col("t") / 5), ["v"], {"known": F.col("v")})
+    got.collect()
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    raw = [line for line in plan.splitlines() if "Window [" in line and "__near" in line]
+    assert raw and all("__bucket" in line for line in raw)
+    final = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    # rows by (key, bucket), ends by (key, bucket) as partial aggregates, ends by key and back
+    assert final.count("Exchange hashpartitioning") - final.count("ReusedExchange") <= 4
+
+
+def test_numbered_counts_over_all_ranges(spark):
+    df = spark.range(5_000).select((F.col("id") * 7919 % 5_000).alias("x"), F.lit("z").alias("other")).repartition(7)
+    got = ordered.numbered(df, ["x"], "no")
+    assert got.columns == ["x", "other", "no"]
+    assert sorted((r.x, r.no) for r in got.collect()) == [(x, x + 1) for x in range(5_000)]
+    assert ordered.numbered(df.limit(0), ["x"]).count() == 0
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert all("__part" in line for line in plan.splitlines() if "Window [" in line)
