@@ -36,6 +36,28 @@ def try_cast_null_audit(spark, sf):
     return quality.null_counts(d, ["status_number", "line_number", "discount", "price"], ["flag"])
 
 
+@query("""WITH T AS (SELECT l_returnflag AS flag, CASE l_orderkey % 9 WHEN 0 THEN 'NaN' WHEN 1 THEN 'nan' WHEN 2 THEN 'Infinity' WHEN 3 THEN '-inf' WHEN 4 THEN ' 1e3 '
+  WHEN 5 THEN '.5' WHEN 6 THEN 'infinit' WHEN 7 THEN '' ELSE CAST(l_linenumber AS VARCHAR) || '.' END AS t FROM lineitem), X AS (SELECT flag, TRY_CAST(t AS DOUBLE) AS x FROM T)
+SELECT flag, count(*) FILTER (WHERE x IS NULL) AS n_null, count(*) FILTER (WHERE isnan(x)) AS n_nan, count(*) FILTER (WHERE isinf(x) AND x > 0) AS n_inf,
+count(*) FILTER (WHERE isinf(x) AND x < 0) AS n_minus_inf, CAST(sum(CASE WHEN isfinite(x) THEN x * 10 END) AS BIGINT) AS tenfold FROM X GROUP BY 1""")
+def try_cast_special_numbers(spark, sf):
+    """Numbers in text that are no finite numbers, and texts that nearly are numbers."""
+    key, made = F.col("l_orderkey") % 9, ["NaN", "nan", "Infinity", "-inf", " 1e3 ", ".5", "infinit", ""]
+    text = F.concat(F.col("l_linenumber").cast("string"), F.lit("."))
+    for i, value in enumerate(made):
+        text = F.when(key == i, value).otherwise(text)
+    d = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("flag"), number(text).alias("x"))
+    x, top = F.col("x"), float("inf")
+    finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < top)
+    return d.groupBy("flag").agg(
+        F.count_if(x.isNull()).alias("n_null"),
+        F.count_if(F.isnan(x)).alias("n_nan"),
+        F.count_if(x == top).alias("n_inf"),
+        F.count_if(x == -top).alias("n_minus_inf"),
+        F.sum(F.when(finite, x * 10)).cast("bigint").alias("tenfold"),
+    )
+
+
 @query(f"""WITH {PD}, S AS (SELECT extract('month' FROM day) AS m, CAST(sum(tot) AS BIGINT) AS whole, CAST(3*sum(af+ao) AS BIGINT) AS part FROM PD GROUP BY 1)
 SELECT m, whole/100.0 AS whole, part/100.0 AS part FROM S WHERE whole < part""")
 def whole_ge_part(spark, sf):

@@ -66,8 +66,8 @@ def stable(col: Column | str, digits: int = 6) -> Column:
     return F.round(_c(col) + F.lit(10.0 ** -(digits + 3)), digits)
 
 
-# What a decimal number in text looks like; every other text is NULL without a cast being tried.
-NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+# What a number in text looks like, the special ones in any case; every other text is NULL without a cast being tried.
+NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:nan|inf|infinity))\s*$"
 
 
 def number(text: Column | str) -> Column:

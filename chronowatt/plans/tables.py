@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from . import fixed_values as V
 from ..functions import timeaxis as T
-from ..functions.numeric import percent, total
+from ..functions.numeric import number, percent, total
 from ..operators import quality, series
 from ..operators.joins import broadcast_if_small
 from ..operators.quality import Guard, GuardError, check_empty, check_rows
@@ -214,7 +214,7 @@ def emissions(raw: DataFrame) -> DataFrame:
         F.col("year").alias("annee"),
         "eutl_id",
         F.col("name").alias("installation"),
-        F.col("emissions_tco2e").try_cast("double").alias("tco2"),
+        number("emissions_tco2e").alias("tco2"),
     )
 
 
