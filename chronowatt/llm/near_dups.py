@@ -18,8 +18,8 @@ whose distance to the leader differs by more than 1 - threshold from that of eac
 linked can't be linked to any of them, and leaves. Those who are left meet again by their rarest shingles, of
 which two linked texts always share one (prefix filter). How rare a shingle is, is counted exactly among those who are
 left; what only one of them has brings nobody together. The texts that share a rare shingle, and are not all connected
-yet, form the buckets of the next round. Large ones have a leader again first; then each is compared in blocks of a
-bounded number of texts, one matrix product a block. No link is lost by this. A group of copies of any size costs
+yet, form the buckets of the next round. First each text is compared in one of its buckets; then what is still apart: large
+buckets have a leader again, and each is compared in blocks of a bounded number of texts, one matrix product a block. No link is lost by this. A group of copies of any size costs
 its leaders' comparisons, which are linear; only texts that share a rare shingle, and that neither leader could settle,
 are compared in blocks with each other. Connected components of the links are the classes.
 
@@ -139,7 +139,9 @@ def prefix(own: np.ndarray, idf: Idf, shared: np.ndarray, count: np.ndarray, thr
     shared, count: the text's shingles that other texts have too, and how many texts have them."""
     distinct, w = weights(own, idf)
     texts = np.ones(len(distinct), np.int64)
-    texts[np.searchsorted(distinct, shared)] = count
+    at = np.minimum(np.searchsorted(distinct, shared), len(distinct) - 1)
+    known = distinct[at] == shared
+    texts[at[known]] = count[known]
     order = np.lexsort((distinct, texts))
     behind = w.sum() - np.cumsum(w[order])
     first = order[: int(np.argmax(behind < threshold * w.sum())) + 1]
@@ -325,7 +327,7 @@ class Classes:
                 own = [np.unique(np.frombuffer(o.as_buffer(), np.uint32)) for o in b.column("own")]
                 cuts = np.cumsum([0, *[len(o) for o in own]])
                 values = np.concatenate([np.zeros(0, np.uint32), *own]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column("key"), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values))], ["key", "own"])
+                yield pa.RecordBatch.from_arrays([b.column("k"), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values))], ["k", "own"])
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
@@ -336,12 +338,13 @@ class Classes:
                     rare.append(prefix(np.frombuffer(own, np.uint32), idf.value, shingle, count, t).astype(np.int64).tolist())
                 yield pd.DataFrame({"key": b["key"], "rare": rare})
 
-        texts = self.texts.join(keys, "key", "left_semi")
-        each = texts.select("key", "own").mapInArrow(flat, "key binary, own array<bigint>").select("key", F.explode("own").alias("shingle"))
+        texts = self.texts.join(keys, "key", "left_semi").withColumn("k", F.xxhash64("key"))
+        # rows of two numbers travel; should two texts have one k, each gets the other's shingles too and passes over them
+        each = texts.select("k", "own").mapInArrow(flat, "k bigint, own array<bigint>").select("k", F.explode("own").alias("shingle"))
         often = each.groupBy("shingle").agg(F.count("*").alias("texts")).filter("texts > 1")
         # no more rows for a text than it has shingles
-        shared = each.join(often, "shingle").groupBy("key").agg(F.collect_list(F.struct("shingle", "texts")).alias("shared"))
-        found = texts.join(shared, "key").mapInPandas(run, "key binary, rare array<bigint>")
+        shared = each.join(often, "shingle").groupBy("k").agg(F.collect_list(F.struct("shingle", "texts")).alias("shared"))
+        found = texts.join(shared, "k").select("key", "own", "shared").mapInPandas(run, "key binary, rare array<bigint>")
         return found.select(F.explode("rare").alias("bucket"), "key")
 
     def apart(self, buckets: DataFrame, links: DataFrame) -> DataFrame:
@@ -372,6 +375,13 @@ class Classes:
         if left.isEmpty():
             return found
         buckets = self.scratch.keep(self.by_rarest(left.select("key").distinct()))
+        # Each text in one of its buckets, the least by hash, which texts that are alike mostly choose alike. That connects
+        # most groups, and their other buckets need not be looked at.
+        open_ = self.apart(buckets, found)
+        least = open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("bucket").alias("hash"), "bucket")).alias("least"))
+        chosen = least.select("key", "least.bucket")
+        several = chosen.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+        found = self.scratch.keep(found.unionByName(self.settled(chosen.join(several, "bucket"))).distinct())
         open_ = self.apart(buckets, found)
         large = open_.filter(F.col("n") > self.small).select("bucket", "key")
         if not large.isEmpty():
