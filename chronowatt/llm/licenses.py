@@ -15,14 +15,19 @@ minimum. Minima are therefore taken in the windows around such shingles; all oth
 template, and the result is that of taking the minima of all windows.
 
 Texts that are null, empty or shorter than five words have no shingle and no match. Templates have at least
-five words; two with the same shingles are told apart by nothing, and both are reported. Every text is
-read in whole.
+five words; two with the same shingles are told apart by nothing, and both are reported. Every text is read in whole, in
+time proportional to its length and the template's. Repeated rows each have their matches, an empty table gives none.
+Columns to ``keep`` may not have the name of a result column.
+
+``TEMPLATES`` holds notices, headers and short licenses in usual wordings; it is a bounded list, any other can be given.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator, Mapping
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -67,6 +72,82 @@ TEMPLATES = {
         "reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
         "documentation and/or other materials provided with the distribution."
     ),
+    "MIT warranty": (
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED "
+        "TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL "
+        "THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF "
+        "CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER "
+        "DEALINGS IN THE SOFTWARE."
+    ),
+    "MIT licensed": "Licensed under the MIT License.",
+    "MIT use": "Use of this source code is governed by an MIT-style license that can be found in the LICENSE file.",
+    "BSD use": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    "BSD disclaimer": (
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED "
+        "WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A "
+        "PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY "
+        "DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+        "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER "
+        "CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR "
+        "OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "ISC warranty": (
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE "
+        "INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY "
+        "SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA "
+        "OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN "
+        "CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held "
+        "liable for any damages arising from the use of this software. Permission is granted to anyone to use this "
+        "software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject "
+        "to the following restrictions: The origin of this software must not be misrepresented; you must not claim that "
+        "you wrote the original software. If you use this software in a product, an acknowledgment in the product "
+        "documentation would be appreciated but is not required. Altered source versions must be plainly marked as such, "
+        "and must not be misrepresented as being the original software. This notice may not be removed or altered from "
+        "any source distribution."
+    ),
+    "GPL-2.0 header": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
+        "Public License as published by the Free Software Foundation; either version 2 of the License, or (at your "
+        "option) any later version."
+    ),
+    "GPL warranty": (
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+        "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for "
+        "more details."
+    ),
+    "GPL version 2": "Licensed under the GNU GPL version 2",
+    "GPL version 3": "Licensed under the GNU GPL version 3",
+    "LGPL-2.1 header": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+        "Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your "
+        "option) any later version."
+    ),
+    "LGPL-3.0 header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) "
+        "any later version."
+    ),
+    "AGPL-3.0 header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) "
+        "any later version."
+    ),
+    "EPL-2.0 header": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 "
+        "which is available at https://www.eclipse.org/legal/epl-2.0/"
+    ),
+    "CC0-1.0 notice": (
+        "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to "
+        "this work to the public domain worldwide."
+    ),
+    "SPDX Apache-2.0": "SPDX-License-Identifier: Apache-2.0",
+    "SPDX BSD-3-Clause": "SPDX-License-Identifier: BSD-3-Clause",
+    "SPDX GPL-2.0": "SPDX-License-Identifier: GPL-2.0",
+    "SPDX GPL-3.0": "SPDX-License-Identifier: GPL-3.0",
+    "SPDX MPL-2.0": "SPDX-License-Identifier: MPL-2.0",
     "GPL-3.0 notice": "This work is licensed under the GNU General Public License, version 3.",
     "GPL header": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
@@ -97,6 +178,29 @@ def shingles(text: str | None) -> np.ndarray:
     return words.runs(SHINGLE) if words.n >= SHINGLE else np.zeros(0, np.uint64)
 
 
+class _Stretches:
+    """Matches found from left to right, each at most a few template lengths long, and those near a place."""
+
+    def __init__(self) -> None:
+        self.all: list[tuple[int, int, int, float]] = []
+        # the largest end so far never falls, so it can be searched
+        self.ends: list[int] = []
+
+    def add(self, match: tuple[int, int, int, float]) -> None:
+        self.all.append(match)
+        self.ends.append(max(match[2], self.ends[-1] if self.ends else 0))
+
+    def near(self, lo: int, hi: int) -> list[tuple[int, int, int, float]]:
+        """The matches that overlap lo .. hi, and perhaps a few more."""
+        out = []
+        for m in self.all[bisect_left(self.ends, lo) :]:
+            if m[1] > hi + (hi - lo):
+                break
+            if m[1] <= hi:
+                out.append(m)
+        return out
+
+
 class Scanner:
     def __init__(self, templates: Mapping[str, str], containment: float = CONTAINMENT):
         self.containment = containment
@@ -135,34 +239,44 @@ class Scanner:
                         part = own[window * size : window * size + 2 * size - 1]
                         if mix(part ^ seed).min() == least:
                             met.add((number, window))
-        matches, unsure = [], []
-        for number, window in sorted(met):
-            size = self.length[number]
+        found: list[tuple[int, int, int, float]] = []
+        for number, windows in groupby(sorted(met), lambda m: m[0]):
+            found += self._verified(own, number, [w for _, w in windows])
+        return self._joined(sorted(found))
+
+    def _verified(self, own: np.ndarray, number: int, windows: list[int]) -> list[tuple[int, int, int, float]]:
+        """Matches of one template in the windows that were met, by counting its shingles."""
+        size, wanted = self.length[number], self.shingles[number]
+        sure, unsure = _Stretches(), []
+        for window in windows:
             first = window * size
-            inside = first + np.flatnonzero(np.isin(own[first : first + 2 * size - 1], self.shingles[number]))
-            share_ = len(np.unique(own[inside])) / len(self.shingles[number])
+            inside = first + np.flatnonzero(np.isin(own[first : first + 2 * size - 1], wanted))
+            if not len(inside):
+                continue
+            share_ = len(np.unique(own[inside])) / len(wanted)
             if share_ >= self.containment:
-                matches.append((number, int(inside[0]), int(inside[-1]) + SHINGLE, share_))
-            if share_ < 1 and len(inside):
-                unsure.append((number, first, inside))
-        for number, first, inside in unsure:
-            size, lo, end = self.length[number], int(inside[0]), int(inside[-1]) + SHINGLE
-            found = [m for m in matches if m[0] == number]
-            share_ = len(np.unique(own[inside])) / len(self.shingles[number])
+                sure.add((number, int(inside[0]), int(inside[-1]) + SHINGLE, share_))
+            if share_ < 1:
+                unsure.append((first, inside, share_))
+        more = _Stretches()
+        for first, inside, share_ in unsure:
+            lo, end = int(inside[0]), int(inside[-1]) + SHINGLE
+            begin, stop = max(0, first - size), first + 3 * size - 1
+            # only what stands near the window can cover a part of it
+            near = sure.near(begin, stop + SHINGLE) + more.near(begin, stop + SHINGLE)
             if share_ >= self.containment:
                 # what the match lacks may stand beyond the window
-                found = [m for m in found if m[2] <= lo or m[1] >= end]
+                near = [m for m in near if m[2] <= lo or m[1] >= end]
             else:
-                inside = self._clear(inside, found)
+                inside = self._clear(inside, near)
                 if not len(inside):
                     continue
-            begin = max(0, first - size)
-            wide = begin + np.flatnonzero(np.isin(own[begin : first + 3 * size - 1], self.shingles[number]))
-            wide = self._clear(wide[np.isin(wide, inside) | ~np.isin(own[wide], own[inside])], found)
-            share_ = len(np.unique(own[wide])) / len(self.shingles[number])
+            wide = begin + np.flatnonzero(np.isin(own[begin:stop], wanted))
+            wide = self._clear(wide[np.isin(wide, inside) | ~np.isin(own[wide], own[inside])], near)
+            share_ = len(np.unique(own[wide])) / len(wanted)
             if share_ >= self.containment:
-                matches.append((number, int(wide[0]), int(wide[-1]) + SHINGLE, share_))
-        return self._joined(sorted(matches))
+                more.add((number, int(wide[0]), int(wide[-1]) + SHINGLE, share_))
+        return sure.all + more.all
 
     @staticmethod
     def _clear(at: np.ndarray, matches: list[tuple[int, int, int, float]]) -> np.ndarray:
@@ -192,6 +306,8 @@ def scan(
     """One row for each match: the columns ``keep`` of docs, template, first_word (from 0), n_words,
     containment and matched, its words. Texts without a match give no row. The templates, a fixed list, go to
     the executors with the code."""
+    if clash := {"template", "first_word", "n_words", "containment", "matched"} & set(keep):
+        raise ValueError(f"columns to keep are also result columns: {sorted(clash)}")
     shared = share(docs.sparkSession, dict(templates))
     scanners: list[Scanner] = []
 

@@ -1,5 +1,8 @@
 """License scan: every window against every template, edits, edge cases."""
 
+import random
+import time
+
 import numpy as np
 import pytest
 
@@ -61,6 +64,59 @@ def test_collision_probability_as_stated():
         assert 1 - (1 - similarity) ** licenses.BANDS >= least
 
 
+def held(text, template):
+    """Word by word, without the module: the largest share of a template's five-word runs in a stretch of twice its
+    length."""
+    runs = lambda words: [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    plain_ = lambda t: "".join(c if c.isalnum() else " " for c in t.lower()).split()
+    own, there = runs(plain_(template)), runs(plain_(text))
+    best = max((len(set(own) & set(there[i : i + 2 * len(own)])) for i in range(max(1, len(there)))), default=0)
+    return best / len(set(own))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_notices_between_words_equal_plain_search(seed):
+    """Notices in random places, some altered: those held to the share are found, no others."""
+    rnd = random.Random(seed)
+    names = list(licenses.TEMPLATES)
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    parts = []
+    for name in rnd.sample(names, 6):
+        words = licenses.TEMPLATES[name].split()
+        for _ in range(rnd.choice([0, 0, 1, 2])):
+            words[rnd.randrange(len(words))] = "altered"
+        parts += [filler(rnd.randrange(3, 60), rnd.randrange(9)), " ".join(words)]
+    text = " ".join(parts)
+    found = {m[0]: m[3] for m in scanner.scan(text)}
+    for name in names:
+        best = held(text, licenses.TEMPLATES[name])
+        assert (name in found) == (best >= licenses.CONTAINMENT), (name, best)
+
+
+def test_altered_notices_take_time_in_proportion():
+    words = licenses.words_of(licenses.TEMPLATES["ISC permission"]).split()
+    copies = [" ".join([*words[:9], f"changed{i}", *words[10:]]) for i in range(30_000)]
+    scanner, seconds = licenses.Scanner(licenses.TEMPLATES), []
+    for n in (3_000, 30_000):
+        started = time.time()
+        assert len(scanner.scan(" ".join(copies[:n]))) >= 1
+        seconds.append(time.time() - started)
+    # about a million words
+    assert seconds[1] < 30 and seconds[1] < 25 * max(seconds[0], 0.1)
+
+
+def test_usual_wordings_are_found():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    for text in ("Licensed under the MIT License", "licensed under the GNU GPL version 2.", "// SPDX-License-Identifier: Apache-2.0"):
+        assert scanner.scan(f"{filler(20)} {text} {filler(20)}"), text
+
+
+def test_clashing_columns_are_refused(spark):
+    docs = spark.createDataFrame([(1, "x", "y")], "doc_id long, text string, template string")
+    with pytest.raises(ValueError, match="template"):
+        licenses.scan(docs, keep=("doc_id", "template"))
+
+
 def test_short_template_is_refused():
     with pytest.raises(ValueError):
         licenses.Scanner({"short": "only four words here"})
