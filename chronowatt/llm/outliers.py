@@ -5,18 +5,21 @@ of the root of the share of repeated lines and of that of repeated words, log nu
 source, the minimum covariance determinant estimate is the mean and covariance of those three quarters of
 the rows whose covariance has the smallest determinant. Two starts (the coordinates' medians with their
 median deviations, and plain mean and variance) are improved by concentration steps: distances under the
-estimate, the three quarters nearest rows, their mean and covariance, and again; the start that ends with the
+estimate, the three quarters nearest rows, their mean and covariance, and again, until no group's determinant falls any
+more (at most ``STEPS`` times); the start that ends with the
 smaller determinant counts, and is reweighted once by the rows within its 97.5 % ellipsoid. Rows beyond the
 ``BEYOND`` quantile of the squared distance are rejected.
 
 The cut between near and far rows comes from a histogram of the squared distances, in bins of about 0.1 %,
-counted by group, and rows of the cut's own bin are all taken, so nothing is ordered in one place. A variance
-has a floor (``FLOORS``), without which a statistic that most rows of a group share would reject
+counted by group, and rows of the cut's own bin are all taken, so nothing is ordered in one place. A variance below
+its floor (``FLOORS``) is raised to it, without which a statistic that most rows of a group share would reject
 every other row. Estimates use the rows that pass the base rule. Groups of fewer than ``LEAST`` such rows are
 pooled by language, and if still small over all; if that is small too, rows are judged by the base alone.
 
 Null texts have no words; null languages and sources are values of their own. Repeated rows count as often as they
-occur. Only built-in functions are used.
+occur; rows at one distance are all within a cut or all beyond it. A text of any length is one row, its statistics are
+of the whole text. An empty table has no rows. Only doc_id, text, lang and source are looked at, other columns may have
+any name. Only built-in functions are used.
 """
 
 from __future__ import annotations
@@ -29,12 +32,12 @@ from .common import Scratch, table
 from .fingerprints import let
 
 LEAST = 100
-STEPS = 4
+STEPS = 12
 SHARE = 0.75
-BEYOND = 1 - 1e-5
+BEYOND = 0.999
 NAMES = ("x0", "x1", "x2", "x3", "x4")
 # Standard deviations that no estimate goes below, by statistic.
-FLOORS = (0.05, 0.7, 0.25, 0.2, 0.5)
+FLOORS = (0.05, 0.4, 0.12, 0.12, 0.4)
 _SPACE = r"[\x20\x09-\x0D]+"
 _WORD = r"[^\x20\x09-\x0D]"
 _SYMBOLS = "#*$%&|<>"
@@ -152,7 +155,8 @@ def factored(estimates: DataFrame, inflate: float) -> DataFrame:
     out = estimates
     for i in range(5):
         for j in range(i + 1):
-            c = F.col(f"c{i}{j}") * inflate + (FLOORS[i] ** 2 if i == j else 0.0)
+            c = F.col(f"c{i}{j}") * inflate
+            c = F.greatest(c, F.lit(FLOORS[i] ** 2)) if i == j else c
             for k in range(j):
                 c = c - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             # floors make every pivot positive but for rounding
@@ -208,14 +212,23 @@ def fitted(rows: DataFrame, scratch: Scratch, steps: int = STEPS) -> DataFrame:
     keys = ("part", "start")
     plain = estimate(rows, ("part",)).withColumn("start", F.lit(1))
     now = median_start(rows).unionByName(plain)
-    inflate = 1.0
-    for _ in range(steps):
-        now = scratch.keep(factored(now, inflate).select(*keys, *FACTORS))
+    inflate, before, ended = 1.0, None, None
+    for step in range(steps):
+        held = scratch.keep(factored(now, inflate).select(*keys, *FACTORS, F.round("log_det", 3).alias("log_det")))
+        # one number for each part and start; the first two steps change the inflation
+        if step > 1:
+            fallen = held.join(before, list(keys)).filter(F.col("log_det") < F.col("log_det_before") - 0.001)
+            if fallen.isEmpty():
+                ended = held
+                break
+        before = held.select(*keys, F.col("log_det").alias("log_det_before"))
+        now = held.select(*keys, *FACTORS)
         near = distance(rows.join(now, "part")).withColumn("bin", distance_bin()).select(*keys, *NAMES, "bin")
         cuts = share_within(near, keys, SHARE)
         now = estimate(near.join(cuts, list(keys)).filter(F.col("bin") <= F.col("cut")), keys)
         inflate = consistency(SHARE)
-    ended = factored(now, inflate)
+    if ended is None:
+        ended = factored(now, inflate)
     best = F.struct(F.round("log_det", 6).alias("log_det"), "start", *FACTORS)
     chosen = ended.groupBy("part").agg(F.min(best).alias("b")).select("part", *[F.col(f"b.{c}").alias(c) for c in FACTORS])
     chosen = scratch.keep(chosen)

@@ -49,22 +49,27 @@ def vectors(spark, x, part="p"):
     return spark.createDataFrame([(part, *map(float, r)) for r in x], "part string, x0 double, x1 double, x2 double, x3 double, x4 double")
 
 
-def plain_mcd(x, steps=o.STEPS):
-    """The same steps in numpy, with exact ordering in place of the histogram."""
-    floor = np.diag(np.square(o.FLOORS))
+def raised(c):
+    """A covariance whose variances below the floors stand at them."""
+    out = c.copy()
+    np.fill_diagonal(out, np.maximum(np.diag(c), np.square(o.FLOORS)))
+    return out
+
+
+def plain_mcd(x):
+    """Concentration steps in numpy, with exact ordering in place of the histogram, until nothing moves."""
     med = np.median(x, 0)
     starts = [(med, np.diag((1.4826 * np.median(np.abs(x - med), 0)) ** 2)), (x.mean(0), np.cov(x.T, bias=True))]
     found = []
     for m, c in starts:
-        inflate = 1.0
-        for _ in range(steps):
-            d2 = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c * inflate + floor), x - m)
+        for _ in range(60):
+            d2 = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(raised(c)), x - m)
             near = x[d2 <= np.sort(d2)[int(np.ceil(len(x) * o.SHARE)) - 1]]
-            m, c, inflate = near.mean(0), np.cov(near.T, bias=True), o.consistency(o.SHARE)
-        found.append((np.linalg.slogdet(c * inflate + floor)[1], m, c * inflate + floor))
+            m, c = near.mean(0), np.cov(near.T, bias=True) * o.consistency(o.SHARE)
+        found.append((np.linalg.slogdet(raised(c))[1], m, raised(c)))
     _, m, c = min(found, key=lambda f: f[0])
     inside = x[np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m) <= o.INNER]
-    return inside.mean(0), np.cov(inside.T, bias=True) * o.consistency(0.975) + floor
+    return inside.mean(0), raised(np.cov(inside.T, bias=True) * o.consistency(0.975))
 
 
 def test_estimate_resists_a_fifth_of_outliers_and_equals_numpy(spark):
@@ -78,7 +83,7 @@ def test_estimate_resists_a_fifth_of_outliers_and_equals_numpy(spark):
     want_m, want_c = plain_mcd(x)
     assert np.allclose(m, want_m, atol=0.05)
     assert np.allclose(low @ low.T, want_c, rtol=0.05, atol=0.05)
-    truth = mixing.T @ mixing + np.diag(np.square(o.FLOORS))
+    truth = mixing.T @ mixing
     assert np.allclose(m, 0, atol=0.3) and np.allclose(low @ low.T, truth, atol=0.15 * np.abs(truth).max())
 
 
@@ -88,7 +93,7 @@ def test_distance_is_mahalanobis(spark):
     rows = vectors(spark, x)
     factors = o.factored(o.estimate(rows, ("part",)), 1.0)
     got = sorted(r["d2"] for r in o.distance(rows.join(factors.select("part", *o.FACTORS), "part")).collect())
-    c = np.cov(x.T, bias=True) + np.diag(np.square(o.FLOORS))
+    c = raised(np.cov(x.T, bias=True))
     y = x - x.mean(0)
     assert np.allclose(got, np.sort(np.einsum("ij,jk,ik->i", y, np.linalg.inv(c), y)), atol=1e-4)
 
@@ -101,6 +106,32 @@ def test_statistics_that_a_group_shares_do_not_break_it(spark):
     assert {r[0]: r[1] > o.CUT for r in got} == {0.0: False, 50.0: True}
 
 
+def test_a_floor_raises_only_what_is_below_it(spark):
+    """Ample variances are left alone, so the determinant is that of the covariance itself."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(2_000, 5)) * np.array([1, 3, 1, 0.01, 2])
+    row = o.factored(o.estimate(vectors(spark, x), ("part",)), 1.0).first()
+    low = np.array([[row[f"l{i}{j}"] if j <= i else 0.0 for j in range(5)] for i in range(5)])
+    c = np.cov(x.T, bias=True)
+    assert np.allclose(np.diag(low @ low.T)[[0, 1, 2, 4]], np.diag(c)[[0, 1, 2, 4]], rtol=1e-6)
+    assert np.diag(low @ low.T)[3] == pytest.approx(o.FLOORS[3] ** 2)
+
+
+def test_planted_lines_and_symbols_are_rejected(spark):
+    """Four lines in ten repeated, or 25 symbols in a hundred words, in a group without any."""
+
+    def lines(i, repeated):
+        own = [" ".join(ordinary(i * 97 + k, 12).split()) for k in range(20)]
+        return "\n".join(own[: 20 - repeated] + own[:repeated])
+
+    rows = [(i, lines(i, 0), "en", "s") for i in range(400)]
+    rows += [(1000 + i, lines(2000 + i, 8), "en", "s") for i in range(10)]
+    rows += [(2000 + i, " ".join(w + ("#" if k % 4 == 0 else "") for k, w in enumerate(lines(3000 + i, 0).split(" "))), "en", "s") for i in range(10)]
+    got = {r["doc_id"]: r["kept"] for r in o.judged(frame(spark, rows)).collect()}
+    assert all(got[i] for i in range(400))
+    assert not any(got[i] for i in got if i >= 1000)
+
+
 def ordinary(i, n=120):
     return " ".join(f"word{(i * 31 + k * 7 + k * k) % 9973}" for k in range(n))
 
