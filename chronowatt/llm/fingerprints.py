@@ -3,11 +3,14 @@
 The hashes of a text's runs of five words (lower case, between ASCII white space; a shorter text is one
 run) below ``FRACTION`` of the range form its fingerprint, in ascending order. Which hashes are kept does not
 depend on the text's length, so fingerprints merge by union, and the share of one fingerprint found in
-another estimates containment whatever the lengths. A text with words none of whose hashes is kept has its
-smallest hash as fingerprint. Texts without a word, null texts included, have an empty one.
+another estimates containment whatever the lengths. A text with words none of whose hashes is kept shows its
+smallest hash instead, so that short texts can be told apart; it lies beyond the threshold, by which ``merged`` and
+``containment`` know it and leave it out: the containment of such a text is unknown, NULL. Texts without a word, null
+texts included, have an empty fingerprint.
 
 Likeness is the Jaccard similarity of two fingerprints; two empty ones have likeness 1, one empty
-one 0. Only built-in functions are used.
+one 0. A text of any length is one row. Repeated rows stand next to each other in the order of ids, an empty table gives
+none. Columns of the table other than doc_id and text are not looked at. Only built-in functions are used.
 """
 
 from __future__ import annotations
@@ -28,10 +31,15 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def threshold(fraction: float = FRACTION) -> Column:
+    """The first hash that is not kept."""
+    return F.lit(min(-(1 << 63) + int(fraction * (1 << 64)), (1 << 63) - 1))
+
+
 def fingerprint(text: Column, fraction: float = FRACTION, size: int = SHINGLE) -> Column:
     """Ascending array of the kept hashes."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), _SPACE), lambda w: w != "")
-    least = F.lit(min(-(1 << 63) + int(fraction * (1 << 64)), (1 << 63) - 1))
+    least = threshold(fraction)
 
     def hashes(w: Column) -> Column:
         runs = F.sequence(F.lit(0), F.greatest(F.size(w) - size, F.lit(0)))
@@ -51,14 +59,16 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(either == 0, 1.0).otherwise(both / F.greatest(either, F.lit(1)))
 
 
-def containment(a: Column, b: Column) -> Column:
-    """Estimated share of a's shingles that b has."""
-    return F.when(F.size(a) == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)).cast("double") / F.greatest(F.size(a), F.lit(1)))
+def containment(a: Column, b: Column, fraction: float = FRACTION) -> Column:
+    """Estimated share of a's shingles that b has; 1 for a text without words, NULL where no hash of a is kept."""
+    low = F.filter(a, lambda h: h < threshold(fraction))
+    share = F.size(F.array_intersect(low, b)).cast("double") / F.greatest(F.size(low), F.lit(1))
+    return F.when(F.size(a) == 0, 1.0).when(F.size(low) > 0, share)
 
 
-def merged(a: Column, b: Column) -> Column:
-    """Fingerprint of two texts together."""
-    return F.sort_array(F.array_union(a, b))
+def merged(a: Column, b: Column, fraction: float = FRACTION) -> Column:
+    """Fingerprint of two texts together, without hashes that stand in for kept ones."""
+    return F.sort_array(F.filter(F.array_union(a, b), lambda h: h < threshold(fraction)))
 
 
 def as_text(a: Column) -> Column:

@@ -60,6 +60,26 @@ def test_fingerprint_of_a_union_is_the_union(spark):
     assert set(row["m"]) <= set(row["u"]) and len(row["u"]) - len(row["m"]) <= 4
 
 
+def test_union_and_containment_of_short_texts(spark):
+    """Texts of five and six words, of which mostly no hash is kept: nothing that stands in for one is merged."""
+    rnd = random.Random(6)
+    pairs = [(text(rnd, rnd.choice([5, 6])), text(rnd, rnd.choice([5, 6, 80]))) for _ in range(200)]
+    f = lambda c: fp.fingerprint(F.col(c))
+    rows = spark.createDataFrame(pairs, "a string, b string").select(
+        "a", "b", f("a").alias("x"), f("b").alias("y"), fp.fingerprint(F.concat_ws(" ", "a", "b")).alias("u"),
+    ).select("*", fp.merged(F.col("x"), F.col("y")).alias("m"), fp.containment(F.col("x"), F.col("y")).alias("c")).collect()
+    limit, unknown = -(1 << 63) + (1 << 61), 0
+    for r in rows:
+        assert all(h < limit for h in r["m"])
+        # what the joined text keeps beyond its parts lies across the seam
+        low = {h for h in r["u"] if h < limit}
+        assert set(r["m"]) <= low and len(low) - len(r["m"]) <= 4
+        own = [h for h in r["x"] if h < limit]
+        unknown += not own
+        assert (r["c"] is None) == (not own) and (r["c"] is None or r["c"] == len(set(own) & set(r["y"])) / len(own))
+    assert unknown > 100
+
+
 @pytest.mark.parametrize("ids", [list(range(50)), [i * i * i * 10**12 for i in range(-40, 40)], [0], [-(1 << 63), (1 << 63) - 1, 5], [10**15 + i for i in range(300)]])
 def test_next_document_in_descending_order(spark, ids, monkeypatch):
     monkeypatch.setattr(fp, "_ROWS", 8)
