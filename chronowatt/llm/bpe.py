@@ -9,7 +9,9 @@ remembered.
 
 Each match of the pattern is encoded by itself. Between a character that is no white space and a space
 the pattern always ends a match, so texts are cut there first, and cut pieces met before are looked up.
-All that is remembered is bounded and never changes a result. Null texts count as empty: no tokens.
+All that is remembered is bounded and never changes a result. Null texts count as empty: no tokens. A text of any length
+is encoded in one piece, in linear time. Repeated rows each have their result, an empty table gives none. Columns to
+``keep`` may not have the name of a result column.
 """
 
 from __future__ import annotations
@@ -146,6 +148,15 @@ class Codec:
         if not text:
             return b""
         parts = text.split(" ")
+        # most texts are made of pieces met before, or nearly
+        found = list(map(self.after_space.get, parts[1:]))
+        first = self.known.get(parts[0])
+        if first is None and parts[0] and not parts[0][-1].isspace():
+            first = self._recall(self.known, parts[0], parts[0])
+        if first is not None and None in found:
+            found = [f or (self.after_space.get(p) or self._recall(self.after_space, p, f" {p}") if p and not p[-1].isspace() else None) for f, p in zip(found, parts[1:])]
+        if first is not None and None not in found:
+            return first + b"".join(found)
         out: list[bytes] = []
         # a piece that is empty or ends in white space runs on into the next one
         first, rest = parts[0], parts[1:]
@@ -175,13 +186,14 @@ class Codec:
         return np.frombuffer(self.encode_packed(text), "<u4").tolist()
 
     def decode_packed(self, packed: bytes) -> bytes:
-        of = self.bytes_of
-        return b"".join([of[i] for i in np.frombuffer(packed, "<u4").tolist()])
+        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), ids: bool = False) -> DataFrame:
     """The columns ``keep`` of docs, n_tokens, ids_sha256, decoded_sha256, and with ``ids`` also the packed
     ids. The rank file is read once, on the driver; the ranks (of fixed size) are broadcast."""
+    if clash := {"n_tokens", "ids_sha256", "decoded_sha256", "ids"} & set(keep):
+        raise ValueError(f"columns to keep are also result columns: {sorted(clash)}")
     shared = share(docs.sparkSession, read_ranks(ranks_path))
     codecs: list[Codec] = []
 
