@@ -5,10 +5,15 @@ its character n-grams of the greatest length (5, 4, ... 1) of which any was seen
 log frequency. The language with the largest sum over the words of the text wins; the score is its
 posterior probability. Ties go to the language first in alphabetical order.
 
-Learnt from at most ``SAMPLE_ROWS`` texts with a known language (a parameter); the ``WORDS`` most
-frequent words and the ``GRAMS`` most frequent n-grams form the model, so its size is fixed and it is
-broadcast. Every text is predicted in whole. A text that is null or has no letter is ``und`` with score 0,
-and so is every text when there is nothing to learn from.
+Learnt from at most ``SAMPLE_ROWS`` texts with a known language (a parameter). They are shared out by language: a
+language with few texts gives all of them, the others give equally many, chosen by hash. The model has at most
+``WORDS`` words and ``GRAMS`` n-grams, each language's most frequent ones in equal shares, so its size is fixed, it is
+broadcast, and a rare language is learnt from all it has beside a hot one.
+
+Every text is predicted in whole, also a very long one. A text that is null or has no letter is ``und`` with score 0,
+and so is every text when there is nothing to learn from. Repeated rows are predicted alike; learning counts rows that
+repeat an id, language and text once. An empty table has no rows. Columns to ``keep`` may not have the name of a
+result column.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .common import held_out, share, ship_code, table
 
@@ -29,7 +34,7 @@ GRAMS = 60_000
 LONGEST = 5
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
-_REMEMBERED = 200_000
+_REMEMBERED = 100_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -42,19 +47,23 @@ def grams_of(word: str, size: int) -> list[str]:
 
 
 def train(docs: DataFrame, learn: Column, rows: int = SAMPLE_ROWS, words: int = WORDS, grams: int = GRAMS) -> dict:
-    """Counts by language of words (size 0) and n-grams (size 1 to 5) in the sample, the most frequent kept."""
-    ship_code(docs.sparkSession)
-    sample = (
-        docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-        .filter(learn)
-        .select("doc_id", "lang", F.xxhash64("doc_id", "text").alias("at"), F.xxhash64("text").alias("copy"))
-        .orderBy("at", "doc_id", "lang", "copy")
-        .limit(rows)
-        .select("doc_id", "lang", "copy")
-        .distinct()
-    )
+    """Counts by language of words (size 0) and n-grams (size 1 to 5) in the sample, the most frequent of each language
+    kept."""
+    spark = docs.sparkSession
+    ship_code(spark)
+    given = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).filter(learn)
+    # one row for each language
+    sizes = {r["lang"]: r["n"] for r in given.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    quota = level(list(sizes.values()), rows)
+    chance = spark.createDataFrame([(lang, min(1.0, 2 * quota / n + 0.01)) for lang, n in sizes.items()], "lang string, chance double")
+    hashed = given.select("doc_id", "lang", F.xxhash64("doc_id", "text").alias("at"), F.xxhash64("text").alias("copy"))
+    # about twice the quota of a language is left by its hash; of these the least are taken
+    few = hashed.join(F.broadcast(chance), "lang").filter(F.pmod("at", F.lit(1 << 20)) < F.col("chance") * (1 << 20)).drop("chance")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("at", F.lit(1 << 20)), "at", "doc_id", "copy"))
+    sample = few.withColumn("rank", rank).filter(F.col("rank") <= quota).select("doc_id", "lang", "copy").distinct()
+    # at most ``rows`` rows
     texts = (
-        docs.select("doc_id", "lang", "text")
+        given.select("doc_id", "lang", "text")
         .withColumn("copy", F.xxhash64("text"))
         .join(F.broadcast(sample), ["doc_id", "lang", "copy"])
         .select("lang", "text")
@@ -78,23 +87,26 @@ def train(docs: DataFrame, learn: Column, rows: int = SAMPLE_ROWS, words: int =
 
     counts = texts.mapInPandas(counted, "lang string, size int, item string, n long")
     by_lang = counts.groupBy("size", "item", "lang").agg(F.sum("n").alias("n"))
-    items = (
-        by_lang.groupBy("size", "item")
-        .agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-        .filter((F.col("total") > 1) | ((F.col("size") > 0) & (F.col("size") < 3)))
+    # counts of a bounded sample: a language's items fit one task
+    kind = (F.col("size") == 0).alias("word")
+    place = F.row_number().over(Window.partitionBy("lang", "word").orderBy(F.desc("n"), "size", "item"))
+    ranked = by_lang.select("*", kind).withColumn("place", place)
+    items = ranked.groupBy("size", "item").agg(
+        F.min("place").alias("place"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")
     )
-    top = lambda which, n: items.filter(which).orderBy(F.desc("total"), "size", "item").limit(n).collect()
+    share_of = lambda n: max(1, n // max(1, len(sizes)))
+    top = lambda which, n: items.filter(which & (F.col("place") <= share_of(n))).orderBy("size", "item").collect()
     known = top(F.col("size") == 0, words)
     parts = top(F.col("size") > 0, grams)
     langs = sorted({lang for r in known + parts for lang in r["by"]})
-    place = {lang: i for i, lang in enumerate(langs)}
+    number = {lang: i for i, lang in enumerate(langs)}
 
     def logs(found: list) -> dict[tuple[int, str], np.ndarray]:
         table_ = np.full((len(found), len(langs)), 0.0)
         sizes = np.array([r["size"] for r in found], int)
         for i, r in enumerate(found):
             for lang, n in r["by"].items():
-                table_[i, place[lang]] = n
+                table_[i, number[lang]] = n
         for size in set(sizes):
             at = sizes == size
             part = table_[at] + 0.1
@@ -104,23 +116,39 @@ def train(docs: DataFrame, learn: Column, rows: int = SAMPLE_ROWS, words: int =
     return {"langs": langs, "words": {w: v for (_, w), v in logs(known).items()}, "grams": logs(parts)}
 
 
+def level(sizes: list[int], total: int) -> int:
+    """The number up to which each of the sizes counts, so that they add up to about ``total``."""
+    left, parts = total, len(sizes)
+    for n in sorted(sizes):
+        if n * parts >= left:
+            return max(1, left // parts)
+        left, parts = left - n, parts - 1
+    return max(sizes, default=1)
+
+
 class Scorer:
-    """Applies a model; remembers the scores of words met, up to a bound, then starts anew."""
+    """Applies a model; remembers the scores of unseen words met, up to a bound, then starts anew."""
 
     def __init__(self, model: dict):
         self.langs, self.words, self.grams = model["langs"], model["words"], model["grams"]
         self.none = np.zeros(len(self.langs))
-        self.met: dict[str, np.ndarray] = {}
+        # one row of scores for each word: the known ones, then those met
+        self.known = len(self.words)
+        self.scores = np.zeros((self.known + _REMEMBERED, max(1, len(self.langs))))
+        if self.known and self.langs:
+            self.scores[: self.known] = np.array(list(self.words.values()))
+        self.row = {w: i for i, w in enumerate(self.words)}
+
+    def row_of(self, w: str) -> int:
+        if len(self.row) == len(self.scores):
+            self.row = {w: i for i, w in enumerate(self.words)}
+        at = self.row[w] = len(self.row)
+        self.scores[at] = self.backed_off(w)
+        return at
 
     def word(self, w: str) -> np.ndarray:
-        found = self.words.get(w)
-        if found is None:
-            found = self.met.get(w)
-            if found is None:
-                if len(self.met) >= _REMEMBERED:
-                    self.met.clear()
-                found = self.met[w] = self.backed_off(w)
-        return found
+        at = self.row.get(w)
+        return self.scores[self.row_of(w) if at is None else at]
 
     def backed_off(self, w: str) -> np.ndarray:
         for size in range(LONGEST, 0, -1):
@@ -133,14 +161,25 @@ class Scorer:
         words = words_of(text)
         if not words or not self.langs:
             return UNKNOWN, 0.0
+        total = np.zeros(len(self.langs))
         counts = Counter(words)
-        total = np.array(list(counts.values()), float) @ np.array([self.word(w) for w in counts])
+        distinct = list(counts)
+        # a part at a time, so that what is remembered holds it
+        for i in range(0, len(distinct), _REMEMBERED // 2):
+            part = distinct[i : i + _REMEMBERED // 2]
+            if len(self.row) + len(part) > len(self.scores):
+                self.row = {w: k for k, w in enumerate(self.words)}
+            get, new = self.row.get, self.row_of
+            at = [new(w) if (k := get(w)) is None else k for w in part]
+            total += np.array([counts[w] for w in part], float) @ self.scores[at]
         best = int(total.argmax())
         return self.langs[best], float(1 / np.exp(np.clip(total - total[best], -700, 0)).sum())
 
 
 def predict(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` of docs, lang_pred and score, for every document."""
+    if clash := {"lang_pred", "score"} & set(keep):
+        raise ValueError(f"columns to keep are also result columns: {sorted(clash)}")
     shared = share(docs.sparkSession, model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -76,7 +76,7 @@ def test_unseen_word_backs_off_to_the_longest_known_ngrams():
     words = {"chat": np.array([-1.0, -5.0])}
     grams = {(3, "cha"): np.array([-2.0, -3.0]), (3, "hat"): np.array([-4.0, -1.0]), (1, "z"): np.array([-9.0, -8.0])}
     scorer = language.Scorer({"langs": ["en", "fr"], "words": words, "grams": grams})
-    assert scorer.word("chat") is words["chat"]
+    assert scorer.word("chat").tolist() == words["chat"].tolist()
     assert np.allclose(scorer.word("chats"), [-3.0, -2.0])
     assert np.allclose(scorer.word("z"), [-9.0, -8.0])
     assert np.allclose(scorer.word("q"), 0)
@@ -95,6 +95,35 @@ def test_language_of_odd_texts(spark):
     assert set(language.predict(documents(spark, ODD), empty).toPandas()["lang_pred"]) == {"und"}
 
 
+def test_a_rare_language_is_learnt_beside_a_hot_one(spark):
+    """Three texts among thirty thousand."""
+    hot = spark.range(30_000).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("the lake and the hill number"), F.hex("id"), F.lit(" are near the town")).alias("text"), F.lit("en").alias("lang")
+    )
+    rare = spark.createDataFrame([(40_000 + i, t, "xx") for i, t in enumerate(["zquo wexi plorn zquo", "wexi zquo trask plorn", "plorn wexi zquo"])], "doc_id long, text string, lang string")
+    model = language.train(hot.unionByName(rare), F.lit(True), rows=600, words=200, grams=300)
+    assert model["langs"] == ["en", "xx"] and "zquo" in model["words"] and "trask" in model["words"]
+    assert len(model["words"]) <= 200 and len(model["grams"]) <= 300
+    got = language.predict(documents(spark, [(1, "wexi plorn zquor", None), (2, "the hill", None)]), model).toPandas()
+    assert got.sort_values("doc_id")["lang_pred"].tolist() == ["xx", "en"]
+
+
+def test_shares_of_a_sample():
+    assert language.level([5, 100, 100], 65) == 30 and language.level([5, 7], 100) == 7 and language.level([], 10) == 1
+    assert language.level([10, 10], 4) == 2
+
+
+def test_language_memory_is_bounded_and_changes_nothing(monkeypatch):
+    rng = np.random.default_rng(1)
+    model = {"langs": ["a", "b"], "words": {"x": np.array([0.0, 1.0])}, "grams": {(1, c): rng.random(2) for c in "abcdefgh"}}
+    text = " ".join("".join(rng.choice(list("abcdefgh"), 3)) for _ in range(300)) + " x"
+    want = language.Scorer(model).predict(text)
+    monkeypatch.setattr(language, "_REMEMBERED", 8)
+    small = language.Scorer(model)
+    got = [small.predict(t) for t in (text, text[:40], text)]
+    assert got[0][0] == want[0] and got[0][1] == pytest.approx(want[1]) and got[0] == got[2] and len(small.scores) == 9
+
+
 def test_language_held_out_accuracy(spark):
     got = language.op2_language_backoff(spark, SF)
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
