@@ -221,7 +221,7 @@ class Model:
         with the factor."""
         self.vocabulary, self.weight_of, self.k = vocabulary, weight_of, neighbours
         self.ids, self.labels = ids, labels
-        self.postings = example.astype(np.int32), term.astype(np.int32), count.astype(np.int32)
+        self.postings = tuple(a.astype(np.int32, copy=False) for a in (example, term, count))
         self.slot = None
         self._index = None
         has = np.bincount(example, minlength=len(ids)) > 0
@@ -320,18 +320,24 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: i
                 yield pd.DataFrame({"doc_id": [row.doc_id], "label": [row.label], "terms": [term.tobytes()], "counts": [count.astype("<i4").tobytes()]})
 
     # at most ``rows`` rows, with the numbers of their terms
-    found = sample.select("doc_id", "label", "text").mapInPandas(counted, "doc_id bigint, label double, terms binary, counts binary")
-    found = found.toPandas().sort_values("doc_id", kind="stable")
-    read = lambda c, kind: [np.frombuffer(x, kind) for x in found[c]]
-    terms = read("terms", "<i8")
-    example = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
-    flat = np.concatenate([np.zeros(0, np.int64), *terms])
-    count = np.concatenate([np.zeros(0, np.int32), *read("counts", "<i4")])
-    vocabulary, term = np.unique(flat, return_inverse=True)
-    given = found["label"].to_numpy(float)
+    found = sample.select("doc_id", "label", "text").mapInPandas(counted, "doc_id bigint, label double, terms binary, counts binary").toArrow()
+    order = np.argsort(found["doc_id"].to_numpy(), kind="stable")
+    ids, given = found["doc_id"].to_numpy()[order], found["label"].to_numpy()[order].astype(float)
+    read = lambda c, kind: [np.frombuffer(found[c][i].as_buffer(), kind) for i in order.tolist()]
+    terms, counts = read("terms", "<i8"), read("counts", "<i4")
+    vocabulary = np.unique(np.concatenate([np.zeros(0, np.int64), *terms]))
+    example = np.repeat(np.arange(len(terms), dtype=np.int32), [len(t) for t in terms])
+    # one example at a time: the driver holds little beside the postings
+    term = np.empty(len(example), np.int32)
+    at = 0
+    for own in terms:
+        term[at : at + len(own)] = np.searchsorted(vocabulary, own)
+        at += len(own)
+    count = np.concatenate([np.zeros(0, np.int32), *counts])
+    del found, terms, counts
     ratio = association(example, term, given, len(vocabulary))
     weight_of = idf_of(docs, vocabulary) * factors(ratio, topic)
-    model = Model(found["doc_id"].to_numpy(), given, example, term, count, weight_of, vocabulary)
+    model = Model(ids, given, example, term, count, weight_of, vocabulary)
     model.slot = places(docs.sparkSession, model)
     votes = left_out_votes(sample, model)
     if len(votes):
