@@ -37,6 +37,7 @@ def load() -> tuple[dict[str, Query], dict[str, str]]:
         timeline,
         air,
         scalars,
+        raw_files,
     )
 
     return QUERIES, ORACLES
