@@ -13,7 +13,7 @@ from ..functions import timeaxis as T
 from ..functions.numeric import cents
 from ..plans import build, fixed_values as V, site, tables as B
 from ..session import shared_folder
-from ..sources import contracts, fingerprints, readers
+from ..sources import contracts, fingerprints, readers, xml_series
 
 
 def _folder(spark: SparkSession) -> str:
@@ -300,3 +300,66 @@ def guarded_build(spark, sf):
         one = rows.select(F.lit(o.name).alias("output"), "n", F.lit(True).alias("verified"), F.lit(o.sources[0]).alias("source"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+_CODES = {"click": "B16", "view": "B11", "purchase": "B04", "signup": "B19", "error": "B10"}
+_HOURS = """H AS (SELECT event_type AS s, CAST(ts AS DATE) AS d, extract('hour' FROM ts) AS h, CAST(sum(CAST(round(value*100) AS BIGINT)) AS BIGINT) AS v FROM events GROUP BY 1, 2, 3),
+A AS (SELECT 'load' AS s, d, h, CAST(sum(v) AS BIGINT) AS v FROM H GROUP BY 2, 3), B AS (SELECT * FROM H UNION ALL SELECT * FROM A),
+G AS (SELECT s, d, CAST(h AS BIGINT) AS h FROM (SELECT DISTINCT s, d FROM B), range(0, 24) t(h)),
+J AS (SELECT G.s, G.d, G.h, B.v FROM G LEFT JOIN B ON B.s = G.s AND B.d = G.d AND B.h = G.h)"""
+
+
+def _documents(spark, sf, header, folder: str, root: str, load: bool = False, leading: bool = False) -> str:
+    """A document per type (or for all of them) and day: the hours that have events, as positions of a period."""
+    series = F.lit("load") if load else F.col("event_type")
+    hours = table(spark, sf, "events").select(series.alias("s"), F.col("ts").cast("date").alias("d"), F.hour("ts").alias("h"), cents("value").alias("c"))
+    # 24 columns a document
+    sums = [F.sum(F.when(F.col("h") == h, F.col("c"))) for h in range(24)]
+    wide = hours.groupBy("s", "d").agg(*[(F.coalesce(x, F.lit(0)) if leading and h == 0 else x).alias(f"q{h}") for h, x in enumerate(sums)])
+    text = xml_series.document_text(F.col("s"), [(F.lit(h + 1), F.col(f"q{h}")) for h in range(24)], "PT60M", "@start", "@end")
+    start, end = (F.concat(F.date_add("d", n).cast("string"), F.lit("T00:00Z")) for n in (0, 1))
+    text = F.replace(F.replace(text, F.lit("@start"), start), F.lit("@end"), end)
+    text = F.replace(text, F.lit("</mRID>"), F.concat(F.lit("</mRID>"), header))
+    month = F.date_format("d", "yyyy-MM").alias("month")
+    lines = wide.select(month, F.lit(1).alias("at"), text.alias("value"))
+    # a document for each month: its root around the series
+    months = wide.select(month).distinct()
+    edges = [months.select("month", F.lit(at).alias("at"), F.lit(tag).alias("value")) for at, tag in ((0, f"<{root}>"), (2, f"</{root}>"))]
+    whole = lines.unionByName(edges[0]).unionByName(edges[1])
+    whole.repartition("month").sortWithinPartitions("month", "at").select("month", "value").write.partitionBy("month").text(folder)
+    return folder
+
+
+@query(f"""WITH {_HOURS}, C AS (SELECT s, d, h, last_value(CASE WHEN h = 0 THEN coalesce(v, 0) ELSE v END IGNORE NULLS) OVER (PARTITION BY s, d ORDER BY h) AS v FROM J),
+W AS (SELECT d + h * INTERVAL 1 HOUR AS t, {', '.join(f"coalesce(sum(v) FILTER (WHERE s = '{s}'), 0) AS {s}" for s in (*_CODES, "load"))} FROM C GROUP BY 1)
+SELECT extract('hour' FROM timezone('Europe/Rome', timezone('UTC', t))) AS heure_locale, count(*) AS n, CAST(sum(click) AS BIGINT) AS solar, CAST(sum(error) AS BIGINT) AS storage,
+CAST(sum(load) AS BIGINT) AS load, CAST(sum(click + view + purchase + signup) AS BIGINT) AS total FROM W WHERE click + view + purchase + signup > 0 GROUP BY 1""")
+def xml_generation(spark, sf):
+    """Documents by source code and of the load, as files: codes become fuels, storage stays outside the total."""
+    folder, codes = _folder(spark), F.create_map(*[F.lit(x) for pair in _CODES.items() for x in pair])
+    zone = lambda way: F.lit(f"<{way}BiddingZone_Domain.mRID>10Y</{way}BiddingZone_Domain.mRID>")
+    code = F.concat(zone("in"), F.lit("<MktPSRType><psrType>"), codes[F.col("s")], F.lit("</psrType></MktPSRType>"))
+    made = _documents(spark, sf, code, f"{folder}/made", "GL_MarketDocument", leading=True)
+    load = _documents(spark, sf, zone("out"), f"{folder}/load", "GL_MarketDocument", load=True, leading=True)
+    read = lambda path: xml_series.read_time_series(spark, path)
+    table_ = B.generation(B.fuel_hours(read(made), read(load)))
+    whole = lambda c: F.sum(c).cast("bigint")
+    return table_.groupBy(F.col("heure_locale").cast("bigint").alias("heure_locale")).agg(
+        F.count("*").alias("n"), whole("solaire_mw").alias("solar"), whole("step_mw").alias("storage"), whole("charge_mw").alias("load"),
+        whole("production_totale_mw").alias("total"),
+    )
+
+
+@query(f"""WITH {_HOURS}, C AS (SELECT s, d, h, v IS NOT NULL AS declared, last_value(v IGNORE NULLS) OVER (PARTITION BY s, d ORDER BY h) AS v FROM J WHERE s IN ('purchase', 'view'))
+SELECT CASE s WHEN 'purchase' THEN 'entrant' ELSE 'sortant' END AS sens, h AS hour, count(*) AS n, count(*) FILTER (WHERE declared) AS n_declared, CAST(sum(v) AS BIGINT) AS mw FROM C WHERE v IS NOT NULL GROUP BY 1, 2""")
+def xml_flows(spark, sf):
+    """Flow documents of two directions, as files: leading positions that lack are skipped, others repeat the last."""
+    folder, out = _folder(spark), None
+    path = _documents(spark, sf, F.lit(""), folder, "Publication_MarketDocument")
+    documents = xml_series.read_time_series(spark, path)
+    for kind, way in (("purchase", "entrant"), ("view", "sortant")):
+        one = B.flows(documents.filter(F.col("mRID") == kind), F.lit(2024), F.lit(way))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("sens", F.hour("date_heure_utc").cast("bigint").alias("hour")).agg(
+        F.count("*").alias("n"), F.count_if("declare").alias("n_declared"), F.sum("mw").cast("bigint").alias("mw")
+    )
