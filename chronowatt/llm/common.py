@@ -6,13 +6,15 @@ and executors share; they survive the loss of any executor.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import shared_folder
@@ -108,6 +110,15 @@ def share(spark: SparkSession, value):
     return spark.sparkContext.broadcast(value)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: the driver goes on to other stages, beside a JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 # -- hashes of words and of runs of words, without a loop over words -----------------------------------
 
 
@@ -172,7 +183,3 @@ class Words:
 def spaced(text: str | None) -> str:
     """Lower-case words of a text, one space between them."""
     return " ".join((text or "").lower().split())
-
-
-def columns_first(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    return df.select(*names, *[c for c in df.columns if c not in names])

@@ -30,9 +30,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import held_out, labelled_sample, mix, powers, share, table
+from .common import give_back, held_out, labelled_sample, mix, powers, share, table
 
 SAMPLE_ROWS = 6_000
 NEIGHBOURS = 16
@@ -215,16 +216,16 @@ class Model:
     """Terms of the examples, their weights and the index; after :meth:`calibrate` also the probabilities by vote."""
 
     def __init__(
-        self, ids: np.ndarray, labels: np.ndarray, example: np.ndarray, term: np.ndarray, count: np.ndarray, weight_of: np.ndarray, vocabulary: np.ndarray, neighbours: int = NEIGHBOURS
+        self, ids: np.ndarray, labels: np.ndarray, cuts: np.ndarray, term: np.ndarray, count: np.ndarray, weight_of: np.ndarray, vocabulary: np.ndarray, neighbours: int = NEIGHBOURS
     ):
-        """Examples by ascending id; example, term (number in the sorted vocabulary), count: their terms; weight_of: idf
-        with the factor."""
+        """Examples by ascending id; cuts: where each one's postings begin; term (number in the sorted vocabulary) and
+        count of each posting; weight_of: idf with the factor."""
         self.vocabulary, self.weight_of, self.k = vocabulary, weight_of, neighbours
         self.ids, self.labels = ids, labels
-        self.postings = tuple(a.astype(np.int32, copy=False) for a in (example, term, count))
+        self.postings = cuts, term.astype(np.int32, copy=False), count.astype(np.uint32, copy=False)
         self.slot = None
         self._index = None
-        has = np.bincount(example, minlength=len(ids)) > 0
+        has = np.diff(cuts) > 0
         self.prior = float((labels.sum() + 0.5) / (len(labels) + 1)) if len(labels) else 0.0
         none = labels[~has]
         self.without_terms = float((none.sum() + self.prior) / (len(none) + 1)) if len(none) else self.prior
@@ -234,7 +235,8 @@ class Model:
     def index(self) -> BlockMaxIndex:
         """Laid out where it is first used: what travels is a tenth of it."""
         if self._index is None:
-            example, term, count = self.postings
+            cuts, term, count = self.postings
+            example = np.repeat(np.arange(len(self.ids)), np.diff(cuts))
             weight = (1 + np.log(count)) * self.weight_of[term]
             norm = np.sqrt(np.bincount(example, weight**2, minlength=len(self.ids)))
             weight /= np.maximum(norm, 1e-300)[example]
@@ -291,14 +293,11 @@ def rising(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(int(n), v) for v, _, n in pools])
 
 
-def association(example: np.ndarray, term: np.ndarray, labels: np.ndarray, terms: int) -> np.ndarray:
-    """Log-likelihood ratio of each term that label 1 has more often than chance, 0 for the others. One posting for each
-    example and term."""
-    total, positive = len(labels), labels.sum()
+def association(n: np.ndarray, a: np.ndarray, total: float, positive: float) -> np.ndarray:
+    """Log-likelihood ratio of each term that label 1 has more often than chance, 0 for the others. n: examples with the
+    term, a: the sum of their labels; total, positive: the same over all examples."""
     if not 0 < positive < total:
-        return np.zeros(terms)
-    n = np.bincount(term, minlength=terms).astype(float)
-    a = np.bincount(term, labels[example], minlength=terms)
+        return np.zeros(len(n))
     cells = np.array([a, n - a, positive - a, total - positive - n + a])
     expected = np.array([n * positive, n * (total - positive), (total - n) * positive, (total - n) * (total - positive)]) / total
     ratio = 2 * np.sum(np.where(cells > 0, cells * np.log(np.maximum(cells, 1e-9) / np.maximum(expected, 1e-9)), 0), axis=0)
@@ -313,31 +312,40 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: i
     sample = labelled_sample(docs, labels, label, learn, rows)
     sample = sample.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.avg("label").alias("label"))
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    spark = docs.sparkSession
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for text, label in zip(b.column("text"), b.column("label").to_numpy()):
+                _, term, _ = terms_of([text.as_py()])
+                yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(np.full(len(term), label))], ["term", "label"])
+
+    # a number and two counts for each different term of at most ``rows`` examples
+    counts = sample.select("text", "label").mapInArrow(flat, "term bigint, label double")
+    counts = counts.groupBy("term").agg(F.count("*").cast("double").alias("n"), F.sum("label").alias("a")).orderBy("term").toArrow()
+    vocabulary, n, a = (counts[c].to_numpy() for c in ("term", "n", "a"))
+    known = share(spark, vocabulary)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in b.itertuples(index=False):
-                _, term, count = terms_of([row.text])
-                yield pd.DataFrame({"doc_id": [row.doc_id], "label": [row.label], "terms": [term.tobytes()], "counts": [count.astype("<i4").tobytes()]})
-
-    # at most ``rows`` rows, with the numbers of their terms
-    found = sample.select("doc_id", "label", "text").mapInPandas(counted, "doc_id bigint, label double, terms binary, counts binary").toArrow()
-    order = np.argsort(found["doc_id"].to_numpy(), kind="stable")
-    ids, given = found["doc_id"].to_numpy()[order], found["label"].to_numpy()[order].astype(float)
-    read = lambda c, kind: [np.frombuffer(found[c][i].as_buffer(), kind) for i in order.tolist()]
-    terms, counts = read("terms", "<i8"), read("counts", "<i4")
-    vocabulary = np.unique(np.concatenate([np.zeros(0, np.int64), *terms]))
-    example = np.repeat(np.arange(len(terms), dtype=np.int32), [len(t) for t in terms])
-    # one example at a time: the driver holds little beside the postings
-    term = np.empty(len(example), np.int32)
-    at = 0
-    for own in terms:
-        term[at : at + len(own)] = np.searchsorted(vocabulary, own)
-        at += len(own)
-    count = np.concatenate([np.zeros(0, np.int32), *counts])
-    del found, terms, counts
-    ratio = association(example, term, given, len(vocabulary))
-    weight_of = idf_of(docs, vocabulary) * factors(ratio, topic)
-    model = Model(ids, given, example, term, count, weight_of, vocabulary)
+            found = [terms_of([text.as_py()])[1:] for text in b.column("text")]
+            terms = [np.searchsorted(known.value, t).astype("<i4").tobytes() for t, _ in found]
+            often = [c.astype("<u4").tobytes() for _, c in found]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("label"), pa.array(terms, pa.binary()), pa.array(often, pa.binary())], ["doc_id", "label", "terms", "counts"]
+            )
+
+    schema = "doc_id bigint, label double, terms binary, counts binary"
+    found = sample.select(F.col("doc_id").cast("bigint"), "label", "text").mapInArrow(placed, schema).orderBy("doc_id").toArrow()
+    known.destroy()
+    ids, given = found["doc_id"].to_numpy(), found["label"].to_numpy().astype(float)
+    read = lambda c, kind: np.frombuffer(b"".join(x.as_buffer() for x in found[c]), kind)
+    cuts = np.cumsum([0, *(len(x.as_buffer()) // 4 for x in found["terms"])])
+    model_of = cuts, read("terms", "<i4"), read("counts", "<u4")
+    del found, counts
+    weight_of = idf_of(docs, vocabulary) * factors(association(n, a, len(given), given.sum()), topic)
+    model = Model(ids, given, *model_of, weight_of, vocabulary)
+    give_back()
     model.slot = places(docs.sparkSession, model)
     votes = left_out_votes(sample, model)
     if len(votes):
