@@ -132,10 +132,11 @@ class BlockMaxIndex:
         at = self.slot[example[often]]
         self.rows[at // self.block, self.common[term[often]], at % self.block] = weight[often]
         self.largest = np.ascontiguousarray(self.rows.max(axis=2, initial=0).T)
-        term, slot, weight = term[~often], self.slot[example[~often]], weight[~often]
+        rare = np.flatnonzero(~often).astype(np.int32)
+        slot, term = self.slot.astype(np.int32)[example[rare]], term[rare]
         order = np.lexsort((slot, term))
-        self.slots, self.weights = slot[order].astype(np.int32), weight[order]
-        self.cuts = np.searchsorted(term[order], np.arange(terms + 1))
+        self.slots, self.weights = slot[order], weight[rare[order]]
+        self.cuts = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=terms))))
 
     def _alike(self, example: np.ndarray, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """Another order of the examples: by the nearest of as many of them as there are blocks."""
@@ -235,13 +236,22 @@ class Model:
     def index(self) -> BlockMaxIndex:
         """Laid out where it is first used: what travels is a tenth of it."""
         if self._index is None:
+            # single numbers of 32 bits throughout: a worker holds little beside the index
             cuts, term, count = self.postings
-            example = np.repeat(np.arange(len(self.ids)), np.diff(cuts))
-            weight = (1 + np.log(count)) * self.weight_of[term]
-            norm = np.sqrt(np.bincount(example, weight**2, minlength=len(self.ids)))
-            weight /= np.maximum(norm, 1e-300)[example]
+            sizes = np.diff(cuts)
+            weight = np.log(count, dtype=np.float32)
+            weight += 1
+            weight *= self.weight_of.astype(np.float32)[term]
+            norm = np.ones(len(sizes), np.float32)
+            some = sizes > 0
+            if some.any():
+                norm[some] = np.sqrt(np.add.reduceat(weight * weight, cuts[:-1][some]))
+            weight /= np.repeat(norm, sizes)
+            example = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
             self._index = BlockMaxIndex(example, term, weight, len(self.ids), len(self.vocabulary), slot=self.slot)
             self.slot = self._index.slot
+            del example, weight
+            give_back()
         return self._index
 
     def __getstate__(self) -> dict:
