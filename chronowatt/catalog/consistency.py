@@ -80,6 +80,14 @@ def incomplete_days(spark, sf):
     return hollow.select("series", T.day_text("d").alias("day"), "n_hours", "at_edge")
 
 
+@query(f"""WITH {HL}, N AS (SELECT * FROM HL WHERE n >= 5), E AS (SELECT min(d) AS a, max(d) AS b FROM N), S AS (SELECT d, count(DISTINCT hr) AS n_hours FROM N GROUP BY 1)
+SELECT {day_sql('d')} AS day, n_hours, d = a OR d = b AS at_edge FROM S, E WHERE n_hours < 23""")
+def incomplete_days_network(spark, sf):
+    """Days that the whole network lacks hours of: an hour counts if any series has enough readings in it."""
+    hollow = quality.hollow_days(hourly_local(spark, sf).filter("n >= 5"), [], "d", "hr")
+    return hollow.select(T.day_text("d").alias("day"), "n_hours", "at_edge")
+
+
 @query("""SELECT count(*) AS n_rows, count(*) FILTER (WHERE value < 0) AS negative, count(*) FILTER (WHERE value IS NULL) AS missing,
 count(*) FILTER (WHERE event_type NOT IN ('click','error','purchase','signup','view')) AS unknown_type, count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-01') AS too_early,
 count(*) FILTER (WHERE props NOT LIKE '{%}') AS bad_props FROM events""")
