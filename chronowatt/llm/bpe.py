@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from struct import pack
 
 import ahocorasick
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import share, table
 
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -43,7 +44,7 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.fits: dict[tuple[int, int], bool] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
         self.after_space: dict[str, bytes] = {}
         self.automaton = ahocorasick.Automaton()
@@ -122,18 +123,20 @@ class Codec:
             token = less
 
     def _packed(self, piece: str) -> bytes:
-        ids: list[int] = []
+        out: list[bytes] = []
         pieces = self.pieces
         for match in self.pattern.findall(piece):
             found = pieces.get(match)
             if found is None:
-                found = self.encode_bytes(match.encode())
-                if len(match) <= 64:
+                ids = self.encode_bytes(match.encode())
+                found = pack(f"<{len(ids)}I", *ids)
+                # the whole piece is remembered by those who ask for it
+                if len(match) <= 64 and match != piece:
                     if len(pieces) >= REMEMBERED:
                         pieces.clear()
                     pieces[match] = found
-            ids += found
-        return np.array(ids, "<u4").tobytes()
+            out.append(found)
+        return b"".join(out)
 
     def _recall(self, memory: dict[str, bytes], key: str, piece: str) -> bytes:
         found = self._packed(piece)
