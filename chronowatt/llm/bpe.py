@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import share, table
 
 REMEMBERED = 300_000
+_NEVER = 1 << 62
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -49,12 +50,20 @@ class Codec:
         self.after_space: dict[str, bytes] = {}
         self.automaton = ahocorasick.Automaton()
         lengths = {}
+        # what a token's last merge joins, for tokens that merging reaches
+        self.halves: dict[int, tuple[int, int]] = {}
         for token, rank in ranks.items():
-            if len(token) == 1 or self.merged(token) == [rank]:
+            parts = self.last_two(token) if len(token) > 1 else None
+            if len(token) == 1 or parts is not None:
                 self.automaton.add_word(token.decode("latin-1"), rank)
                 lengths[rank] = len(token)
+            if parts is not None:
+                self.halves[rank] = parts
         self.automaton.make_automaton()
         self.lengths = lengths
+        # tokens whose parts all come earlier than themselves, as in every trained vocabulary
+        self.rising = {rank for rank in lengths if self._rises(rank)}
+        self.edges: dict[tuple[int, int], list[int]] = {}
         self.shorter = {rank: self._shorter(self.bytes_of[rank]) for rank in lengths}
 
     def _shorter(self, token: bytes) -> int | None:
@@ -77,15 +86,71 @@ class Codec:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return [self.ranks[p] for p in parts]
 
+    def last_two(self, token: bytes) -> tuple[int, int] | None:
+        """The two tokens that a token's bytes are merged into last; None if merging does not come so far."""
+        parts = [token[i : i + 1] for i in range(len(token))]
+        while len(parts) > 2:
+            pairs = [(rank, i) for i in range(len(parts) - 1) if (rank := self.ranks.get(parts[i] + parts[i + 1])) is not None]
+            if not pairs:
+                return None
+            i = min(pairs)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return self.ranks[parts[0]], self.ranks[parts[1]]
+
+    def _rises(self, rank: int) -> bool:
+        open_ = [rank]
+        while open_:
+            at = open_.pop()
+            for part in self.halves.get(at, ()):
+                if part in self.halves:
+                    if part >= at:
+                        return False
+                    open_.append(part)
+        return True
+
+    def edge(self, token: int, side: int) -> list[int]:
+        """The tokens that stand at the left (0) or right (1) edge of a token while it is merged, from its byte on."""
+        found = self.edges.get((token, side))
+        if found is None:
+            found = [token]
+            while found[-1] in self.halves:
+                found.append(self.halves[found[-1]][side])
+            found.reverse()
+            self.edges[(token, side)] = found
+        return found
+
     def fit(self, left: int, right: int) -> bool:
         key = (left, right)
         found = self.fits.get(key)
         if found is None:
             if len(self.fits) >= REMEMBERED:
                 self.fits.clear()
-            found = self.fits[key] = self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
+            found = self.fits[key] = self._fit(left, right)
         return found
 
+    def _fit(self, left: int, right: int) -> bool:
+        """Whether merging the bytes of both gives back both. Only what stands on either side of their border can join
+        over it: the two edges grow in the order of the ranks, and at each step what stands there must not be merged before
+        one of them grows."""
+        if left not in self.rising or right not in self.rising:
+            return self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
+        a, b, of, ranks = self.edge(left, 1), self.edge(right, 0), self.bytes_of, self.ranks
+        i = j = 0
+        last_i, last_j = len(a) - 1, len(b) - 1
+        while True:
+            joined = ranks.get(of[a[i]] + of[b[j]])
+            grows_a = a[i + 1] if i < last_i else _NEVER
+            grows_b = b[j + 1] if j < last_j else _NEVER
+            # of equal ranks the one further left is merged first
+            if joined is not None and joined < grows_a and joined <= grows_b:
+                return False
+            if i == last_i and j == last_j:
+                return True
+            if grows_a <= grows_b:
+                i += 1
+            else:
+                j += 1
+
     def longest(self, data: bytes) -> list[int]:
         """The longest token from each place on."""
         found = [-1] * len(data)
