@@ -36,6 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import SparkSession
 
@@ -47,6 +48,7 @@ BANDS, ROWS = 8, 2
 SLOTS = 18
 FLOOR = 0.01
 SMALL = 256
+MARKS = 24
 _GRID = 1 << 16
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -238,6 +240,16 @@ def frequencies(docs: DataFrame, floor: float = FLOOR, slots: int = SLOTS) -> Id
     return Idf(exact["shingle"].to_numpy(np.int64), exact["n"].to_numpy(float), n, floor)
 
 
+def marked(texts: DataFrame, wanted: DataFrame, bits: int = MARKS) -> DataFrame:
+    """The rows of texts whose key has a mark that a key of wanted has too: all that a join on the key would find, and few
+    others. The marks are ``2**bits`` bits in rows of 64, so their table may be broadcast, however many keys there are."""
+    mark = F.pmod(F.xxhash64("key"), F.lit(1 << bits))
+    row, bit = F.shiftright(mark, 6).alias("__row"), F.pmod(mark, F.lit(64)).cast("int").alias("__bit")
+    marks = wanted.select(row, bit).groupBy("__row").agg(F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__marks"))
+    found = texts.select("*", row, bit).join(F.broadcast(marks), "__row").filter(F.getbit("__marks", "__bit") == 1)
+    return found.select(*[F.col(f"`{c}`") for c in texts.columns])
+
+
 class Classes:
     """The near-duplicate classes of one table of documents (doc_id, text)."""
 
@@ -265,6 +277,17 @@ class Classes:
         found = docs.select(text_key().alias("key"), "text").mapInPandas(run, "key binary, own binary, bands array<bigint>")
         return self.scratch.keep(found)
 
+    def dealt(self, texts: DataFrame) -> DataFrame:
+        """The texts, dealt out by key once for all joins on it; a part that gets lost is made again from the scratch table."""
+        conf, name = self.spark.conf, "spark.sql.adaptive.enabled"
+        before = conf.get(name)
+        # an adaptive plan of a kept frame would not tell how it is dealt out
+        conf.set(name, "false")
+        try:
+            return texts.repartition(int(conf.get("spark.sql.shuffle.partitions")), "key").persist(StorageLevel.DISK_ONLY)
+        finally:
+            conf.set(name, before)
+
     def similarities(self, pairs: DataFrame) -> DataFrame:
         """leader, key, sim for pairs of keys."""
         idf = self.idf
@@ -277,9 +300,12 @@ class Classes:
                 ]
                 yield pd.DataFrame({"leader": b["leader"], "key": b["key"], "sim": sims})
 
-        of = self.texts
-        leaders = of.select(F.col("key").alias("leader"), F.col("own").alias("own_leader"))
-        both = pairs.join(of, "key").join(leaders, "leader").select("leader", "key", "own_leader", "own")
+        wanted = pairs.select(F.col("leader").alias("key")).distinct()
+        leaders = self.texts.join(wanted, "key", "left_semi")
+        # dealt out anew, by two columns: two shuffled sides, of which adaptive execution splits a leader that many texts have
+        at = F.xxhash64("leader").alias("at")
+        leaders = leaders.select(F.col("key").alias("leader"), F.col("own").alias("own_leader")).select("*", at)
+        both = pairs.join(self.texts, "key").select("*", at).join(leaders, ["at", "leader"]).select("leader", "key", "own_leader", "own")
         return self.scratch.keep(both.mapInPandas(run, "leader binary, key binary, sim double"))
 
     def round(self, buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -363,14 +389,23 @@ class Classes:
         banded = sketched.select("key", F.explode("bands").alias("bucket")).distinct()
         shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
         buckets = self.scratch.keep(banded.join(shared, "bucket"))
+        # written, or the optimizer would put the join below the marks
+        near = self.scratch.keep(marked(sketched.select("key", "own"), buckets))
+        self.scratch.drop(sketched)
         # one row a text: a task wrote each text at most once
-        self.texts = self.scratch.keep(
-            sketched.select("key", "own")
-            .join(buckets.select("key").distinct(), "key", "left_semi")
-            .groupBy("key")
-            .agg(F.first("own").alias("own"))
+        texts = self.scratch.keep(
+            near.join(buckets.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("own").alias("own"))
         )
-        self.scratch.drop(sketched)
+        self.scratch.drop(near)
+        self.texts = self.dealt(texts)
+        try:
+            return self.connected(buckets)
+        finally:
+            self.texts.unpersist()
+            self.scratch.drop(texts)
+
+    def connected(self, buckets: DataFrame) -> DataFrame:
+        """leader, key: the links among the texts that share a bucket (bucket, key)."""
         found, left = self.round(buckets)
         if left.isEmpty():
             return found

@@ -194,3 +194,40 @@ def test_query_covers_every_document(spark):
     at = docs["doc_id"].tolist()
     assert got == {at[i]: at[g] for i, g in plain(docs["text"].tolist()).items()}
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+def test_marks_leave_all_wanted_and_few_others(spark):
+    texts = spark.range(20_000).select(F.unhex(F.md5(F.col("id").cast("string"))).alias("key"), F.col("id").alias("own"))
+    wanted = texts.filter("own % 50 = 7").select("key").unionByName(texts.filter("own = 57").select("key"))
+    left = {r["own"] for r in nd.marked(texts, wanted, bits=16).collect()}
+    assert left >= set(range(7, 20_000, 50)) and len(left) < 700
+    assert nd.marked(texts, wanted, bits=16).columns == texts.columns
+    assert nd.marked(texts, wanted.limit(0)).isEmpty()
+
+
+def test_texts_are_dealt_out_once(spark, monkeypatch):
+    """No join on the key shuffles the texts again."""
+    rnd = random.Random(3)
+    bases = [text(rnd, 60) for _ in range(20)]
+    plans, keep = [], nd.Scratch.keep
+
+    def kept(self, df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(self, df)
+
+    monkeypatch.setattr(nd.Scratch, "keep", kept)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        classes(spark, frame(spark, bases + [edited(rnd, b, k) for b in bases for k in (1, 2)]))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    compared = [p.splitlines() for p in plans if "own_leader" in p]
+    assert compared
+    for lines in compared:
+        at = [i for i, line in enumerate(lines) if "InMemoryTableScan" in line]
+        # above a scan up to the join on the key
+        above = [lines[i - 1] if "Sort" in lines[i - 1] else lines[i - 2] for i in at]
+        assert len(at) == 2 and all("Sort [key#" in line for line in above)
+        # the joined texts and the leaders can be split: both are shuffled
+        assert sum("Exchange hashpartitioning(at#" in line for line in lines) == 2
