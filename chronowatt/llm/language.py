@@ -74,18 +74,24 @@ def train(docs: DataFrame, learn: Column, rows: int = SAMPLE_ROWS, words: int =
             seen: dict[str, Counter] = {}
             for lang, text in zip(b["lang"], b["text"]):
                 seen.setdefault(lang, Counter()).update(words_of(text))
-            rows = []
-            for lang, counts in seen.items():
-                rows += [(lang, 0, w, n) for w, n in counts.items()]
+            rows = [(lang, w, n) for lang, counts in seen.items() for w, n in counts.items()]
+            yield pd.DataFrame(rows, columns=["lang", "item", "n"])
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            parts: dict[tuple[str, int], Counter] = {}
+            for lang, w, n in zip(b["lang"], b["item"], b["n"].tolist()):
                 for size in range(1, LONGEST + 1):
-                    parts: Counter = Counter()
-                    for w, n in counts.items():
-                        for g in grams_of(w, size):
-                            parts[g] += n
-                    rows += [(lang, size, g, n) for g, n in parts.items()]
+                    found = parts.setdefault((lang, size), Counter())
+                    for g in grams_of(w, size):
+                        found[g] += n
+            rows = [(lang, size, g, n) for (lang, size), found in parts.items() for g, n in found.items()]
             yield pd.DataFrame(rows, columns=["lang", "size", "item", "n"])
 
-    counts = texts.mapInPandas(counted, "lang string, size int, item string, n long")
+    # a word of the sample is cut into n-grams once, with its whole count
+    by_word = texts.mapInPandas(counted, "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n"))
+    grams_by_lang = by_word.mapInPandas(cut, "lang string, size int, item string, n long")
+    counts = by_word.withColumn("size", F.lit(0)).unionByName(grams_by_lang)
     by_lang = counts.groupBy("size", "item", "lang").agg(F.sum("n").alias("n"))
     # counts of a bounded sample: a language's items fit one task
     kind = (F.col("size") == 0).alias("word")
@@ -95,9 +101,9 @@ def train(docs: DataFrame, learn: Column, rows: int = SAMPLE_ROWS, words: int =
         F.min("place").alias("place"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")
     )
     share_of = lambda n: max(1, n // max(1, len(sizes)))
-    top = lambda which, n: items.filter(which & (F.col("place") <= share_of(n))).orderBy("size", "item").collect()
-    known = top(F.col("size") == 0, words)
-    parts = top(F.col("size") > 0, grams)
+    most = F.when(F.col("size") == 0, share_of(words)).otherwise(share_of(grams))
+    top = items.filter(F.col("place") <= most).orderBy("size", "item").collect()
+    known, parts = [r for r in top if not r["size"]], [r for r in top if r["size"]]
     langs = sorted({lang for r in known + parts for lang in r["by"]})
     number = {lang: i for i, lang in enumerate(langs)}
 
@@ -130,8 +136,12 @@ class Scorer:
     """Applies a model; remembers the scores of unseen words met, up to a bound, then starts anew."""
 
     def __init__(self, model: dict):
-        self.langs, self.words, self.grams = model["langs"], model["words"], model["grams"]
-        self.none = np.zeros(len(self.langs))
+        self.langs, self.words = model["langs"], model["words"]
+        # rows of the n-grams' scores, by size
+        self.grams: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+        for i, (size, g) in enumerate(model["grams"]):
+            self.grams[size][g] = i
+        self.gram_scores = np.array(list(model["grams"].values()), float).reshape(len(model["grams"]), len(self.langs))
         # one row of scores for each word: the known ones, then those met
         self.known = len(self.words)
         self.scores = np.zeros((self.known + _REMEMBERED, max(1, len(self.langs))))
@@ -139,23 +149,38 @@ class Scorer:
             self.scores[: self.known] = np.array(list(self.words.values()))
         self.row = {w: i for i, w in enumerate(self.words)}
 
-    def row_of(self, w: str) -> int:
-        if len(self.row) == len(self.scores):
-            self.row = {w: i for i, w in enumerate(self.words)}
-        at = self.row[w] = len(self.row)
-        self.scores[at] = self.backed_off(w)
-        return at
+    def remember(self, words: list[str]) -> None:
+        """Scores for unseen words, for which there must be room: the rows of all their n-grams are read at once."""
+        flat: list[int] = []
+        starts, rows = [], []
+        for w in words:
+            at = self.row[w] = len(self.row)
+            if found := self.parts(w):
+                starts.append(len(flat))
+                rows.append(at)
+                flat += found
+            else:
+                self.scores[at] = 0.0
+        if rows:
+            sizes = np.diff([*starts, len(flat)])
+            self.scores[rows] = np.add.reduceat(self.gram_scores[flat], starts, axis=0) / sizes[:, None]
+
+    def parts(self, w: str) -> list[int]:
+        """The rows of the word's n-grams of the greatest length of which any was seen."""
+        padded = f" {w} "
+        for size in range(min(LONGEST, len(padded)), 0, -1):
+            get = self.grams[size].get
+            found = [k for i in range(len(padded) - size + 1) if (k := get(padded[i : i + size])) is not None]
+            if found:
+                return found
+        return []
 
     def word(self, w: str) -> np.ndarray:
-        at = self.row.get(w)
-        return self.scores[self.row_of(w) if at is None else at]
-
-    def backed_off(self, w: str) -> np.ndarray:
-        for size in range(LONGEST, 0, -1):
-            seen = [v for g in grams_of(w, size) if (v := self.grams.get((size, g))) is not None]
-            if seen:
-                return np.mean(seen, axis=0)
-        return self.none
+        if w not in self.row:
+            if len(self.row) == len(self.scores):
+                self.row = {w: i for i, w in enumerate(self.words)}
+            self.remember([w])
+        return self.scores[self.row[w]]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = words_of(text)
@@ -169,8 +194,9 @@ class Scorer:
             part = distinct[i : i + _REMEMBERED // 2]
             if len(self.row) + len(part) > len(self.scores):
                 self.row = {w: k for k, w in enumerate(self.words)}
-            get, new = self.row.get, self.row_of
-            at = [new(w) if (k := get(w)) is None else k for w in part]
+            if new := [w for w in part if w not in self.row]:
+                self.remember(new)
+            at = [self.row[w] for w in part]
             total += np.array([counts[w] for w in part], float) @ self.scores[at]
         best = int(total.argmax())
         return self.langs[best], float(1 / np.exp(np.clip(total - total[best], -700, 0)).sum())

@@ -1,5 +1,8 @@
 """Quality, language, toxicity: methods against plain versions, edge cases, held-out accuracy."""
 
+import time
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -83,6 +86,56 @@ def test_unseen_word_backs_off_to_the_longest_known_ngrams():
     assert scorer.predict("chats")[0] == "fr"
 
 
+def test_unseen_words_are_backed_off_together():
+    """Scores as by one mean a word up to rounding, in half the time at most."""
+    rng = np.random.default_rng(2)
+    letters = list("abcdefghijklmnop")
+    grams = {(size, "".join(rng.choice(letters, size))): rng.random(4) for size in range(1, 6) for _ in range(3_000)}
+    grams |= {(1, c): rng.random(4) for c in letters}
+    model = {"langs": list("wxyz"), "words": {"known": rng.random(4)}, "grams": grams}
+    unseen = ["".join(w) for w in rng.choice(letters, (20_000, 9))]
+    text = " ".join([*unseen, "ß"])
+
+    def plain(w):
+        for size in range(5, 0, -1):
+            if seen := [v for g in language.grams_of(w, size) if (v := grams.get((size, g))) is not None]:
+                return np.mean(seen, axis=0)
+
+    def least(run):
+        took = []
+        for _ in range(3):
+            started = time.thread_time()
+            found = run()
+            took.append(time.thread_time() - started)
+        return found, min(took)
+
+    want, slow = least(lambda: [plain(w) for w in unseen])
+    scorer, quick = least(lambda: (s := language.Scorer(model)).predict(text) and s)
+    assert np.allclose([scorer.word(w) for w in unseen], want, rtol=1e-12, atol=0) and not scorer.word("ß").any()
+    # the same bits, whatever else is looked up with a word
+    alone = language.Scorer(model)
+    assert all(np.array_equal(alone.word(w), scorer.word(w)) for w in unseen[:2_000])
+    assert quick < slow / 2
+
+
+def test_counts_are_those_of_all_occurrences(spark):
+    """Also of words that stand in many texts, which many tasks read."""
+    rows = [(i, f"the hill w{chr(97 + i % 20)}", "en" if i % 2 else "fr") for i in range(400)]
+    model = language.train(documents(spark, rows).repartition(16), F.lit(True))
+    for lang in ("en", "fr"):
+        total = Counter(w for _, t, own in rows if own == lang for w in language.words_of(t))
+        place = model["langs"].index(lang)
+        n = np.array([total[w] for w in model["words"]]) + 0.1
+        assert np.allclose([v[place] for v in model["words"].values()], np.log(n / n.sum()))
+        parts = Counter()
+        for w, k in total.items():
+            for g in (f" {w} "[i : i + 3] for i in range(len(w))):
+                parts[g] += k
+        three = [g for size, g in model["grams"] if size == 3]
+        n = np.array([parts[g] for g in three]) + 0.1
+        assert np.allclose([model["grams"][3, g][place] for g in three], np.log(n / n.sum()))
+
+
 def test_language_of_odd_texts(spark):
     rows = [(i, "the cat sat on the mat and the dog" if i % 2 else "der Hund und die Katze auf der Matte", "en" if i % 2 else "de") for i in range(40)]
     model = language.train(documents(spark, rows), ~held_out("doc_id", 4, 2))
